@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from functools import cache
 
 import numpy as np
 
@@ -26,6 +27,8 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        if hasattr(self.library.model, "_resize_cache"):
+            self.library.model._resize_cache(0)  # units come to the library once; keeping them there costs more than it saves
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         before = spec.get("pre_tokenizer") or {}
@@ -63,9 +66,12 @@ class UnitEncoder:
     def encode_all(self, texts: list[str]) -> list[bytes]:
         if not self.by_unit:
             return self._whole(texts)
-        parts: list[list] = []
-        for text in texts:
-            segments = self.cut.split(text) if self.cut is not None else [text]
-            parts.append(units(text) if len(segments) == 1 else [x for i, s in enumerate(segments) for x in ([self.special[s]] if i % 2 else units(s))])
-        known = self.cache.table({u for u in set().union(*parts) if isinstance(u, str)})
-        return [b"".join([u if isinstance(u, bytes) else known[u] for u in p] if bytes in set(map(type, p)) else map(known.__getitem__, p)) for p in parts]
+        segments = [self.cut.split(text) if self.cut is not None else [text] for text in texts]
+        found = iter(self.cache.values([units(x) for s in segments for x in s[::2]]))
+        return [b"".join(b"".join(next(found)) + (self.special[s[i + 1]] if i + 1 < len(s) else b"") for i in range(0, len(s), 2)) for s in segments]
+
+
+@cache
+def encoder_of(path: str) -> UnitEncoder:
+    """One encoder for all tasks of a worker process."""
+    return UnitEncoder(path)

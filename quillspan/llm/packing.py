@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .cluster import slices
-from .encode import UnitEncoder
+from .encode import encoder_of
 
 PIECES = T.StructType(
     [
@@ -193,7 +193,7 @@ def pack_documents(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = UnitEncoder(vocabulary)
+        encoder = encoder_of(vocabulary)
         packer = VectorPacker(tokens, segments, loss, True, window)
         end = np.array([end_id], "<u4").tobytes()
         first = TaskContext.get().partitionId() << 40
@@ -219,7 +219,7 @@ def pack_documents(
                 c.clear()
             return batch
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 20):
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode_all([t or "" for t in batch.column("text").to_pylist()]), strict=True):
                 ids += end
                 held[serial] = [doc, ids, len(ids) // 4]

@@ -14,7 +14,8 @@ from collections.abc import Callable, Iterable
 #: The characters of Unicode's White_Space property.
 WHITE = "\t-\r \x85\xa0  -     　"
 
-_UNIT = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]")
+# a word of letters and digits ends before a comma or a stop in any case, so it is a unit without them
+_UNIT = re.compile(rf" ?[^\W_]++(?=[,.])| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]")
 
 
 def units(text: str) -> list[str]:
@@ -31,24 +32,31 @@ class UnitCache:
     dropped value is only computed again.
     """
 
-    def __init__(self, compute: Callable[[list[str]], Iterable], most: int = 250_000, longest: int = 64):
+    def __init__(self, compute: Callable[[list[str]], Iterable], most: int = 500_000, longest: int = 64):
         self.compute, self.most, self.longest = compute, most, longest
         self.young: dict = {}
         self.old: dict = {}
         self.passing: list[str] = []
 
-    def table(self, wanted: set[str]) -> dict:
-        """A mapping that has every wanted unit; valid until the next call."""
+    def values(self, parts: list[list[str]]) -> list[list]:
+        """The value of each unit of each part."""
         for unit in self.passing:
             self.young.pop(unit, None)
         if len(self.young) > self.most:
             self.old, self.young = self.young, {}
-        young, old, missing = self.young, self.old, []
-        for unit in wanted - young.keys():
-            if unit in old:
-                young[unit] = old[unit]
+        get = self.young.get
+        found = [list(map(get, p)) for p in parts]
+        lacking = [(p, f, [j for j, v in enumerate(f) if v is None]) for p, f in zip(parts, found, strict=True) if None in f]
+        wanted = list({p[j] for p, _, at in lacking for j in at})
+        missing = []
+        for unit in wanted:
+            if unit in self.old:
+                self.young[unit] = self.old[unit]
             else:
                 missing.append(unit)
-        young.update(zip(missing, self.compute(missing), strict=True))
+        self.young.update(zip(missing, self.compute(missing), strict=True))
         self.passing = [u for u in missing if len(u) > self.longest]
-        return young
+        for p, f, at in lacking:
+            for j in at:
+                f[j] = self.young[p[j]]
+        return found

@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import json
 from collections.abc import Iterator
+from functools import cache
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
@@ -148,8 +149,13 @@ class TokenCounter:
             segments = cut.split(text) if cut is not None else [text]
             extra.append(len(segments) - 1)
             parts.append([u for s in segments for u in units(s)] if len(segments) > 1 else units(text))
-        known = self.cache.table(set().union(*parts))
-        return [sum(map(known.__getitem__, p)) + e for p, e in zip(parts, extra, strict=True)]
+        return [sum(found) + e for found, e in zip(self.cache.values(parts), extra, strict=True)]
+
+
+@cache
+def counter_of(path: str) -> TokenCounter:
+    """One counter for all tasks of a worker process."""
+    return TokenCounter(path)
 
 
 def count_tokens(df: DataFrame, text: str, vocabulary: str, name: str = "n_tokens") -> DataFrame:
@@ -166,8 +172,8 @@ def count_tokens(df: DataFrame, text: str, vocabulary: str, name: str = "n_token
     schema = kept.schema.add(name, "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TokenCounter(vocabulary)
-        for batch in slices(batches, text):
+        counter = counter_of(vocabulary)
+        for batch in slices(batches, text, 1 << 20):
             texts = [t or "" for t in batch.column(text).to_pylist()]
             counts = pa.array(counter.count_all(texts), pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, counts], names=[*batch.schema.names, name])

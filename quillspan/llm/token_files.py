@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .cluster import local_path, shared_path, slices
-from .encode import UnitEncoder
+from .encode import encoder_of
 
 MAGIC = b"QSTF0001"
 SAMPLE = 256
@@ -177,7 +177,7 @@ def write_token_files(df: DataFrame, vocabulary: str, folder: str, end_id: int =
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = UnitEncoder(vocabulary)
+        encoder = encoder_of(vocabulary)
         id_bytes = 2 if max(encoder.library.get_vocab_size(True), end_id + 1) <= 1 << 16 else 4
         end = np.array([end_id], "<u4").tobytes()
         part = TaskContext.get().partitionId()
@@ -195,7 +195,7 @@ def write_token_files(df: DataFrame, vocabulary: str, folder: str, end_id: int =
             held = 0
 
         null = False
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 20):
             for k, got in zip(batch.column("doc_id").to_pylist(), encoder.encode_all([t or "" for t in batch.column("text").to_pylist()]), strict=True):
                 if (k is None) != null or held >= shard_tokens:
                     close(null)
