@@ -1,6 +1,479 @@
-"""The registered queries of the engine's own operators, and their SQL."""
+"""The registered queries of the engine's own operators, and SQL for DuckDB that gives the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quillspan.functions import text as tx
+from quillspan.operators import context, lexical, navigate, rank, reuse, structure, vector
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+TOKEN = tx.TOKEN
+QUERY_TEXT = "the onesen erblest that ti inenan"
+SYMBOL_QUERY = "THE"
+QUERY_VECTOR = [float((7 * i) % 11 - 5) for i in range(64)]
+
+
+def query(sql: str):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df.select(*columns) if columns else df
+
+
+def _lines(spark, sf_dir):
+    return structure.numbered_lines(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+# sources and fingerprints
+
+
+@query("SELECT doc_id, sha256(text) AS sha256, CAST(strlen(text) AS BIGINT) AS n_bytes FROM documents")
+def doc_fingerprints(spark, sf_dir):
+    return reuse.fingerprints(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+@query("SELECT sha256(text) AS sha256, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1")
+def doc_duplicates(spark, sf_dir):
+    return reuse.duplicates(doc_fingerprints(spark, sf_dir), "doc_id")
+
+
+# text
+
+
+@query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents),
+n AS (SELECT doc_id, unnest(x) AS line, unnest(range(1, len(x) + 1)) AS line_no FROM l)
+SELECT doc_id, line_no, line, CAST(coalesce(sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_start,
+CAST(sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS BIGINT) AS byte_end FROM n""")
+def line_blocks(spark, sf_dir):
+    return _lines(spark, sf_dir)
+
+
+@query("""WITH n AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)
+SELECT CASE WHEN contains(lower(line), 'copyright') OR contains(lower(line), 'all rights reserved') OR contains(lower(line), 'licensed under') OR contains(lower(line), 'trademark') THEN 'legal'
+WHEN length(line) <= 120 AND regexp_matches(line, '[A-Z]') AND NOT regexp_matches(line, '[a-z]') THEN 'page_furniture' ELSE 'substantive' END AS content_class, count(*) AS n FROM n GROUP BY 1""")
+def block_class(spark, sf_dir):
+    return _lines(spark, sf_dir).groupBy(tx.content_class(F.col("line")).alias("content_class")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')) AS collapsed FROM documents")
+def whitespace_normalize(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.collapsed(F.col("text")).alias("collapsed"))
+
+
+@query("SELECT doc_id, CAST((2 * length(text) + 6) // 7 AS BIGINT) AS tokens FROM documents")
+def token_estimate(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.token_estimate(F.col("text")).alias("tokens"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 700 THEN substring(text, 1, 700) || '…' ELSE text END AS snippet FROM documents")
+def snippet(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.snippet(F.col("text")).alias("snippet"))
+
+
+@query(r"""SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS heading FROM pages""")
+def page_headings(spark, sf_dir):
+    part = lambda tag: F.regexp_extract("html", rf"(?s)<{tag}>(.*?)</{tag}>", 1)
+    return table(spark, sf_dir, "pages").select("page_id", part("title").alias("title"), part("h1").alias("heading"))
+
+
+@query(r"""SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS target FROM pages""")
+def page_links(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("target"))
+
+
+@query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<[^>]*>', ' ', 'g'), '[ \t\n\x0b\f\r]+', ' ', 'g')) AS content FROM pages""")
+def page_text(spark, sf_dir):
+    body = F.regexp_replace(F.regexp_extract("html", r"(?s)<article>(.*)</article>", 1), "<[^>]*>", " ")
+    return table(spark, sf_dir, "pages").select("page_id", tx.collapsed(body).alias("content"))
+
+
+# lexical analysis and scoring
+
+_TOKENS = rf"toks AS (SELECT doc_id, regexp_extract_all(lower(text), '{TOKEN}') AS w FROM documents)"
+
+
+@query(f"WITH {_TOKENS} SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, CAST(len(list_distinct(w)) AS BIGINT) AS n_terms FROM toks")
+def analyzer_terms(spark, sf_dir):
+    toks = tx.tokens(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(toks).cast("long").alias("n_tokens"), F.size(F.array_distinct(toks)).cast("long").alias("n_terms"))
+
+
+@query(f"WITH {_TOKENS}, p AS (SELECT doc_id, unnest(w) AS term FROM toks) SELECT term, count(DISTINCT doc_id) AS n_docs, count(*) AS n_places FROM p GROUP BY term HAVING count(DISTINCT doc_id) >= 5")
+def term_stats(spark, sf_dir):
+    p = lexical.postings(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+    return p.groupBy("term").agg(F.count("*").alias("n_docs"), F.sum("tf").alias("n_places")).where("n_docs >= 5")
+
+
+@query(f"WITH {_TOKENS} SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_tokens, round(avg(len(w)), 6) AS mean_length FROM toks")
+def doc_lengths(spark, sf_dir):
+    n = F.size(tx.tokens(F.col("text")))
+    return table(spark, sf_dir, "documents").agg(F.count("*").alias("n_docs"), F.sum(n).cast("long").alias("n_tokens"), F.round(F.avg(n), 6).alias("mean_length"))
+
+
+def _bm25_sql(where: str = "true", queries: str = "SELECT item_id AS query_id, text AS query FROM benchmark", tf: str = "1.0") -> str:
+    return rf"""q AS ({queries}),
+asked AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '{TOKEN}')) AS term FROM q),
+{_TOKENS.replace("FROM documents", f"FROM documents WHERE {where}")},
+stats AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM toks),
+p AS (SELECT doc_id, len AS length, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS len, unnest(w) AS term FROM toks) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+d AS (SELECT term, count(*) AS n_with FROM p GROUP BY term),
+scores AS (SELECT query_id, doc_id AS chunk_id, sum(ln(1 + (n - n_with + 0.5) / (n_with + 0.5)) * {tf} * 2.2 / ({tf} + 1.2 * (0.25 + 0.75 * length / mean))) AS score
+FROM asked JOIN p USING (term) JOIN d USING (term), stats GROUP BY 1, 2)"""
+
+
+def _benchmark(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def _bm25(spark, sf_dir, queries=None, binary=True, where="true"):
+    docs = table(spark, sf_dir, "documents").where(where)
+    scores = lexical.bm25(docs, _benchmark(spark, sf_dir) if queries is None else queries, "doc_id", "text", binary=binary)
+    return scores.withColumn("score", F.round("score", 6))
+
+
+def _first(scores: DataFrame, n: int) -> DataFrame:
+    """The first n of each query; the rank filter works before the shuffle."""
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
+_FIRST = "SELECT query_id, chunk_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) AS INT) AS rank FROM scores QUALIFY rank <= "
+
+
+@query(f"WITH {_bm25_sql()} {_FIRST} 10")
+def bm25_topk(spark, sf_dir):
+    return _first(_bm25(spark, sf_dir), 10)
+
+
+@query(f"WITH {_bm25_sql(tf='tf')} {_FIRST} 5")
+def bm25_raw_tf(spark, sf_dir):
+    return _first(_bm25(spark, sf_dir, binary=False), 5)
+
+
+_LANGS = "lang IN ('de', 'fr')"
+
+
+@query(f"WITH {_bm25_sql(_LANGS)} {_FIRST} 10")
+def bm25_filtered(spark, sf_dir):
+    return _first(_bm25(spark, sf_dir, where=_LANGS), 10)
+
+
+_ONE = f"SELECT 0 AS query_id, '{QUERY_TEXT}' AS query"
+
+
+def _one(spark, text: str = QUERY_TEXT):
+    return spark.range(1).select(F.col("id").cast("int").alias("query_id"), F.lit(text).alias("query"))
+
+
+@query(f"""WITH {_bm25_sql(queries=_ONE)},
+fetched AS (SELECT chunk_id, round(score, 6) AS score FROM scores ORDER BY 2 DESC, 1 LIMIT 100),
+best AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id)
+SELECT chunk_id, round(score * CASE WHEN quality = 0 THEN 0.35 ELSE 1.0 END, 6) AS score FROM fetched LEFT JOIN best ON doc_id = chunk_id ORDER BY 2 DESC, 1 LIMIT 25""")
+def bm25_weighted_overfetch(spark, sf_dir):
+    best = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("chunk_id")).agg(F.max("quality").alias("quality"))
+    scores = _bm25(spark, sf_dir, _one(spark)).select("chunk_id", "score").join(best, "chunk_id", "left")
+    return lexical.weighted_overfetch(scores.withColumn("weight", F.when(F.col("quality") == 0, 0.35).otherwise(1.0)), "weight", 25).select("chunk_id", "score")
+
+
+@query(f"""WITH {_TOKENS}, j AS (SELECT doc_id, ' ' || array_to_string(w, '  ') || ' ' AS t FROM toks)
+SELECT doc_id AS chunk_id, CAST((length(t) - length(replace(t, ' of  the ', ''))) / 9 AS BIGINT) AS n_places FROM j WHERE contains(t, ' of  the ')""")
+def phrase_match(spark, sf_dir):
+    return lexical.phrase_hits(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", "Of the")
+
+
+# symbols
+
+_SYMBOLS = rf"syms AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '{tx.SYMBOL}'))) AS symbol FROM documents)"
+
+
+@query(f"WITH {_SYMBOLS} SELECT doc_id, symbol FROM syms")
+def symbol_extract(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(tx.symbols(F.col("text"))).alias("symbol"))
+
+
+@query(f"""WITH {_SYMBOLS}, parts AS (SELECT DISTINCT symbol, unnest(list_concat([symbol], list_transform(regexp_split_to_array(symbol, '[._:/\\-\\[\\]]+'), lambda p: ltrim(p, '#')))) AS term FROM syms)
+SELECT DISTINCT symbol, term FROM parts WHERE term <> ''""")
+def symbol_terms(spark, sf_dir):
+    return symbol_extract(spark, sf_dir).select("symbol").distinct().select("symbol", F.explode(tx.symbol_terms(F.col("symbol"))).alias("term"))
+
+
+@query(f"WITH {_SYMBOLS} SELECT doc_id, 8.0 AS score FROM syms WHERE symbol = '{SYMBOL_QUERY}' ORDER BY doc_id LIMIT 20".replace("8.0", "CAST(8.0 AS DOUBLE)"))
+def symbol_exact_topk(spark, sf_dir):
+    hit = F.array_contains(tx.symbols(F.col("text")), SYMBOL_QUERY)
+    return table(spark, sf_dir, "documents").where(hit).select("doc_id", F.lit(lexical.SYMBOL_BOOST).alias("score")).orderBy("doc_id").limit(20)
+
+
+# vectors
+
+_VECTOR = "[" + ", ".join(f"{x}::DOUBLE" for x in QUERY_VECTOR) + "]"
+_COSINE = f"SELECT vec_id, round(list_dot_product(e, {_VECTOR}) / sqrt(list_dot_product(e, e)) / sqrt(list_dot_product({_VECTOR}, {_VECTOR})), 6) AS score FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
+
+
+@query(f"{_COSINE} ORDER BY score DESC, vec_id LIMIT 20")
+def cosine_topk(spark, sf_dir):
+    return vector.top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", QUERY_VECTOR, 20)
+
+
+@query(f"{_COSINE} WHERE label IN (1, 3) ORDER BY score DESC, vec_id LIMIT 20")
+def cosine_topk_filtered(spark, sf_dir):
+    return vector.top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", QUERY_VECTOR, 20, F.col("label").isin(1, 3))
+
+
+@query("""SELECT count(*) AS n_vectors, count(*) FILTER (len(embedding) <> 64) AS n_wrong_size, CAST(0 AS BIGINT) AS n_not_finite,
+count(*) FILTER (abs(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) - 1) > 1e-4) AS n_not_unit FROM embeddings""")
+def vector_norm_check(spark, sf_dir):
+    return vector.health(table(spark, sf_dir, "embeddings"), "embedding", 64)
+
+
+# the search pipeline: an exact leg on a symbol, a lexical one, a semantic one on vectors of the same ids
+
+_LEGS = f"""{_bm25_sql(queries=_ONE)}, {_SYMBOLS},
+lex AS (SELECT chunk_id, row_number() OVER (ORDER BY round(score, 6) DESC, chunk_id) AS r FROM scores QUALIFY r <= 100),
+ex AS (SELECT doc_id AS chunk_id, row_number() OVER (ORDER BY doc_id) AS r FROM syms WHERE symbol = '{SYMBOL_QUERY}' QUALIFY r <= 100),
+cos AS ({_COSINE}), sem AS (SELECT vec_id AS chunk_id, row_number() OVER (ORDER BY score DESC, vec_id) AS r FROM cos QUALIFY r <= 100),
+fused AS (SELECT chunk_id, sum(1.0 / (60 + r)) AS rrf, count(*) AS n_legs FROM (SELECT * FROM lex UNION ALL SELECT * FROM ex UNION ALL SELECT * FROM sem) GROUP BY chunk_id)"""
+
+
+def _fused(spark, sf_dir):
+    lex = _bm25(spark, sf_dir, _one(spark)).select("chunk_id", "score")
+    exact = table(spark, sf_dir, "documents").where(F.array_contains(tx.symbols(F.col("text")), SYMBOL_QUERY)).select(F.col("doc_id").alias("chunk_id"), F.lit(8.0).alias("score"))
+    sem = vector.top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", QUERY_VECTOR, 100).select(F.col("vec_id").alias("chunk_id"), "score")
+    return rank.fused(rank.ranked(lex, "lexical"), rank.ranked(exact, "exact"), rank.ranked(sem, "semantic"))
+
+
+@query(f"WITH {_LEGS} SELECT chunk_id, round(rrf, 6) AS rrf, n_legs FROM fused")
+def rrf_fuse(spark, sf_dir):
+    return _fused(spark, sf_dir).select("chunk_id", F.round("rrf", 6).alias("rrf"), "n_legs")
+
+
+_BOOSTED = f"""{_LEGS}, boosted AS (SELECT chunk_id, source, lang, rrf * (CASE WHEN chunk_id IN (SELECT doc_id FROM syms WHERE symbol = '{SYMBOL_QUERY}') THEN 3.0 ELSE 1.0 END)
+* (CASE WHEN contains(lower(array_to_string(string_split(text, chr(10))[1:3], ' ')), 'onesen') THEN 1.25 ELSE 1.0 END) * (CASE WHEN coalesce(quality, 1) = 0 THEN 0.35 ELSE 1.0 END) AS f
+FROM fused JOIN documents ON doc_id = chunk_id LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) USING (doc_id)),
+ranked AS (SELECT chunk_id, source, lang, round(f, 6) AS final FROM boosted)"""
+
+
+def _boosted(spark, sf_dir):
+    best = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("chunk_id")).agg(F.max("quality").alias("quality"))
+    docs = table(spark, sf_dir, "documents", F.col("doc_id").alias("chunk_id"), "text", "source", "lang")
+    # at most 300 fused rows: they go to the scan of the texts
+    rows = docs.join(F.broadcast(_fused(spark, sf_dir)), "chunk_id").join(best, "chunk_id", "left")
+    kind = F.when(F.col("quality") == 0, "front_matter").otherwise("substantive")
+    factor = rank.boost(F.array_contains(tx.symbols(F.col("text")), SYMBOL_QUERY), rank.heading_of(F.col("text")).contains("onesen"), kind)
+    return rows.select("chunk_id", "source", "lang", F.round(F.col("rrf") * factor, 6).alias("final"))
+
+
+@query(f"WITH {_BOOSTED} SELECT chunk_id, final FROM ranked")
+def boost_rank(spark, sf_dir):
+    return _boosted(spark, sf_dir).select("chunk_id", "final")
+
+
+_CAPPED = f"{_BOOSTED}, capped AS (SELECT * FROM ranked QUALIFY row_number() OVER (PARTITION BY source ORDER BY final DESC, chunk_id) <= 2)"
+
+
+@query(f"WITH {_CAPPED} SELECT chunk_id, source, final FROM capped")
+def section_cap(spark, sf_dir):
+    return rank.capped(_boosted(spark, sf_dir), "source", "final", "chunk_id").select("chunk_id", "source", "final")
+
+
+@query(f"WITH {_CAPPED} SELECT chunk_id, final, CAST(row_number() OVER (ORDER BY final DESC, chunk_id) AS INT) AS position FROM capped QUALIFY position BETWEEN 6 AND 15")
+def search_page(spark, sf_dir):
+    return rank.page(rank.capped(_boosted(spark, sf_dir), "source", "final", "chunk_id"), "final", "chunk_id", 5, 10).select("chunk_id", "final", "position")
+
+
+@query(f"""WITH {_bm25_sql(queries=_ONE)}, {_SYMBOLS}, ex AS (SELECT doc_id FROM syms WHERE symbol = '{SYMBOL_QUERY}' ORDER BY doc_id LIMIT 25),
+rel AS (SELECT chunk_id, round(score, 6) AS score FROM scores ORDER BY 2 DESC, 1 LIMIT 25) SELECT chunk_id, score FROM rel WHERE chunk_id NOT IN (SELECT doc_id FROM ex)""")
+def lookup_related(spark, sf_dir):
+    hits = table(spark, sf_dir, "documents").where(F.array_contains(tx.symbols(F.col("text")), SYMBOL_QUERY)).select(F.col("doc_id").alias("chunk_id")).orderBy("chunk_id").limit(25)
+    related = _bm25(spark, sf_dir, _one(spark)).select("chunk_id", "score").orderBy(F.desc("score"), "chunk_id").limit(25)
+    return related.join(hits, "chunk_id", "left_anti")
+
+
+@query(f"""WITH {_bm25_sql(queries=_ONE)} SELECT lang, chunk_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY lang ORDER BY round(score, 6) DESC, chunk_id) AS INT) AS rank
+FROM scores JOIN documents ON doc_id = chunk_id WHERE lang IN ('en', 'fr') QUALIFY rank <= 10""")
+def facet_compare(spark, sf_dir):
+    facet = table(spark, sf_dir, "documents", F.col("doc_id").alias("chunk_id"), "lang").where(F.col("lang").isin("en", "fr"))
+    rows = _bm25(spark, sf_dir, _one(spark)).join(facet, "chunk_id")
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), "chunk_id"))).where("rank <= 10").select("lang", "chunk_id", "score", "rank")
+
+
+# navigation
+
+
+@query("SELECT conv_id, turn, lag(turn) OVER w AS previous, lead(turn) OVER w AS next FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+def turn_neighbors(spark, sf_dir):
+    return navigate.neighbours(table(spark, sf_dir, "conversations", "conv_id", "turn"), "conv_id", "turn")
+
+
+@query("SELECT conv_id, turn, concat_ws(chr(10) || chr(10), lag(text) OVER w, lead(text) OVER w) AS surrounding FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+def turn_surrounding(spark, sf_dir):
+    return navigate.surrounding(table(spark, sf_dir, "conversations", "conv_id", "turn", "text"), "conv_id", "turn", "text").drop("text")
+
+
+@query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position, count(*) OVER (PARTITION BY conv_id) > 5 AS has_more FROM conversations QUALIFY position BETWEEN 3 AND 5")
+def section_page(spark, sf_dir):
+    return navigate.section_page(table(spark, sf_dir, "conversations", "conv_id", "turn"), "conv_id", "turn", 2, 3)
+
+
+@query("""SELECT 'r' || r_regionkey AS node, 0 AS depth FROM region UNION ALL SELECT 'n' || n_nationkey, 1 FROM nation UNION ALL SELECT 'c' || c_custkey, 2 FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def outline_depth(spark, sf_dir):
+    r = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("node"), F.lit(None).cast("string").alias("parent"))
+    n = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("r"), "n_regionkey"))
+    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey"), F.concat(F.lit("n"), "c_nationkey"))
+    return navigate.outline(r.union(n).union(c))
+
+
+@query("""WITH h AS (SELECT p_partkey, p_name, p_brand, p_type FROM part WHERE contains(lower(p_name), 'brass') OR contains(lower(p_brand), 'brass') OR contains(lower(p_type), 'brass') OR contains(CAST(p_partkey AS VARCHAR), 'brass'))
+SELECT *, CAST(row_number() OVER (ORDER BY p_partkey) AS INT) AS position, (SELECT count(*) FROM h) AS total FROM h QUALIFY position BETWEEN 11 AND 30""")
+def rows_filter_any_cell(spark, sf_dir):
+    return navigate.rows_with(table(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_type"), "BRASS", "p_partkey", 10, 20)
+
+
+@query("SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'pages', count(*) FROM pages UNION ALL SELECT 'benchmark', count(*) FROM benchmark UNION ALL SELECT 'embeddings', count(*) FROM embeddings")
+def counts(spark, sf_dir):
+    return navigate.counts(**{t: table(spark, sf_dir, t) for t in ("documents", "pages", "benchmark", "embeddings")})
+
+
+@query("SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 50000) GROUP BY l_orderkey")
+def integrity_fk(spark, sf_dir):
+    return navigate.orphans(table(spark, sf_dir, "lineitem", "l_orderkey"), "l_orderkey", table(spark, sf_dir, "orders").where("o_totalprice > 50000"), "o_orderkey")
+
+
+@query("SELECT count(vec_id) AS n, count(DISTINCT vec_id) AS n_distinct, min(vec_id) AS least, max(vec_id) AS greatest, count(vec_id) = count(DISTINCT vec_id) AND min(vec_id) = 0 AND max(vec_id) = count(vec_id) - 1 AS contiguous FROM embeddings")
+def integrity_rows(spark, sf_dir):
+    return navigate.dense(table(spark, sf_dir, "embeddings"), "vec_id")
+
+
+# structure
+
+_REFS = [(1, 10, "See Section 4.2 and Table 2-1."), (2, 10, "As in figure 3; see section that follows."), (3, 20, "Chapter 5, appendix B and Table 2-1."), (4, 20, "no reference")]
+_REF_VALUES = "VALUES " + ", ".join(f"({a}, {b}, '{t}')" for a, b, t in _REFS)
+_DECLARED = [(10, "section:4.2", "s1"), (10, "table:2-1", "t1"), (20, "table:2-1", "t2"), (20, "table:2-1", "t3"), (30, "figure:3", "f1"), (30, "chapter:5", "c1"), (40, "chapter:5", "c2")]
+
+
+def _ref_rows(spark):
+    return spark.createDataFrame(_REFS, "block_id bigint, document_id bigint, text string")
+
+
+_REF_SQL = r"""refs AS (SELECT block_id, document_id, unnest(range(0, len(w))) AS ordinal, lower(unnest(w)) AS word, unnest(l) AS label FROM (
+SELECT block_id, document_id, regexp_extract_all(text, '%s', 1) AS w, regexp_extract_all(text, '%s', 2) AS l FROM (%s) AS t(block_id, document_id, text)))""" % (tx.REFERENCE, tx.REFERENCE, _REF_VALUES)
+
+
+@query(f"WITH {_REF_SQL} SELECT CAST(block_id AS BIGINT) AS block_id, ordinal, CASE WHEN word IN ('table', 'figure') THEN word ELSE 'section' END AS kind, label, word || ':' || lower(label) AS normalized_key FROM refs")
+def ref_extract(spark, sf_dir):
+    return structure.references(_ref_rows(spark), "block_id", "text")
+
+
+@query(f"""WITH {_REF_SQL}, d(document_id, k, target_id) AS (VALUES {", ".join(f"({a}, '{k}', '{t}')" for a, k, t in _DECLARED)}),
+c AS (SELECT refs.*, word || ':' || lower(label) AS key FROM refs),
+j AS (SELECT block_id, ordinal, key, (SELECT count(*) FROM d WHERE d.k = c.key AND d.document_id = c.document_id) AS l, (SELECT count(*) FROM d WHERE d.k = c.key) AS w,
+(SELECT min(target_id) FROM d WHERE d.k = c.key AND d.document_id = c.document_id) AS lt, (SELECT min(target_id) FROM d WHERE d.k = c.key) AS wt FROM c)
+SELECT CAST(block_id AS BIGINT) AS block_id, ordinal, key AS normalized_key, CASE WHEN l > 0 THEN l ELSE w END AS n_candidates,
+CASE WHEN l = 1 THEN lt WHEN l = 0 AND w = 1 THEN wt END AS target_id, (CASE WHEN l > 0 THEN l ELSE w END) = 1 AS resolved FROM j""")
+def ref_resolve(spark, sf_dir):
+    refs = ref_extract(spark, sf_dir).join(_ref_rows(spark).select("block_id", "document_id"), "block_id")
+    declared = spark.createDataFrame(_DECLARED, "document_id bigint, normalized_key string, target_id string")
+    return structure.resolved(refs, declared).select("block_id", "ordinal", "normalized_key", "n_candidates", "target_id", "resolved")
+
+
+_EVENT = "SELECT event_id, user_id, CASE WHEN event_type = 'purchase' THEN event_id END AS label, CAST(event_id * 7 % 4 + 1 AS INT) AS level, CASE WHEN event_id % 5 = 0 THEN 'caption' WHEN event_id % 3 = 0 THEN 'table' ELSE 'prose' END AS kind FROM events"
+
+
+def _events(spark, sf_dir):
+    kind = F.when(F.col("event_id") % 5 == 0, "caption").when(F.col("event_id") % 3 == 0, "table").otherwise("prose")
+    return table(spark, sf_dir, "events").select("event_id", "user_id", F.when(F.col("event_type") == "purchase", F.col("event_id")).alias("label"), (F.pmod(F.col("event_id") * 7, F.lit(4)) + 1).cast("int").alias("level"), kind.alias("kind"))
+
+
+@query(f"""WITH e AS ({_EVENT}) SELECT event_id, coalesce((SELECT max(label) FROM e b WHERE b.user_id = a.user_id AND b.event_id <= a.event_id), (SELECT min(label) FROM e b WHERE b.user_id = a.user_id)) AS printed_page FROM e a""")
+def page_asof(spark, sf_dir):
+    return structure.page_labels(_events(spark, sf_dir), "user_id", "event_id", "label").select("event_id", "printed_page")
+
+
+@query(f"WITH e AS ({_EVENT}) SELECT event_id, (SELECT min(b.event_id) FROM e b WHERE b.user_id = a.user_id AND b.event_id > a.event_id AND b.level <= a.level) AS section_end FROM e a")
+def section_end_range(spark, sf_dir):
+    return structure.section_ends(_events(spark, sf_dir), "user_id", "event_id", "level").select("event_id", "section_end")
+
+
+@query(f"WITH e AS ({_EVENT}) SELECT event_id, (SELECT max(b.event_id) FROM e b WHERE b.user_id = a.user_id AND b.event_id < a.event_id AND b.level < a.level) AS parent_id FROM e a")
+def heading_parent(spark, sf_dir):
+    return structure.section_parents(_events(spark, sf_dir), "user_id", "event_id", "level", "event_id").select("event_id", "parent_id")
+
+
+@query(f"""WITH e AS ({_EVENT}) SELECT a.event_id, (SELECT b.event_id FROM e b WHERE b.user_id = a.user_id AND b.kind = 'caption' ORDER BY abs(b.event_id - a.event_id), b.event_id LIMIT 1) AS caption_ordinal FROM e a WHERE a.kind = 'table'""")
+def nearest_caption(spark, sf_dir):
+    return structure.nearest_caption(_events(spark, sf_dir), "user_id", "event_id", "kind").select("event_id", "caption_ordinal")
+
+
+@query("""WITH m AS (SELECT *, sum(CASE WHEN lag_role IS NULL OR lag_role <> role THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS lag_role FROM conversations))
+SELECT conv_id, role, min(turn) AS first, max(turn) AS last, count(*) AS n_rows FROM m GROUP BY conv_id, role, run""")
+def prose_runs(spark, sf_dir):
+    return structure.runs(table(spark, sf_dir, "conversations", "conv_id", "turn", "role"), "conv_id", "turn", "role")
+
+
+# context
+
+_TOP = f"WITH {_bm25_sql()}, top AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM scores QUALIFY rank <= 50)"
+
+
+@query(f"{_TOP} SELECT query_id, rank, chunk_id, CAST(sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY query_id ORDER BY rank) AS BIGINT) AS \"group\" FROM (SELECT top.query_id, top.rank, chunk_id, coalesce(lag(lang) OVER w = lang AND lag(chunk_id) OVER w + 1 = chunk_id, false) AS same FROM top JOIN documents ON doc_id = chunk_id WINDOW w AS (PARTITION BY query_id ORDER BY rank))".replace("SELECT query_id, rank, chunk_id, CAST", "SELECT query_id, CAST(rank AS INT) AS rank, chunk_id, CAST"))
+def adjacent_groups(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", F.col("doc_id").alias("chunk_id"), "lang")
+    rows = _first(_bm25(spark, sf_dir), 50).join(docs, "chunk_id")
+    return context.adjacent_groups(rows, "query_id", "rank", "lang", "chunk_id").select("query_id", "rank", "chunk_id", F.col("group").cast("long").alias("group"))
+
+
+@query(_TOP.replace("WITH ", "WITH RECURSIVE ", 1) + """, t AS (SELECT query_id, rank, (2 * length(text) + 6) // 7 AS tokens FROM top JOIN documents ON doc_id = chunk_id),
+f AS (SELECT query_id, rank, tokens, tokens <= 2048 AS included, CASE WHEN tokens <= 2048 THEN tokens ELSE 0 END AS used FROM t WHERE rank = 1
+UNION ALL SELECT t.query_id, t.rank, t.tokens, f.used + t.tokens <= 2048, CASE WHEN f.used + t.tokens <= 2048 THEN f.used + t.tokens ELSE f.used END FROM f JOIN t ON t.query_id = f.query_id AND t.rank = f.rank + 1)
+SELECT query_id, rank, CAST(tokens AS BIGINT) AS tokens, included, CAST(used AS BIGINT) AS used FROM f""")
+def context_pack(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", F.col("doc_id").alias("chunk_id"), "text")
+    rows = _first(_bm25(spark, sf_dir), 50).join(docs, "chunk_id")
+    return context.packed(rows, "query_id", "rank", "text", 2048)
+
+
+# incremental builds
+
+_OLD = "SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 7 <> 0"
+_NEW = "SELECT doc_id, sha256(CASE WHEN doc_id % 11 = 0 THEN text || ' revised' ELSE text END) AS h FROM documents WHERE doc_id % 13 <> 0"
+
+
+def _versions(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    new = docs.where("doc_id % 13 <> 0").withColumn("text", F.when(F.col("doc_id") % 11 == 0, F.concat("text", F.lit(" revised"))).otherwise(F.col("text")))
+    return reuse.fingerprints(docs.where("doc_id % 7 <> 0"), "doc_id", "text"), reuse.fingerprints(new, "doc_id", "text")
+
+
+@query(f"SELECT doc_id, CASE WHEN o.h IS NULL THEN 'added' WHEN n.h IS NULL THEN 'removed' WHEN o.h = n.h THEN 'reused' ELSE 'changed' END AS state FROM ({_OLD}) o FULL JOIN ({_NEW}) n USING (doc_id)")
+def freshness(spark, sf_dir):
+    return reuse.changes(*_versions(spark, sf_dir), "doc_id")
+
+
+@query(f"SELECT n.doc_id FROM ({_NEW}) n LEFT JOIN ({_OLD}) o ON n.doc_id = o.doc_id AND n.h = o.h WHERE o.h IS NULL")
+def parse_reuse(spark, sf_dir):
+    return reuse.changes(*_versions(spark, sf_dir), "doc_id").where(F.col("state").isin("added", "changed")).select("doc_id")
+
+
+@query("SELECT sha256(text) AS content_hash, count(*) AS n_chunks FROM documents GROUP BY 1")
+def embed_dedup(spark, sf_dir):
+    chunks = doc_fingerprints(spark, sf_dir).withColumnRenamed("sha256", "content_hash")
+    return reuse.embedding_plan(chunks, chunks.withColumn("vector_row", F.col("doc_id")).limit(0)).select("content_hash", "n_chunks")
+
+
+@query("SELECT c.h AS content_hash, c.n AS n_chunks, s.r AS first_row FROM (SELECT sha256(text) AS h, count(*) AS n FROM documents GROUP BY 1) c LEFT JOIN (SELECT sha256(text) AS h, min(doc_id) AS r FROM documents WHERE doc_id % 2 = 0 GROUP BY 1) s USING (h)")
+def embed_reuse(spark, sf_dir):
+    chunks = doc_fingerprints(spark, sf_dir).withColumnRenamed("sha256", "content_hash")
+    return reuse.embedding_plan(chunks, chunks.where("doc_id % 2 = 0").withColumnRenamed("doc_id", "vector_row"))
