@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed values of the published algorithm: words with stems of their own, and words that stay.
 SPECIAL = {"skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl", "sky": "sky", "news": "news", "howe": "howe", "atlas": "atlas", "cosmos": "cosmos", "bias": "bias", "andes": "andes"}
@@ -86,6 +87,6 @@ def stem(word: str) -> str:
     return word.lower()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def stemmed(term: pd.Series) -> pd.Series:
     return term.map(stem, na_action="ignore")

@@ -1,0 +1,71 @@
+"""Chunks under a token budget: greedy packing of units with an overlap of whole ones."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+TARGET, OVERLAP = 384, 48
+
+
+def white_space_tokens(text: str) -> int:
+    return len(text.split())
+
+
+def split_words(text: str, target: int, count: Callable[[str], int]) -> list[str]:
+    """Pieces of words within the target; a single word over it is kept alone."""
+    out: list[list[str]] = []
+    for word in text.split():
+        if out and count(" ".join([*out[-1], word])) <= target:
+            out[-1].append(word)
+        else:
+            out.append([word])
+    return [" ".join(w) for w in out]
+
+
+def pack(texts: list[str], target: int = TARGET, overlap: int = OVERLAP, count: Callable[[str], int] = white_space_tokens) -> list[tuple[str, list[int]]]:
+    """(text, numbers of its texts) of each chunk.
+
+    A text over the target is split at words. When the next unit does not fit,
+    the chunk ends, and the next begins with as many whole texts from its end as
+    the overlap holds, less those that leave no room for the unit.
+    """
+    if target < 1 or not 0 <= overlap < target:
+        raise ValueError("target is positive, overlap less than target")
+    units = [(i, u, whole) for i, t in enumerate(texts) for whole in [count(t) <= target] for u in ([t] if whole else split_words(t, target, count))]
+    size = lambda own: count("\n\n".join(u for _, u, _ in own))
+    out, pending, fresh = [], [], 0
+    for unit in units:
+        if pending and size([*pending, unit]) > target:
+            out.append(pending)
+            tail: list = []
+            for u in reversed(pending):
+                if not u[2] or size([u, *tail]) > overlap:
+                    break
+                tail.insert(0, u)
+            while tail and size([*tail, unit]) > target:
+                tail.pop(0)
+            pending, fresh = tail, 0
+        pending.append(unit)
+        fresh += 1
+    if pending and fresh:
+        out.append(pending)
+    return [("\n\n".join(u for _, u, _ in own), list(dict.fromkeys(i for i, _, _ in own))) for own in out]
+
+
+def chunks(df: DataFrame, key: str, text: str, target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:
+    """(document_id, chunk_no, text, token_count, first_line, last_line) of the lines of each text. A document is packed in its own row: no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                packed = pack([x for x in (source or "").split("\n") if x.strip()], target, overlap)
+                rows = [{"document_id": name, "chunk_no": i, "text": t, "token_count": white_space_tokens(t), "first_line": at[0], "last_line": at[-1]} for i, (t, at) in enumerate(packed)]
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    schema = pa.schema([("document_id", pa.int64()), ("chunk_no", pa.int32()), ("text", pa.string()), ("token_count", pa.int32()), ("first_line", pa.int32()), ("last_line", pa.int32())])
+    return df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "document_id bigint, chunk_no int, text string, token_count int, first_line int, last_line int")

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions import text as tx
-from quillspan.operators import context, lexical, navigate, rank, reuse, structure, vector
+from quillspan.operators import chunking, context, lexical, navigate, rank, reuse, structure, vector
+from quillspan.sources import markdown
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -336,10 +337,10 @@ def outline_depth(spark, sf_dir):
     return navigate.outline(r.union(n).union(c))
 
 
-@query("""WITH h AS (SELECT p_partkey, p_name, p_brand, p_type FROM part WHERE contains(lower(p_name), 'brass') OR contains(lower(p_brand), 'brass') OR contains(lower(p_type), 'brass') OR contains(CAST(p_partkey AS VARCHAR), 'brass'))
+@query("""WITH h AS (SELECT p_partkey, p_name, p_brand, p_type FROM part WHERE contains(lower(p_name), 'bolt') OR contains(lower(p_brand), 'bolt') OR contains(lower(p_type), 'bolt') OR contains(CAST(p_partkey AS VARCHAR), 'bolt'))
 SELECT *, CAST(row_number() OVER (ORDER BY p_partkey) AS INT) AS position, (SELECT count(*) FROM h) AS total FROM h QUALIFY position BETWEEN 11 AND 30""")
 def rows_filter_any_cell(spark, sf_dir):
-    return navigate.rows_with(table(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_type"), "BRASS", "p_partkey", 10, 20)
+    return navigate.rows_with(table(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_type"), "BOLT", "p_partkey", 10, 20)
 
 
 @query("SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'pages', count(*) FROM pages UNION ALL SELECT 'benchmark', count(*) FROM benchmark UNION ALL SELECT 'embeddings', count(*) FROM embeddings")
@@ -477,3 +478,18 @@ def embed_dedup(spark, sf_dir):
 def embed_reuse(spark, sf_dir):
     chunks = doc_fingerprints(spark, sf_dir).withColumnRenamed("sha256", "content_hash")
     return reuse.embedding_plan(chunks, chunks.where("doc_id % 2 = 0").withColumnRenamed("doc_id", "vector_row"))
+
+
+# text parsing and packing, which SQL cannot express
+
+_MANUAL = "# CHAPTER 1\nSome prose\nof two lines.\n\n## 1.2 Registers\n- one\n- two\n\n| a | b |\n|---|---|\n| 1 | x\\|y |\n\nTable 1-1. Caption\n```mermaid\ngraph TD\nA-->B\n```\n<page_number>\n1-2\n</page_number>\n> quoted\n~~~\nopen"
+
+
+@query("")
+def markdown_blocks(spark, sf_dir):
+    return markdown.blocks(spark.createDataFrame([("m", _MANUAL)], "id string, source string"), "id", "source")
+
+
+@query("")
+def chunk_pack(spark, sf_dir):
+    return chunking.chunks(table(spark, sf_dir, "documents"), "doc_id", "text")

@@ -1,0 +1,140 @@
+"""Markdown documents to blocks, with byte spans, as rows of a table.
+
+A pass over a document's lines opens and closes blocks; everything that can be
+said by windows over the blocks (section ends, parents, pages, captions) is left
+to ``quillspan.operators.structure``.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+_HEADING = re.compile(r"(#{1,6})[ \t]+(.*?)[ \t]*#*[ \t]*$")
+_FENCE = re.compile(r"(`{3,}|~{3,})(.*)$")
+_LIST = re.compile(r"(?:[-*+]|[0-9]+[.)]) ")
+_SEPARATOR = re.compile(r"\|?[ \t]*:?-{3,}:?[ \t]*(\|[ \t]*:?-{3,}:?[ \t]*)*\|?$")
+_PAGE = re.compile(r"(?i)\b(?:[A-Z]{1,4}-)?[0-9]{1,4}-[0-9]{1,4}\b")
+_NUMBER = re.compile(r"(?:(?:chapter|appendix)\b|([0-9]+(?:\.[0-9]+)*)\b)", re.I)
+
+BLOCKS = "document_id string, ordinal int, kind string, level int, heading string, page_label string, text string, byte_start bigint, byte_end bigint, line_start int, line_end int, warning string"
+
+
+@dataclass
+class Block:
+    kind: str
+    text: str
+    byte_start: int
+    byte_end: int
+    line_start: int
+    line_end: int
+    level: int | None = None
+    heading: str | None = None
+    page_label: str | None = None
+    warning: str | None = None
+
+
+def heading_level(marks: int, heading: str) -> int:
+    """CHAPTER and APPENDIX are 1, a dotted number its depth up to 6, anything else its marks."""
+    if found := _NUMBER.match(heading):
+        return min(6, found[1].count(".") + 1) if found[1] else 1
+    return marks
+
+
+def parse(source: str) -> list[Block]:
+    """The blocks of a document in order. Spans are of UTF-8 bytes and of lines from 1; an unclosed fence, table or page element runs to the end, with a warning."""
+    raw, at = [], 0
+    for line in source.split("\n"):
+        shown = line.removesuffix("\r")
+        raw.append((shown, at, at + len(shown.encode())))
+        at += len(line.encode()) + 1
+    if raw and raw[-1][0] == "" and len(raw) > 1:
+        raw.pop()
+    lines = [r[0] for r in raw]
+    out: list[Block] = []
+
+    def block(kind: str, first: int, end: int, **more) -> int:
+        out.append(Block(kind, "\n".join(lines[first:end]), raw[first][1], raw[end - 1][2], first + 1, end, **more))
+        return end
+
+    def until(first: int, closes) -> tuple[int, bool]:
+        for i in range(first, len(lines)):
+            if closes(lines[i]):
+                return i + 1, True
+        return len(lines), False
+
+    def table_at(i: int) -> bool:
+        return "|" in lines[i] and i + 1 < len(lines) and "-" in lines[i + 1] and bool(_SEPARATOR.match(lines[i + 1].strip()))
+
+    def starts(i: int) -> bool:
+        line = lines[i]
+        return not line.strip() or bool(_HEADING.match(line) or _FENCE.match(line) or _LIST.match(line.lstrip())) or line.lstrip().startswith(("<page_number>", "<table", ">")) or table_at(i)
+
+    i = 0
+    while i < len(lines):
+        line, bare = lines[i], lines[i].lstrip()
+        if not bare:
+            i += 1
+        elif (found := _HEADING.match(line)) and found[2]:
+            i = block("heading", i, i + 1, level=heading_level(len(found[1]), found[2]), heading=found[2])
+        elif found := _FENCE.match(line):
+            mark, width = found[1][0], len(found[1])
+            end, closed = until(i + 1, lambda x: bool((m := _FENCE.match(x)) and m[1][0] == mark and len(m[1]) >= width and not m[2].strip()))  # noqa: B023
+            i = block("diagram" if found[2].strip().split(" ")[0] == "mermaid" else "code", i, end, warning=None if closed else "unclosed_fence")
+        elif bare.startswith("<page_number>"):
+            end, closed = until(i, lambda x: "</page_number>" in x)
+            label = _PAGE.search("\n".join(lines[i:end]))
+            i = block("page", i, end, page_label=label[0] if label else None, warning=None if closed else "unclosed_page_number")
+        elif bare.startswith("<table"):
+            end, closed = until(i, lambda x: "</table>" in x)
+            i = block("table", i, end, warning=None if closed else "unclosed_html_table")
+        elif table_at(i):
+            end = i + 2
+            while end < len(lines) and lines[end].strip() and "|" in lines[end]:
+                end += 1
+            i = block("table", i, end)
+        else:
+            kind = "list" if _LIST.match(bare) else "quote" if bare.startswith(">") else "caption" if bare.startswith(("Figure ", "Table ")) else "prose"
+            end = i + 1
+            while end < len(lines) and (not starts(end) or kind == "quote" and lines[end].lstrip().startswith(">")):
+                end += 1
+            i = block(kind, i, end)
+    return out
+
+
+def blocks(df: DataFrame, key: str, source: str) -> DataFrame:
+    """A row for each block of each document; a null or empty source has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, text in zip(batch.column("document_id").to_pylist(), batch.column("source").to_pylist(), strict=True):
+                rows = [{"document_id": name, "ordinal": i} | vars(b) for i, b in enumerate(parse(text or ""))]
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+
+    return df.select(F.col(key).cast("string").alias("document_id"), F.col(source).alias("source")).mapInArrow(run, BLOCKS)
+
+
+_KINDS = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}
+_ARROW = pa.schema([(name, _KINDS[kind]) for name, kind in (c.split() for c in BLOCKS.split(", "))])
+
+
+def pipe_cells(line: str) -> list[str]:
+    """Cells of a row of a pipe table; an escaped pipe is a pipe."""
+    parts = re.split(r"(?<!\\)\|", line.strip().removeprefix("|"))
+    if parts and not parts[-1].strip() and line.rstrip().endswith("|"):
+        parts.pop()
+    return [p.strip().replace("\\|", "|") for p in parts]
+
+
+def pipe_table(text: str) -> tuple[list[str], list[list[str]], bool]:
+    """(headers, rows, whether a row had another width): rows are padded or cut to the headers."""
+    head, _, *body = text.split("\n")
+    headers = pipe_cells(head)
+    rows = [pipe_cells(x) for x in body]
+    return headers, [(r + [""] * len(headers))[: len(headers)] for r in rows], any(len(r) != len(headers) for r in rows)
