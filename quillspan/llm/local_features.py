@@ -242,7 +242,7 @@ def hash_of(image: np.ndarray | None) -> bytes:
 
 def band_keys(bits: np.ndarray) -> np.ndarray:
     """The keys of descriptors, a column for each band."""
-    raw = bits.view(np.uint8).reshape(len(bits), -1)
+    raw = bits.view(np.uint8).reshape(len(bits), 8 * WORDS)
     step = raw.shape[1] // BANDS
     out = np.zeros((len(raw), BANDS), np.int64)
     for band in range(BANDS):
@@ -283,11 +283,12 @@ def candidate_pairs(keys: DataFrame, parts: int = 64) -> DataFrame:
     return pairs.select(F.greatest("image", "other").alias("a"), F.least("image", "other").alias("b")).distinct()
 
 
-def copies(df: DataFrame, key: str, image: str, most_bits: int = 40, least_agreeing: int = 4) -> DataFrame:
+def copies(df: DataFrame, key: str, image: str, most_bits: int = 40, least_agreeing: int = 4, least_share: float = 0.15) -> DataFrame:
     """(image_id, component_id, n_links) of every row: copies, whole, cropped or edited, have one component.
 
     Equal images are one class. Classes that meet in the tables are linked if at
-    least ``least_agreeing`` corners agree on a shift, turn and scale. n_links is
+    least ``least_agreeing`` corners, and ``least_share`` of those of the image
+    that has fewer, agree on a shift, turn and scale. n_links is
     the number of verified links of the image's class with other classes, and
     component_id the smallest id reachable.
 
@@ -309,7 +310,7 @@ def copies(df: DataFrame, key: str, image: str, most_bits: int = 40, least_agree
             for xp, xb, yp, yb in zip(*(batch.column(c).to_pylist() for c in ("pa", "ba", "pb", "bb")), strict=True):
                 x, y = (np.frombuffer(b, "<u8").reshape(-1, WORDS) for b in (xb, yb))
                 p, q = (np.frombuffer(b, "<f4").reshape(-1, 4) for b in (xp, yp))
-                keep.append(agreement(p, x, q, y, most_bits) >= least_agreeing)
+                keep.append(agreement(p, x, q, y, most_bits) >= max(least_agreeing, least_share * min(len(x), len(y))))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     links = written(pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "ba", "pb", "bb").mapInArrow(verify, "a bigint, b bigint"), "image-links")
