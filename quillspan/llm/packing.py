@@ -48,9 +48,10 @@ class VectorPacker:
             raise ValueError("limits must be positive")
         self.limits = np.array([tokens, segments, loss or tokens], float)
         self.tokens, self.segments, self.loss, self.cut, self.window = tokens, segments, loss or tokens, cut, window
-        self.demand = np.zeros((window, 3))
-        self.items: list = [None] * window
-        self.free = list(range(window))
+        self.slots = window + segments  # what is cut off a sequence waits again: a piece for each segment at most
+        self.demand = np.zeros((self.slots, 3))
+        self.items: list = [None] * self.slots
+        self.free = list(range(self.slots))
 
     def add(self, key, tokens: int, loss: int) -> Iterator[list[tuple]]:
         """Sequences that adding the example completes: lists of (key, start, length, offset).
@@ -69,14 +70,14 @@ class VectorPacker:
             if room == self.tokens:
                 yield [(key, start, room, 0)]
             else:
-                while not self.free:
+                while len(self.free) <= self.segments:
                     yield self._sequence()
                 self._wait(key, start, room, loss - rest)
             start, loss = start + room, rest
 
     def finish(self) -> Iterator[list[tuple]]:
         """The rest. With cuts, the last tokens go to sequences whose lengths are powers of two."""
-        while len(self.free) < self.window:
+        while len(self.free) < self.slots:
             yield from self._last() if self.cut and self.demand[:, 0].sum() < self.tokens else [self._sequence()]
 
     def _prefix(self, length: int, loss: int, tokens: int, most_loss: int) -> int:
@@ -138,7 +139,7 @@ class VectorPacker:
 
     def _last(self) -> Iterator[list[tuple]]:
         """All that waits, less than one sequence: lengths by the binary digits of the total."""
-        waiting = [i for i in range(self.window) if self.items[i] is not None]
+        waiting = [i for i in range(self.slots) if self.items[i] is not None]
         total = int(self.demand[:, 0].sum())
         items = [list(self._take(i)) for i in waiting]
         while total:

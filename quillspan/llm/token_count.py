@@ -17,6 +17,7 @@ from heapq import heapify, heappop, heappush
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from .cluster import slices, without
 from .text_units import WHITE, UnitCache, units
@@ -169,7 +170,7 @@ def count_tokens(df: DataFrame, text: str, vocabulary: str, name: str = "n_token
     with the input, and a lost executor costs only its own tasks: there is no shuffle.
     """
     kept = without(df, name)
-    schema = kept.schema.add(name, "long")
+    schema = T.StructType([*kept.schema.fields, T.StructField(name, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = counter_of(vocabulary)
