@@ -49,7 +49,8 @@ class VectorPacker:
         self.limits = np.array([tokens, segments, loss or tokens], float)
         self.tokens, self.segments, self.loss, self.cut, self.window = tokens, segments, loss or tokens, cut, window
         self.slots = window + segments  # what is cut off a sequence waits again: a piece for each segment at most
-        self.demand = np.zeros((self.slots, 3))
+        self.demand = np.zeros((3, self.slots))
+        self.weights = 1 / self.limits**2
         self.items: list = [None] * self.slots
         self.free = list(range(self.slots))
 
@@ -78,7 +79,7 @@ class VectorPacker:
     def finish(self) -> Iterator[list[tuple]]:
         """The rest. With cuts, the last tokens go to sequences whose lengths are powers of two."""
         while len(self.free) < self.slots:
-            yield from self._last() if self.cut and self.demand[:, 0].sum() < self.tokens else [self._sequence()]
+            yield from self._last() if self.cut and self.demand[0].sum() < self.tokens else [self._sequence()]
 
     def _prefix(self, length: int, loss: int, tokens: int, most_loss: int) -> int:
         """The longest prefix of a piece within so many tokens and loss-bearing tokens."""
@@ -87,27 +88,28 @@ class VectorPacker:
     def _wait(self, key, start: int, length: int, loss: int) -> None:
         slot = self.free.pop()
         self.items[slot] = (key, start, length, loss)
-        self.demand[slot] = length, 1, loss
+        self.demand[:, slot] = length, 1, loss
 
     def _take(self, slot: int) -> tuple:
         item, self.items[slot] = self.items[slot], None
-        self.demand[slot] = 0
+        self.demand[:, slot] = 0
         self.free.append(slot)
         return item
 
     def _sequence(self) -> list[tuple]:
         left, used, placed = self.limits.copy(), 0, []
         while left[0] >= 1 and left[1] >= 1:
-            waiting = self.demand[:, 1] > 0
-            fits = waiting & (self.demand <= left).all(axis=1)
+            size, count, bearing = self.demand
+            waiting = count > 0
+            fits = waiting & (size <= left[0]) & (bearing <= left[2])
             if left[1] == 1 and self.cut:
-                fits &= self.demand[:, 0] == left[0]
+                fits &= size == left[0]
             if fits.any():
-                score = np.where(fits, (self.demand / self.limits) @ (left / self.limits), -1.0)
+                score = np.where(fits, (left * self.weights) @ self.demand, -1.0)
                 slot = int(score.argmax())
                 key, start, length, loss = self._take(slot)
             elif self.cut and waiting.any():
-                slot = int(self.demand[:, 0].argmax())
+                slot = int(size.argmax())
                 key, start, whole, loss = self.items[slot]
                 length = self._prefix(whole, loss, int(left[0]), int(left[2]))
                 if length < 1:
@@ -140,7 +142,7 @@ class VectorPacker:
     def _last(self) -> Iterator[list[tuple]]:
         """All that waits, less than one sequence: lengths by the binary digits of the total."""
         waiting = [i for i in range(self.slots) if self.items[i] is not None]
-        total = int(self.demand[:, 0].sum())
+        total = int(self.demand[0].sum())
         items = [list(self._take(i)) for i in waiting]
         while total:
             size = 1 << (total.bit_length() - 1)

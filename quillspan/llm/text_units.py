@@ -14,8 +14,8 @@ from collections.abc import Callable, Iterable
 #: The characters of Unicode's White_Space property.
 WHITE = "\t-\r \x85\xa0  -     　"
 
-# a word of letters and digits ends before a comma or a stop in any case, so it is a unit without them
-_UNIT = re.compile(rf" ?[^\W_]++(?=[,.])| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]")
+# a word of letters and digits ends before ASCII punctuation in any case, so it is a unit without it
+_UNIT = re.compile(rf" ?[^\W_]++(?=[!-/:-@\[-`{{-~])| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]")
 
 
 def units(text: str) -> list[str]:
