@@ -75,15 +75,15 @@ def flips(width: int, most: int) -> list[int]:
     return [sum(1 << b for b in bits) for k in range(most + 1) for bits in combinations(range(width), k)]
 
 
-def meetings(found: np.ndarray, width: int, lead: int, radius: int, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Positions in ``found`` of fingerprints of which variants collide: (member, first of its group, the one before it).
+def collisions(found: np.ndarray, width: int, lead: int, radius: int, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(variant, position in ``found``) of fingerprints that share a variant with others, in order of the variants; all of a variant in one part.
 
     The variants are those whose bits from ``width`` up equal ``lead``, within
     ``radius`` flips of all bits. Where there are over ``most``, they are made
     in parts by four further bits, so memory stays bounded and none is left out.
     """
 
-    def walk(at: np.ndarray, low: np.ndarray, left: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def walk(at: np.ndarray, low: np.ndarray, left: np.ndarray, width: int, above: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         sizes = [1 + (r >= 1) * width + (r >= 2) * (width * (width - 1) // 2) for r in range(radius + 1)]
         if len(at) < 2:
             return
@@ -92,7 +92,7 @@ def meetings(found: np.ndarray, width: int, lead: int, radius: int, most: int =
             for value in range(16):
                 after = left - np.bitwise_count(top ^ np.uint64(value)).astype(np.int64)
                 near = after >= 0
-                yield from walk(at[near], rest[near], after[near], width - 4)
+                yield from walk(at[near], rest[near], after[near], width - 4, above << 4 | value)
             return
         variants, owners = [], []
         for r in range(radius + 1):
@@ -103,15 +103,23 @@ def meetings(found: np.ndarray, width: int, lead: int, radius: int, most: int =
         variant, owner = np.concatenate(variants), np.concatenate(owners)
         order = np.argsort(variant, kind="stable")
         variant, owner = variant[order], owner[order]
-        same = np.concatenate([[False], variant[1:] == variant[:-1]])
-        first = owner[np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))]
-        member = np.flatnonzero(same)
-        seen = np.unique(np.stack([owner[member], first[member], owner[member - 1]]), axis=1) if len(member) < 4096 else np.stack([owner[member], first[member], owner[member - 1]])
-        yield seen[0], seen[1], seen[2]
+        same = np.concatenate([[False], variant[1:] == variant[:-1], [False]])
+        met = same[1:] | same[:-1]
+        yield variant[met] | np.uint64(above << width), owner[met]
 
     left = radius - np.bitwise_count((found >> np.uint64(width)) ^ np.uint64(lead)).astype(np.int64)
     near = np.flatnonzero(left >= 0)
-    yield from walk(near, found[near] & np.uint64((1 << width) - 1), left[near], width)
+    yield from walk(near, found[near] & np.uint64((1 << width) - 1), left[near], width, lead)
+
+
+def meetings(found: np.ndarray, width: int, lead: int, radius: int, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Positions in ``found`` of fingerprints of which variants collide: (member, first of its group, the one before it)."""
+    for variant, owner in collisions(found, width, lead, radius, most):
+        same = np.concatenate([[False], variant[1:] == variant[:-1]])[: len(variant)]
+        first = owner[np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))]
+        member = np.flatnonzero(same)
+        met = np.stack([owner[member], first[member], owner[member - 1]])
+        yield tuple(np.unique(met, axis=1) if len(member) < 4096 else met)
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -220,22 +228,103 @@ def most_differing(similarity: float) -> int:
     return int(SKETCH_WORDS * BITS * np.arccos(min(1.0, cosine)) / np.pi)
 
 
-def neighbour_edges(found: np.ndarray, width: int, lead: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each fingerprint that meets others here, at most two of them: its smallest and its largest in order."""
+def neighbour_edges(found: np.ndarray, width: int, lead: int, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each fingerprint that meets others here, at most two of them, its smallest and its largest in order; and for each the smallest that meetings lead to."""
     n = len(found)
-    low, high = np.arange(n), np.arange(n)
+    low, high, total = np.arange(n), np.arange(n), np.arange(n)
     for member, first, before in meetings(found, width, lead, radius):
         for a, b in ((member, first), (member, before)):
             np.minimum.at(low, a, b)
             np.maximum.at(high, a, b)
             np.minimum.at(low, b, a)
             np.maximum.at(high, b, a)
+        total = forest(n, total[member], total[first])[total]
     at = np.arange(n)
-    return np.concatenate([at[low != at], at[high != at]]), np.concatenate([low[low != at], high[high != at]])
+    return np.concatenate([at[low != at], at[high != at]]), np.concatenate([low[low != at], high[high != at]]), total
+
+
+def common_variant(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One variant of all that two fingerprints share: the smaller one with half of the differing bits, the lowest, turned."""
+    rest = a ^ b
+    half, out = np.bitwise_count(rest) // 2, np.minimum(a, b)
+    for k in range(int(half.max(initial=0))):
+        bit = rest & (~rest + np.uint64(1))
+        out ^= np.where(k < half, bit, np.uint64(0))
+        rest ^= bit
+    return out
+
+
+def crossing_pairs(prints: np.ndarray, labels: np.ndarray, sketches: np.ndarray, width: int, lead: int, radius: int, bounds: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, sure): positions of all fingerprints that meet here, have unequal labels and sketches that differ in ``bounds[1]`` bits or less.
+
+    Sure ones differ in ``bounds[0]`` bits or less, and join their labels from
+    then on. A pair is compared at one of its common variants only, and each
+    variant's members in turn with those one place on, two places on, and so on,
+    so memory is that of the variants.
+    """
+    names, total = np.unique(labels, return_inverse=True)
+    found: list[np.ndarray] = [np.zeros((3, 0), np.int64)]
+    for variant, owner in collisions(prints, width, lead, radius):
+        if not len(variant):
+            continue
+        new = np.concatenate([[True], variant[1:] != variant[:-1]])
+        starts = np.flatnonzero(new)
+        mixed = (np.minimum.reduceat(total[owner], starts) != np.maximum.reduceat(total[owner], starts))[np.cumsum(new) - 1]
+        variant, owner = variant[mixed], owner[mixed]
+        at, step = np.arange(len(variant)), 1
+        while len(at := at[: np.searchsorted(at, len(variant) - step)]) and len(at := at[variant[at + step] == variant[at]]):
+            for part in np.array_split(at, len(at) // (1 << 17) + 1):
+                x, y = owner[part], owner[part + step]
+                here = total[x] != total[y]
+                x, y, own = x[here], y[here], variant[part[here]]
+                here = common_variant(prints[x], prints[y]) == own
+                x, y = x[here], y[here]
+                bits = np.bitwise_count(sketches[x] ^ sketches[y]).sum(axis=1, dtype=np.int64)
+                near, sure = bits <= bounds[1], bits <= bounds[0]
+                found.append(np.stack([x[near], y[near], sure[near].astype(np.int64)]))
+                if sure.any():
+                    total = forest(len(names), total[x[sure]], total[y[sure]])[total]
+            step += 1
+    a, b, sure = np.concatenate(found, axis=1)
+    open_ = (sure == 1) | (total[a] != total[b])
+    return a[open_], b[open_], sure[open_] == 1
+
+
+def sketch_bounds(similarity: float) -> tuple[int, int]:
+    """Differing bits of sketches up to which sets are surely so similar, and up to which they can be: 3.3 standard errors off the limit."""
+    limit = most_differing(similarity)
+    spread = int(3.3 * (limit * (1 - limit / (SKETCH_WORDS * BITS))) ** 0.5) + 1
+    return limit - spread, limit + spread
 
 
-def similar_links(distinct: DataFrame, similarity: float = 0.8, radius: int = 2, bucket_rows: int = 200_000) -> DataFrame:
-    """(a, b, sure): pairs of rows (doc, sketch) of distinct shingle sets that are about so similar.
+def dealt_tables(distinct: DataFrame, lead: int, radius: int, *others: str) -> DataFrame:
+    """(t, lead, prints, docs and ``others``): for each table, what goes to a value of the leading bits, as bytes; ``others`` are columns of longs or of bytes of one length."""
+    width = TABLE_BITS - lead
+    names = ["t", "lead", "prints", "docs", *others]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(at, 1000) for at in range(0, whole.num_rows, 1000)):
+                docs = batch.column("doc").to_numpy()
+                held = [np.array(batch.column(c).to_pylist(), np.int64) if pa.types.is_integer(batch.column(c).type) else np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(len(docs), -1) for c in others]
+                tables = table_fingerprints(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(len(docs), -1))
+                rows: list[tuple] = []
+                for t, found in enumerate(tables):
+                    top = (found >> np.uint64(width)).astype(np.int64)
+                    to = (top[:, None] ^ np.array(flips(lead, radius))).ravel()
+                    order = np.argsort(to, kind="stable")
+                    values, starts = np.unique(to[order], return_index=True)
+                    owner = order // len(flips(lead, radius))
+                    for value, own in zip(values.tolist(), np.split(owner, starts[1:]), strict=True):
+                        rows.append((t, value, found[own].tobytes(), docs[own].tobytes(), *[h[own].tobytes() for h in held]))
+                kinds = [pa.int32(), pa.int64(), *[pa.binary()] * (2 + len(others))]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
+
+    return distinct.mapInArrow(deal, ", ".join(["t int", "lead bigint", *[f"{n} binary" for n in names[2:]]]))
+
+
+def similar_links(distinct: DataFrame, similarity: float = 0.8, radius: int = 2, bucket_rows: int = 200_000) -> tuple[DataFrame, DataFrame]:
+    """(a, b, sure), some pairs of rows (doc, sketch) of distinct shingle sets that are about so similar; and (meet, doc), what meets in groups of three or more.
 
     Twelve fingerprints of 40 bits, each from other bits of the sketch, go
     through ball hashing of their own: two sets of Jaccard similarity 0.8 are
@@ -243,26 +332,13 @@ def similar_links(distinct: DataFrame, similarity: float = 0.8, radius: int = 2,
     over 0.999. A colliding pair is verified by all 512 bits of the sketch; it
     is ``sure`` if they differ by 3.3 standard errors less than at the limit, and
     goes if by as many more.
+
+    Each fingerprint is verified with two of those that it meets, which joins
+    most of a large group by few pairs. Two that meet no third are verified by
+    that; for the others ``crossing_links`` has the pairs that are left.
     """
     lead = lead_bits(distinct.count(), radius, bucket_rows)
-    width, limit = TABLE_BITS - lead, most_differing(similarity)
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            docs = batch.column("doc").to_numpy()
-            tables = table_fingerprints(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(len(docs), -1))
-            rows: list[tuple] = []
-            for t, found in enumerate(tables):
-                top = (found >> np.uint64(width)).astype(np.int64)
-                to = (top[:, None] ^ np.array(flips(lead, radius))).ravel()
-                order = np.argsort(to, kind="stable")
-                values, starts = np.unique(to[order], return_index=True)
-                owner = order // len(flips(lead, radius))
-                for value, own in zip(values.tolist(), np.split(owner, starts[1:]), strict=True):
-                    rows.append((t, value, found[own].tobytes(), docs[own].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["t", "lead", "prints", "docs"])
+    width, (surely, at_most) = TABLE_BITS - lead, sketch_bounds(similarity)
 
     def link(group: pd.DataFrame) -> pd.DataFrame:
         prints = np.frombuffer(b"".join(group["prints"]), np.uint64)
@@ -270,27 +346,58 @@ def similar_links(distinct: DataFrame, similarity: float = 0.8, radius: int = 2,
         order = np.lexsort((docs, prints))
         prints, docs = prints[order], docs[order]
         found, starts = np.unique(prints, return_index=True)
-        a, b = neighbour_edges(found, width, int(group["lead"].iloc[0]), radius)
+        value = int(group["lead"].iloc[0])
+        a, b, total = neighbour_edges(found, width, value, radius)
+        meet = total[np.searchsorted(found, prints)]
+        crowd = np.bincount(meet, minlength=len(found))[meet] > 2
+        meet = pd.util.hash_array(docs[starts[meet[crowd]]] * 12 * (1 << 24) + int(group["t"].iloc[0]) * (1 << 24) + value).view(np.int64)
         same = np.flatnonzero(prints[1:] == prints[:-1])
         top = docs[starts[np.searchsorted(found, prints[same + 1])]]
         left = np.concatenate([docs[starts[a]], docs[same + 1], docs[same + 1]])
         right = np.concatenate([docs[starts[b]], docs[same], top])
-        return pd.DataFrame({"a": np.maximum(left, right), "b": np.minimum(left, right)}).drop_duplicates()
+        pairs = pd.DataFrame({"a": np.maximum(left, right), "b": np.minimum(left, right), "meets": False}).drop_duplicates()
+        return pd.concat([pairs[pairs["a"] != pairs["b"]], pd.DataFrame({"a": meet, "b": docs[crowd], "meets": True})])
 
-    dealt = distinct.mapInArrow(deal, "t int, lead bigint, prints binary, docs binary")
-    pairs = written(dealt.groupBy("t", "lead").applyInPandas(link, "a bigint, b bigint").where("a <> b").distinct(), "colliding-pairs")
+    dealt = dealt_tables(distinct, lead, radius)
+    both = written(dealt.groupBy("t", "lead").applyInPandas(link, "a bigint, b bigint, meets boolean"), "colliding-pairs")
+    pairs = both.where(~F.col("meets")).select("a", "b").distinct()
     left = distinct.select(F.col("doc").alias("a"), F.col("sketch").alias("sketch_a"))
     right = distinct.select(F.col("doc").alias("b"), F.col("sketch").alias("sketch_b"))
-    spread = int(3.3 * (limit * (1 - limit / (SKETCH_WORDS * BITS))) ** 0.5) + 1
 
     def differing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, SKETCH_WORDS * 8) for c in ("sketch_a", "sketch_b"))
             bits = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-            near = pa.array(bits <= limit + spread)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(bits <= limit - spread)], names=["a", "b", "sure"]).filter(near)
+            near = pa.array(bits <= at_most)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(bits <= surely)], names=["a", "b", "sure"]).filter(near)
+
+    verified = written(pairs.join(left, "a").join(right, "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(differing, "a bigint, b bigint, sure boolean"), "near-pairs")
+    return verified, both.where("meets").select(F.col("a").alias("meet"), F.col("b").alias("doc"))
+
+
+def crossing_links(labelled: DataFrame, meets: DataFrame, similarity: float = 0.8, radius: int = 2, bucket_rows: int = 200_000) -> DataFrame:
+    """(a, b, sure): all pairs of rows (doc, sketch, label) that meet in the tables of ``similar_links``, have unequal labels and are about so similar.
+
+    Sketches are dealt with the fingerprints and verified where they meet, so
+    however many others a set meets, each is compared, and only those within the
+    limit make rows. Pairs that sure ones before them connect are left out, and
+    so are, before sketches are dealt, all that meet in groups of one label:
+    ``meets`` has (meet, doc), and those of two or more labels go on.
+    """
+    named = written(meets.join(labelled.select("doc", "label"), "doc"), "labelled-meetings")
+    mixed = named.groupBy("meet").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("meet")
+    wanted = written(named.join(mixed, "meet", "left_semi").select("doc").distinct(), "mixed-documents")
+    labelled = written(labelled.join(wanted, "doc", "left_semi"), "mixed-sketches")
+    lead = lead_bits(labelled.count(), radius, bucket_rows)
+    width, bounds = TABLE_BITS - lead, sketch_bounds(similarity)
+
+    def link(group: pd.DataFrame) -> pd.DataFrame:
+        prints, docs, labels, held = (np.frombuffer(b"".join(group[c]), k) for c, k in (("prints", np.uint64), ("docs", np.int64), ("label", np.int64), ("sketch", np.uint64)))
+        a, b, sure = crossing_pairs(prints, labels, held.reshape(-1, SKETCH_WORDS), width, int(group["lead"].iloc[0]), radius, bounds)
+        return pd.DataFrame({"a": np.maximum(docs[a], docs[b]), "b": np.minimum(docs[a], docs[b]), "sure": sure})
 
-    return written(pairs.join(left, "a").join(right, "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(differing, "a bigint, b bigint, sure boolean"), "near-pairs")
+    dealt = dealt_tables(labelled, lead, radius, "label", "sketch")
+    return written(dealt.groupBy("t", "lead").applyInPandas(link, "a bigint, b bigint, sure boolean").distinct(), "crossing-pairs")
 
 
 def exactly_similar(pairs: DataFrame, texts: DataFrame, n: int, similarity: float) -> DataFrame:
@@ -341,10 +448,15 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", n: in
     """
     docs = written(sketches(df.where(F.col(key).isNotNull()), key, text, n), "sketches")
     distinct = written(docs.groupBy("same").agg(F.min("doc_id").alias("doc"), F.first("sketch").alias("sketch")), "distinct-sketches")
-    pairs = similar_links(distinct.select("doc", "sketch"), similarity)
+    pairs, meets = similar_links(distinct.select("doc", "sketch"), similarity)
     source = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     near = exactly_similar(pairs.where(~F.col("sure")).select("a", "b"), source, n, similarity)
-    roots = components(pairs.where("sure").select("a", "b").unionByName(near))
+    first = components(pairs.where("sure").select("a", "b").unionByName(near))
+    labelled = written(distinct.join(first, F.col("doc") == F.col("node"), "left").select("doc", "sketch", F.coalesce("root", "doc").alias("label")), "labelled-sketches")
+    more = crossing_links(labelled, meets, similarity)
+    near = exactly_similar(more.where(~F.col("sure")).select("a", "b"), source, n, similarity)
+    joined = first.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    roots = components(joined.unionByName(more.where("sure").select("a", "b")).unionByName(near))
     placed = distinct.join(roots, F.col("doc") == F.col("node"), "left").select("same", F.coalesce("root", "doc").alias("component_id"))
     return docs.select("doc_id", "same").join(written(placed, "sketch-components"), "same").select("doc_id", "component_id")
 

@@ -138,6 +138,44 @@ def test_similar_groups_hold_every_similar_pair(spark):
         assert not others or max(others) >= 0.8
 
 
+def test_similar_pairs_within_a_template_are_found(spark):
+    r = np.random.default_rng(9)
+    template = [f"t{i}" for i in range(330)]
+    texts = []
+    for i in range(700):
+        own = [*template, *[f"own{i}x{j}" for j in range(70)]]
+        texts.append(" ".join(own))
+        if i % 10 == 0:
+            for at in (r.permutation(39)[:4] * 10 + 5).tolist():
+                own[at] = f"changed{i}x{at}"
+            texts.append(" ".join(own))
+    sets = [shingle_set(t) for t in texts]
+    assert 0.68 < jaccard(sets[0], sets[2]) < 0.72
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {x.doc_id: x.component_id for x in simhash.similar_groups(df).collect()}
+    copies = [i for i in range(1, len(texts)) if jaccard(sets[i], sets[i - 1]) > 0.85]
+    assert len(copies) == 70
+    assert {i: root for i, root in got.items() if i != root} == {i: i - 1 for i in copies}
+
+
+@pytest.mark.parametrize("lead", [0, 4])
+def test_every_crossing_pair_is_compared_once(lead):
+    r = np.random.default_rng(lead)
+    centre = r.integers(0, 1 << 40, 3, np.uint64)
+    flip = np.uint64(1) << r.integers(0, 40, (3, 60, 3)).astype(np.uint64)
+    prints = np.bitwise_xor.reduce(flip, axis=2) ^ centre[:, None]
+    prints = np.concatenate([prints.ravel(), prints[:, :5].ravel()])
+    labels = np.arange(len(prints)) // 2
+    sketches = np.zeros((len(prints), simhash.SKETCH_WORDS), np.uint64)
+    got = []
+    for value in range(1 << lead):
+        a, b, sure = simhash.crossing_pairs(prints, labels, sketches, 40 - lead, value, 2, (-1, 0))
+        assert not sure.any()
+        got += [tuple(sorted(p)) for p in zip(a.tolist(), b.tolist(), strict=True)]
+    want = [(i, j) for i, j in combinations(range(len(prints)), 2) if labels[i] != labels[j] and (prints[i] ^ prints[j]).bit_count() <= 4]
+    assert sorted(got) == want
+
+
 def test_keep_first(spark, awkward, empty):
     text = " ".join(f"w{i}" for i in range(300))
     df = spark.createDataFrame([(5, text, 1), (3, text.upper(), 2), (9, "other words entirely here now", 3), (None, text, 4)], "doc_id bigint, text string, _gone int")
