@@ -15,12 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .cluster import fresh, slices, without
+from .cluster import fresh, slices, without, written
 
 ORDER = 5  # characters of context at most
-BUCKETS = 1 << 17  # counters of a model for each length of context
 ALPHABET = 256
 
 
@@ -64,114 +62,94 @@ def best_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> tuple[Colu
     return rule, verdict
 
 
-def _contexts(urls: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(owner, byte, hashes by context length) of each byte and end of the URLs; a context does not reach before its URL's start marks."""
+def _grams(urls: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, gram) of each byte and end of the URLs: the byte in the lowest eight bits, above it the ``ORDER`` bytes before it, which do not reach before its URL's start marks."""
     pad = b"\x01" * ORDER
     raw = [pad + u.encode("utf-8", "surrogatepass") + b"\x02" for u in urls]
-    data = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
+    data = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
     lengths = np.fromiter(map(len, raw), np.int64, len(raw))
     starts = np.cumsum(lengths) - lengths
     owner = np.repeat(np.arange(len(raw)), lengths)
     real = np.arange(len(data)) - np.repeat(starts, lengths) >= ORDER
-    hashes, state = [np.zeros(len(data), np.uint64)], np.zeros(len(data), np.uint64)
+    gram = data.copy()
     for k in range(1, ORDER + 1):
-        weight = np.uint64(pow(0x100000001B3, k, 1 << 64))
-        state = state + np.concatenate([np.zeros(k, np.uint64), data[:-k] + np.uint64(1)]) * weight
-        mixed = (state ^ state >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15)
-        hashes.append(mixed ^ mixed >> np.uint64(32))
-    return owner[real], data[real], [h[real] for h in hashes]
+        gram[k:] |= data[:-k] << (8 * k)
+    return owner[real], gram[real]
 
 
-def _slots(byte: np.ndarray, hashes: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Counter numbers, for each context length, of (the context, the context with the byte)."""
-    for k, h in enumerate(hashes):
-        joint = (h + byte + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-        joint ^= joint >> np.uint64(32)
-        base = np.int64(2 * k * BUCKETS)
-        yield base + (h % np.uint64(BUCKETS)).astype(np.int64), base + BUCKETS + (joint % np.uint64(BUCKETS)).astype(np.int64)
+def url_grams(df: DataFrame, url: str) -> DataFrame:
+    """(url, gram): a row for each byte and end of each row's URL."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "url", 1 << 18):
+            if batch.num_rows:
+                owner, gram = _grams(batch.column("url").to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column("url").take(pa.array(owner)), pa.array(gram)], names=["url", "gram"])
+
+    return df.select(F.coalesce(F.col(url), F.lit("")).alias("url")).mapInArrow(run, "url string, gram bigint")
 
 
-SLOTS = 2 * (ORDER + 1) * BUCKETS
+def count_grams(df: DataFrame) -> DataFrame:
+    """(gram, accepted, rejected): how often each gram occurs in the rows of (url, verdict), exactly; a task sums its own before they are dealt."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "url", 1 << 20):
+            if not batch.num_rows:
+                continue
+            owner, gram = _grams(batch.column("url").to_pylist())
+            allowed = np.array([v == "allow" for v in batch.column("verdict").to_pylist()])[owner]
+            found, at = np.unique(gram, return_inverse=True)
+            sums = [np.bincount(at[which], minlength=len(found)) for which in (allowed, ~allowed)]
+            yield pa.RecordBatch.from_arrays([pa.array(found), *map(pa.array, sums)], names=["gram", "accepted", "rejected"])
 
+    rows = df.select(F.coalesce("url", F.lit("")).alias("url"), "verdict").mapInArrow(run, "gram bigint, accepted bigint, rejected bigint")
+    return written(rows.groupBy("gram").agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected")), "url-grams")
 
-class MarkovModel:
-    """Counts of contexts and of contexts with the next character, in a fixed number of counters.
+
+def gram_ratios(counts: DataFrame, wanted: DataFrame, strength: float = 2.0) -> DataFrame:
+    """(gram, ratio) of distinct grams: the log of the accepted over the rejected model's probability of its byte after its context.
 
     Longer contexts are interpolated with shorter ones by Witten and Bell's idea
     with a constant: each order takes ``strength`` counts from the one below.
+    The ratio is a whole number of 2**-40, so that sums do not depend on their order.
     """
-
-    def __init__(self, counts: np.ndarray, strength: float = 2.0):
-        self.counts, self.strength = counts, strength
-
-    def log_likelihoods(self, urls: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(log-likelihood, characters) of each URL, its end included."""
-        owner, byte, hashes = _contexts(urls)
-        p = np.full(len(byte), 1 / ALPHABET)
-        for context, joint in _slots(byte, hashes):
-            seen = self.counts[context]
-            p = (np.minimum(self.counts[joint], seen) + self.strength * p) / (seen + self.strength)
-        return np.bincount(owner, np.log(p), len(urls)), np.bincount(owner, minlength=len(urls))
+    models = ("accepted", "rejected")
+    totals = counts.agg(*[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in models]).first()
+    out = wanted.select("gram", *[F.lit(1 / ALPHABET).alias(f"p_{m}") for m in models])
+    for k in range(ORDER + 1):
+        joint, context = F.col("gram").bitwiseAND((1 << 8 * (k + 1)) - 1), F.shiftright("gram", 8).bitwiseAND((1 << 8 * k) - 1)
+        out = out.withColumns({"joint": joint, "context": context})
+        out = out.join(counts.groupBy(joint.alias("joint")).agg(*[F.sum(m).alias(f"n_{m}") for m in models]), "joint", "left")
+        if k:
+            out = out.join(counts.groupBy(context.alias("context")).agg(*[F.sum(m).alias(f"of_{m}") for m in models]), "context", "left")
+        else:
+            out = out.withColumns({f"of_{m}": F.lit(totals[m]) for m in models})
+        zero = F.lit(0)
+        p = [((F.coalesce(f"n_{m}", zero) + strength * F.col(f"p_{m}")) / (F.coalesce(f"of_{m}", zero) + strength)).alias(f"p_{m}") for m in models]
+        out = out.select("gram", *p)
+    return out.select("gram", F.round((F.log("p_accepted") - F.log("p_rejected")) * 2.0**40).cast("long").alias("ratio"))
 
 
 @dataclass(frozen=True)
 class RatioModel:
-    accepted: MarkovModel
-    rejected: MarkovModel
+    """Two Markov models as the exact counts of their grams, a table that grows with the URLs they saw, and the threshold."""
+
+    counts: DataFrame
     threshold: float
 
     def scores(self, urls: list[str]) -> np.ndarray:
         """The difference of log-likelihoods by character."""
-        a, n = self.accepted.log_likelihoods(urls)
-        r, _ = self.rejected.log_likelihoods(urls)
-        return (a - r) / np.maximum(n, 1)
-
+        spark = self.counts.sparkSession
+        found = {r["url"]: r["score"] for r in url_scores(self.counts, spark.createDataFrame([(u,) for u in urls], "url string"), "url").collect()}
+        return np.array([found[u] for u in urls])
 
-def count_contexts(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Counters of both models over all rows of (url, verdict).
 
-    A task sums its rows in two arrays of fixed size and sends what is not zero;
-    the sums of those are at most 2 * SLOTS numbers, whatever the input is.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = {v: np.zeros(SLOTS, np.int64) for v in ("allow", "block")}
-        for batch in slices(batches, "url", 1 << 20):
-            urls, verdicts = batch.column("url").to_pylist(), np.array(batch.column("verdict").to_pylist(), object)
-            for v, held in counts.items():
-                own = [u for u, w in zip(urls, verdicts, strict=True) if w == v]
-                if own:
-                    _, byte, hashes = _contexts(own)
-                    for pair in _slots(byte, hashes):
-                        for slot in pair:
-                            np.add.at(held, slot, 1)
-        for v, held in counts.items():
-            at = np.flatnonzero(held)
-            for i in range(0, len(at), 1 << 16):
-                part = at[i : i + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array([v] * len(part), pa.string()), pa.array(part), pa.array(held[part])], names=["verdict", "slot", "n"])
-
-    summed = df.mapInArrow(run, "verdict string, slot bigint, n bigint").groupBy("verdict", "slot").agg(F.sum("n").alias("n")).toPandas()
-    out = []
-    for v in ("allow", "block"):
-        own = summed[summed["verdict"] == v]
-        counts = np.zeros(SLOTS, np.int32)
-        counts[own["slot"].to_numpy(np.int64)] = own["n"].to_numpy(np.int64).clip(0, 2**31 - 1)
-        out.append(counts)
-    return out[0], out[1]
-
-
-def scored(df: DataFrame, model: RatioModel, name: str) -> DataFrame:
-    """``df``, which has a column url, with the ratio score as ``name``."""
-    held = df.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "url", 1 << 20):
-            scores = held.value.scores([u or "" for u in batch.column("url").to_pylist()]) if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=schema.names)
-
-    return df.mapInArrow(run, schema)
+def url_scores(counts: DataFrame, df: DataFrame, url: str) -> DataFrame:
+    """(url, score) of the distinct URLs: the difference of log-likelihoods by character, their ends included. A null URL is an empty one."""
+    grams = written(url_grams(df.select(F.coalesce(F.col(url), F.lit("")).alias("url")).distinct(), "url"), "scored-grams")
+    ratios = written(gram_ratios(counts, grams.select("gram").distinct()), "gram-ratios")
+    score = F.sum("ratio") / F.count("*") / F.lit(2.0**40)
+    return written(grams.join(ratios, "gram").groupBy("url").agg(score.alias("score")), "url-scores")
 
 
 def calibrated(df: DataFrame, bins: int = 400, span: float = 8.0) -> float:
@@ -193,9 +171,8 @@ def calibrated(df: DataFrame, bins: int = 400, span: float = 8.0) -> float:
 def learn(df: DataFrame) -> RatioModel:
     """A model of all rows (url, verdict). A fifth of them, by a hash of the URL, calibrates; the others are counted, and so equal URLs fall on one side."""
     held_out = F.pmod(F.xxhash64("url"), F.lit(5)) == 0
-    accepted, rejected = count_contexts(df.where(~held_out))
-    model = RatioModel(MarkovModel(accepted), MarkovModel(rejected), 0.0)
-    return RatioModel(model.accepted, model.rejected, calibrated(scored(df.where(held_out), model, "score").select("score", "verdict")))
+    counts, calibrating = count_grams(df.where(~held_out)), df.where(held_out)
+    return RatioModel(counts, calibrated(calibrating.join(url_scores(counts, calibrating, "url"), "url").select("score", "verdict")))
 
 
 def filter_urls(df: DataFrame, rules: tuple[Rule, ...], url: str = "url") -> DataFrame:
@@ -218,13 +195,8 @@ def filter_urls(df: DataFrame, rules: tuple[Rule, ...], url: str = "url") -> Dat
     rule, verdict = best_rule(F.col("host"), F.col("path"), rules)
     parts = parts.withColumns({"rule": rule, judged: verdict, seen: F.regexp_replace(F.coalesce(F.col(url), F.lit("")), r"^[^:/?#]*://", "")})
     model = learn(parts.where(F.col(judged).isNotNull()).select(F.col(seen).alias("url"), F.col(judged).alias("verdict")))
-    held = df.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*parts.schema.fields, T.StructField("score", T.DoubleType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, seen, 1 << 20):
-            scores = held.value.scores(batch.column(seen).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=schema.names)
-
+    own_score, own_url = fresh(parts.columns, "own_score", "own_url")
+    scores = url_scores(model.counts, parts, seen).select(F.col("url").alias(own_url), F.col("score").alias(own_score))
     own = F.when(F.col("score") >= model.threshold, F.lit("allow")).otherwise(F.lit("block"))
-    return parts.mapInArrow(run, schema).withColumn("verdict", F.coalesce(F.col(judged), own)).drop(seen, judged)
+    found = parts.join(scores, F.col(seen) == F.col(own_url)).withColumnRenamed(own_score, "score")
+    return found.withColumn("verdict", F.coalesce(F.col(judged), own)).drop(seen, judged, own_url)

@@ -102,6 +102,39 @@ def test_url_models_tell_languages_apart(spark):
     assert (model.scores(["buy-pills999.example/sale/7?cheap"]) < model.threshold).all()
 
 
+def test_url_counts_are_exact_for_many_contexts(spark):
+    r = np.random.default_rng(4)
+    urls = ["".join(map(chr, row)) for row in r.integers(33, 127, (6000, 60))]
+    df = spark.createDataFrame([(u, "allow" if i % 2 else "block") for i, u in enumerate(urls)], "url string, verdict string")
+    model = url_filter.learn(df)
+    assert model.counts.count() > 250_000
+    # contexts that no URL has leave both models at their lower orders
+    trained = {v: [r.url for r in df.where(F.pmod(F.xxhash64("url"), F.lit(5)) != 0).where(F.col("verdict") == v).collect()] for v in ("allow", "block")}
+    want = []
+    tested = ["é" * 8, "~}|{zyx!", urls[0][:20], ""]
+    counts = {v: ({}, {}) for v in trained}
+    for v, own in trained.items():
+        context, joint = counts[v]
+        for u in own:
+            data = b"\x01" * 5 + u.encode() + b"\x02"
+            for i in range(5, len(data)):
+                for k in range(6):
+                    c, j = data[i - k : i], data[i - k : i + 1]
+                    context[c] = context.get(c, 0) + 1
+                    joint[j] = joint.get(j, 0) + 1
+    for u in tested:
+        data, total = b"\x01" * 5 + u.encode() + b"\x02", 0.0
+        for i in range(5, len(data)):
+            p = {}
+            for v, (context, joint) in counts.items():
+                p[v] = 1 / 256
+                for k in range(6):
+                    p[v] = (joint.get(data[i - k : i + 1], 0) + 2 * p[v]) / (context.get(data[i - k : i], 0) + 2)
+            total += np.log(p["allow"]) - np.log(p["block"])
+        want.append(total / (len(data) - 5))
+    assert np.allclose(model.scores(tested), want, atol=1e-9)
+
+
 def picture(seed, side=96):
     r = np.random.default_rng(seed)
     image = local_features.resized(r.random((12, 12)).astype(np.float32) * 255, side, side)
