@@ -18,7 +18,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -252,35 +252,70 @@ def band_keys(bits: np.ndarray) -> np.ndarray:
 
 
 def table_keys(classes: DataFrame) -> DataFrame:
-    """(band, key, image): a row for each descriptor and band of its bits, once an image."""
+    """(key, image, d0, d1, ...): a row for each descriptor and band of its bits; the band is the key's highest byte."""
+    words = [f"d{i}" for i in range(WORDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for image, bits in zip(batch.column("image").to_pylist(), batch.column("bits").to_pylist(), strict=True):
-                keys = band_keys(np.frombuffer(bits, "<u8").reshape(-1, WORDS))
-                band = np.tile(np.arange(BANDS), len(keys))
-                seen = np.unique(np.column_stack([band, keys.ravel()]), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(seen[:, 0].astype(np.int32)), pa.array(seen[:, 1]), pa.array([image] * len(seen), pa.int64())], names=["band", "key", "image"])
-
-    return classes.select("image", "bits").mapInArrow(run, "band int, key bigint, image bigint")
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                raw = part.column("bits").to_pylist()
+                bits = np.frombuffer(b"".join(raw), "<u8").reshape(-1, WORDS)
+                image = np.repeat(part.column("image").to_numpy(), [len(r) // (8 * WORDS) for r in raw])
+                keys = band_keys(bits) | np.arange(BANDS) << 56
+                held = np.repeat(bits, BANDS, axis=0).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(image, BANDS)), *[pa.array(np.ascontiguousarray(held[:, i])) for i in range(WORDS)]], names=["key", "image", *words])
+
+    return classes.select("image", "bits").mapInArrow(run, ", ".join(["key bigint", "image bigint", *[f"{w} bigint" for w in words]]))
+
+
+def meeting_images(key: np.ndarray, image: np.ndarray, bits: np.ndarray, most_bits: int) -> np.ndarray:
+    """Distinct pairs (larger, smaller) of images of which descriptors under one key, of sorted ones, differ in ``most_bits`` or less; each is compared with each."""
+    names, own = np.unique(image, return_inverse=True)
+    found, at, step = [np.zeros(0, np.int64)], np.arange(len(key)), 1
+    while len(at := at[: np.searchsorted(at, len(key) - step)]) and len(at := at[key[at + step] == key[at]]):
+        for part in np.array_split(at, len(at) // (1 << 18) + 1):
+            near = part[np.bitwise_count(bits[part] ^ bits[part + step]).sum(axis=1, dtype=np.int64) <= most_bits]
+            a, b = own[near], own[near + step]
+            found.append((np.maximum(a, b) * len(names) + np.minimum(a, b))[a != b])
+        if len(found) > 64:
+            found = [np.unique(np.concatenate(found))]
+        step += 1
+    pairs = np.unique(np.concatenate(found))
+    return np.stack([names[pairs // max(1, len(names))], names[pairs % max(1, len(names))]])
+
+
+def candidate_pairs(keys: DataFrame, most_bits: int = 40) -> DataFrame:
+    """(a, b): all images of which descriptors meet in a table and differ in ``most_bits`` or less.
+
+    A key's descriptors are compared where they meet, each with each, and only
+    images of which some are near make rows; so no image is kept from another by
+    those between them. A task holds the descriptors of one key and a batch.
+    """
+    words = [f"d{i}" for i in range(WORDS)]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(key: np.ndarray, image: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
+            a, b = meeting_images(key, image, bits, most_bits)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-def candidate_pairs(keys: DataFrame, parts: int = 64) -> DataFrame:
-    """(a, b): images that meet in a table, each with the two before it in an order of the key's images.
+        held: list[tuple] = []  # parts with rows of the last key, which may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, image = (batch.column(c).to_numpy() for c in ("key", "image"))
+            bits = np.column_stack([batch.column(w).to_numpy() for w in words]).view(np.uint64)
+            held.append((key, image, bits))
+            cut = int(np.searchsorted(key, key[-1]))
+            if cut or held[0][0][0] != key[-1]:
+                last = (key[cut:], image[cut:], bits[cut:])
+                yield out(*map(np.concatenate, zip(*held[:-1], (key[:cut], image[:cut], bits[:cut]), strict=True)))
+                held = [last]
+        if held:
+            yield out(*map(np.concatenate, zip(*held, strict=True)))
 
-    The order is by a hash, another one in each band. A key's images are ordered
-    in ``parts`` parts, of which the first images meet too. So each row of the
-    tables makes three pairs at most, however many images share a key; true
-    copies meet under many keys, in many orders.
-    """
-    hashed = keys.select("band", "key", "image", F.xxhash64("image", "band").alias("h"), F.pmod(F.xxhash64("image"), F.lit(parts)).alias("part"))
-    order = Window.partitionBy("band", "key", "part").orderBy("h", "image")
-    ordered = hashed.withColumns({"one": F.lag("image", 1).over(order), "two": F.lag("image", 2).over(order)})
-    near = ordered.select("image", F.explode(F.array("one", "two")).alias("other")).where(F.col("other").isNotNull())
-    heads = ordered.where(F.col("one").isNull()).select("band", "key", "h", "image")
-    across = heads.withColumn("other", F.lag("image", 1).over(Window.partitionBy("band", "key").orderBy("h", "image")))
-    pairs = near.unionByName(across.where(F.col("other").isNotNull()).select("image", "other"))
-    return pairs.select(F.greatest("image", "other").alias("a"), F.least("image", "other").alias("b")).distinct()
+    met = keys.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint")
+    return met.distinct()
 
 
 def copies(df: DataFrame, key: str, image: str, most_bits: int = 40, least_agreeing: int = 4, least_share: float = 0.15) -> DataFrame:
@@ -300,7 +335,7 @@ def copies(df: DataFrame, key: str, image: str, most_bits: int = 40, least_agree
     rows = written(describe_images(df, key, image), "image-descriptors")
     classes = rows.groupBy("same").agg(F.min("image_id").alias("image"), F.first("places").alias("places"), F.first("bits").alias("bits"))
     classes = written(classes.where(F.col("image").isNotNull()), "image-classes")
-    pairs = written(candidate_pairs(table_keys(classes)), "image-pairs")
+    pairs = written(candidate_pairs(table_keys(classes), most_bits), "image-pairs")
     left = classes.select(F.col("image").alias("a"), F.col("places").alias("pa"), F.col("bits").alias("ba"))
     right = classes.select(F.col("image").alias("b"), F.col("places").alias("pb"), F.col("bits").alias("bb"))
 

@@ -168,6 +168,20 @@ def test_cropped_and_edited_copies_are_found(spark):
     assert local_features.copies(spark.createDataFrame([], "image_id bigint, image binary"), "image_id", "image").count() == 0
 
 
+def test_all_images_of_a_crowded_key_meet(spark):
+    r = np.random.default_rng(3)
+    bits = r.integers(0, 1 << 63, (400, local_features.WORDS), np.uint64)
+    bits[:, 0] = 12345  # one key in the first bands for unrelated images
+    for i in range(0, 400, 40):
+        bits[i + 1] = bits[i]
+        for bit in r.integers(64, 256, 12).tolist():
+            bits[i + 1, bit // 64] ^= np.uint64(1 << bit % 64)
+    order = r.permutation(400).tolist()
+    df = spark.createDataFrame([(order[i], bits[i].tobytes()) for i in range(400)], "image bigint, bits binary").repartition(5)
+    got = {(x.a, x.b) for x in local_features.candidate_pairs(local_features.table_keys(df)).collect()}
+    assert got == {(max(order[i], order[i + 1]), min(order[i], order[i + 1])) for i in range(0, 400, 40)}
+
+
 def test_png_and_pgm_give_one_image():
     import zlib as z
 
