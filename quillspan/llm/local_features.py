@@ -28,7 +28,7 @@ from .components import components
 SCALES = (1.0, 0.75, 0.5)
 RADIUS = 7  # of a patch
 WORDS = 4  # of 64 bits in a descriptor
-BANDS, BAND_BYTES = 8, 6  # keys of a descriptor, each of so many of its bytes; neighbouring ones share a third
+BANDS, BAND_BYTES = 16, 3  # keys of a descriptor, each of so many of its bytes; neighbouring ones share a third
 
 
 def decode(data: bytes | None) -> np.ndarray | None:

@@ -182,6 +182,34 @@ def test_all_images_of_a_crowded_key_meet(spark):
     assert got == {(max(order[i], order[i + 1]), min(order[i], order[i + 1])) for i in range(0, 400, 40)}
 
 
+@pytest.mark.parametrize("edit", ["noise 8", "noise 16", "rescaled"])
+def test_pairs_that_verification_accepts_meet(spark, edit):
+    rows, images = [], []
+    for s in range(40):
+        image = picture(s)
+        if edit == "rescaled":
+            copy = local_features.resized(local_features.resized(image, 77, 77), 96, 96)
+        else:
+            copy = image + np.random.default_rng(s).normal(0, int(edit.split()[1]), image.shape)
+        images += [local_features.describe(local_features.decode(pgm(i))) for i in (image, copy)]
+    for i, (_, b) in enumerate(images):
+        rows.append((i, b.tobytes()))
+    df = spark.createDataFrame(rows, "image bigint, bits binary")
+    met = {(x.a, x.b) for x in local_features.candidate_pairs(local_features.table_keys(df)).collect()}
+    accepted = [(i + 1, i) for i in range(0, 80, 2) if local_features.agreement(*images[i + 1], *images[i], 40) >= max(4, 0.15 * min(len(images[i][1]), len(images[i + 1][1])))]
+    assert len(accepted) >= 10 and sum(p in met for p in accepted) >= 0.98 * len(accepted)
+
+
+def test_drawn_vectors_that_verification_accepts_meet(spark):
+    drawn = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").limit(500).select("vec_id", local_features.thumbnails(F.col("embedding")).alias("image"))
+    images = [local_features.describe(local_features.decode(x.image)) for x in drawn.orderBy("vec_id").collect()]
+    df = spark.createDataFrame([(i, b.tobytes()) for i, (_, b) in enumerate(images)], "image bigint, bits binary")
+    met = {(x.a, x.b) for x in local_features.candidate_pairs(local_features.table_keys(df)).collect()}
+    enough = lambda a, b: max(4, 0.15 * min(len(a[1]), len(b[1])))
+    accepted = [(i, j) for j, i in combinations(range(len(images)), 2) if local_features.agreement(*images[i], *images[j], 40) >= enough(images[i], images[j])]
+    assert len(accepted) >= 10 and sum(p in met for p in accepted) >= 0.9 * len(accepted)
+
+
 def test_png_and_pgm_give_one_image():
     import zlib as z
 
