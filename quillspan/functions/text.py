@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The token, symbol and reference patterns of the data model.
+#: The token and symbol patterns of the data model.
 TOKEN = r"[\p{L}\p{N}#][\p{L}\p{N}#._:/\[\]]*"
-SYMBOL = r"#(?:UD|GP|PF|SS|AC|NM|DB|BP)|IA32_[A-Z0-9_]+|CPUID[A-Z0-9.:]*|(?:CR|DR)[0-9]+(?:\.[A-Z0-9]+)?|[A-Z][A-Z0-9_]{2,}(?:\.[A-Z0-9_]+)*"
-REFERENCE = r"(?i)\b(section|chapter|appendix|table|figure)\s+([0-9]+(?:[.-][0-9A-Za-z]+)*|[A-Za-z](?:[.-][0-9A-Za-z]+)*)"
-PRINTED_PAGE = r"(?i)\b(?:[A-Z]{1,4}-)?[0-9]{1,4}-[0-9]{1,4}\b"
+SYMBOL = r"\#(?:UD|GP|PF|SS|AC|NM|DB|BP)|IA32_[A-Z0-9_]+|CPUID(?:\.[A-Z0-9_:,.-]+)?|(?:CR|DR)\d(?:\.[A-Z0-9_]+)?|[A-Z][A-Z0-9_]{2,}(?:\.[A-Z0-9_]+)*"
+#: Phrases of legal texts.
+LEGAL_PHRASES = ("all rights reserved", "no product or component", "warranties", "copyright")
 SNIPPET_CHARS = 700
 
 
@@ -51,9 +51,25 @@ def snippet(text: Column, most: int = SNIPPET_CHARS) -> Column:
     return F.when(F.char_length(text) > most, F.concat(F.substring(text, 1, most), F.lit("…"))).otherwise(text)
 
 
-def content_class(text: Column) -> Column:
-    """legal, page_furniture or substantive, of a line: legal wording first, then a short line of capitals only."""
-    low = F.lower(text)
-    legal = low.contains("copyright") | low.contains("all rights reserved") | low.contains("licensed under") | low.contains("trademark")
-    capitals = (F.length(text) <= 120) & text.rlike(r"[A-Z]") & ~text.rlike(r"[a-z]")
-    return F.when(legal, F.lit("legal")).when(capitals, F.lit("page_furniture")).otherwise(F.lit("substantive"))
+def bare_heading(text: Column) -> Column:
+    """A heading without its number and the word CHAPTER."""
+    return F.regexp_replace(F.regexp_replace(F.trim(text), r"^[0-9.]*[ \t]*", ""), "^CHAPTER ", "")
+
+
+def content_class(text: Column, inherited: Column, headings: Column) -> Column:
+    """The class of a body text under an inherited one; ``headings`` is an array of the headings before it.
+
+    A logo, a short volume mark, or capitals that agree with an earlier heading
+    from either one's end are page furniture; legal wording counts in front
+    matter only; anything else has the inherited class.
+    """
+    shown = F.trim(text)
+    low = F.lower(shown)
+    logo = low.isin("intel logo", "amd logo") | ((F.octet_length(shown) < 48) & (low.startswith("vol. ") | low.startswith("volume ")))
+    bare = bare_heading(shown)
+    agrees = F.exists(F.transform(headings, bare_heading), lambda h: h.endswith(bare) | bare.endswith(h))
+    capitals = (F.octet_length(shown) <= 120) & shown.rlike(r"\p{L}") & ~shown.rlike(r"[\p{L}&&[^\p{Lu}]]") & agrees
+    legal = F.lit(False)
+    for phrase in LEGAL_PHRASES:
+        legal = legal | low.contains(phrase)
+    return F.when((shown != "") & (logo | capitals), F.lit("page_furniture")).when((inherited == "front_matter") & legal, F.lit("legal")).otherwise(inherited)

@@ -1,18 +1,63 @@
-"""Immutable, content-addressed snapshots of tables with a CURRENT pointer, on a local or mounted folder."""
+"""Immutable, content-addressed snapshots of tables with a CURRENT pointer, on any store that Spark writes to."""
 
 from __future__ import annotations
 
 import hashlib
 import json
-import os
 import re
-import shutil
 import uuid
-from pathlib import Path
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-VERSION = 1
+VERSION = 2
+#: States of a snapshot.
+MISSING, INVALID, STALE, DEGRADED, READY = "missing", "invalid", "stale", "degraded_model", "ready"
+
+
+class Store:
+    """Small files and renames under a root, through the file systems that Spark itself uses."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        self._jvm = spark.sparkContext._jvm
+        self.fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _path(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+
+    def exists(self, name: str) -> bool:
+        return self.fs.exists(self._path(name))
+
+    def names(self, name: str) -> list[str]:
+        return [s.getPath().getName() for s in self.fs.listStatus(self._path(name))] if self.exists(name) else []
+
+    def read(self, name: str) -> str:
+        stream = self.fs.open(self._path(name))
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def write(self, name: str, text: str) -> None:
+        """Whole or not at all: under another name, then renamed over."""
+        part = f"{name}.{uuid.uuid4().hex}"
+        stream = self.fs.create(self._path(part), True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        self.move(part, name)
+
+    def move(self, old: str, new: str) -> None:
+        self.fs.mkdirs(self._path(new).getParent())
+        if self.exists(new):
+            self.fs.delete(self._path(new), True)
+        if not self.fs.rename(self._path(old), self._path(new)):
+            raise OSError(f"{old} could not be renamed to {new}")
+
+    def delete(self, name: str) -> None:
+        self.fs.delete(self._path(name), True)
 
 
 def snapshot_id(inputs: dict) -> str:
@@ -20,64 +65,108 @@ def snapshot_id(inputs: dict) -> str:
     return hashlib.sha256(json.dumps(inputs, sort_keys=True).encode()).hexdigest()
 
 
-def publish(root: str, inputs: dict, tables: dict[str, DataFrame], force: bool = False) -> tuple[str, bool]:
-    """(id, whether it was built). A candidate is written aside, checked by its own counts and renamed; CURRENT is replaced last, so readers see the old or the new one."""
-    name = snapshot_id(inputs)
-    final = Path(root, "snapshots", name)
-    if final.exists() and not force:
-        _point(root, name)
+def digest(df: DataFrame, *columns: str) -> dict:
+    """A fingerprint of rows that does not depend on their order and is never gathered: their number, and two sums of hashes."""
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in columns]
+    row = df.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*cells)).alias("x"), F.sum(F.xxhash64(F.lit(1), *cells).cast("decimal(38,0)")).cast("string").alias("s")).first()
+    return {"rows": row["n"], "xor": row["x"], "sum": row["s"]}
+
+
+def publish(spark: SparkSession, root: str, inputs: dict, tables: dict[str, DataFrame], force: bool = False, check: Callable[[Snapshot], None] = lambda s: None, keep: int = 1) -> tuple[str, bool]:
+    """(id, whether it was built).
+
+    A candidate is written aside, opened and checked as readers would, and
+    renamed; CURRENT is replaced last, so readers see the old or the new one. A
+    failure removes the candidate and leaves CURRENT. Of older generations
+    ``keep`` stay, for those who still read them.
+    """
+    name, store = snapshot_id(inputs), Store(spark, root)
+    if not force and store.exists(f"snapshots/{name}/snapshot.json"):
+        _point(store, name)
         return name, False
-    candidate = Path(root, f".candidate-{uuid.uuid4().hex}")
+    candidate = f".candidate-{uuid.uuid4().hex}"
     try:
         for key, df in tables.items():
-            df.write.option("compression", "zstd").parquet(str(candidate / key))
-        session = next(iter(tables.values())).sparkSession
-        counts = {key: session.read.parquet(str(candidate / key)).count() for key in tables}
-        (candidate / "snapshot.json").write_text(json.dumps({"version": VERSION, "inputs": inputs, "counts": counts}, indent=2, sort_keys=True))
-        final.parent.mkdir(parents=True, exist_ok=True)
-        if final.exists():
-            shutil.rmtree(final)
-        os.replace(candidate, final)
+            df.write.option("compression", "zstd").parquet(f"{store.root}/{candidate}/{key}")
+        counts = {key: spark.read.parquet(f"{store.root}/{candidate}/{key}").count() for key in tables}
+        store.write(f"{candidate}/snapshot.json", json.dumps({"version": VERSION, "inputs": inputs, "counts": counts}, indent=2, sort_keys=True))
+        check(Snapshot(spark, store, candidate, name))
+        store.move(candidate, f"snapshots/{name}")
     finally:
-        shutil.rmtree(candidate, ignore_errors=True)
-    _point(root, name)
+        store.delete(candidate)
+    before = store.read("CURRENT").strip() if store.exists("CURRENT") else None
+    _point(store, name)
+    old = sorted(n for n in store.names("snapshots") if n not in (name, before))
+    for gone in old[: max(0, len(old) - max(0, keep - 1))]:
+        store.delete(f"snapshots/{gone}")
     return name, True
 
 
-def _point(root: str, name: str) -> None:
-    part = Path(root, f".current-{uuid.uuid4().hex}")
-    part.write_text(name)
-    os.replace(part, Path(root, "CURRENT"))
+def _point(store: Store, name: str) -> None:
+    store.write("CURRENT", name)
 
 
 class Snapshot:
-    """An opened snapshot: its tables by name, checked against its manifest."""
+    """A snapshot's tables by name, checked against its manifest when it is opened."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        name = Path(root, "CURRENT").read_text().strip()
-        if not re.fullmatch("[0-9a-f]{64}", name):
-            raise ValueError("CURRENT does not name a snapshot")
-        self.spark, self.id, self.path = spark, name, Path(root, "snapshots", name)
-        manifest = json.loads((self.path / "snapshot.json").read_text())
-        if manifest["version"] != VERSION or snapshot_id(manifest["inputs"]) != name:
+    def __init__(self, spark: SparkSession, store: Store, folder: str, name: str):
+        self.spark, self.id, self.path = spark, name, f"{store.root}/{folder}"
+        self.manifest = json.loads(store.read(f"{folder}/snapshot.json"))
+        if self.manifest["version"] != VERSION or snapshot_id(self.manifest["inputs"]) != name:
             raise ValueError("the snapshot is of another version, or its manifest was changed")
-        self.counts = manifest["counts"]
+        self.counts = self.manifest["counts"]
         for key, n in self.counts.items():
             if self.table(key).count() != n:
                 raise ValueError(f"table {key} has lost rows")
 
+    @staticmethod
+    def current(spark: SparkSession, root: str) -> Snapshot:
+        store = Store(spark, root)
+        name = store.read("CURRENT").strip()
+        if not re.fullmatch("[0-9a-f]{64}", name):
+            raise ValueError("CURRENT does not name a snapshot")
+        return Snapshot(spark, store, f"snapshots/{name}", name)
+
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(str(self.path / name))
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
+
+@dataclass(frozen=True)
+class Status:
+    """state, the reasons for it (stale ones first), and for each archive whether it is as it was."""
+
+    state: str
+    reasons: tuple[str, ...] = ()
+    snapshot_id: str | None = None
+    archives: tuple[dict, ...] = field(default=())
+
+    @property
+    def usable(self) -> bool:
+        """Whether searches can be served."""
+        return self.state in (READY, STALE, DEGRADED)
+
+    @property
+    def exit_code(self) -> int:
+        return {READY: 0, DEGRADED: 0, MISSING: 2}.get(self.state, 1)
+
+
+def freshness(built: list[dict], now: list[dict]) -> tuple[dict, ...]:
+    """Of archives (id, sha256 and more) by id: whether all that was recorded is as it is now; one that is on one side only is not fresh."""
+    then, today = ({a["id"]: a for a in side} for side in (built, now))
+    return tuple({"id": k, "fresh": then.get(k) == today.get(k), "expected_sha256": then.get(k, {}).get("sha256"), "actual_sha256": today.get(k, {}).get("sha256")} for k in sorted({*then, *today}))
 
 
-def status(spark: SparkSession, root: str, inputs: dict, model_ready: bool = True) -> str:
-    """missing, invalid, stale, degraded_model or ready."""
-    if not Path(root, "CURRENT").exists():
-        return "missing"
+def status(spark: SparkSession, root: str, inputs: dict, model_reason: str | None = None) -> Status:
+    """The state against what a build would now have as its inputs: missing, invalid, stale, degraded_model or ready. ``inputs`` may have archives, a list with ids and checksums."""
+    if not Store(spark, root).exists("CURRENT"):
+        return Status(MISSING, ("there is no snapshot",))
     try:
-        opened = Snapshot(spark, root)
-    except Exception:  # whatever keeps it from being read makes it invalid
-        return "invalid"
-    if opened.id != snapshot_id(inputs):
-        return "stale"
-    return "ready" if model_ready else "degraded_model"
+        opened = Snapshot.current(spark, root)
+    except Exception as error:  # whatever keeps it from being read makes it invalid
+        return Status(INVALID, (str(error).splitlines()[0],))
+    before = opened.manifest["inputs"]
+    archives = freshness(before.get("archives", []), inputs.get("archives", []))
+    reasons = [f"archive {a['id']} differs" for a in archives if not a["fresh"]]
+    reasons += [f"{k} differs" for k in sorted({*before, *inputs}) if k != "archives" and before.get(k) != inputs.get(k)]
+    state = STALE if reasons else DEGRADED if model_reason else READY
+    return Status(state, (*reasons, *([model_reason] if model_reason else [])), opened.id, archives)

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions import text as tx
-from quillspan.operators import chunking, context, lexical, navigate, rank, reuse, structure, vector
-from quillspan.sources import markdown
+from quillspan.ingest import chunker, manual
+from quillspan.operators import context, lexical, navigate, rank, reuse, structure, vector
+from quillspan.plans import manuals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,11 +64,20 @@ def line_blocks(spark, sf_dir):
     return _lines(spark, sf_dir)
 
 
-@query("""WITH n AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)
-SELECT CASE WHEN contains(lower(line), 'copyright') OR contains(lower(line), 'all rights reserved') OR contains(lower(line), 'licensed under') OR contains(lower(line), 'trademark') THEN 'legal'
-WHEN length(line) <= 120 AND regexp_matches(line, '[A-Z]') AND NOT regexp_matches(line, '[a-z]') THEN 'page_furniture' ELSE 'substantive' END AS content_class, count(*) AS n FROM n GROUP BY 1""")
+_BARE = r"regexp_replace(regexp_replace(trim({0}), '^[0-9.]*[ \t]*', ''), '^CHAPTER ', '')"
+
+
+@query(f"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents), n AS (SELECT doc_id, x[1] AS heading, unnest(x) AS line, unnest(range(1, len(x) + 1)) AS line_no FROM l),
+m AS (SELECT trim(line) AS line, lower(trim(line)) AS low, {_BARE.format("line")} AS bare, {_BARE.format("heading")} AS h, CASE WHEN doc_id % 2 = 0 THEN 'front_matter' ELSE 'substantive' END AS inherited FROM n WHERE line_no > 1)
+SELECT CASE WHEN line <> '' AND (low IN ('intel logo', 'amd logo') OR (strlen(line) < 48 AND (starts_with(low, 'vol. ') OR starts_with(low, 'volume '))) OR (strlen(line) <= 120 AND regexp_matches(line, '\\p{{L}}') AND NOT regexp_matches(line, '[\\p{{Ll}}\\p{{Lt}}\\p{{Lm}}\\p{{Lo}}]') AND (ends_with(h, bare) OR ends_with(bare, h)))) THEN 'page_furniture'
+WHEN inherited = 'front_matter' AND (contains(low, 'all rights reserved') OR contains(low, 'no product or component') OR contains(low, 'warranties') OR contains(low, 'copyright')) THEN 'legal' ELSE inherited END AS content_class, count(*) AS n FROM m GROUP BY 1""")
 def block_class(spark, sf_dir):
-    return _lines(spark, sf_dir).groupBy(tx.content_class(F.col("line")).alias("content_class")).agg(F.count("*").alias("n"))
+    """Lines under the first line of their text as a heading; even documents count as front matter."""
+    lines = _lines(spark, sf_dir)
+    first = lines.where("line_no = 1").select("doc_id", F.col("line").alias("heading"))
+    inherited = F.when(F.col("doc_id") % 2 == 0, "front_matter").otherwise("substantive")
+    rows = lines.where("line_no > 1").join(first, "doc_id")
+    return rows.groupBy(tx.content_class(F.col("line"), inherited, F.array("heading")).alias("content_class")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')) AS collapsed FROM documents")
@@ -113,10 +123,18 @@ def analyzer_terms(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(toks).cast("long").alias("n_tokens"), F.size(F.array_distinct(toks)).cast("long").alias("n_terms"))
 
 
-@query(f"WITH {_TOKENS}, p AS (SELECT doc_id, unnest(w) AS term FROM toks) SELECT term, count(DISTINCT doc_id) AS n_docs, count(*) AS n_places FROM p GROUP BY term HAVING count(DISTINCT doc_id) >= 5")
+@query(f"WITH {_TOKENS}, p AS (SELECT doc_id, unnest(w) AS term FROM toks) SELECT term, count(DISTINCT doc_id) AS n_docs, count(*) AS n_places FROM p GROUP BY term")
 def term_stats(spark, sf_dir):
-    p = lexical.postings(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
-    return p.groupBy("term").agg(F.count("*").alias("n_docs"), F.sum("tf").alias("n_places")).where("n_docs >= 5")
+    return manuals.document_index(spark, sf_dir).terms.where("field = 'body'").select("term", F.col("n_with").alias("n_docs"), "n_places")
+
+
+@query(f"""WITH f AS (SELECT doc_id, 'heading' AS field, regexp_extract_all(lower(source), '{TOKEN}') AS w FROM documents UNION ALL SELECT doc_id, 'body', regexp_extract_all(lower(text), '{TOKEN}') FROM documents
+UNION ALL SELECT doc_id, 'symbol', list_filter(list_transform(list_distinct(regexp_extract_all(text, '{tx.SYMBOL}')), lambda x: upper(trim(x, '._:/-'))), lambda x: x <> '') FROM documents), p AS (SELECT field, doc_id, unnest(w) AS term FROM f)
+SELECT field, count(DISTINCT term) AS n_terms, count(DISTINCT (doc_id, term)) AS n_postings, count(*) AS n_places FROM p GROUP BY field""")
+def index_build(spark, sf_dir):
+    """The stored index of the documents, by field; the queries below read it."""
+    rows = manuals.document_index(spark, sf_dir).terms
+    return rows.groupBy("field").agg(F.count("*").alias("n_terms"), F.sum("n_with").alias("n_postings"), F.sum("n_places").alias("n_places"))
 
 
 @query(f"WITH {_TOKENS} SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_tokens, round(avg(len(w)), 6) AS mean_length FROM toks")
@@ -128,12 +146,12 @@ def doc_lengths(spark, sf_dir):
 def _bm25_sql(where: str = "true", queries: str = "SELECT item_id AS query_id, text AS query FROM benchmark", tf: str = "1.0") -> str:
     return rf"""q AS ({queries}),
 asked AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '{TOKEN}')) AS term FROM q),
-{_TOKENS.replace("FROM documents", f"FROM documents WHERE {where}")},
+{_TOKENS},
 stats AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM toks),
 p AS (SELECT doc_id, len AS length, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS len, unnest(w) AS term FROM toks) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
 d AS (SELECT term, count(*) AS n_with FROM p GROUP BY term),
 scores AS (SELECT query_id, doc_id AS chunk_id, sum(ln(1 + (n - n_with + 0.5) / (n_with + 0.5)) * {tf} * 2.2 / ({tf} + 1.2 * (0.25 + 0.75 * length / mean))) AS score
-FROM asked JOIN p USING (term) JOIN d USING (term), stats GROUP BY 1, 2)"""
+FROM asked JOIN p USING (term) JOIN d USING (term), stats WHERE doc_id IN (SELECT doc_id FROM documents WHERE {where}) GROUP BY 1, 2)"""
 
 
 def _benchmark(spark, sf_dir):
@@ -141,8 +159,10 @@ def _benchmark(spark, sf_dir):
 
 
 def _bm25(spark, sf_dir, queries=None, binary=True, where="true"):
-    docs = table(spark, sf_dir, "documents").where(where)
-    scores = lexical.bm25(docs, _benchmark(spark, sf_dir) if queries is None else queries, "doc_id", "text", binary=binary)
+    """Scores by the stored postings; filters do not change the numbers that terms are weighed by."""
+    scores = lexical.bm25(manuals.document_index(spark, sf_dir), _benchmark(spark, sf_dir) if queries is None else queries, binary=binary)
+    if where != "true":
+        scores = scores.join(table(spark, sf_dir, "documents").where(where).select(F.col("doc_id").alias("chunk_id")), "chunk_id", "left_semi")
     return scores.withColumn("score", F.round("score", 6))
 
 
@@ -196,6 +216,37 @@ def phrase_match(spark, sf_dir):
     return lexical.phrase_hits(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", "Of the")
 
 
+_FIELDS = f"""f AS (SELECT doc_id, 'heading' AS field, regexp_extract_all(lower(source), '{TOKEN}') AS w FROM documents UNION ALL SELECT doc_id, 'body', regexp_extract_all(lower(text), '{TOKEN}') FROM documents
+UNION ALL SELECT doc_id, 'symbol', list_filter(list_transform(list_distinct(regexp_extract_all(text, '{tx.SYMBOL}')), lambda x: upper(trim(x, '._:/-'))), lambda x: x <> '') FROM documents),
+n AS (SELECT count(*) AS n FROM documents), means AS (SELECT field, sum(len(w)) / any_value(n) AS mean FROM f, n GROUP BY field),
+p AS (SELECT DISTINCT field, doc_id, length, term FROM (SELECT field, doc_id, len(w) AS length, unnest(w) AS term FROM f)),
+d AS (SELECT field, term, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM p, n GROUP BY field, term)"""
+_SATURATED = "{0} * 2.2 / ({0} + 1.2 * (0.25 + 0.75 * length / mean))"
+_CLAUSE_QUERY, _PHRASE, _SYMBOL_TEXT = "the source of that 3", ["of", "the"], "THE.AND"
+
+
+@query(f"""WITH {_FIELDS} SELECT doc_id AS chunk_id, round(sum((CASE field WHEN 'heading' THEN 3.0 ELSE 1.0 END) * idf * {_SATURATED.format("1.0")}), 6) AS score FROM p JOIN d USING (field, term) JOIN means USING (field)
+WHERE field <> 'symbol' AND term IN (SELECT unnest(regexp_extract_all(lower('{_CLAUSE_QUERY}'), '{TOKEN}'))) GROUP BY doc_id""")
+def bm25_fields(spark, sf_dir):
+    """Words in headings and bodies, by their boosts."""
+    index = manuals.document_index(spark, sf_dir)
+    return lexical.word_clauses(index, index.query_words(_CLAUSE_QUERY)).groupBy("chunk_id").agg(F.round(F.sum("score"), 6).alias("score"))
+
+
+@query(f"""WITH {_FIELDS}, j AS (SELECT doc_id, len(w) AS length, ' ' || array_to_string(w, '  ') || ' ' AS t FROM f WHERE field = 'body'),
+c AS (SELECT doc_id, length, (length(t) - length(replace(t, ' of  the ', ''))) / 9.0 AS tf FROM j WHERE contains(t, ' of  the '))
+SELECT doc_id AS chunk_id, round(1.5 * (SELECT sum(idf) FROM d WHERE field = 'body' AND term IN ('of', 'the')) * {_SATURATED.format("tf")}, 6) AS score FROM c, means WHERE field = 'body'""")
+def phrase_clause(spark, sf_dir):
+    return lexical.phrase_clauses(manuals.document_index(spark, sf_dir), _PHRASE).select("chunk_id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {_FIELDS}, asked AS (SELECT * FROM (VALUES ('THE.AND', 8.0), ('THE', 2.0), ('AND', 2.0)) AS v(term, boost))
+SELECT doc_id AS chunk_id, round(sum(CAST(boost AS DOUBLE) * idf * {_SATURATED.format("1.0")}), 6) AS score FROM asked JOIN p USING (term) JOIN d USING (field, term) JOIN means USING (field) WHERE field = 'symbol' GROUP BY doc_id""")
+def symbol_clause(spark, sf_dir):
+    rows = lexical.symbol_clauses(manuals.document_index(spark, sf_dir), [_SYMBOL_TEXT])
+    return rows.groupBy("chunk_id").agg(F.round(F.sum("score"), 6).alias("score"))
+
+
 # symbols
 
 _SYMBOLS = rf"syms AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '{tx.SYMBOL}'))) AS symbol FROM documents)"
@@ -214,8 +265,13 @@ def symbol_terms(spark, sf_dir):
 
 @query(f"WITH {_SYMBOLS} SELECT doc_id, 8.0 AS score FROM syms WHERE symbol = '{SYMBOL_QUERY}' ORDER BY doc_id LIMIT 20".replace("8.0", "CAST(8.0 AS DOUBLE)"))
 def symbol_exact_topk(spark, sf_dir):
-    hit = F.array_contains(tx.symbols(F.col("text")), SYMBOL_QUERY)
-    return table(spark, sf_dir, "documents").where(hit).select("doc_id", F.lit(lexical.SYMBOL_BOOST).alias("score")).orderBy("doc_id").limit(20)
+    return _exact(spark, sf_dir).select(F.col("chunk_id").alias("doc_id"), "score").orderBy("doc_id").limit(20)
+
+
+def _exact(spark, sf_dir):
+    """Documents that have the symbol, by its postings."""
+    rows = manuals.document_index(spark, sf_dir).of_terms([SYMBOL_QUERY], ["symbol"])
+    return rows.select("chunk_id", F.lit(lexical.SYMBOL_BOOST).alias("score"))
 
 
 # vectors
@@ -251,7 +307,7 @@ fused AS (SELECT chunk_id, sum(1.0 / (60 + r)) AS rrf, count(*) AS n_legs FROM (
 
 def _fused(spark, sf_dir):
     lex = _bm25(spark, sf_dir, _one(spark)).select("chunk_id", "score")
-    exact = table(spark, sf_dir, "documents").where(F.array_contains(tx.symbols(F.col("text")), SYMBOL_QUERY)).select(F.col("doc_id").alias("chunk_id"), F.lit(8.0).alias("score"))
+    exact = _exact(spark, sf_dir)
     sem = vector.top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", QUERY_VECTOR, 100).select(F.col("vec_id").alias("chunk_id"), "score")
     return rank.fused(rank.ranked(lex, "lexical"), rank.ranked(exact, "exact"), rank.ranked(sem, "semantic"))
 
@@ -298,7 +354,7 @@ def search_page(spark, sf_dir):
 @query(f"""WITH {_bm25_sql(queries=_ONE)}, {_SYMBOLS}, ex AS (SELECT doc_id FROM syms WHERE symbol = '{SYMBOL_QUERY}' ORDER BY doc_id LIMIT 25),
 rel AS (SELECT chunk_id, round(score, 6) AS score FROM scores ORDER BY 2 DESC, 1 LIMIT 25) SELECT chunk_id, score FROM rel WHERE chunk_id NOT IN (SELECT doc_id FROM ex)""")
 def lookup_related(spark, sf_dir):
-    hits = table(spark, sf_dir, "documents").where(F.array_contains(tx.symbols(F.col("text")), SYMBOL_QUERY)).select(F.col("doc_id").alias("chunk_id")).orderBy("chunk_id").limit(25)
+    hits = _exact(spark, sf_dir).select("chunk_id").orderBy("chunk_id").limit(25)
     related = _bm25(spark, sf_dir, _one(spark)).select("chunk_id", "score").orderBy(F.desc("score"), "chunk_id").limit(25)
     return related.join(hits, "chunk_id", "left_anti")
 
@@ -360,34 +416,14 @@ def integrity_rows(spark, sf_dir):
 
 # structure
 
-_REFS = [(1, 10, "See Section 4.2 and Table 2-1."), (2, 10, "As in figure 3; see section that follows."), (3, 20, "Chapter 5, appendix B and Table 2-1."), (4, 20, "no reference")]
-_REF_VALUES = "VALUES " + ", ".join(f"({a}, {b}, '{t}')" for a, b, t in _REFS)
-_DECLARED = [(10, "section:4.2", "s1"), (10, "table:2-1", "t1"), (20, "table:2-1", "t2"), (20, "table:2-1", "t3"), (30, "figure:3", "f1"), (30, "chapter:5", "c1"), (40, "chapter:5", "c2")]
-
-
-def _ref_rows(spark):
-    return spark.createDataFrame(_REFS, "block_id bigint, document_id bigint, text string")
-
-
-_REF_SQL = r"""refs AS (SELECT block_id, document_id, unnest(range(0, len(w))) AS ordinal, lower(unnest(w)) AS word, unnest(l) AS label FROM (
-SELECT block_id, document_id, regexp_extract_all(text, '%s', 1) AS w, regexp_extract_all(text, '%s', 2) AS l FROM (%s) AS t(block_id, document_id, text)))""" % (tx.REFERENCE, tx.REFERENCE, _REF_VALUES)
-
-
-@query(f"WITH {_REF_SQL} SELECT CAST(block_id AS BIGINT) AS block_id, ordinal, CASE WHEN word IN ('table', 'figure') THEN word ELSE 'section' END AS kind, label, word || ':' || lower(label) AS normalized_key FROM refs")
+@query(rf"""WITH l AS (SELECT doc_id, regexp_extract_all(text, '{manual.REFERENCE}', 1) AS w, regexp_extract_all(text, '{manual.REFERENCE}', 2) AS l FROM (SELECT doc_id, text FROM documents UNION ALL SELECT -item_id - 1, text FROM benchmark UNION ALL SELECT 1000000 + page_id, html FROM pages)),
+r AS (SELECT doc_id, unnest(range(0, len(w))) AS ordinal, lower(unnest(w)) AS word, unnest(l) AS label FROM l)
+SELECT doc_id, ordinal, CASE WHEN word IN ('table', 'figure') THEN word ELSE 'section' END AS kind, label, word || ':' || lower(label) AS normalized_key FROM r""")
 def ref_extract(spark, sf_dir):
-    return structure.references(_ref_rows(spark), "block_id", "text")
-
-
-@query(f"""WITH {_REF_SQL}, d(document_id, k, target_id) AS (VALUES {", ".join(f"({a}, '{k}', '{t}')" for a, k, t in _DECLARED)}),
-c AS (SELECT refs.*, word || ':' || lower(label) AS key FROM refs),
-j AS (SELECT block_id, ordinal, key, (SELECT count(*) FROM d WHERE d.k = c.key AND d.document_id = c.document_id) AS l, (SELECT count(*) FROM d WHERE d.k = c.key) AS w,
-(SELECT min(target_id) FROM d WHERE d.k = c.key AND d.document_id = c.document_id) AS lt, (SELECT min(target_id) FROM d WHERE d.k = c.key) AS wt FROM c)
-SELECT CAST(block_id AS BIGINT) AS block_id, ordinal, key AS normalized_key, CASE WHEN l > 0 THEN l ELSE w END AS n_candidates,
-CASE WHEN l = 1 THEN lt WHEN l = 0 AND w = 1 THEN wt END AS target_id, (CASE WHEN l > 0 THEN l ELSE w END) = 1 AS resolved FROM j""")
-def ref_resolve(spark, sf_dir):
-    refs = ref_extract(spark, sf_dir).join(_ref_rows(spark).select("block_id", "document_id"), "block_id")
-    declared = spark.createDataFrame(_DECLARED, "document_id bigint, normalized_key string, target_id string")
-    return structure.resolved(refs, declared).select("block_id", "ordinal", "normalized_key", "n_candidates", "target_id", "resolved")
+    """Over all texts: documents, benchmark items and pages."""
+    texts = table(spark, sf_dir, "documents", "doc_id", "text")
+    texts = texts.union(table(spark, sf_dir, "benchmark").select((-F.col("item_id") - 1).alias("doc_id"), "text")).union(table(spark, sf_dir, "pages").select((1000000 + F.col("page_id")).alias("doc_id"), "html"))
+    return structure.references(texts, "doc_id", "text")
 
 
 _EVENT = "SELECT event_id, user_id, CASE WHEN event_type = 'purchase' THEN event_id END AS label, CAST(event_id * 7 % 4 + 1 AS INT) AS level, CASE WHEN event_id % 5 = 0 THEN 'caption' WHEN event_id % 3 = 0 THEN 'table' ELSE 'prose' END AS kind FROM events"
@@ -480,16 +516,33 @@ def embed_reuse(spark, sf_dir):
     return reuse.embedding_plan(chunks, chunks.where("doc_id % 2 = 0").withColumnRenamed("doc_id", "vector_row"))
 
 
-# text parsing and packing, which SQL cannot express
+# parsing and packing
 
-_MANUAL = "# CHAPTER 1\nSome prose\nof two lines.\n\n## 1.2 Registers\n- one\n- two\n\n| a | b |\n|---|---|\n| 1 | x\\|y |\n\nTable 1-1. Caption\n```mermaid\ngraph TD\nA-->B\n```\n<page_number>\n1-2\n</page_number>\n> quoted\n~~~\nopen"
+# lines to blocks where no block spans lines by other rules than prose does; the given texts have no fences, tags or tables
+_BEGINS = r"regexp_matches({0}, '^\s*#{{1,6}}\s') OR regexp_matches({0}, '^\s*([-*+] |[0-9]+[.)] )') OR starts_with(ltrim({0}), '>') OR regexp_matches(ltrim({0}), '^(Figure |Table |Рисунок |Таблица )')"
 
 
-@query("")
+@query(f"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents), n AS (SELECT doc_id, unnest(x) AS line, unnest(range(1, len(x) + 1)) AS i, len(x) AS n FROM l),
+o AS (SELECT *, coalesce(sum(strlen(line) + 1) OVER w - strlen(line) - 1, 0) AS place, lag(line) OVER w AS before FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+b AS (SELECT *, CASE WHEN before IS NULL OR trim(before) = '' OR {_BEGINS.format("line")} THEN 1 ELSE 0 END AS starts FROM o WHERE trim(line) <> ''),
+g AS (SELECT *, sum(starts) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM b)
+SELECT doc_id, CAST(g - 1 AS INT) AS ordinal, CAST(min(place) AS BIGINT) AS byte_start, CAST(max(place + strlen(line) + CASE WHEN i < n THEN 1 ELSE 0 END) AS BIGINT) AS byte_end, CAST(min(i) AS INT) AS line_start, CAST(max(i) AS INT) AS line_end FROM g GROUP BY doc_id, g""")
 def markdown_blocks(spark, sf_dir):
-    return markdown.blocks(spark.createDataFrame([("m", _MANUAL)], "id string, source string"), "id", "source")
+    rows = _parsed(spark, sf_dir).select(F.col("document_id").cast("long").alias("doc_id"), F.explode("blocks").alias("b"))
+    return rows.select("doc_id", "b.ordinal", "b.span.byte_start", "b.span.byte_end", "b.span.line_start", "b.span.line_end")
+
+
+def _parsed(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    text = F.col("text")
+    return manual.parsed(docs.select(F.col("doc_id").cast("string").alias("document_id"), F.col("lang").alias("vendor"), F.col("source").alias("archive_id"), F.lit("").alias("archive_sha256"), F.format_string("%d.md", "doc_id").alias("entry_path"), F.sha2(text, 256).alias("content_sha256"), F.octet_length(text).cast("long").alias("byte_len"), text.alias("source")))
 
 
 @query("")
 def chunk_pack(spark, sf_dir):
-    return chunking.chunks(table(spark, sf_dir, "documents"), "doc_id", "text")
+    rows = chunker.chunks(_parsed(spark, sf_dir))
+    return rows.select(F.col("document_id").cast("long").alias("doc_id"), "chunk_ordinal", "kind", "token_count", "content_hash")
+
+
+QUERIES |= manuals.QUERIES
+ORACLES |= manuals.ORACLES

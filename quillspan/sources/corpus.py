@@ -12,8 +12,9 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-DOCUMENTS = "document_id string, archive_id string, vendor string, entry_path string, content_sha256 string, byte_len bigint, source string"
+DOCUMENTS = "document_id string, archive_id string, archive_sha256 string, vendor string, entry_path string, content_sha256 string, byte_len bigint, source string"
 
 
 def entry_path(name: str) -> str:
@@ -27,6 +28,14 @@ def entry_path(name: str) -> str:
     return path
 
 
+def relative_path(name: str) -> str:
+    """A path below a folder, with slashes; ValueError for an empty or absolute one, one with a drive or NUL, or with empty, ``.`` or ``..`` parts."""
+    path = name.replace("\\", "/")
+    if not path or "\0" in path or ":" in path or any(p in ("", ".", "..") for p in path.split("/")):
+        raise ValueError(f"unsafe path {name!r}")
+    return path
+
+
 def load_manifest(path: str) -> list[dict]:
     """The archives of a manifest, sorted by vendor and id; ValueError if it is not valid."""
     data = tomllib.loads(Path(path).read_text())
@@ -39,8 +48,7 @@ def load_manifest(path: str) -> list[dict]:
     for a in archives:
         if not re.fullmatch("[0-9a-f]{64}", a["sha256"]):
             raise ValueError(f"the checksum of {a['id']} is not one")
-        if re.match("[A-Za-z]:|[/\\\\]", a["path"]) or ".." in re.split(r"[/\\]", a["path"]):
-            raise ValueError(f"unsafe path {a['path']!r}")
+        relative_path(a["path"])
     return sorted(archives, key=lambda a: (a["vendor"], a["id"]))
 
 
@@ -60,19 +68,50 @@ def read_archive(archive: dict, data: bytes) -> Iterator[dict]:
             seen.add(path)
             raw = zipped.read(info)
             name = hashlib.sha256(f"{archive['id']}\0{path}".encode()).hexdigest()
-            yield {"document_id": f"doc:{name}", "archive_id": archive["id"], "vendor": archive["vendor"], "entry_path": path, "content_sha256": hashlib.sha256(raw).hexdigest(), "byte_len": len(raw), "source": raw.decode()}
+            yield {"document_id": f"doc:{name}", "archive_id": archive["id"], "archive_sha256": archive["sha256"], "vendor": archive["vendor"], "entry_path": path, "content_sha256": hashlib.sha256(raw).hexdigest(), "byte_len": len(raw), "source": raw.decode()}
     if len(seen) != archive["entry_count"] or total != archive["uncompressed_bytes"]:
         raise ValueError(f"{archive['id']} has other entries or sizes than declared")
 
 
+def _qualified(spark: SparkSession, path: str) -> str:
+    """A path as Spark's readers name it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
+
+
+def _files(spark: SparkSession, folder: str, archives: list[dict]) -> DataFrame:
+    """(archive_id, content): files are told apart by their whole paths."""
+    paths = {_qualified(spark, f"{folder}/{relative_path(a['path'])}"): a["id"] for a in archives}
+    names = spark.createDataFrame(sorted(paths.items()), "path string, archive_id string")
+    # a row an archive, beside the files' own contents
+    return spark.read.format("binaryFile").load(sorted(paths)).select("path", "content").join(F.broadcast(names), "path").select("archive_id", "content")
+
+
+def checksums(spark: SparkSession, folder: str, archives: list[dict]) -> dict[str, str]:
+    """SHA-256 of the archives' files as they lie now, by id; a file that is missing has none."""
+    there = [a for a in archives if _exists(spark, f"{folder}/{relative_path(a['path'])}")]
+    return {r["archive_id"]: r["sha"] for r in _files(spark, folder, there).select("archive_id", F.sha2("content", 256).alias("sha")).collect()} if there else {}
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def read_corpus(spark: SparkSession, folder: str, archives: list[dict]) -> DataFrame:
-    """The documents of all archives, an archive a task."""
-    files = spark.read.format("binaryFile").load([f"{folder}/{a['path']}" for a in archives])
-    by_name = {a["path"].rsplit("/", 1)[-1]: a for a in archives}
+    """The documents of all archives, an archive a task, in order of vendor, archive and path where they are sorted by ``in_order``."""
+    by_id = {a["id"]: a for a in archives}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                yield pa.RecordBatch.from_pylist(list(read_archive(by_name[path.rsplit("/", 1)[-1]], data)))
+            for name, data in zip(batch.column("archive_id").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                yield pa.RecordBatch.from_pylist(list(read_archive(by_id[name], data)))
+
+    return _files(spark, folder, archives).mapInArrow(run, DOCUMENTS)
+
+
+def in_order(documents: DataFrame) -> DataFrame:
+    """Documents by vendor, archive and path."""
+    from quillspan.ingest.build import vendor_rank
 
-    return files.select("path", "content").mapInArrow(run, DOCUMENTS)
+    return documents.orderBy(vendor_rank(F.col("vendor")), "vendor", "archive_id", "entry_path")

@@ -7,11 +7,12 @@ import zipfile
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from quillspan.functions.stemmer import stem
-from quillspan.operators import chunking, context, rank, snapshot, structure, vector
+from quillspan.operators import context, lexical, rank, snapshot, structure, vector
 from quillspan.plans import catalog
-from quillspan.sources import corpus, markdown
+from quillspan.sources import corpus
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -40,29 +41,6 @@ def test_first_rows_are_cut_before_the_shuffle(spark, sf, name):
     assert "WindowGroupLimit" in plan or "TakeOrderedAndProject" in plan
 
 
-def test_blocks_are_their_bytes(spark):
-    source = "\ufeffé\r\n# CHAPTER 2 Ünits\r\nline one\r\nline two\r\n\n## 2.1.3 Deep ##\n```c\nx = 1\n"
-    found = markdown.parse(source)
-    assert [(b.kind, b.level) for b in found] == [("prose", None), ("heading", 1), ("prose", None), ("heading", 3), ("code", None)]
-    raw = source.encode()
-    for b in found:
-        assert raw[b.byte_start : b.byte_end].decode().replace("\r", "") == b.text
-    assert found[-1].warning == "unclosed_fence"
-    kinds = [r.kind for r in catalog.markdown_blocks(spark, "").orderBy("ordinal").collect()]
-    assert kinds == ["heading", "prose", "heading", "list", "list", "table", "caption", "diagram", "page", "quote", "code"]
-    assert markdown.parse("") == []
-    assert markdown.pipe_table("| a | b |\n|---|---|\n| 1 | x\\|y |\n| 2 |") == (["a", "b"], [["1", "x|y"], ["2", ""]], True)
-
-
-def test_chunks_keep_to_the_target(spark, sf):
-    found = chunking.pack(["a b", "c d", "e f", "g h"], target=5, overlap=2)
-    assert [t.split() for t, _ in found] == [["a", "b", "c", "d"], ["c", "d", "e", "f"], ["e", "f", "g", "h"]]
-    assert chunking.pack(["w " * 12], target=5, overlap=0)[-1][1] == [0]
-    assert catalog.chunk_pack(spark, sf).where("token_count > 384").count() == 0
-    with pytest.raises(ValueError):
-        chunking.pack([], 5, 5)
-
-
 def test_stems():
     assert {w: stem(w) for w in ("caresses", "ponies", "running", "relational", "generously", "hopefully", "skies", "dying", "sky", "by", "exceed", "controlling")} == {"caresses": "caress", "ponies": "poni", "running": "run", "relational": "relat", "generously": "generous", "hopefully": "hope", "skies": "sky", "dying": "die", "sky": "sky", "by": "by", "exceed": "exceed", "controlling": "control"}
 
@@ -130,15 +108,143 @@ def test_corpus_is_checked_and_read(spark, tmp_path):
         corpus.load_manifest(str(manifest))
 
 
+def test_archives_are_told_apart_by_their_paths(spark, tmp_path):
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+    one = archive(tmp_path / "a", [("m.md", "# One\n")], "x.zip") | {"id": "one", "path": "a/x.zip"}
+    two = archive(tmp_path / "b", [("m.md", "# Two\n")], "x.zip") | {"id": "two", "path": "b/x.zip"}
+    read = corpus.in_order(corpus.read_corpus(spark, str(tmp_path), [two, one])).collect()
+    assert [(r.archive_id, r.source, r.archive_sha256) for r in read] == [("one", "# One\n", one["sha256"]), ("two", "# Two\n", two["sha256"])]
+    assert corpus.checksums(spark, str(tmp_path), [one, two, one | {"id": "gone", "path": "c.zip"}]) == {"one": one["sha256"], "two": two["sha256"]}
+    for bad in ("", "/a.zip", "c:/a.zip", "a/../b.zip", "a//b.zip", "./a.zip", "a\0.zip"):
+        with pytest.raises(ValueError):
+            corpus.relative_path(bad)
+
+
 def test_snapshots_are_published_whole(spark, tmp_path):
     root, a, b = str(tmp_path), {"v": "a"}, {"v": "b"}
-    assert snapshot.status(spark, root, a) == "missing"
-    first, built = snapshot.publish(root, a, {"chunks": spark.range(3).toDF("id")})
-    assert built and snapshot.publish(root, a, {"chunks": spark.range(3).toDF("id")}) == (first, False)
-    opened = snapshot.Snapshot(spark, root)
-    second, _ = snapshot.publish(root, b, {"chunks": spark.range(5).toDF("id")})
-    assert opened.table("chunks").count() == 3 and snapshot.Snapshot(spark, root).counts == {"chunks": 5}
-    assert first != second and snapshot.status(spark, root, a) == "stale"
-    assert snapshot.status(spark, root, b) == "ready" and snapshot.status(spark, root, b, False) == "degraded_model"
+    assert snapshot.status(spark, root, a).state == "missing"
+    first, built = snapshot.publish(spark, root, a, {"chunks": spark.range(3).toDF("id")})
+    assert built and snapshot.publish(spark, root, a, {"chunks": spark.range(3).toDF("id")}) == (first, False)
+    opened = snapshot.Snapshot.current(spark, root)
+    second, _ = snapshot.publish(spark, root, b, {"chunks": spark.range(5).toDF("id")})
+    assert opened.table("chunks").count() == 3 and snapshot.Snapshot.current(spark, root).counts == {"chunks": 5}
+    stale = snapshot.status(spark, root, a)
+    assert first != second and stale.state == "stale" and stale.reasons == ("v differs",) and stale.usable and stale.exit_code == 1
+    assert snapshot.status(spark, root, b).exit_code == 0 and snapshot.status(spark, root, b, "no weights").state == "degraded_model"
+
+    def refuse(_):
+        raise ValueError("not sound")
+
+    with pytest.raises(ValueError):
+        snapshot.publish(spark, root, {"v": "c"}, {"chunks": spark.range(1).toDF("id")}, check=refuse)
+    assert snapshot.Snapshot.current(spark, root).id == second and not [p for p in tmp_path.iterdir() if p.name.startswith(".candidate")]
+    for v in "de":
+        snapshot.publish(spark, root, {"v": v}, {"chunks": spark.range(1).toDF("id")})
+    assert len(list((tmp_path / "snapshots").iterdir())) == 2, "the current one and the one before"
     (tmp_path / "CURRENT").write_text("x")
-    assert snapshot.status(spark, root, b) == "invalid"
+    assert snapshot.status(spark, root, b).state == "invalid"
+
+
+def test_symbols_and_references_by_worked_values(spark):
+    """Values worked out by hand, not from the patterns."""
+    from quillspan.functions import text as tx
+    from quillspan.ingest.chunker import symbols_of
+
+    cases = {
+        "CR10 and CR4.VMXE": ["CR1", "CR4.VMXE"],
+        "CPUIDX CPUID.07H_EBX,ECX:1": ["CPUID", "CPUID.07H_EBX,ECX:1"],
+        "#UD #PFX IA32_EFER.LME": ["#UD", "#PF", "IA32_EFER", "LME"],
+        "RFLAGS.AC rax AB": ["RFLAGS.AC"],
+    }
+    got = {r.t: list(r.s) for r in spark.createDataFrame([(t,) for t in cases], "t string").select("t", tx.symbols(F.col("t")).alias("s")).collect()}
+    assert got == cases and {t: symbols_of(t) for t in cases} == cases
+    texts = {"see Section 4.2-1 and Table 2-1a": [("section", "4.2-1"), ("table", "2-1")], "Section 3-B, section that": [("section", "3"), ("section", "t")], "APPENDIX B; Figure x": [("section", "B"), ("figure", "x")]}
+    rows = structure.references(spark.createDataFrame([(t,) for t in texts], "t string"), "t", "t").orderBy("ordinal").collect()
+    assert {t: [(r.kind, r.label) for r in rows if r.t == t] for t in texts} == texts
+
+
+def test_body_classes_by_worked_values(spark):
+    from quillspan.functions import text as tx
+
+    cases = [
+        ("Intel Logo", "substantive", [], "page_furniture"),
+        ("Vol. 3C", "substantive", [], "page_furniture"),
+        ("VMX OPERATION", "substantive", ["23.1 INTRODUCTION TO VMX OPERATION"], "page_furniture"),
+        ("VMX OPERATION", "substantive", ["Other"], "substantive"),
+        ("CHAPTER 23 X", "contents", ["X"], "page_furniture"),
+        ("All rights reserved.", "front_matter", [], "legal"),
+        ("All rights reserved.", "substantive", [], "substantive"),
+        ("No product or component", "front_matter", [], "legal"),
+        ("trademark", "front_matter", [], "front_matter"),
+        ("", "contents", [], "contents"),
+    ]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, t string, inherited string, headings array<string>, want string")
+    wrong = df.where(tx.content_class(F.col("t"), F.col("inherited"), F.col("headings")) != F.col("want")).collect()
+    assert not wrong
+
+
+FIELDS = "chunk_id string, heading string, body string, code string, symbols array<string>"
+
+
+@pytest.fixture(scope="module")
+def small_index(spark, tmp_path_factory):
+    rows = [
+        ("a", "Registers", "The extended feature enable register", None, ["IA32_EFER"]),
+        ("b", "Flags", "A register of flags", None, ["EFER"]),
+        ("c", "Entry", None, "enter the virtual machine entry point", ["CR4.VMXE", "CPUID.07H.00H:EBX"]),
+        ("d", "Faults", "page fault faults", None, ["#PF"]),
+    ]
+    return lexical.Index.write(spark.createDataFrame(rows, FIELDS), str(tmp_path_factory.mktemp("index") / "i"))
+
+
+def ids(df):
+    return [r.chunk_id for r in df.orderBy(F.desc("score"), "chunk_id").collect()]
+
+
+def test_a_symbol_ranks_before_its_parts(small_index):
+    found = ids(lexical.scored(small_index, small_index.query_words("IA32_EFER"), lexical.exact_symbols("IA32_EFER")))
+    assert found[0] == "a" and "b" in found
+    assert ids(lexical.scored(small_index, small_index.query_words("virtual machine entry points"), []))[0] == "c"
+    assert ids(lexical.scored(small_index, small_index.query_words("vendor:intel"), [])) == []
+    with pytest.raises(ValueError):
+        lexical.scored(small_index, [], [])
+
+
+def test_words_are_stemmed_and_phrases_are_in_a_row(small_index):
+    assert small_index.query_words("Faulting faults") == ["fault"]
+    assert ids(lexical.word_clauses(small_index, ["fault"]).groupBy("chunk_id").agg(F.sum("score").alias("score"))) == ["d"]
+    assert ids(lexical.phrase_clauses(small_index, small_index.query_words("feature enable"))) == ["a"]
+    assert ids(lexical.phrase_clauses(small_index, small_index.query_words("enable feature"))) == []
+
+
+def test_symbols_of_queries():
+    assert [lexical.normalized_symbol(w) for w in ("(ia32_efer),", "#pf", "RFLAGS[11:8].")] == ["IA32_EFER", "#PF", "RFLAGS[11:8]"]
+    assert lexical.symbol_terms("CR4.VMXE") == ["CR4.VMXE", "CR4", "VMXE"] and lexical.symbol_terms("#PF") == ["#PF", "PF"]
+    assert lexical.exact_symbols("what is cr4.vmxe or R8 in the é3 #pf #pf") == ["CR4.VMXE", "R8", "#PF"]
+
+
+def test_a_search_reads_only_its_terms(small_index):
+    plan = lexical.word_clauses(small_index, ["fault"])._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [" in plan and "EqualTo(term,fault)" in plan
+
+
+def test_repeated_chunk_ids_are_refused(spark, tmp_path):
+    with pytest.raises(ValueError):
+        lexical.Index.write(spark.createDataFrame([("a", None, "x", None, []), ("a", None, "y", None, [])], FIELDS), str(tmp_path / "i"))
+
+
+def test_vectors(spark):
+    rows = spark.createDataFrame([(0, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [0.7071, 0.7071, 0.0])], "vector_row bigint, embedding array<float>")
+    order = lambda q, k, allowed=None: [r.vector_row for r in vector.top_k(rows, "vector_row", "embedding", q, k, allowed).collect()]
+    assert order([1, 0.2, 0], 3) == [0, 2, 1]
+    assert order([1, 0.2, 0], 2, F.col("vector_row").isin(1, 2)) == [2, 1]
+    assert order([0, 0, 1], 3) == [0, 1, 2]
+    from quillspan.operators import embed
+
+    assert embed.row(embed.verified(rows, 3), 1) == [0.0, 1.0, 0.0]
+    with pytest.raises(ValueError):
+        embed.row(rows, 3)
+    for bad in ([(0, [1.0, 0.0])], [(0, [2.0, 0.0, 0.0])], [(0, [float("nan"), 0.0, 0.0])], [(1, [1.0, 0.0, 0.0])]):
+        with pytest.raises(ValueError):
+            embed.verified(spark.createDataFrame(bad, "vector_row bigint, embedding array<float>"), 3)
