@@ -1,14 +1,10 @@
-"""The English (Porter 2) stemmer, from its published description; for distinct terms, in Arrow batches."""
+"""The English (Porter 2) stemmer, from its published description."""
 
 from __future__ import annotations
 
 import re
 from functools import lru_cache
 
-import pandas as pd
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
 #: Fixed values of the published algorithm: words with stems of their own, and words that stay.
 SPECIAL = {"skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl", "sky": "sky", "news": "news", "howe": "howe", "atlas": "atlas", "cosmos": "cosmos", "bias": "bias", "andes": "andes"}
 KEPT = {"inning", "outing", "canning", "herring", "earring", "proceed", "exceed", "succeed"}
@@ -85,8 +81,3 @@ def stem(word: str) -> str:
     if word.endswith("e") and (len(word) - 1 >= r2 or (len(word) - 1 >= r1 and not _short_end(word[:-1]))) or word.endswith("ll") and len(word) - 1 >= r2:
         word = word[:-1]
     return word.lower()
-
-
-@F.pandas_udf(T.StringType())
-def stemmed(term: pd.Series) -> pd.Series:
-    return term.map(stem, na_action="ignore")
