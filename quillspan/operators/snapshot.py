@@ -66,8 +66,9 @@ def snapshot_id(inputs: dict) -> str:
 
 
 def digest(df: DataFrame, *columns: str) -> dict:
-    """A fingerprint of rows that does not depend on their order and is never gathered: their number, and two sums of hashes."""
-    cells = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in columns]
+    """A fingerprint of rows that does not depend on their order and is never gathered: their number, and two sums of hashes. Of all columns if none are named."""
+    cells = [F.col(f"`{c}`") for c in columns or df.columns]
+    cells.append(F.array(*[F.isnull(c) for c in cells]))  # a hash passes over nulls: where they are counts too
     row = df.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*cells)).alias("x"), F.sum(F.xxhash64(F.lit(1), *cells).cast("decimal(38,0)")).cast("string").alias("s")).first()
     return {"rows": row["n"], "xor": row["x"], "sum": row["s"]}
 
@@ -88,8 +89,9 @@ def publish(spark: SparkSession, root: str, inputs: dict, tables: dict[str, Data
     try:
         for key, df in tables.items():
             df.write.option("compression", "zstd").parquet(f"{store.root}/{candidate}/{key}")
-        counts = {key: spark.read.parquet(f"{store.root}/{candidate}/{key}").count() for key in tables}
-        store.write(f"{candidate}/snapshot.json", json.dumps({"version": VERSION, "inputs": inputs, "counts": counts}, indent=2, sort_keys=True))
+        digests = {key: digest(spark.read.parquet(f"{store.root}/{candidate}/{key}")) for key in tables}
+        counts = {key: d["rows"] for key, d in digests.items()}
+        store.write(f"{candidate}/snapshot.json", json.dumps({"version": VERSION, "inputs": inputs, "counts": counts, "digests": digests}, indent=2, sort_keys=True))
         check(Snapshot(spark, store, candidate, name))
         store.move(candidate, f"snapshots/{name}")
     finally:
@@ -127,6 +129,10 @@ class Snapshot:
             raise ValueError("CURRENT does not name a snapshot")
         return Snapshot(spark, store, f"snapshots/{name}", name)
 
+    def damaged(self) -> list[str]:
+        """Tables whose rows are not those that were published: each is read whole."""
+        return [key for key, d in self.manifest["digests"].items() if digest(self.table(key)) != d]
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")
 
@@ -156,12 +162,14 @@ def freshness(built: list[dict], now: list[dict]) -> tuple[dict, ...]:
     return tuple({"id": k, "fresh": then.get(k) == today.get(k), "expected_sha256": then.get(k, {}).get("sha256"), "actual_sha256": today.get(k, {}).get("sha256")} for k in sorted({*then, *today}))
 
 
-def status(spark: SparkSession, root: str, inputs: dict, model_reason: str | None = None) -> Status:
-    """The state against what a build would now have as its inputs: missing, invalid, stale, degraded_model or ready. ``inputs`` may have archives, a list with ids and checksums."""
+def status(spark: SparkSession, root: str, inputs: dict, model_reason: str | None = None, deep: bool = False) -> Status:
+    """The state against what a build would now have as its inputs: missing, invalid, stale, degraded_model or ready. ``inputs`` may have archives, a list with ids and checksums; ``deep`` reads all tables and compares their digests."""
     if not Store(spark, root).exists("CURRENT"):
         return Status(MISSING, ("there is no snapshot",))
     try:
         opened = Snapshot.current(spark, root)
+        if deep and (lost := opened.damaged()):
+            raise ValueError(f"tables are damaged: {', '.join(lost)}")
     except Exception as error:  # whatever keeps it from being read makes it invalid
         return Status(INVALID, (str(error).splitlines()[0],))
     before = opened.manifest["inputs"]

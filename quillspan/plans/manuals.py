@@ -16,7 +16,8 @@ from quillspan.engine import Engine, Search
 from quillspan.functions import text as tx
 from quillspan.ingest import build as tables
 from quillspan.ingest import chunker, manual
-from quillspan.operators import embed, lexical
+from quillspan.operators import embed, lexical, navigate
+from quillspan.operators.catalogue import Catalogue
 from quillspan.store import shared_path, written
 
 QUERIES: dict = {}
@@ -256,7 +257,32 @@ def engine_context(spark, sf_dir):
     return spark.createDataFrame([(got["tokens"] <= 1024, len(ids) == len(set(ids)), bool(got["groups"]))], "within_budget boolean, each_once boolean, has_groups boolean")
 
 
-# clauses on fields over the stored index of the documents
+@query(f"WITH {_DOCS} SELECT CASE k % 2 WHEN 0 THEN 'intel' ELSE 'amd' END AS vendor, entry_path, 'CHAPTER ' || number || ' ' || nation AS title, CAST(row_number() OVER (ORDER BY k % 2, entry_path) AS INT) AS position FROM docs")
+def catalogue_documents(spark, sf_dir):
+    """Documents by the order of their vectors' rows: vendor, archive, path."""
+    read = Catalogue(engine(spark, sf_dir).opened)
+    return read.documents().join(read.first_rows(), "document_id").select("vendor", "entry_path", "title", "position")
+
+
+@query(f"WITH {_DOCS} SELECT 'blocks' AS part, 13 + (SELECT count(*) FROM c WHERE c.k = docs.k AND c.j = docs.j) AS n FROM docs WHERE number = {ASKED} UNION ALL SELECT 'sections', 4 UNION ALL SELECT 'tables', 1 UNION ALL SELECT 'diagrams', 1 UNION ALL SELECT 'refs', 4 UNION ALL SELECT 'warnings', 0")
+def catalogue_parsed_document(spark, sf_dir):
+    found = Catalogue(engine(spark, sf_dir).opened).parsed_document(_id(spark, sf_dir, "documents", "document_id"))
+    return spark.createDataFrame([(k, len(found[k])) for k in ("blocks", "sections", "tables", "diagrams", "refs", "warnings")], "part string, n bigint")
+
+
+@query("SELECT 0 AS n_wrong, true AS contiguous, true AS in_order, true AS same_row")
+def catalogue_integrity(spark, sf_dir):
+    """Foreign keys, vocabularies and rows, and chunks read by their ids in the order asked for."""
+    e = engine(spark, sf_dir)
+    read = Catalogue(e.opened)
+    wrong = build.integrity(e.opened) + read.invalid_values()
+    last = [r["chunk_id"] for r in read.vector_metadata().orderBy(F.desc("vector_row")).limit(5).collect()]
+    got = read.chunks_by_ids([*last, "chk:none"])
+    contiguous = bool(navigate.dense(e.table("vectors"), "vector_row").first()["contiguous"])
+    return spark.createDataFrame([(len(wrong), contiguous, [c["chunk_id"] for c in got] == last, read.vector_row(last[0]) == got[0]["vector_row"])], "n_wrong int, contiguous boolean, in_order boolean, same_row boolean")
+
+
+# the stored index of the documents
 
 
 def document_index(spark: SparkSession, sf_dir: str) -> lexical.Index:

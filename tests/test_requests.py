@@ -12,6 +12,7 @@ from quillspan import build, cli, engine
 from quillspan.engine import Engine, Facets, InvalidInput, Search, call
 from quillspan.ingest import manual
 from quillspan.operators import embed, snapshot
+from quillspan.operators.catalogue import Catalogue
 from quillspan.sources import corpus
 
 FIRST = """# First Manual
@@ -180,6 +181,35 @@ def test_tools_answer_with_errors(opened):
     assert (counts["documents"], counts["tables"], counts["diagrams"], counts["refs"]) == (2, 1, 1, 2)
 
 
+def test_catalogue_reads(opened):
+    read = Catalogue(opened.opened)
+    docs = read.documents().collect()
+    assert [d.vendor for d in docs] == ["amd", "intel"] and read.document(docs[0].document_id)["title"] == "Second Manual" and read.document("x") is None
+    whole = read.parsed_document(docs[1].document_id)
+    assert [s["heading"] for s in whole["sections"]] == ["First Manual", "1.1 Registers", "1.2 Operation"] and whole["source"] == FIRST
+    section, blocks = read.section(whole["sections"][2]["section_id"])
+    assert [b["kind"] for b in blocks] == ["prose", "prose", "table", "caption", "diagram", "caption"] and read.section("x") is None
+    assert read.document_id_for_section(section["section_id"]) == docs[1].document_id
+    assert read.block(blocks[2]["block_id"])["kind"] == "table"
+    rows = read.chunks_with_vector_rows().collect()
+    assert [r.vector_row for r in rows] == list(range(len(rows))) and rows[0].vendor == "intel"
+    ids = [rows[2].chunk_id, "none", rows[0].chunk_id]
+    assert [c["chunk_id"] for c in read.chunks_by_ids(ids)] == [ids[0], ids[2]] and read.chunk(ids[0])["vector_row"] == read.vector_row(ids[0]) == 2
+    with pytest.raises(ValueError):
+        read.chunks_by_ids(["x"] * 257)
+    assert read.vector_reuse_records().count() <= len(rows) and read.counts()["archives"] == 2
+    assert read.invalid_values() == [] and opened.opened.damaged() == []
+
+
+def test_damage_is_seen_when_all_is_read(spark, tmp_path):
+    root = str(tmp_path)
+    snapshot.publish(spark, root, {"v": 1}, {"rows": spark.range(4).select("id", F.array("id").alias("x"))})
+    path = snapshot.Snapshot.current(spark, root).path
+    spark.range(1, 5).select("id", F.array("id").alias("x")).write.mode("overwrite").parquet(f"{path}/rows")
+    assert snapshot.status(spark, root, {"v": 1}).state == "ready"
+    assert snapshot.status(spark, root, {"v": 1}, deep=True).state == "invalid"
+
+
 def test_builds_reuse_what_is_unchanged(spark, tmp_path):
     root, model_ = str(tmp_path), embed.HashingEmbedder()
     documents = lambda *texts: spark.createDataFrame(rows(*texts), DDL)
