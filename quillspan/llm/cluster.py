@@ -1,9 +1,7 @@
-"""The folder that driver and executors share, and helpers over Arrow batches."""
+"""Tables in the shared folder, and helpers over Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from urllib.parse import unquote, urlsplit
 
@@ -11,31 +9,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-_own: dict[str, str] = {}
+from quillspan.store import shared_dir, shared_path, written
 
+__all__ = ["dropped", "fresh", "local_path", "placed", "shared_dir", "shared_path", "slices", "without", "written"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="quillspan-")
-    return _own[app]
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts the lineage and outlives a lost executor."""
+def placed(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` as a table in the shared folder, and where it lies, for ``dropped``."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def dropped(spark: SparkSession, path: str) -> None:
