@@ -199,19 +199,20 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
 
 
 SKETCH_WORDS, TABLES, TABLE_BITS = 8, 12, 40
-_MIX = np.array([0x9E3779B97F4A7C15 * (2 * j + 1) & 0xFFFFFFFFFFFFFFFF for j in range(SKETCH_WORDS)], np.uint64)
+WIDE_WORDS = 32  # of the sketches of sets that meet others of another group
+_MIX = np.array([0x9E3779B97F4A7C15 * (2 * j + 1) & 0xFFFFFFFFFFFFFFFF for j in range(WIDE_WORDS)], np.uint64)
 
 
-def sketch(text: str | None, n: int = 5) -> tuple[bytes, bytes]:
-    """(identity, sketch) of a text's set of ``n``-word shingles: a 128-bit hash of the set, and a SimHash of 512 bits."""
+def sketch(text: str | None, n: int = 5, words: int = SKETCH_WORDS) -> tuple[bytes, bytes]:
+    """(identity, sketch) of a text's set of ``n``-word shingles: a 128-bit hash of the set, and a SimHash of 64 * ``words`` bits, of which the first are those of a shorter one."""
     hashes = np.unique(shingle_hashes(text, n))
-    total = np.zeros((SKETCH_WORDS, BITS), np.int64)
+    total = np.zeros((words, BITS), np.int64)
     for at in range(0, len(hashes), 1 << 14):
-        mixed = hashes[at : at + (1 << 14)][None, :] * _MIX[:, None]
+        mixed = hashes[at : at + (1 << 14)][None, :] * _MIX[:words, None]
         mixed ^= mixed >> np.uint64(32)
         mixed *= np.uint64(0xD6E8FEB86659FD93)
         mixed ^= mixed >> np.uint64(32)
-        bits = np.unpackbits(mixed.view(np.uint8).reshape(SKETCH_WORDS, -1, 8), axis=2, bitorder="little")
+        bits = np.unpackbits(mixed.view(np.uint8).reshape(words, -1, 8), axis=2, bitorder="little")
         total += bits.sum(axis=1, dtype=np.int32)
     return xxhash.xxh128_digest(hashes.tobytes()), np.packbits(2 * total.ravel() > len(hashes), bitorder="little").tobytes()
 
@@ -222,10 +223,10 @@ def table_fingerprints(sketches: np.ndarray) -> np.ndarray:
     return (bits.astype(np.uint64) << np.arange(TABLE_BITS, dtype=np.uint64)).sum(axis=2, dtype=np.uint64).T
 
 
-def most_differing(similarity: float) -> int:
+def most_differing(similarity: float, words: int = SKETCH_WORDS) -> int:
     """Bits of a sketch in which sets of this Jaccard similarity are expected to differ."""
     cosine = 2 * similarity / (1 + similarity)
-    return int(SKETCH_WORDS * BITS * np.arccos(min(1.0, cosine)) / np.pi)
+    return int(words * BITS * np.arccos(min(1.0, cosine)) / np.pi)
 
 
 def neighbour_edges(found: np.ndarray, width: int, lead: int, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -254,16 +255,28 @@ def common_variant(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def crossing_pairs(prints: np.ndarray, labels: np.ndarray, sketches: np.ndarray, width: int, lead: int, radius: int, bounds: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def nearest_pairs(a: np.ndarray, b: np.ndarray, bits: np.ndarray, most: int) -> np.ndarray:
+    """Whether a pair is, for one of its two at least, among the ``most`` that differ in the fewest bits; of equal ones the first."""
+    kept = np.zeros(len(a), bool)
+    for own in (a, b):
+        order = np.lexsort((bits, own))
+        new = np.concatenate([[True], own[order][1:] != own[order][:-1]])[: len(order)]
+        place = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+        kept[order[place < most]] = True
+    return kept
+
+
+def crossing_pairs(prints: np.ndarray, labels: np.ndarray, sketches: np.ndarray, width: int, lead: int, radius: int, bounds: tuple[int, int], nearest: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(a, b, sure): positions of all fingerprints that meet here, have unequal labels and sketches that differ in ``bounds[1]`` bits or less.
 
     Sure ones differ in ``bounds[0]`` bits or less, and join their labels from
     then on. A pair is compared at one of its common variants only, and each
     variant's members in turn with those one place on, two places on, and so on,
-    so memory is that of the variants.
+    so memory is that of the variants. With ``nearest``, of those that are not
+    sure only so many for each fingerprint, the ones that differ least.
     """
     names, total = np.unique(labels, return_inverse=True)
-    found: list[np.ndarray] = [np.zeros((3, 0), np.int64)]
+    found: list[np.ndarray] = [np.zeros((4, 0), np.int64)]
     for variant, owner in collisions(prints, width, lead, radius):
         if not len(variant):
             continue
@@ -273,7 +286,7 @@ def crossing_pairs(prints: np.ndarray, labels: np.ndarray, sketches: np.ndarray,
         variant, owner = variant[mixed], owner[mixed]
         at, step = np.arange(len(variant)), 1
         while len(at := at[: np.searchsorted(at, len(variant) - step)]) and len(at := at[variant[at + step] == variant[at]]):
-            for part in np.array_split(at, len(at) // (1 << 17) + 1):
+            for part in np.array_split(at, len(at) * sketches.shape[1] // (1 << 20) + 1):
                 x, y = owner[part], owner[part + step]
                 here = total[x] != total[y]
                 x, y, own = x[here], y[here], variant[part[here]]
@@ -281,19 +294,29 @@ def crossing_pairs(prints: np.ndarray, labels: np.ndarray, sketches: np.ndarray,
                 x, y = x[here], y[here]
                 bits = np.bitwise_count(sketches[x] ^ sketches[y]).sum(axis=1, dtype=np.int64)
                 near, sure = bits <= bounds[1], bits <= bounds[0]
-                found.append(np.stack([x[near], y[near], sure[near].astype(np.int64)]))
+                found.append(np.stack([x[near], y[near], sure[near].astype(np.int64), bits[near]]))
                 if sure.any():
                     total = forest(len(names), total[x[sure]], total[y[sure]])[total]
+            if nearest and len(found) > 64:
+                found = [_open_pairs(np.concatenate(found, axis=1), total, nearest)]
             step += 1
-    a, b, sure = np.concatenate(found, axis=1)
-    open_ = (sure == 1) | (total[a] != total[b])
-    return a[open_], b[open_], sure[open_] == 1
+    a, b, sure, _ = _open_pairs(np.concatenate(found, axis=1), total, nearest)
+    return a, b, sure == 1
+
+
+def _open_pairs(found: np.ndarray, total: np.ndarray, nearest: int | None) -> np.ndarray:
+    """Of (a, b, sure, bits) the sure ones, and those that sure ones do not connect; of these, with ``nearest``, so many for each."""
+    a, b, sure, bits = found
+    open_ = (sure == 0) & (total[a] != total[b])
+    if nearest:
+        open_[open_] = nearest_pairs(a[open_], b[open_], bits[open_], nearest)
+    return found[:, open_ | (sure == 1)]
 
 
-def sketch_bounds(similarity: float) -> tuple[int, int]:
+def sketch_bounds(similarity: float, words: int = SKETCH_WORDS) -> tuple[int, int]:
     """Differing bits of sketches up to which sets are surely so similar, and up to which they can be: 3.3 standard errors off the limit."""
-    limit = most_differing(similarity)
-    spread = int(3.3 * (limit * (1 - limit / (SKETCH_WORDS * BITS))) ** 0.5) + 1
+    limit = most_differing(similarity, words)
+    spread = int(3.3 * (limit * (1 - limit / (words * BITS))) ** 0.5) + 1
     return limit - spread, limit + spread
 
 
@@ -324,7 +347,7 @@ def dealt_tables(distinct: DataFrame, lead: int, radius: int, *others: str) -> D
 
 
 def similar_links(distinct: DataFrame, similarity: float = 0.8, radius: int = 2, bucket_rows: int = 200_000) -> tuple[DataFrame, DataFrame]:
-    """(a, b, sure), some pairs of rows (doc, sketch) of distinct shingle sets that are about so similar; and (meet, doc), what meets in groups of three or more.
+    """(a, b, sure), some pairs of rows (doc, sketch) of distinct shingle sets that are about so similar; and (doc), those that meet in groups of three or more.
 
     Twelve fingerprints of 40 bits, each from other bits of the sketch, go
     through ball hashing of their own: two sets of Jaccard similarity 0.8 are
@@ -346,21 +369,21 @@ def similar_links(distinct: DataFrame, similarity: float = 0.8, radius: int = 2,
         order = np.lexsort((docs, prints))
         prints, docs = prints[order], docs[order]
         found, starts = np.unique(prints, return_index=True)
-        value = int(group["lead"].iloc[0])
-        a, b, total = neighbour_edges(found, width, value, radius)
+        a, b, total = neighbour_edges(found, width, int(group["lead"].iloc[0]), radius)
         meet = total[np.searchsorted(found, prints)]
-        crowd = np.bincount(meet, minlength=len(found))[meet] > 2
-        meet = pd.util.hash_array(docs[starts[meet[crowd]]] * 12 * (1 << 24) + int(group["t"].iloc[0]) * (1 << 24) + value).view(np.int64)
+        crowd = np.bincount(meet, minlength=len(found)) > 2
         same = np.flatnonzero(prints[1:] == prints[:-1])
         top = docs[starts[np.searchsorted(found, prints[same + 1])]]
         left = np.concatenate([docs[starts[a]], docs[same + 1], docs[same + 1]])
         right = np.concatenate([docs[starts[b]], docs[same], top])
-        pairs = pd.DataFrame({"a": np.maximum(left, right), "b": np.minimum(left, right), "meets": False}).drop_duplicates()
-        return pd.concat([pairs[pairs["a"] != pairs["b"]], pd.DataFrame({"a": meet, "b": docs[crowd], "meets": True})])
+        crowded = crowd[np.concatenate([total[a], meet[same], meet[same]])]
+        pairs = pd.DataFrame({"a": np.maximum(left, right), "b": np.minimum(left, right), "crowd": crowded}).drop_duplicates()
+        return pairs[pairs["a"] != pairs["b"]]
 
     dealt = dealt_tables(distinct, lead, radius)
-    both = written(dealt.groupBy("t", "lead").applyInPandas(link, "a bigint, b bigint, meets boolean"), "colliding-pairs")
-    pairs = both.where(~F.col("meets")).select("a", "b").distinct()
+    both = written(dealt.groupBy("t", "lead").applyInPandas(link, "a bigint, b bigint, crowd boolean"), "colliding-pairs")
+    pairs = both.select("a", "b").distinct()
+    crowd = both.where("crowd").select(F.col("a").alias("doc")).union(both.where("crowd").select("b")).distinct()
     left = distinct.select(F.col("doc").alias("a"), F.col("sketch").alias("sketch_a"))
     right = distinct.select(F.col("doc").alias("b"), F.col("sketch").alias("sketch_b"))
 
@@ -372,31 +395,40 @@ def similar_links(distinct: DataFrame, similarity: float = 0.8, radius: int = 2,
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(bits <= surely)], names=["a", "b", "sure"]).filter(near)
 
     verified = written(pairs.join(left, "a").join(right, "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(differing, "a bigint, b bigint, sure boolean"), "near-pairs")
-    return verified, both.where("meets").select(F.col("a").alias("meet"), F.col("b").alias("doc"))
+    return verified, written(crowd, "crowded-documents")
 
 
-def crossing_links(labelled: DataFrame, meets: DataFrame, similarity: float = 0.8, radius: int = 2, bucket_rows: int = 200_000) -> DataFrame:
-    """(a, b, sure): all pairs of rows (doc, sketch, label) that meet in the tables of ``similar_links``, have unequal labels and are about so similar.
+def wide_sketches(docs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """(doc, wide): the sketch of ``WIDE_WORDS`` words of each of ``docs`` (doc), whose texts are in (doc_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            found = [sketch(t, n, WIDE_WORDS)[1] for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], names=["doc", "wide"])
+
+    wanted = docs.select(F.col("doc").alias("doc_id")).distinct()
+    return texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(run, "doc bigint, wide binary")
 
-    Sketches are dealt with the fingerprints and verified where they meet, so
-    however many others a set meets, each is compared, and only those within the
-    limit make rows. Pairs that sure ones before them connect are left out, and
-    so are, before sketches are dealt, all that meet in groups of one label:
-    ``meets`` has (meet, doc), and those of two or more labels go on.
+
+def crossing_links(labelled: DataFrame, similarity: float = 0.8, radius: int = 2, bucket_rows: int = 200_000, nearest: int | None = None) -> DataFrame:
+    """(a, b, sure): all pairs of rows (doc, sketch, wide, label) that meet in the tables of ``similar_links``, have unequal labels and are about so similar.
+
+    Wide sketches are dealt with the fingerprints and compared where they meet,
+    so however many others a set meets, each is compared, and only those within
+    the limit make rows. Pairs that sure ones before them connect are left out.
+    With ``nearest``, those that are not sure are only so many for each set and
+    place; a call without it, once these are decided, has all that are left.
     """
-    named = written(meets.join(labelled.select("doc", "label"), "doc"), "labelled-meetings")
-    mixed = named.groupBy("meet").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("meet")
-    wanted = written(named.join(mixed, "meet", "left_semi").select("doc").distinct(), "mixed-documents")
-    labelled = written(labelled.join(wanted, "doc", "left_semi"), "mixed-sketches")
-    lead = lead_bits(labelled.count(), radius, bucket_rows)
-    width, bounds = TABLE_BITS - lead, sketch_bounds(similarity)
+    rows = labelled.count()
+    lead = lead_bits(rows, radius, bucket_rows) if rows > bucket_rows // 10 else 0
+    width, bounds = TABLE_BITS - lead, sketch_bounds(similarity, WIDE_WORDS)
 
     def link(group: pd.DataFrame) -> pd.DataFrame:
-        prints, docs, labels, held = (np.frombuffer(b"".join(group[c]), k) for c, k in (("prints", np.uint64), ("docs", np.int64), ("label", np.int64), ("sketch", np.uint64)))
-        a, b, sure = crossing_pairs(prints, labels, held.reshape(-1, SKETCH_WORDS), width, int(group["lead"].iloc[0]), radius, bounds)
+        prints, docs, labels, held = (np.frombuffer(b"".join(group[c]), k) for c, k in (("prints", np.uint64), ("docs", np.int64), ("label", np.int64), ("wide", np.uint64)))
+        a, b, sure = crossing_pairs(prints, labels, held.reshape(-1, WIDE_WORDS), width, int(group["lead"].iloc[0]), radius, bounds, nearest)
         return pd.DataFrame({"a": np.maximum(docs[a], docs[b]), "b": np.minimum(docs[a], docs[b]), "sure": sure})
 
-    dealt = dealt_tables(labelled, lead, radius, "label", "sketch")
+    dealt = dealt_tables(labelled, lead, radius, "label", "wide")
     return written(dealt.groupBy("t", "lead").applyInPandas(link, "a bigint, b bigint, sure boolean").distinct(), "crossing-pairs")
 
 
@@ -439,28 +471,46 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", n: in
     """(doc_id, component_id) of documents by similarity of their sets of ``n``-word shingles.
 
     Documents of equal sets are one class; classes link where their Jaccard
-    similarity is at least ``similarity``: 512 bits of SimHash decide it where it
-    is 3.3 standard errors or more off the limit, and the sets themselves where
-    it is nearer. component_id is the smallest doc_id reachable.
+    similarity is at least ``similarity``: SimHash decides it where it is 3.3
+    standard errors or more off the limit, and the sets themselves where it is
+    nearer. component_id is the smallest doc_id reachable.
+
+    Each set is compared first with two of those that it meets, by 512 bits.
+    Where three or more meet and are not yet of one group, 2,048 bits of each
+    are compared with each: first the three nearest that the bits do not decide
+    go to the sets, which joins most of a group, and then all that are left
+    between different groups.
 
     Null and empty texts have equal, empty sets. Rows with a null key are left
     out; repeated rows stay; an empty table gives no rows.
     """
     docs = written(sketches(df.where(F.col(key).isNotNull()), key, text, n), "sketches")
     distinct = written(docs.groupBy("same").agg(F.min("doc_id").alias("doc"), F.first("sketch").alias("sketch")), "distinct-sketches")
-    pairs, meets = similar_links(distinct.select("doc", "sketch"), similarity)
     source = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    near = exactly_similar(pairs.where(~F.col("sure")).select("a", "b"), source, n, similarity)
-    first = components(pairs.where("sure").select("a", "b").unionByName(near))
-    labelled = written(distinct.join(first, F.col("doc") == F.col("node"), "left").select("doc", "sketch", F.coalesce("root", "doc").alias("label")), "labelled-sketches")
-    more = crossing_links(labelled, meets, similarity)
-    near = exactly_similar(more.where(~F.col("sure")).select("a", "b"), source, n, similarity)
-    joined = first.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    roots = components(joined.unionByName(more.where("sure").select("a", "b")).unionByName(near))
+    pairs, crowd = similar_links(distinct.select("doc", "sketch"), similarity)
+    roots = _joined(pairs, None, source, n, similarity)
+    wide = written(wide_sketches(crowd, source, n), "wide-sketches")
+    for nearest in (3, None):
+        chosen = written(_labelled(distinct, roots).join(wide, "doc"), "crowded-sketches")
+        roots = _joined(crossing_links(chosen, similarity, nearest=nearest), roots, source, n, similarity)
     placed = distinct.join(roots, F.col("doc") == F.col("node"), "left").select("same", F.coalesce("root", "doc").alias("component_id"))
     return docs.select("doc_id", "same").join(written(placed, "sketch-components"), "same").select("doc_id", "component_id")
 
 
+def _labelled(distinct: DataFrame, roots: DataFrame) -> DataFrame:
+    """(doc, sketch, label) by the roots so far."""
+    return distinct.join(roots, F.col("doc") == F.col("node"), "left").select("doc", "sketch", F.coalesce("root", "doc").alias("label"))
+
+
+def _joined(pairs: DataFrame, roots: DataFrame | None, texts: DataFrame, n: int, similarity: float) -> DataFrame:
+    """The roots by those before and by (a, b, sure): sure pairs, and the others whose sets are so similar."""
+    near = exactly_similar(pairs.where(~F.col("sure")).select("a", "b"), texts, n, similarity)
+    links = pairs.where("sure").select("a", "b").unionByName(near)
+    if roots is not None:
+        links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    return components(links)
+
+
 def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, similarity: float = 0.8) -> DataFrame:
     """``df`` with one document of each group of ``similar_groups``: the one with the smallest key.
 
