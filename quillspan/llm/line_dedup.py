@@ -1,17 +1,20 @@
 """Line dedup over levelled sorted runs of line hashes.
 
 The store is a log-structured set of runs: each is a table of line hashes,
-sorted, with the number of documents that had the line and the largest of
-their ids. A batch of documents is reduced to its own hashes; a merge anti-join
-with the runs finds those not met before, which become a new run, and the hits
-go to a tally. When a level has ``fanout`` runs they are merged into one run of
-the next level. Lines over the limit are those whose run and tally entries add
-up to it.
+bucketed and sorted by them, with the number of documents that had the line and
+the largest of their ids. A batch of documents is reduced to its own hashes; a
+merge anti-join with each run in turn finds those not met before, which become a
+new run, and the hits go to a tally. As all runs have the same buckets, sorted,
+the merge reads them as they lie: no run is shuffled or sorted again. When a
+level has ``fanout`` runs they are merged into one run of the next level. Lines
+over the limit are those whose run and tally entries add up to it.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,30 +48,70 @@ def document_counts(lines: DataFrame) -> DataFrame:
 
 
 class LineRuns:
-    """The runs on disk, under a folder that all executors share."""
+    """The runs on disk, under a folder that all executors share; ``close`` takes their tables out of the session again.
 
-    def __init__(self, spark: SparkSession, folder: str, fanout: int = 4):
+    ``buckets`` is fixed when the runs are made. A bucket is one sorted file a
+    run, so that readers can rely on its order.
+    """
+
+    COLUMNS = "h1 bigint, h2 bigint, n bigint, last bigint"
+
+    def __init__(self, spark: SparkSession, folder: str, fanout: int = 4, buckets: int | None = None):
         if fanout < 2:
             raise ValueError("fanout is 2 or more")
         self.spark, self.folder, self.fanout = spark, folder, fanout
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
         self.tally: list[str] = []
+        self.name = f"line_runs_{uuid.uuid4().hex}"
         self.made = 0
+        self.kinds: dict[str, set[str]] = {"run": set(), "tally": set(), "batch": set()}
 
     def _put(self, rows: DataFrame, kind: str) -> str:
-        path = f"{self.folder}/{kind}-{self.made:05d}"
+        """Write rows as a run: its name in the session's catalogue."""
+        table = f"{self.name}_{self.made:05d}"
+        dealt = rows.repartition(self.buckets, "h1", "h2").sortWithinPartitions("h1", "h2")
+        dealt.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", f"{self.folder}/{kind}-{self.made:05d}").format("parquet").saveAsTable(table)
         self.made += 1
-        rows.sortWithinPartitions("h1", "h2").write.parquet(path)
-        return path
+        self.kinds[kind].add(table)
+        return table
 
-    def _read(self, paths: list[str]) -> DataFrame:
-        if not paths:
-            return self.spark.createDataFrame([], "h1 bigint, h2 bigint, n bigint, last bigint")
-        return self.spark.read.schema("h1 bigint, h2 bigint, n bigint, last bigint").parquet(*paths)
+    def _drop(self, table: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        dropped(self.spark, self._path(table))
+
+    def _path(self, table: str) -> str:
+        (kind,) = (k for k in ("run", "tally", "batch") if table in self.kinds[k])
+        return f"{self.folder}/{kind}-{table[-5:]}"
+
+    def _read(self, tables: list[str]) -> DataFrame:
+        """Rows of several runs, by their files: a union of bucketed tables is not bucketed, and is not to pass for it."""
+        if not tables:
+            return self.spark.createDataFrame([], self.COLUMNS)
+        return self.spark.read.schema(self.COLUMNS).parquet(*map(self._path, tables))
 
     def runs(self) -> DataFrame:
         """Every line hash met so far, once."""
-        return self._read([p for level in self.levels for p in level])
+        return self._read([t for level in self.levels for t in level])
+
+    def merged(self, batch: DataFrame, how: str) -> DataFrame:
+        """The rows of a table of this store that are in none of the runs ("left_anti"), by a merge join with each in turn."""
+        for table in (t for level in self.levels for t in level):
+            batch = batch.hint("merge").join(self.spark.table(table).select("h1", "h2"), ["h1", "h2"], how)
+        return batch
+
+    @contextmanager
+    def sorted_buckets(self) -> Iterator[None]:
+        """Scans of a run tell Spark that its buckets are sorted, which one file a bucket makes true."""
+        settings = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"}
+        before = {k: self.spark.conf.get(k) for k in settings}
+        try:
+            for k, v in settings.items():
+                self.spark.conf.set(k, v)
+            yield
+        finally:
+            for k, v in before.items():
+                self.spark.conf.set(k, v)
 
     def add(self, batch: DataFrame) -> None:
         """Take in a batch of (h1, h2, n, last), each hash once.
@@ -78,24 +121,27 @@ class LineRuns:
         if not self.levels:
             self.levels.append([self._put(batch, "run")])
             return
-        batch = written(batch, "line-batch")
-        met = self.runs().select("h1", "h2")
-        fresh = batch.hint("merge").join(met, ["h1", "h2"], "left_anti")
-        again = batch.hint("merge").join(met, ["h1", "h2"], "left_semi")
-        self.tally.append(self._put(again, "tally"))
-        self.levels[0].append(self._put(fresh, "run"))
+        waiting = self._put(batch, "batch")
+        with self.sorted_buckets():
+            rows = self.spark.table(waiting)
+            fresh = self._put(self.merged(rows, "left_anti"), "run")
+            # what is not fresh was met before
+            again = rows.hint("merge").join(self.spark.table(fresh).select("h1", "h2"), ["h1", "h2"], "left_anti")
+            self.tally.append(self._put(again, "tally"))
+        self.levels[0].append(fresh)
+        self._drop(waiting)
         self._compact()
 
     def _compact(self) -> None:
         for level, runs in enumerate(self.levels):
             if len(runs) >= self.fanout:
-                merged = self._put(self._read(runs).repartition("h1", "h2"), "run")
+                merged = self._put(self._read(runs), "run")
                 if level + 1 == len(self.levels):
                     self.levels.append([])
                 self.levels[level + 1].append(merged)
                 self.levels[level] = []
-                for path in runs:
-                    dropped(self.spark, path)
+                for table in runs:
+                    self._drop(table)
 
     def frequent(self, least: int) -> DataFrame:
         """(h1, h2, last) of lines that at least so many documents have."""
@@ -103,6 +149,14 @@ class LineRuns:
         total = both.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
         return total.where(F.col("n") >= least).select("h1", "h2", "last")
 
+    def close(self) -> None:
+        """Drop the tables from the session and their files."""
+        for table in (t for level in self.levels for t in level):
+            self._drop(table)
+        for table in self.tally:
+            self._drop(table)
+        self.levels, self.tally = [], []
+
 
 def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", least_chars: int = 20, least_documents: int = 3, batches: int = 4, fanout: int = 3) -> DataFrame:
     """``df`` with kept_text, n_lines and n_dropped.
@@ -129,6 +183,7 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", least_ch
     for i in range(batches):
         runs.add(document_counts(lines.where(F.col("part") == i)))
     frequent = written(runs.frequent(least_documents), "frequent-lines")
+    runs.close()
     hits = lines.join(frequent, ["h1", "h2"]).where(F.coalesce(F.col("doc_id") < F.col("last"), F.lit(False)))
     drops = hits.select("doc_id", "row", "at").distinct().groupBy("doc_id", "row").agg(F.collect_list("at").alias("_drops"))
     kept = without(df, "kept_text", "n_lines", "n_dropped")
