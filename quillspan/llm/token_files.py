@@ -34,7 +34,8 @@ _EF = struct.Struct("<qQQQ")  # least value, count, low bits, bytes of the high
 class EliasFano:
     """A non-decreasing integer sequence with random access.
 
-    encode() gives its bytes; at(i) selects one value from them, all() every one.
+    encode() gives its bytes; at(i) selects one value from them, and blocks()
+    goes through all, ``SAMPLE`` at a time, from one select sample to the next.
     """
 
     def __init__(self, data: bytes | np.ndarray):
@@ -89,13 +90,21 @@ class EliasFano:
             low = raw >> (first % 8) & ((1 << self.width) - 1)
         return self.least + ((one - i) << self.width | low)
 
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        high = (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.width)
-        if self.width:
-            bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.width].reshape(self.n, self.width).astype(np.uint64)
-            high |= (bits << np.arange(self.width, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-        return high.astype(np.int64) + self.least
+    def blocks(self) -> Iterator[np.ndarray]:
+        """The values in order, those of one select sample at a time."""
+        for first in range(0, self.n, SAMPLE):
+            count = min(SAMPLE, self.n - first)
+            start = int(self.samples[first // SAMPLE])
+            end = int(self.samples[first // SAMPLE + 1]) if first + count < self.n else 8 * len(self.high)
+            bits = np.unpackbits(self.high[start // 8 : (end + 7) // 8], bitorder="little")
+            ones = np.flatnonzero(bits[start % 8 :])[:count] + start
+            out = (ones - np.arange(first, first + count)).astype(np.uint64) << np.uint64(self.width)
+            if self.width:
+                at = first * self.width
+                lows = np.unpackbits(self.low[at // 8 : (at + count * self.width + 7) // 8], bitorder="little")[at % 8 :]
+                lows = lows[: count * self.width].reshape(count, self.width).astype(np.uint64)
+                out |= (lows << np.arange(self.width, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+            yield out.astype(np.int64) + self.least
 
 
 def shard_bytes(keys: list[int], lengths: list[int], ids: list[bytes], id_bytes: int) -> bytes:
@@ -109,27 +118,35 @@ def shard_bytes(keys: list[int], lengths: list[int], ids: list[bytes], id_bytes:
 
 
 class Shard:
-    """A shard, read by the boundaries: document i in constant space, without a table of offsets."""
+    """A shard, read by ranges: the boundaries, in their encoded form, and then the ids of documents as they are asked for."""
 
-    def __init__(self, data: np.ndarray):
-        magic, self.id_bytes, self.n, self.tokens, ends, keys = _HEAD.unpack(data[: _HEAD.size].tobytes())
+    def __init__(self, file: RangeReader):
+        magic, self.id_bytes, self.n, self.tokens, ends, keys = _HEAD.unpack(file.read(0, _HEAD.size))
         if magic != MAGIC:
             raise ValueError("not a token file of this format")
-        at = _HEAD.size
-        self.ends = EliasFano(data[at : at + ends])
-        self.keys = EliasFano(data[at + ends : at + ends + keys])
-        self.first = at + ends + keys
-        self.data = data
-        if len(data) != self.first + self.tokens * self.id_bytes:
+        coded = file.read(_HEAD.size, ends + keys)
+        self.ends = EliasFano(coded[:ends])
+        self.keys = EliasFano(coded[ends:])
+        self.first = _HEAD.size + ends + keys
+        self.file = file
+        if file.size != self.first + self.tokens * self.id_bytes:
             raise ValueError("the token file is cut short")
 
     def span(self, i: int) -> tuple[int, int]:
+        """Start and end of document i among the shard's ids, by select."""
         return (self.ends.at(i - 1) if i else 0), self.ends.at(i)
 
     def ids(self, start: int, end: int) -> bytes:
-        raw = self.data[self.first + start * self.id_bytes : self.first + end * self.id_bytes].tobytes()
+        raw = self.file.read(self.first + start * self.id_bytes, (end - start) * self.id_bytes)
         return np.frombuffer(raw, f"<u{self.id_bytes}").astype("<u4").tobytes()
 
+    def documents(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(key, start, end) of all documents, in blocks of those under one select sample."""
+        before = 0
+        for keys, ends in zip(self.keys.blocks(), self.ends.blocks(), strict=True):
+            yield keys, np.concatenate([[before], ends[:-1]]), ends
+            before = int(ends[-1])
+
 
 def _store(uri: str, data: bytes) -> None:
     """Write whole or not at all: another attempt of the task never sees half a file."""
@@ -146,14 +163,29 @@ def _store(uri: str, data: bytes) -> None:
         file.write(data)
 
 
-def _load(uri: str) -> np.ndarray:
-    if path := local_path(uri):
-        return np.memmap(path, np.uint8, "r")
-    from pyarrow import fs
+class RangeReader:
+    """Ranges of a file on any store; nothing beyond them is read."""
 
-    store, path = fs.FileSystem.from_uri(uri)
-    with store.open_input_file(path) as file:
-        return np.frombuffer(file.read(), np.uint8)
+    def __init__(self, uri: str):
+        if path := local_path(uri):
+            self.file = open(path, "rb")
+            self.size = os.path.getsize(path)
+        else:
+            from pyarrow import fs
+
+            store, path = fs.FileSystem.from_uri(uri)
+            self.file = store.open_input_file(path)
+            self.size = self.file.size()
+
+    def read(self, at: int, size: int) -> bytes:
+        self.file.seek(at)
+        return self.file.read(size)
+
+    def __enter__(self) -> RangeReader:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.file.close()
 
 
 SHARDS = T.StructType([T.StructField("part", T.LongType()), T.StructField("serial", T.LongType()), T.StructField("path", T.StringType()), T.StructField("tokens", T.LongType()), T.StructField("null_key", T.BooleanType())])
@@ -216,27 +248,29 @@ def write_token_files(df: DataFrame, vocabulary: str, folder: str, end_id: int =
 def read_token_files(shards: DataFrame) -> DataFrame:
     """One row per document of the shards, from the files: doc_id, start among all ids, n_tokens, ids.
 
-    The first position of each shard is a running sum over the shards' table,
-    a row per shard; documents' positions come from the files' boundaries.
+    The first position of each shard is a running sum: within a writer's task
+    over its shards, and over the tasks, a row each. Documents' positions come
+    from the files' select structures, a sample's documents at a time, and only
+    those documents' ids are held.
     """
-    order = Window.orderBy("part", "serial").rowsBetween(Window.unboundedPreceding, -1)
-    placed = shards.withColumn("base", F.coalesce(F.sum("tokens").over(order), F.lit(0)))
-    parts = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = shards.sparkSession
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = shards.groupBy("part").agg(F.sum("tokens").alias("all")).withColumn("first", F.coalesce(F.sum("all").over(before), F.lit(0))).select("part", "first")
+    within = Window.partitionBy("part").orderBy("serial").rowsBetween(Window.unboundedPreceding, -1)
+    placed = shards.join(tasks, "part").withColumn("base", F.col("first") + F.coalesce(F.sum("tokens").over(within), F.lit(0)))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                shard = Shard(_load(row["path"]))
-                ends = shard.ends.all()
-                starts = np.concatenate([[0], ends[:-1]])
-                keys = shard.keys.all()
-                for at in range(0, shard.n, 512):
-                    a, b = starts[at : at + 512], ends[at : at + 512]
-                    names = [None] * len(a) if row["null_key"] else keys[at : at + 512].tolist()
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(names, pa.int64()), pa.array(a + row["base"]), pa.array(b - a), pa.array([shard.ids(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True)], pa.binary())],
-                        names=RECORDS.names,
-                    )
+                with RangeReader(row["path"]) as file:
+                    shard = Shard(file)
+                    for keys, starts, ends in shard.documents():
+                        names = [None] * len(keys) if row["null_key"] else keys.tolist()
+                        first = int(starts[0])
+                        held = shard.ids(first, int(ends[-1]))
+                        ids = [held[4 * (a - first) : 4 * (b - first)] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(starts + row["base"]), pa.array(ends - starts), pa.array(ids, pa.binary())], names=RECORDS.names)
 
     return placed.select("path", "base", "null_key").repartition(parts, "path").mapInArrow(run, RECORDS)
 
