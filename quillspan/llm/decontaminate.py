@@ -1,17 +1,18 @@
 """Benchmark decontamination by a broadcast hash set of normalised test n-grams.
 
 Test items are normalised to words and cut into windows. The windows' rolling
-hashes are broadcast; training words are scanned with the same rolling hash,
-hits are verified word by word, and the hit words are returned as spans.
+hashes are broadcast, as sorted arrays of a checked size; training words are
+scanned with the same rolling hash, hits are verified word by word, and the hit
+words are returned as spans.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,58 +37,83 @@ def _rolled(ids: np.ndarray, n: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
+def _hashes(found: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
+
+
 class Windows:
-    """The windows of a block of test items, as a hash set with the windows themselves to verify by."""
+    """The windows of a block of test items: a sorted array of their hashes, with item and place of each.
+
+    The items' words lie in one string, to verify by. That is ``WINDOW_BYTES``
+    and the word itself for each word, in flat arrays that pickle as they are.
+    """
 
-    def __init__(self, items: list[tuple[str, str | None]], n: int):
-        self.number: dict[bytes, int] = {}
-        self.items: list[str] = []
-        self.of: dict[int, dict[bytes, list[int]]] = {}
+    def __init__(self, items: list[tuple[str, list[bytes]]], n: int):
+        self.items = [item for item, _ in items]
+        self.text = b" ".join(w for _, found in items for w in found)
+        lengths = np.fromiter((len(w) for _, found in items for w in found), np.int64, sum(len(f) for _, f in items))
+        self.starts = np.concatenate([[0], np.cumsum(lengths + 1)])
         hashes: dict[int, list[np.ndarray]] = {}
-        for item, text in items:
-            found = words(text)
-            if not found:
-                continue
-            ids = np.array([self.number.setdefault(w, len(self.number) + 1) for w in found], np.uint64)
-            size = min(n, len(ids))
-            here = len(self.items)
-            self.items.append(item)
-            hashes.setdefault(size, []).append(_rolled(ids, size))
-            windows = self.of.setdefault(size, {})
-            for i in range(len(ids) - size + 1):
-                owners = windows.setdefault(ids[i : i + size].tobytes(), [])
-                if not owners or owners[-1] != here:
-                    owners.append(here)
-        self.hashes = {size: np.unique(np.concatenate(h)) for size, h in hashes.items()}
+        places: dict[int, list[np.ndarray]] = {}
+        at = 0
+        for _, found in items:
+            size = min(n, len(found))
+            hashes.setdefault(size, []).append(_rolled(_hashes(found), size))
+            places.setdefault(size, []).append(np.arange(at, at + len(found) - size + 1, dtype=np.uint32))
+            at += len(found)
+        firsts = np.cumsum([0, *[len(f) for _, f in items]])[:-1]
+        #: of each window length: distinct hashes, where each one's places start, places, and the item of each place
+        self.of: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size in hashes:
+            every, place = np.concatenate(hashes[size]), np.concatenate(places[size])
+            order = np.lexsort((place, every))
+            distinct, starts = np.unique(every[order], return_index=True)
+            place = place[order]
+            owner = np.searchsorted(firsts, place, side="right").astype(np.uint32) - np.uint32(1)
+            self.of[size] = (distinct, np.append(starts, len(place)).astype(np.uint32), place, owner)
+
+    def words_at(self, place: int, size: int) -> bytes:
+        return self.text[self.starts[place] : self.starts[place + size] - 1]
 
     def hits(self, found: list[bytes]) -> tuple[np.ndarray, set[str]]:
         """A flag for each word, and the items of which windows occur."""
         flags, items = np.zeros(len(found), bool), set()
-        ids = np.fromiter(map(self.number.get, found, repeat(0)), np.uint64, len(found))
-        for size, hashes in self.hashes.items():
+        ids = _hashes(found)
+        for size, (hashes, starts, places, owners) in self.of.items():
             rolled = _rolled(ids, size)
             if not len(rolled):
                 continue
             at = np.minimum(np.searchsorted(hashes, rolled), len(hashes) - 1)
+            seen: dict[bytes, bool] = {}
             for i in np.flatnonzero(hashes[at] == rolled).tolist():
-                owners = self.of[size].get(ids[i : i + size].tobytes())
-                if owners:
+                own = b" ".join(found[i : i + size])
+                if own not in seen:
+                    here = slice(int(starts[at[i]]), int(starts[at[i] + 1]))
+                    true = np.fromiter((self.words_at(p, size) == own for p in places[here].tolist()), bool)
+                    seen[own] = bool(true.any())
+                    items.update(self.items[o] for o in np.unique(owners[here][true]).tolist())
+                if seen[own]:
                     flags[i : i + size] = True
-                    items.update(self.items[o] for o in owners)
         return flags, items
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, most: int) -> Iterator[list[tuple[str, str | None]]]:
-    """The items, a partition at a time, in blocks of about ``most`` bytes of text."""
+#: Of an index, for each word of the items, beside the word: hash, start, place, item, and the start of the hash's places.
+WINDOW_BYTES = 8 + 8 + 4 + 4 + 4
+
+
+def _blocks(benchmark: DataFrame, item: str, text: str, most: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """The items with their words, a partition at a time, in blocks whose index has about ``most`` bytes."""
     block, size = [], 0
     for row in benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).cast("string").alias("text")).toLocalIterator():
-        if row["item"] is None or row["text"] is None:
+        found = words(row["text"]) if row["item"] is not None else []
+        if not found:
             continue
-        if block and size + len(row["text"]) > most:
+        own = WINDOW_BYTES * len(found) + sum(map(len, found))
+        if block and size + own > most:
             yield block
             block, size = [], 0
-        block.append((row["item"], row["text"]))
-        size += len(row["text"])
+        block.append((row["item"], found))
+        size += own
     if block:
         yield block
 
@@ -127,7 +153,7 @@ def _scanned(df: DataFrame, benchmark: DataFrame, n: int, text: str, item: str,
     return marked if seen else _marked(marked, text, None)
 
 
-def find_contamination(df: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text", item: str = "item_id", item_text: str = "text", block_bytes: int = 32 << 20) -> DataFrame:
+def find_contamination(df: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text", item: str = "item_id", item_text: str = "text", block_bytes: int = 128 << 20) -> DataFrame:
     """``df`` with n_words, hit_spans and item_ids of its whole texts.
 
     hit_spans are pairs (first word, word after the last), flat and in order, of
@@ -135,9 +161,10 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, n: int = 10, text: s
     occurring windows, sorted. A window is ``n`` consecutive words of an item; an
     item of fewer words, but not none, is one window.
 
-    The benchmark is broadcast in blocks of at most ``block_bytes`` of text (or
-    one item); where there are several, the table is scanned once for each and
-    the marks so far are written between scans. There is no shuffle of texts.
+    The benchmark is broadcast in blocks of which the index, as it lies in memory
+    and as it is sent, has at most ``block_bytes`` (or one item); where there are
+    several, the table is scanned once for each and the marks so far are written
+    between scans. There is no shuffle of texts.
 
     A null or empty text has no words and no hits; null items are passed over;
     repeated items and rows are each counted once and on their own; an empty
@@ -148,7 +175,7 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, n: int = 10, text: s
     return _scanned(without(df, *names), benchmark, n, text, item, item_text, block_bytes, names)
 
 
-def decontaminate(df: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text", remove: str = "documents", least_hits: int = 1, item: str = "item_id", item_text: str = "text", block_bytes: int = 32 << 20) -> DataFrame:
+def decontaminate(df: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text", remove: str = "documents", least_hits: int = 1, item: str = "item_id", item_text: str = "text", block_bytes: int = 128 << 20) -> DataFrame:
     """``df``, with its own columns only, without contamination: whole documents go, or only the hit spans.
 
     remove="documents" drops rows with at least ``least_hits`` hit words.
