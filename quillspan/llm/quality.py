@@ -191,7 +191,7 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 3, pen
     margin = np.full(len(y), np.log(share / (1 - share)))
     found: dict[Rule, None] = {}
     for _ in range(trees):
-        rows = rng.choice(len(y), max(2, min(len(y), 6000) * 2 // 3), replace=False) if len(y) > 2 else np.arange(len(y))
+        rows = rng.choice(len(y), max(2, len(y) * 2 // 3), replace=False) if len(y) > 2 else np.arange(len(y))
         residual = y - 1 / (1 + np.exp(-margin))
         rules, _ = grow(x[rows], residual[rows], depth, max(3, len(rows) // 400), limits)
         found.update(dict.fromkeys(rules))
@@ -215,13 +215,16 @@ def learn(df: DataFrame, labels: DataFrame, key: str, text: str, label: str, mos
     """A model of the labelled rows of ``df``.
 
     At most ``most_rows`` labelled keys are used, those with the smallest hash of
-    the key; that bounds what the driver gets to 16 numbers for each.
+    the key; that bounds what the driver gets to 16 numbers for each. They are
+    taken in order of the keys, and of rows with one key the text that sorts
+    first, so the model does not depend on the order of rows.
     """
     chosen = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(key).cast("long").alias("_key")).agg(F.max(label).cast("int").alias("_label"))
     chosen = chosen.join(df.select(F.col(key).cast("long").alias("_key")).distinct(), "_key", "left_semi")
     chosen = chosen.orderBy(F.xxhash64("_key"), "_key").limit(most_rows)
-    rows = df.select(F.col(key).cast("long").alias("_key"), F.col(text).cast("string").alias("_text")).join(F.broadcast(chosen), "_key").dropDuplicates(["_key"])
-    got = with_statistics(rows, "_text", "_s").select("_label", "_s.*").toPandas()
+    rows = df.select(F.col(key).cast("long").alias("_key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
+    rows = rows.join(F.broadcast(chosen), "_key").groupBy("_key").agg(F.min("_text").alias("_text"), F.max("_label").alias("_label"))
+    got = with_statistics(rows, "_text", "_s").select("_key", "_label", "_s.*").toPandas().sort_values("_key")
     return fit_rules(got[list(STATISTICS)].to_numpy(float).reshape(-1, len(STATISTICS)), got["_label"].to_numpy(int))
 
 
