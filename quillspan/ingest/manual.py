@@ -146,12 +146,11 @@ class Scanner:
             i = end
 
 
-#: Messages of warnings.
 MESSAGES = {
-    "unclosed_fence": "fenced block reaches end of document",
-    "unclosed_page_number": "page_number element reaches end of document",
-    "unclosed_html_table": "HTML table reaches end of document",
-    "table_extraction": "the table has no header cells",
+    "unclosed_fence": "a fence is open to the end",
+    "unclosed_page_number": "a page number is open to the end",
+    "unclosed_html_table": "a table is open to the end",
+    "table_extraction": "the table has no headers",
 }
 
 
