@@ -155,8 +155,24 @@ def lead_bits(n: int, radius: int, bucket_rows: int) -> int:
     return lead
 
 
-def near_links(distinct: DataFrame, radius: int = 2, bucket_rows: int = 20_000) -> DataFrame:
-    """(a, b): links that connect all pairs of distinct fingerprints ``fp`` at most 2 * ``radius`` bits apart."""
+def in_blocks(dealt: DataFrame, keys: list[str], size: Column, row: Column, most: int) -> DataFrame:
+    """``dealt`` with p and q: a bucket of over ``most`` rows is cut into parts by a hash of ``row``, and each part goes to a task with each other, so every two rows still meet somewhere.
+
+    ``size`` says for how many a row stands. A task then holds about twice
+    ``most``, whatever a bucket has; others stay whole, in block (0, 0). The cut
+    buckets are at most one for each ``most`` rows: that table is broadcast.
+    """
+    sizes = dealt.groupBy(*keys).agg(F.ceil(F.sum(size) / most).cast("int").alias("_parts")).where(F.col("_parts") > 1)
+    if not sizes.take(1):
+        return dealt.select("*", F.lit(0).alias("p"), F.lit(0).alias("q"))
+    placed = dealt.join(F.broadcast(sizes), keys, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    placed = placed.withColumn("_own", F.pmod(F.xxhash64(row), F.col("_parts")).cast("int"))
+    each = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    return each.select(*dealt.columns, F.least("_own", "_other").alias("p"), F.greatest("_own", "_other").alias("q"))
+
+
+def near_links(distinct: DataFrame, radius: int = 2, bucket_rows: int = 20_000, most: int = 500_000) -> DataFrame:
+    """(a, b): links that connect all pairs of distinct fingerprints ``fp`` at most 2 * ``radius`` bits apart. Leading bits make buckets of about ``bucket_rows``; one of over ``most``, as a large group of like texts makes, is met in blocks."""
     if radius not in (0, 1, 2):
         raise ValueError("radius is 0, 1 or 2")
     lead = lead_bits(distinct.count(), radius, bucket_rows)
@@ -169,7 +185,7 @@ def near_links(distinct: DataFrame, radius: int = 2, bucket_rows: int = 20_000)
         a, b = link_bucket(found, width, int(group["lead"].iloc[0]), radius)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return dealt.groupBy("lead").applyInPandas(link, "a bigint, b bigint")
+    return in_blocks(dealt, ["lead"], F.lit(1), F.col("fp"), most).groupBy("lead", "p", "q").applyInPandas(link, "a bigint, b bigint")
 
 
 def hex_of(fp: Column) -> Column:
@@ -346,7 +362,7 @@ def dealt_tables(distinct: DataFrame, lead: int, radius: int, *others: str) -> D
     return distinct.mapInArrow(deal, ", ".join(["t int", "lead bigint", *[f"{n} binary" for n in names[2:]]]))
 
 
-def similar_links(distinct: DataFrame, similarity: float = 0.8, radius: int = 2, bucket_rows: int = 200_000) -> tuple[DataFrame, DataFrame]:
+def similar_links(distinct: DataFrame, similarity: float = 0.8, radius: int = 2, bucket_rows: int = 200_000, most: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
     """(a, b, sure), some pairs of rows (doc, sketch) of distinct shingle sets that are about so similar; and (doc), those that meet in groups of three or more.
 
     Twelve fingerprints of 40 bits, each from other bits of the sketch, go
@@ -358,7 +374,8 @@ def similar_links(distinct: DataFrame, similarity: float = 0.8, radius: int = 2,
 
     Each fingerprint is verified with two of those that it meets, which joins
     most of a large group by few pairs. Two that meet no third are verified by
-    that; for the others ``crossing_links`` has the pairs that are left.
+    that; for the others ``crossing_links`` has the pairs that are left. Buckets
+    of over ``most`` sets are met in blocks.
     """
     lead = lead_bits(distinct.count(), radius, bucket_rows)
     width, (surely, at_most) = TABLE_BITS - lead, sketch_bounds(similarity)
@@ -381,7 +398,8 @@ def similar_links(distinct: DataFrame, similarity: float = 0.8, radius: int = 2,
         return pairs[pairs["a"] != pairs["b"]]
 
     dealt = dealt_tables(distinct, lead, radius)
-    both = written(dealt.groupBy("t", "lead").applyInPandas(link, "a bigint, b bigint, crowd boolean"), "colliding-pairs")
+    blocks = in_blocks(dealt, ["t", "lead"], F.octet_length("docs") / 8, F.col("docs"), most)
+    both = written(blocks.groupBy("t", "lead", "p", "q").applyInPandas(link, "a bigint, b bigint, crowd boolean"), "colliding-pairs")
     pairs = both.select("a", "b").distinct()
     crowd = both.where("crowd").select(F.col("a").alias("doc")).union(both.where("crowd").select("b")).distinct()
     left = distinct.select(F.col("doc").alias("a"), F.col("sketch").alias("sketch_a"))
@@ -410,7 +428,7 @@ def wide_sketches(docs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     return texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(run, "doc bigint, wide binary")
 
 
-def crossing_links(labelled: DataFrame, similarity: float = 0.8, radius: int = 2, bucket_rows: int = 200_000, nearest: int | None = None) -> DataFrame:
+def crossing_links(labelled: DataFrame, similarity: float = 0.8, radius: int = 2, bucket_rows: int = 200_000, nearest: int | None = None, most: int = 500_000) -> DataFrame:
     """(a, b, sure): all pairs of rows (doc, sketch, wide, label) that meet in the tables of ``similar_links``, have unequal labels and are about so similar.
 
     Wide sketches are dealt with the fingerprints and compared where they meet,
@@ -429,7 +447,8 @@ def crossing_links(labelled: DataFrame, similarity: float = 0.8, radius: int = 2
         return pd.DataFrame({"a": np.maximum(docs[a], docs[b]), "b": np.minimum(docs[a], docs[b]), "sure": sure})
 
     dealt = dealt_tables(labelled, lead, radius, "label", "wide")
-    return written(dealt.groupBy("t", "lead").applyInPandas(link, "a bigint, b bigint, sure boolean").distinct(), "crossing-pairs")
+    blocks = in_blocks(dealt, ["t", "lead"], F.octet_length("docs") / 8, F.col("docs"), most)
+    return written(blocks.groupBy("t", "lead", "p", "q").applyInPandas(link, "a bigint, b bigint, sure boolean").distinct(), "crossing-pairs")
 
 
 def exactly_similar(pairs: DataFrame, texts: DataFrame, n: int, similarity: float) -> DataFrame:
