@@ -1,10 +1,12 @@
 """Toxicity by weak supervision.
 
 Many weak voters look at a text: lexicons of words and of word beginnings, which
-labelled rows suggest, and patterns over them. A generative model of the votes of
-all documents estimates each voter's accuracy, with voters that agree beyond it
-tied into groups that count once. Its posterior labels train a linear classifier,
-which gives the scores.
+labelled rows suggest, and patterns of how and where such words stand. A
+generative model of the votes of all documents estimates each voter's accuracy,
+with voters that agree beyond it tied into groups that count once. Its posterior
+labels of all documents train a linear classifier over terms, which gives the
+scores. Gold labels choose the voters' terms and set the scale of the scores;
+they are no targets of the classifier.
 """
 
 from __future__ import annotations
@@ -13,9 +15,12 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,8 +31,13 @@ from .simhash import shingle_hashes
 _WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of word beginnings that are terms of their own, marked by a final hyphen.
 BEGINNINGS = (4, 5, 6, 7)
-#: A term counts by the root of the number of a text's distinct words that have it, up to so many.
+#: A term counts by the number of a text's distinct words that have it, up to so many.
 MOST_WORDS = 8
+#: Characters that stand for letters in disguised words.
+DISGUISES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
+_DISGUISED = re.compile(r"[^\W_]*[0134578@$!*.\-][^\W_]+(?:[@$!*.\-]?[^\W_]+)*")
+_STRETCHED = re.compile(r"(\w)\1{2,}")
+_MARKED = re.compile(r"[0134578@$!*.\-](?=[^\W\d_])")
 
 
 def words(text: str | None) -> set[str]:
@@ -39,6 +49,19 @@ def terms(word: str) -> list[str]:
     return [word, *[word[:n] + "-" for n in BEGINNINGS if len(word) > n]]
 
 
+def undisguised(text: str) -> set[str]:
+    """Words that a lower-case text may hide: with digits and marks for letters, or marks between them, or letters drawn out."""
+    found = set()
+    for token in _DISGUISED.findall(text) if _MARKED.search(text) else ():
+        bare = re.sub(r"[\W_\d]", "", token.translate(DISGUISES))
+        if len(bare) > 2 and bare != token:
+            found.add(bare)
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    if len(raw) > 2 and ((raw[2:] == raw[1:-1]) & (raw[1:-1] == raw[:-2]) & (raw[2:] > 0x2F)).any():
+        found |= {_STRETCHED.sub(r"\1", w) for w in _WORD.findall(text) if _STRETCHED.search(w)}
+    return found
+
+
 class TermTable:
     """How many distinct words of a text have each of a fixed list of terms, by a bounded table from words to terms."""
 
@@ -48,54 +71,66 @@ class TermTable:
         self.of: dict[str, tuple[int, ...]] = {}
 
     def __call__(self, text: str | None) -> dict[int, int]:
-        found: dict[int, int] = {}
+        return self.counted(words(text))
+
+    def counted(self, found: set[str]) -> dict[int, int]:
+        out: dict[int, int] = {}
         if len(self.of) > self.most:
             self.of.clear()
-        for word in words(text):
+        for word in found:
             own = self.of.get(word)
             if own is None:
                 own = self.of[word] = tuple(self.number[t] for t in terms(word) if t in self.number)
             for i in own:
-                found[i] = found.get(i, 0) + 1
-        return found
-
-
-def term_counts(df: DataFrame, known: list[str] | None) -> DataFrame:
-    """(term, n): in how many of the texts (column text) each term is; of ``known`` terms only, if given."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = TermTable(known) if known is not None else None
-        for batch in slices(batches, "text"):
-            counts: Counter = Counter()
-            for text in batch.column("text").to_pylist():
-                counts.update(table(text).keys() if table else {t for w in words(text) for t in terms(w)})
-            names = [known[t] for t in counts] if table else list(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
-
-    return df.select("text").mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+                out[i] = out.get(i, 0) + 1
+        return out
 
 
 @dataclass(frozen=True)
 class Voters:
-    """Voters over the terms that suggest label 1. Each says 1, or abstains; two of them say 0.
+    """Voters over a text and the terms that suggest label 1. Each says 1 or 0, or abstains.
 
     A lexicon of words says 1 for any of them; one of beginnings, for a beginning
-    that two distinct words share. The last voters are patterns: several hits;
-    no word of any lexicon; no shared beginning.
+    that two distinct words share. The patterns say 1 for: three hits or more; a
+    word of a lexicon twice; two such words within twelve words; hits in a
+    fiftieth of the words; a word of a lexicon in disguise. They say 0 for: no
+    word of any lexicon; no shared beginning; a long text with at most one hit.
     """
 
     lexicons: tuple[tuple[str, ...], ...]
 
     @property
     def count(self) -> int:
-        return len(self.lexicons) + 3
+        return len(self.lexicons) + 8
 
-    def votes(self, found: dict[str, int]) -> list[int]:
-        """-1 for an abstention, else the label, of a text's terms with their numbers of words."""
+    def votes(self, text: str | None, found: dict[str, int]) -> list[int]:
+        """-1 for an abstention, else the label, of a text and its terms with their numbers of words."""
         hits = [sum(found.get(t, 0) > t.endswith("-") for t in lexicon) for lexicon in self.lexicons]
         start = sum(h for h, lexicon in zip(hits, self.lexicons, strict=True) if lexicon and lexicon[0].endswith("-"))
         word = sum(hits) - start
-        return [*[1 if h else -1 for h in hits], 1 if word + start >= 3 else -1, -1 if word else 0, -1 if start else 0]
+        lower = (text or "").lower()
+        size = lower.count(" ") + 1
+        twice = near = False
+        if word:
+            at = [(i, w) for i, w in enumerate(_WORD.findall(lower)) if w in self.whole]
+            twice = len(at) > len({w for _, w in at})
+            near = any(j - i <= 12 and v != w for (i, v), (j, w) in zip(at, at[1:], strict=False))
+        hidden = bool(self.whole) and any(w in self.whole and w not in found for w in undisguised(lower))
+        return [
+            *[1 if h else -1 for h in hits],
+            1 if word + start >= 3 else -1,
+            1 if twice else -1,
+            1 if near else -1,
+            1 if 50 * (word + start) >= size else -1,
+            1 if hidden else -1,
+            -1 if word else 0,
+            -1 if start else 0,
+            0 if size >= 200 and word + start <= 1 else -1,
+        ]
+
+    @cached_property
+    def whole(self) -> frozenset[str]:
+        return frozenset(t for lexicon in self.lexicons for t in lexicon if not t.endswith("-"))
 
 
 def pattern_of(votes: list[int]) -> int:
@@ -178,105 +213,178 @@ class LinearModel:
     weights: tuple[float, ...]
     intercept: float
 
+    def margin(self, found: dict[int, int]) -> float:
+        """Of the numbers of words by term."""
+        return self.intercept + sum(self.weights[i] * min(n, MOST_WORDS) for i, n in sorted(found.items()))
+
+
+def fit_linear(rows: DataFrame, known: list[str], penalty: float = 1e-4) -> LinearModel:
+    """On (terms, n, q): texts of a list of terms, each as often as it counts, how many there are, and the share of label 1 among them.
 
-def fit_linear(rows: list[dict[int, int]], target: np.ndarray, known: list[str], penalty: float = 1.0, rounds: int = 400) -> LinearModel:
-    """On soft labels, by gradient steps with momentum; ``rows`` have the terms of each text with their numbers of words. No rows: a score of 0.5."""
-    if not len(rows) or not known:
-        share = (float(target.sum()) + 1) / (len(target) + 2)
-        return LinearModel((), (), float(np.log(share / (1 - share))))
-    lengths = np.array([len(r) for r in rows])
-    at = np.repeat(np.arange(len(rows)), lengths)
-    term = np.array([t for r in rows for t in r], int)
-    value = np.sqrt(np.minimum(MOST_WORDS, np.array([n for r in rows for n in r.values()], float)))
-    w, b = np.zeros(len(known)), float(np.log((target.mean() + 1e-3) / (1 - target.mean() + 1e-3)))
-    second, vw, vb = np.full(len(known), 1e-8), np.zeros(len(known)), 0.0
+    A text counts under both labels, by its share of each; the fit is
+    distributed, so all documents take part. Weights are rounded, so that the
+    order in which tasks end does not show.
+    """
+    total = rows.agg(F.coalesce(F.sum(F.col("n") * F.col("q")), F.lit(0.0)).alias("toxic"), F.coalesce(F.sum("n"), F.lit(0)).alias("all")).first()
+    share = (total["toxic"] + 1) / (total["all"] + 2)
+    flat = LinearModel((), (), float(np.log(share / (1 - share))))
+    if not known or not 0 < total["toxic"] < total["all"]:
+        return flat
+    both = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("q").alias("part")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("q")).alias("part"))))
+    weighted = rows.select("terms", "n", both.alias("side")).select("terms", F.col("side.label").alias("label"), (F.col("n") * F.col("side.part")).alias("weight")).where("weight > 0")
+    vectors = CountVectorizerModel.from_vocabulary(known, inputCol="terms", outputCol="features").transform(weighted)
+    fitted = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", regParam=penalty, maxIter=60, standardization=False).fit(vectors)
+    weights = np.round(fitted.coefficients.toArray(), 6)
+    strong = np.flatnonzero(np.abs(weights) > 1e-3)
+    return LinearModel(tuple(known[i] for i in strong), tuple(float(weights[i]) for i in strong), round(float(fitted.intercept), 6))
+
+
+def scaled(model: LinearModel, rows: list[dict[str, int]], labels: np.ndarray, rounds: int = 50) -> LinearModel:
+    """The model with its margins scaled and moved, two numbers that labelled rows set by Newton steps; as it is where they have one label only."""
+    if not model.terms or not len(rows) or labels.min() == labels.max():
+        return model
+    number = {t: i for i, t in enumerate(model.terms)}
+    x = np.array([model.margin({number[t]: n for t, n in r.items() if t in number}) for r in rows])
+    design = np.column_stack([x, np.ones(len(x))])
+    w = np.array([1.0, 0.0])
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-(np.bincount(at, w[term] * value, len(rows)) + b)))
-        g = (p - target) / len(rows)
-        gw = np.bincount(term, g[at] * value, len(known)) + penalty * w / len(rows)
-        second = 0.99 * second + 0.01 * gw**2
-        vw = 0.9 * vw + gw / (np.sqrt(second) + 1e-8)
-        vb = 0.9 * vb + g.sum() / max(1e-3, float((p * (1 - p)).mean()))
-        w, b = w - 0.01 * vw, b - 0.1 * vb
-    strong = np.flatnonzero(np.abs(w) > 1e-3)
-    return LinearModel(tuple(known[i] for i in strong), tuple(float(w[i]) for i in strong), float(b))
-
-
-def suggested(df: DataFrame, least: float = 0.01, most_terms: int = 20_000, odds: float = 8.0) -> list[tuple[str, int, int]]:
-    """(term, in so many texts of label 1, of label 0) for terms that label-1 texts have more often, by ``odds`` after smoothing, and a share ``least`` of them, 4 at least. ``df`` has (text, label)."""
-    toxic, clean = (df.where(F.col("label") == i) for i in (1, 0))
-    n1, n0 = toxic.count(), clean.count()
-    in_toxic = {r["term"]: r["n"] for r in term_counts(toxic, None).where(F.col("n") >= max(4, int(least * n1))).orderBy(F.desc("n"), "term").limit(most_terms).collect()}
-    in_clean = {r["term"]: r["n"] for r in term_counts(clean, sorted(in_toxic)).collect()} if in_toxic else {}
-    rates = [(t, n, in_clean.get(t, 0)) for t, n in in_toxic.items()]
-    good = [(t, a, c) for t, a, c in rates if (a + 0.5) / (n1 + 1) >= odds * (c + 0.5) / (n0 + 1)]
-    return sorted(good, key=lambda x: (-x[1], x[0]))
-
-
-def one_of_copies(rows: DataFrame, n: int = 5, times: int = 5) -> DataFrame:
-    """Of (text, label) one row of each group of copies with one label, so that copies do not make words look suggestive: rows that share any of ``times`` minimum hashes of their ``n``-word shingles."""
+        p = 1 / (1 + np.exp(-np.clip(design @ w, -60, 60)))
+        # a weak pull to the model as it is keeps separable rows finite
+        gradient = design.T @ (p - labels) + 1e-1 * (w - (1.0, 0.0))
+        hessian = (design * (p * (1 - p))[:, None]).T @ design + 1e-1 * np.eye(2)
+        w = w - np.clip(np.linalg.solve(hessian, gradient), -1, 1)
+    w = np.round(w, 6)
+    if w[0] <= 0:
+        return model
+    return LinearModel(model.terms, tuple(float(w[0] * v) for v in model.weights), float(w[0] * model.intercept + w[1]))
+
+
+def suggested(df: DataFrame, odds: float = 4.0, significance: float = 15.0) -> list[tuple[str, int, int]]:
+    """(term, in so many texts of label 1, of label 0) for terms that texts (text, label) of label 1 have more often.
+
+    By ``odds`` after smoothing, and beyond chance: twice the log-likelihood ratio
+    of two shares against one is at least ``significance``. The rule is the same
+    for any number of rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            least = []
-            for text in batch.column("text").to_pylist():
-                hashes = shingle_hashes(text, n)
-                least.append([int((hashes * np.uint64(2 * k + 3) ^ hashes >> np.uint64(31 - k)).min() >> np.uint64(1)) if len(hashes) else 0 for k in range(times)])
-            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array([m[k] for m in least], pa.int64()) for k in range(times)]], names=["text", "label", *[f"m{k}" for k in range(times)]])
-
-    out = rows.mapInArrow(run, "text string, label int, " + ", ".join(f"m{k} bigint" for k in range(times)))
-    for k in range(times):
-        out = out.dropDuplicates([f"m{k}", "label"])
-    return out.select("text", "label")
-
-
-def make_voters(found: list[tuple[str, int, int]], lexicons: int = 4) -> Voters:
-    """Words dealt to ``lexicons`` voters in turn, beginnings to three by their length."""
-    whole = [t for t, _, _ in found if not t.endswith("-")]
-    starts = [t for t, _, _ in found if t.endswith("-")]
+            counts: tuple[Counter, Counter] = (Counter(), Counter())
+            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
+                counts[label].update({t for w in words(text) for t in terms(w)})
+            names = sorted(set(counts[0]) | set(counts[1]))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *[pa.array([counts[i][t] for t in names], pa.int64()) for i in (1, 0)]], names=["term", "a", "c"])
+
+    sizes = {r["label"]: r["count"] for r in df.groupBy("label").count().collect()}
+    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
+    if not n1 or not n0:
+        return []
+    part = lambda x, n, of: F.when(x > 0, x * F.log(x * of / n)).otherwise(0.0)
+    a, c = F.col("a"), F.col("c")
+    ratio = 2 * (part(a, a + c, (n1 + n0) / n1) + part(c, a + c, (n1 + n0) / n0))
+    found = df.select("text", "label").mapInArrow(run, "term string, a bigint, c bigint").groupBy("term").agg(F.sum("a").alias("a"), F.sum("c").alias("c"))
+    good = found.where(((a + 0.5) / (n1 + 1) >= odds * (c + 0.5) / (n0 + 1)) & (ratio >= significance)).collect()
+    return sorted(((r["term"], r["a"], r["c"]) for r in good), key=lambda x: (-x[1], x[0]))
+
+
+def least_hashes(text: str | None, n: int = 5, times: int = 16) -> list[int]:
+    """Minimum hashes of a text's ``n``-word shingles."""
+    hashes = shingle_hashes(text, n)
+    return [int((hashes * np.uint64(2 * k + 3) ^ hashes >> np.uint64(31 - k)).min() >> np.uint64(1)) if len(hashes) else 0 for k in range(times)]
+
+
+def one_of_copies(rows: list[tuple[int, int, list[int]]], agreeing: int = 10) -> set[int]:
+    """Of (key, label, least hashes) the keys to keep: one of each group of copies with one label, so that copies do not make words look suggestive.
+
+    In order of the keys, one goes if a kept one of its label agrees in at least
+    ``agreeing`` of the hashes, which at 10 of 16 is likely from a similarity of
+    0.6 on.
+    """
+    kept: set[int] = set()
+    seen: dict[tuple[int, int, int], list[int]] = {}
+    for key, label, hashes in sorted(rows):
+        met = Counter(k for i, h in enumerate(hashes) for k in seen.get((label, i, h), ()))
+        if met and met.most_common(1)[0][1] >= agreeing:
+            continue
+        kept.add(key)
+        for i, h in enumerate(hashes):
+            seen.setdefault((label, i, h), []).append(key)
+    return kept
+
+
+def make_voters(found: list[tuple[str, int, int]], sizes: tuple[int, int], lexicons: int = 4, odds: float = 8.0) -> Voters:
+    """Words dealt to ``lexicons`` voters in turn, beginnings to three by their length; of the terms, those of these odds."""
+    n1, n0 = sizes
+    good = [t for t, a, c in found if (a + 0.5) / (n1 + 1) >= odds * (c + 0.5) / (n0 + 1)]
+    whole = [t for t in good if not t.endswith("-")]
+    starts = [t for t in good if t.endswith("-")]
     dealt = [tuple(whole[i::lexicons]) for i in range(lexicons)]
     dealt += [tuple(t for t in starts if len(t) - 1 in lengths) for lengths in (BEGINNINGS[:1], BEGINNINGS[1:2], BEGINNINGS[2:])]
     return Voters(tuple(dealt))
 
 
-def learn(df: DataFrame, labels: DataFrame, key: str, text: str, label: str, most_rows: int = 12_000, label_accuracy: float = 0.95) -> tuple[LinearModel, LabelModel]:
+def learn(df: DataFrame, labels: DataFrame, key: str, text: str, label: str, most_rows: int = 12_000) -> tuple[LinearModel, LabelModel]:
     """The classifier and the label model.
 
-    Of the labelled keys at most ``most_rows`` suggest terms and train the
-    classifier, those with the smallest hash of the key. The label model sees
-    the votes of all rows of ``df``; their patterns are counted on the
-    executors, and there are at most 3 to the power of 10.
+    Of the labelled keys at most ``most_rows`` suggest terms and scale the
+    scores, those with the smallest hash of the key. The label model and the
+    classifier learn from all rows of ``df``: votes and terms are made in one
+    pass, equal ones are counted together on the executors, and the driver gets
+    the distinct vote patterns with their counts. The outcome does not depend on
+    the order of rows; of rows with one key, the text that sorts first is the
+    labelled one.
     """
     chosen = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(key).cast("long").alias("_key")).agg(F.max(label).cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("_key"), "_key").limit(most_rows)
-    rows = df.select(F.col(key).cast("long").alias("_key"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "_key").select("text", "label")
-    rows = written(one_of_copies(rows), "toxicity-rows")
+    texts = df.select(F.col(key).cast("long").alias("_key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = written(texts.join(F.broadcast(chosen), "_key").groupBy("_key").agg(F.min("text").alias("text"), F.max("label").alias("label")), "toxicity-rows")
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([batch.column("_key"), batch.column("label"), pa.array([least_hashes(t) for t in batch.column("text").to_pylist()], pa.list_(pa.int64()))], names=["_key", "label", "least"])
+
+    signed = [(r["_key"], r["label"], list(r["least"])) for r in rows.mapInArrow(sign, "_key bigint, label int, least array<bigint>").collect()]
+    single = one_of_copies(signed)
+    known_labels = {k: y for k, y, _ in signed if k in single}
+    sizes = (sum(known_labels.values()), sum(1 - y for y in known_labels.values()))
+    of_copies = df.sparkSession.createDataFrame([(k,) for k in sorted(set(k for k, _, _ in signed) - single)], "_key bigint")
+    rows = rows.join(F.broadcast(of_copies), "_key", "left_anti")
     found = suggested(rows)
     known = [t for t, _, _ in found]
-    voters = make_voters(found)
+    voters = make_voters(found, sizes)
 
-    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = TermTable(known)
         for batch in slices(batches, "text"):
-            counts = Counter(pattern_of(voters.votes({known[i]: n for i, n in table(t).items()})) for t in batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["pattern", "n"])
+            counts: Counter = Counter()
+            for value in batch.column("text").to_pylist():
+                own = {known[i]: n for i, n in sorted(table(value).items())}
+                counts[pattern_of(voters.votes(value, own)), tuple(t for t, n in own.items() for _ in range(min(n, MOST_WORDS)))] += 1
+            patterns = [p for p, _ in counts]
+            yield pa.RecordBatch.from_arrays([pa.array(patterns, pa.int64()), pa.array([list(t) for _, t in counts], pa.list_(pa.string())), pa.array(list(counts.values()), pa.int64())], names=["pattern", "terms", "n"])
+
+    seen = texts.mapInArrow(look, "pattern bigint, terms array<string>, n bigint").groupBy("pattern", "terms").agg(F.sum("n").alias("n"))
+    seen = written(seen, "toxicity-votes")
+    patterns = seen.groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").toPandas()
+    prior = sizes[0] / max(1, sum(sizes))
+    votes = votes_of(patterns["pattern"].to_numpy(int), voters.count)
+    model = fit_label_model(votes, patterns["n"].to_numpy(float), prior)
+    posterior = df.sparkSession.createDataFrame(list(zip(patterns["pattern"].tolist(), model.posterior(votes).tolist(), strict=True)), "pattern bigint, q double")
+    linear = fit_linear(seen.join(F.broadcast(posterior), "pattern"), known)
+    return scaled(linear, *_labelled_terms(rows, known)), model
+
+
+def _labelled_terms(rows: DataFrame, known: list[str]) -> tuple[list[dict[str, int]], np.ndarray]:
+    """Terms with their numbers of words, and labels, of (_key, text, label), in order of the keys."""
 
-    def have(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = TermTable(known)
         for batch in slices(batches, "text"):
-            found = [list(table(t).items()) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.map_(pa.int32(), pa.int32())), batch.column("label")], names=["terms", "label"])
+            own = [sorted((known[i], n) for i, n in table(t).items()) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("_key"), pa.array(own, pa.map_(pa.string(), pa.int32())), batch.column("label")], names=["_key", "terms", "label"])
 
-    patterns = df.select(F.col(text).cast("string").alias("text")).mapInArrow(vote, "pattern bigint, n bigint").groupBy("pattern").agg(F.sum("n").alias("n")).toPandas()
-    known_rows = rows.mapInArrow(have, "terms map<int,int>, label int").collect()
-    prior = sum(r["label"] for r in known_rows) / max(1, len(known_rows))
-    model = fit_label_model(votes_of(patterns["pattern"].to_numpy(int), voters.count), patterns["n"].to_numpy(float), prior)
-    votes = np.array([voters.votes({known[i]: n for i, n in r["terms"].items()}) for r in known_rows], int).reshape(-1, voters.count)
-    # a label is one more voter, of a set accuracy, where there is one
-    said = np.array([1.0 if r["label"] else -1.0 for r in known_rows])
-    odds = model.posterior(votes).clip(1e-9, 1 - 1e-9)
-    target = 1 / (1 + np.exp(-np.clip(np.log(odds / (1 - odds)) + said * np.log(label_accuracy / (1 - label_accuracy)), -60, 60)))
-    return fit_linear([r["terms"] for r in known_rows], target, known), model
+    got = sorted(rows.select("_key", "text", "label").mapInArrow(run, "_key bigint, terms map<string,int>, label int").collect(), key=lambda r: r["_key"])
+    return [r["terms"] for r in got], np.array([r["label"] for r in got], float)
 
 
 def score_toxicity(df: DataFrame, model: LinearModel, text: str = "text", name: str = "score") -> DataFrame:
@@ -290,9 +398,9 @@ def score_toxicity(df: DataFrame, model: LinearModel, text: str = "text", name:
     schema = T.StructType([*kept.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, weights = TermTable(list(model.terms)), np.array(model.weights)
+        table = TermTable(list(model.terms))
         for batch in slices(batches, text):
-            margin = np.array([model.intercept + sum(weights[i] * min(n, MOST_WORDS) ** 0.5 for i, n in sorted(table(t).items())) for t in batch.column(text).to_pylist()])
+            margin = np.array([model.margin(table(t)) for t in batch.column(text).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(margin, -60, 60))))], names=schema.names)
 
     return kept.mapInArrow(run, schema)
