@@ -77,16 +77,26 @@ def _grams(urls: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return owner[real], gram[real]
 
 
+def url_hashes(url: Column) -> list[Column]:
+    """Two hashes that share no state: a URL's name in 128 bits, however long it is."""
+    return [F.xxhash64(url).alias("u1"), F.xxhash64(F.concat(F.lit("\x01"), url)).alias("u2")]
+
+
 def url_grams(df: DataFrame, url: str) -> DataFrame:
-    """(url, gram): a row for each byte and end of each row's URL."""
+    """(u1, u2, gram, n): how often each gram, of each byte and end, is in each row's URL."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "url", 1 << 18):
             if batch.num_rows:
                 owner, gram = _grams(batch.column("url").to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column("url").take(pa.array(owner)), pa.array(gram)], names=["url", "gram"])
+                order = np.lexsort((gram, owner))
+                owner, gram = owner[order], gram[order]
+                first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (gram[1:] != gram[:-1])]))
+                names = pa.array(owner[first])
+                yield pa.RecordBatch.from_arrays([batch.column("u1").take(names), batch.column("u2").take(names), pa.array(gram[first]), pa.array(np.diff(np.append(first, len(gram))))], names=["u1", "u2", "gram", "n"])
 
-    return df.select(F.coalesce(F.col(url), F.lit("")).alias("url")).mapInArrow(run, "url string, gram bigint")
+    seen = F.coalesce(F.col(url), F.lit(""))
+    return df.select(*url_hashes(seen), seen.alias("url")).mapInArrow(run, "u1 bigint, u2 bigint, gram bigint, n bigint")
 
 
 def count_grams(df: DataFrame) -> DataFrame:
@@ -140,16 +150,17 @@ class RatioModel:
     def scores(self, urls: list[str]) -> np.ndarray:
         """The difference of log-likelihoods by character."""
         spark = self.counts.sparkSession
-        found = {r["url"]: r["score"] for r in url_scores(self.counts, spark.createDataFrame([(u,) for u in urls], "url string"), "url").collect()}
+        asked = spark.createDataFrame([(u,) for u in urls], "url string")
+        found = {r["url"]: r["score"] for r in asked.select("url", *url_hashes(F.col("url"))).join(url_scores(self.counts, asked, "url"), ["u1", "u2"]).collect()}
         return np.array([found[u] for u in urls])
 
 
 def url_scores(counts: DataFrame, df: DataFrame, url: str) -> DataFrame:
-    """(url, score) of the distinct URLs: the difference of log-likelihoods by character, their ends included. A null URL is an empty one."""
+    """(u1, u2, score) of the distinct URLs: the difference of log-likelihoods by character, their ends included. A null URL is an empty one."""
     grams = written(url_grams(df.select(F.coalesce(F.col(url), F.lit("")).alias("url")).distinct(), "url"), "scored-grams")
     ratios = written(gram_ratios(counts, grams.select("gram").distinct()), "gram-ratios")
-    score = F.sum("ratio") / F.count("*") / F.lit(2.0**40)
-    return written(grams.join(ratios, "gram").groupBy("url").agg(score.alias("score")), "url-scores")
+    score = F.sum(F.col("ratio") * F.col("n")) / F.sum("n") / F.lit(2.0**40)
+    return written(grams.join(ratios, "gram").groupBy("u1", "u2").agg(score.alias("score")), "url-scores")
 
 
 def calibrated(df: DataFrame, bins: int = 400, span: float = 8.0) -> float:
@@ -172,7 +183,8 @@ def learn(df: DataFrame) -> RatioModel:
     """A model of all rows (url, verdict). A fifth of them, by a hash of the URL, calibrates; the others are counted, and so equal URLs fall on one side."""
     held_out = F.pmod(F.xxhash64("url"), F.lit(5)) == 0
     counts, calibrating = count_grams(df.where(~held_out)), df.where(held_out)
-    return RatioModel(counts, calibrated(calibrating.join(url_scores(counts, calibrating, "url"), "url").select("score", "verdict")))
+    named = calibrating.select("verdict", *url_hashes(F.coalesce("url", F.lit(""))))
+    return RatioModel(counts, calibrated(named.join(url_scores(counts, calibrating, "url"), ["u1", "u2"]).select("score", "verdict")))
 
 
 def filter_urls(df: DataFrame, rules: tuple[Rule, ...], url: str = "url") -> DataFrame:
@@ -195,8 +207,9 @@ def filter_urls(df: DataFrame, rules: tuple[Rule, ...], url: str = "url") -> Dat
     rule, verdict = best_rule(F.col("host"), F.col("path"), rules)
     parts = parts.withColumns({"rule": rule, judged: verdict, seen: F.regexp_replace(F.coalesce(F.col(url), F.lit("")), r"^[^:/?#]*://", "")})
     model = learn(parts.where(F.col(judged).isNotNull()).select(F.col(seen).alias("url"), F.col(judged).alias("verdict")))
-    own_score, own_url = fresh(parts.columns, "own_score", "own_url")
-    scores = url_scores(model.counts, parts, seen).select(F.col("url").alias(own_url), F.col("score").alias(own_score))
+    own_score, u1, u2 = fresh(parts.columns, "own_score", "u1", "u2")
+    scores = url_scores(model.counts, parts, seen).select(F.col("u1").alias(u1), F.col("u2").alias(u2), F.col("score").alias(own_score))
     own = F.when(F.col("score") >= model.threshold, F.lit("allow")).otherwise(F.lit("block"))
-    found = parts.join(scores, F.col(seen) == F.col(own_url)).withColumnRenamed(own_score, "score")
-    return found.withColumn("verdict", F.coalesce(F.col(judged), own)).drop(seen, judged, own_url)
+    h1, h2 = url_hashes(F.col(seen))
+    found = parts.withColumns({u1: h1, u2: h2}).join(scores, [u1, u2]).withColumnRenamed(own_score, "score")
+    return found.withColumn("verdict", F.coalesce(F.col(judged), own)).drop(seen, judged, u1, u2)
