@@ -2,14 +2,19 @@
 
 Corners are found at several scales; the patch around each is turned by its
 intensity centroid's angle, and pairs of its smoothed pixels are compared, which
-gives a binary descriptor. Descriptors meet in tables by parts of their bits; of
-those that meet and are within a Hamming distance, two images are linked if
-enough of them agree on one shift, turn and scale. Cropped or edited copies keep
-many corners, and so are found.
+gives a binary descriptor. Corners meet in Hamming tables together with a corner
+near them: a key is some bits of both descriptors, and two that share one must
+also lie alike. Of images that meet, two are linked if enough corners agree on
+one shift, turn and scale, each weighed by how near its descriptors are. Cropped
+or edited copies keep many corners, and so are found.
+
+Formats that are read: binary PGM and PPM of 8 bits, and PNG of 8 bits without
+interlacing and palette. An image of another format takes part by its bytes only.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 from collections.abc import Iterator
@@ -22,13 +27,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .cluster import written
+from .cluster import slices, written
 from .components import components
 
 SCALES = (1.0, 0.75, 0.5)
 RADIUS = 7  # of a patch
 WORDS = 4  # of 64 bits in a descriptor
-BANDS, BAND_BYTES = 16, 3  # keys of a descriptor, each of so many of its bytes; neighbouring ones share a third
+BANDS, BAND_BITS = 8, 16  # keys of a doublet, each of so many bits of both descriptors
+CHECK_BITS = 64  # of each of the two, compared where doublets meet
+NEIGHBOURS = 4  # corners that a corner makes doublets with
+CHECK_DIFFERING = 16  # of the two times CHECK_BITS, at most
+TURN_STEPS, TURN_APART, LENGTH_STEPS, LENGTH_APART = 256, 14, 16, 5  # of a full turn and of a doubling; how far doublets that meet may be apart
+SKETCH = 16  # keys of an image by which it meets others first
 
 
 def decode(data: bytes | None) -> np.ndarray | None:
@@ -194,28 +204,40 @@ def describe(image: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(places), np.concatenate(found)
 
 
-def agreement(a_places: np.ndarray, a: np.ndarray, b_places: np.ndarray, b: np.ndarray, most_bits: int) -> int:
-    """Corners of ``a`` whose nearest descriptor in ``b`` is within ``most_bits`` and that agree on one shift, turn and change of scale: the fullest cell of their votes with its neighbours."""
+def consensus(a_places: np.ndarray, a: np.ndarray, b_places: np.ndarray, b: np.ndarray, most_bits: int = 48) -> tuple[int, float]:
+    """(corners, evidence) of two images: corners of ``a`` whose nearest descriptors in ``b`` agree on one shift, turn and change of scale, and the sum of the bits by which these are nearer than ``most_bits``.
+
+    Of the cells of votes, with their neighbours, the one with the most
+    evidence; a corner of ``b`` counts once. The more descriptors an image has
+    the nearer is one by chance, so for each doubling of 22 a corner counts
+    three bits less.
+    """
     if not len(a) or not len(b):
-        return 0
+        return 0, 0.0
     bits = np.bitwise_count(a[:, None, :] ^ b[None, :, :]).sum(axis=2)
     near = bits.argmin(axis=1)
-    ok = bits[np.arange(len(a)), near] <= most_bits
+    worth = most_bits - 3 * max(0.0, math.log2(len(b) / 22)) - bits[np.arange(len(a)), near]
+    ok = worth > 0
     if not ok.any():
-        return 0
-    p, q = a_places[ok], b_places[near[ok]]
+        return 0, 0.0
+    p, q, worth, owner = a_places[ok], b_places[near[ok]], worth[ok], near[ok]
     turn = (q[:, 3] - p[:, 3] + math.pi) % (2 * math.pi) - math.pi
     scale = np.log2(q[:, 2] / p[:, 2])
     grow, cos, sin = 2.0**scale, np.cos(turn), np.sin(turn)
     dy = q[:, 0] - grow * (cos * p[:, 0] + sin * p[:, 1])
     dx = q[:, 1] - grow * (cos * p[:, 1] - sin * p[:, 0])
     votes = np.column_stack([dy / 6, dx / 6, turn / 0.35, scale / 0.5])
-    best = 0
+    best = (0, 0.0)
+    order = np.argsort(-worth, kind="stable")  # of corners with one partner the nearest comes first
+    votes, worth, owner = votes[order], worth[order], owner[order]
     for v in votes:
         off = np.abs(votes - v)
         off[:, 2] = np.minimum(off[:, 2], 2 * math.pi / 0.35 - off[:, 2])
-        mine = (off <= 1).all(axis=1)
-        best = max(best, len(np.unique(near[ok][mine])))
+        mine = np.flatnonzero((off <= 1).all(axis=1))
+        _, first = np.unique(owner[mine], return_index=True)
+        found = float(worth[mine[first]].sum())
+        if found > best[1]:
+            best = len(first), found
     return best
 
 
@@ -223,137 +245,237 @@ def describe_images(df: DataFrame, key: str, image: str) -> DataFrame:
     """(image_id, same, places, bits): places and descriptors as bytes; ``same`` is a hash of the decoded grey levels, by which equal images are one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                decoded = [decode(d) for d in part.column("image").to_pylist()]
+        for whole in batches:
+            for batch in slices(iter([whole]), "image", 4 << 20):
+                data = batch.column("image").to_pylist()
+                decoded = [decode(d) for d in data]
                 rows = [describe(i) for i in decoded]
-                same = [hash_of(i) for i in decoded]
-                yield pa.RecordBatch.from_arrays([part.column("image_id"), pa.array(same, pa.binary()), pa.array([p.astype("<f4").tobytes() for p, _ in rows], pa.binary()), pa.array([b.tobytes() for _, b in rows], pa.binary())], names=["image_id", "same", "places", "bits"])
+                same = [hash_of(i, d, k) for i, d, k in zip(decoded, data, batch.column("image_id").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("image_id"), pa.array(same, pa.binary()), pa.array([p.astype("<f4").tobytes() for p, _ in rows], pa.binary()), pa.array([b.tobytes() for _, b in rows], pa.binary())], names=["image_id", "same", "places", "bits"])
 
     return df.select(F.col(key).cast("long").alias("image_id"), F.col(image).cast("binary").alias("image")).mapInArrow(run, "image_id bigint, same binary, places binary, bits binary")
 
 
-def hash_of(image: np.ndarray | None) -> bytes:
-    import hashlib
-
-    return hashlib.blake2b(b"" if image is None else repr(image.shape).encode() + image.tobytes(), digest_size=16).digest()
+def hash_of(image: np.ndarray | None, data: bytes | None, key: int | None) -> bytes:
+    """Of the grey levels; of the bytes of what cannot be read; of the key where there is no image, as nulls are no copies of one another."""
+    raw = repr(image.shape).encode() + image.tobytes() if image is not None else f"null {key}".encode() if data is None else b"raw" + data
+    return hashlib.blake2b(raw, digest_size=16).digest()
 
 
-def band_keys(bits: np.ndarray) -> np.ndarray:
-    """The keys of descriptors, a column for each band."""
-    raw = bits.view(np.uint8).reshape(len(bits), 8 * WORDS)
-    step = raw.shape[1] // BANDS
-    out = np.zeros((len(raw), BANDS), np.int64)
-    for band in range(BANDS):
-        for i in range(BAND_BYTES):
-            out[:, band] |= raw[:, (step * band + i) % raw.shape[1]].astype(np.int64) << (8 * i)
-    return out
+@cache
+def _chosen_bits() -> np.ndarray:
+    """The descriptors' bits in a fixed mixed order: those of each key, then at the end those that are compared."""
+    return np.random.default_rng(7).permutation(64 * WORDS)
 
 
-def table_keys(classes: DataFrame) -> DataFrame:
-    """(key, image, d0, d1, ...): a row for each descriptor and band of its bits; the band is the key's highest byte."""
-    words = [f"d{i}" for i in range(WORDS)]
+def doublets(places: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, check, layout) of each corner with its nearest ones of the same scale, three pixels off or more.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                raw = part.column("bits").to_pylist()
-                bits = np.frombuffer(b"".join(raw), "<u8").reshape(-1, WORDS)
-                image = np.repeat(part.column("image").to_numpy(), [len(r) // (8 * WORDS) for r in raw])
-                keys = band_keys(bits) | np.arange(BANDS) << 56
-                held = np.repeat(bits, BANDS, axis=0).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(image, BANDS)), *[pa.array(np.ascontiguousarray(held[:, i])) for i in range(WORDS)]], names=["key", "image", *words])
-
-    return classes.select("image", "bits").mapInArrow(run, ", ".join(["key bigint", "image bigint", *[f"{w} bigint" for w in words]]))
-
-
-def meeting_images(key: np.ndarray, image: np.ndarray, bits: np.ndarray, most_bits: int) -> np.ndarray:
-    """Distinct pairs (larger, smaller) of images of which descriptors under one key, of sorted ones, differ in ``most_bits`` or less; each is compared with each."""
-    names, own = np.unique(image, return_inverse=True)
-    found, at, step = [np.zeros(0, np.int64)], np.arange(len(key)), 1
-    while len(at := at[: np.searchsorted(at, len(key) - step)]) and len(at := at[key[at + step] == key[at]]):
-        for part in np.array_split(at, len(at) // (1 << 18) + 1):
-            near = part[np.bitwise_count(bits[part] ^ bits[part + step]).sum(axis=1, dtype=np.int64) <= most_bits]
-            a, b = own[near], own[near + step]
-            found.append((np.maximum(a, b) * len(names) + np.minimum(a, b))[a != b])
-        if len(found) > 64:
-            found = [np.unique(np.concatenate(found))]
-        step += 1
-    pairs = np.unique(np.concatenate(found))
-    return np.stack([names[pairs // max(1, len(names))], names[pairs % max(1, len(names))]])
-
-
-def candidate_pairs(keys: DataFrame, most_bits: int = 40) -> DataFrame:
-    """(a, b): all images of which descriptors meet in a table and differ in ``most_bits`` or less.
-
-    A key's descriptors are compared where they meet, each with each, and only
-    images of which some are near make rows; so no image is kept from another by
-    those between them. A task holds the descriptors of one key and a batch.
+    keys has a column for each band: bits of the first descriptor above those of
+    the second. check has further bits of each. layout has the direction to the
+    second corner against the first's angle, the difference of their angles, and
+    the logarithm of their distance, in steps.
+    """
+    n = len(places)
+    none = np.zeros((0, BANDS), np.uint32), np.zeros((0, 2), np.uint64), np.zeros((0, 3), np.uint8)
+    if n < 2:
+        return none
+    firsts, seconds = [], []
+    for scale in np.unique(places[:, 2]):
+        at = np.flatnonzero(places[:, 2] == scale)
+        for part in np.array_split(at, len(at) // 256 + 1):
+            apart = np.hypot(places[at, 0] - places[part, 0][:, None], places[at, 1] - places[part, 1][:, None])
+            apart = np.where(apart >= 3 * scale, apart, np.inf)
+            near = np.argsort(apart, axis=1, kind="stable")[:, :NEIGHBOURS]
+            ok = np.isfinite(np.take_along_axis(apart, near, axis=1))
+            firsts.append(np.repeat(part, near.shape[1])[ok.ravel()])
+            seconds.append(at[near.ravel()][ok.ravel()])
+    i, j = np.concatenate(firsts), np.concatenate(seconds)
+    if not len(i):
+        return none
+    one = np.unpackbits(bits.view(np.uint8).reshape(n, -1), axis=1, bitorder="little")[:, _chosen_bits()]
+    pack = lambda part: (part.astype(np.uint64) << np.arange(part.shape[1], dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+    band = np.column_stack([pack(one[:, k * BAND_BITS : (k + 1) * BAND_BITS]) for k in range(BANDS)])
+    last = pack(one[:, -CHECK_BITS:])
+    dy, dx = places[j, 0] - places[i, 0], places[j, 1] - places[i, 1]
+    around = lambda angle: (np.rint(angle / (2 * math.pi) * TURN_STEPS).astype(np.int64) % TURN_STEPS).astype(np.uint8)
+    length = np.rint(np.log2(np.hypot(dy, dx) / places[i, 2]) * LENGTH_STEPS).clip(0, 255).astype(np.uint8)
+    layout = np.column_stack([around(np.arctan2(dy, dx) - places[i, 3]), around(places[j, 3] - places[i, 3]), length])
+    return (band[i] << np.uint64(BAND_BITS) | band[j]).astype(np.uint32), np.column_stack([last[i], last[j]]), layout
+
+
+def alike(check_a: np.ndarray, layout_a: np.ndarray, check_b: np.ndarray, layout_b: np.ndarray) -> np.ndarray:
+    """Whether doublets of one key have near descriptors and lie alike."""
+    off = np.abs(layout_a.astype(np.int16) - layout_b)
+    turned = np.minimum(off[:, :2], TURN_STEPS - off[:, :2])
+    return (turned <= TURN_APART).all(axis=1) & (off[:, 2] <= LENGTH_APART) & (np.bitwise_count(check_a ^ check_b).sum(axis=1) <= CHECK_DIFFERING)
+
+
+def _of_images(batch: pa.RecordBatch) -> Iterator[tuple[int, int, tuple]]:
+    """(row, image, doublets) of each image of a batch."""
+    for row, (image, places, bits) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("image", "places", "bits")), strict=True)):
+        yield row, image, doublets(np.frombuffer(places, "<f4").reshape(-1, 4).astype(float), np.frombuffer(bits, "<u8").reshape(-1, WORDS))
+
+
+def first_pairs(classes: DataFrame) -> DataFrame:
+    """(a, b): under each of an image's ``SKETCH`` least keys, by their hash, the image and one of those that have the key, another for each key.
+
+    That joins a large group of copies by few pairs: of the group's images each
+    has the same chance to be a key's centre, and they share most keys.
     """
-    words = [f"d{i}" for i in range(WORDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(key: np.ndarray, image: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
-            a, b = meeting_images(key, image, bits, most_bits)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-        held: list[tuple] = []  # parts with rows of the last key, which may go on
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, image = (batch.column(c).to_numpy() for c in ("key", "image"))
-            bits = np.column_stack([batch.column(w).to_numpy() for w in words]).view(np.uint64)
-            held.append((key, image, bits))
-            cut = int(np.searchsorted(key, key[-1]))
-            if cut or held[0][0][0] != key[-1]:
-                last = (key[cut:], image[cut:], bits[cut:])
-                yield out(*map(np.concatenate, zip(*held[:-1], (key[:cut], image[:cut], bits[:cut]), strict=True)))
-                held = [last]
-        if held:
-            yield out(*map(np.concatenate, zip(*held, strict=True)))
-
-    met = keys.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint")
-    return met.distinct()
+            out: list[list[np.ndarray]] = [[] for _ in range(7)]
+            for _, image, (keys, check, layout) in _of_images(batch):
+                if not len(keys):
+                    continue
+                flat = (np.arange(BANDS, dtype=np.uint64) << np.uint64(32) | keys).ravel()
+                mixed = flat * np.uint64(0x9E3779B97F4A7C15)
+                mixed ^= mixed >> np.uint64(29)
+                _, first = np.unique(mixed, return_index=True)
+                at = first[:SKETCH]
+                row = at // BANDS
+                for held, values in zip(out, (flat[at].view(np.int64), np.full(len(at), image), *np.ascontiguousarray(check[row].T).view(np.int64), *layout[row].T.astype(np.int32)), strict=True):
+                    held.append(values)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held)) for held in out], names=["key", "image", "c", "e", "d", "t", "l"])
+
+    rows = classes.select("image", "places", "bits").mapInArrow(run, "key bigint, image bigint, c bigint, e bigint, d int, t int, l int")
+    rows = written(rows, "image-sketches")
+    centre = rows.groupBy("key").agg(F.min_by(F.struct("image", "c", "e", "d", "t", "l"), F.xxhash64("image", "key")).alias("o"), F.count("*").alias("n")).where(F.col("n") > 1)
+    met = rows.join(centre, "key").where(F.col("image") != F.col("o.image"))
+    turned = lambda x: F.least(F.abs(F.col(x) - F.col(f"o.{x}")), TURN_STEPS - F.abs(F.col(x) - F.col(f"o.{x}"))) <= TURN_APART
+    lie = turned("d") & turned("t") & (F.abs(F.col("l") - F.col("o.l")) <= LENGTH_APART)
+    near = F.bit_count(F.col("c").bitwiseXOR(F.col("o.c"))) + F.bit_count(F.col("e").bitwiseXOR(F.col("o.e"))) <= CHECK_DIFFERING
+    return met.where(lie & near).select(F.greatest("image", "o.image").alias("a"), F.least("image", "o.image").alias("b")).distinct()
+
+
+def crossing(key: np.ndarray, label: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of all pairs with one key and different labels, of rows in order of key and label, about ``most`` at a time: what has the key and the same label is passed over without being looked at."""
+    n = len(key)
+    if not n:
+        return
+    key_end = np.searchsorted(key, key, side="right")
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (label[1:] != label[:-1])])
+    ends = np.append(np.flatnonzero(new)[1:], n)
+    own_end = ends[np.cumsum(new) - 1]
+    count = key_end - own_end
+    first = np.flatnonzero(count)
+    total = np.cumsum(count[first])
+    at = 0
+    while at < len(first):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, side="right")))
+        rows, many = first[at:end], count[first[at:end]]
+        step = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        yield np.repeat(rows, many), np.repeat(own_end[rows], many) + step
+        at = end
 
 
-def copies(df: DataFrame, key: str, image: str, most_bits: int = 40, least_agreeing: int = 4, least_share: float = 0.15) -> DataFrame:
-    """(image_id, component_id, n_links) of every row: copies, whole, cropped or edited, have one component.
+def crossing_pairs(labelled: DataFrame, part_rows: int = 1 << 20) -> DataFrame:
+    """(a, b): all images (image, places, bits, label) of different labels of which doublets meet under a key and are alike.
 
-    Equal images are one class. Classes that meet in the tables are linked if at
-    least ``least_agreeing`` corners, and ``least_share`` of those of the image
-    that has fewer, agree on a shift, turn and scale. n_links is
-    the number of verified links of the image's class with other classes, and
-    component_id the smallest id reachable.
-
-    Null, broken and cornerless images link to no others; those that do not
-    decode are one class, as they are equal. Repeated rows stay; rows with a
-    null id take part and have their class's component; an empty table gives no
-    rows; other columns are not read.
+    Doublets are dealt by a hash of their key, packed in columns of bytes, and
+    each is compared with all of its key that have another label. A task holds
+    one part of the keys, of about ``part_rows`` doublets; a key is in one part.
     """
-    rows = written(describe_images(df, key, image), "image-descriptors")
-    classes = rows.groupBy("same").agg(F.min("image_id").alias("image"), F.first("places").alias("places"), F.first("bits").alias("bits"))
-    classes = written(classes.where(F.col("image").isNotNull()), "image-classes")
-    pairs = written(candidate_pairs(table_keys(classes), most_bits), "image-pairs")
+    parts = max(int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions")), labelled.count() * 22 * NEIGHBOURS * BANDS // part_rows)
+    names = ["part", "bands", "keys", "owners", "checks", "layouts", "images", "labels"]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(at, 256) for at in range(0, whole.num_rows, 256)):
+                found = [(row, *got) for row, _, got in _of_images(batch) if len(got[0])]
+                if not found:
+                    continue
+                sizes = [len(k) for _, k, _, _ in found]
+                owner = np.repeat(np.repeat([row for row, *_ in found], sizes), BANDS).astype(np.uint8)
+                keys = np.concatenate([k for _, k, _, _ in found]).ravel()
+                bands = np.tile(np.arange(BANDS, dtype=np.uint8), len(keys) // BANDS)
+                flat = bands.astype(np.uint64) << np.uint64(32) | keys
+                check = np.repeat(np.concatenate([c for _, _, c, _ in found]), BANDS, axis=0)
+                layout = np.repeat(np.concatenate([x for *_, x in found]), BANDS, axis=0)
+                mixed = flat * np.uint64(0xD6E8FEB86659FD93)
+                part = ((mixed ^ mixed >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                values, starts = np.unique(part[order], return_index=True)
+                images, labels = (batch.column(c).to_numpy().astype("<i8") for c in ("image", "label"))
+                rows = []
+                for value, o in zip(values.tolist(), np.split(order, starts[1:]), strict=True):
+                    own, at = np.unique(owner[o], return_inverse=True)  # only the images that are in the part
+                    rows.append((value, bands[o].tobytes(), keys[o].tobytes(), at.astype(np.uint8).tobytes(), check[o].tobytes(), layout[o].tobytes(), images[own].tobytes(), labels[own].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64() if i == 0 else pa.binary()) for i in range(len(names))], names=names)
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        images = [np.frombuffer(x, "<i8") for x in group["images"]]
+        labels = [np.frombuffer(x, "<i8") for x in group["labels"]]
+        owners = [np.frombuffer(x, np.uint8) for x in group["owners"]]
+        key = np.frombuffer(b"".join(group["bands"]), np.uint8).astype(np.uint64) << np.uint64(32) | np.frombuffer(b"".join(group["keys"]), np.uint32)
+        check = np.frombuffer(b"".join(group["checks"]), np.uint64).reshape(-1, 2)
+        layout = np.frombuffer(b"".join(group["layouts"]), np.uint8).reshape(-1, 3)
+        image, label = (np.concatenate([x[o] for x, o in zip(held, owners, strict=True)]) for held in (images, labels))
+        order = np.lexsort((label, key))
+        key, image, label, check, layout = key[order], image[order], label[order], check[order], layout[order]
+        found = [np.zeros((2, 0), np.int64)]
+        for x, y in crossing(key, label):
+            near = alike(check[x], layout[x], check[y], layout[y])
+            x, y = image[x[near]], image[y[near]]
+            found.append(np.stack([np.maximum(x, y), np.minimum(x, y)]))
+            if len(found) > 64:
+                found = [np.unique(np.concatenate(found, axis=1), axis=1)]
+        a, b = np.unique(np.concatenate(found, axis=1), axis=1)
+        return pd.DataFrame({"a": a, "b": b})
+
+    dealt = labelled.select("image", "places", "bits", "label").mapInArrow(deal, ", ".join(["part bigint", *[f"{n} binary" for n in names[1:]]]))
+    return dealt.groupBy("part").applyInPandas(meet, "a bigint, b bigint").distinct()
+
+
+def verified(pairs: DataFrame, classes: DataFrame, least_agreeing: int, least_share: float, least_evidence: float) -> DataFrame:
+    """The pairs (a, b) of images that agree enough."""
     left = classes.select(F.col("image").alias("a"), F.col("places").alias("pa"), F.col("bits").alias("ba"))
     right = classes.select(F.col("image").alias("b"), F.col("places").alias("pb"), F.col("bits").alias("bb"))
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for xp, xb, yp, yb in zip(*(batch.column(c).to_pylist() for c in ("pa", "ba", "pb", "bb")), strict=True):
                 x, y = (np.frombuffer(b, "<u8").reshape(-1, WORDS) for b in (xb, yb))
                 p, q = (np.frombuffer(b, "<f4").reshape(-1, 4) for b in (xp, yp))
-                keep.append(agreement(p, x, q, y, most_bits) >= max(least_agreeing, least_share * min(len(x), len(y))))
+                corners, evidence = consensus(p, x, q, y)
+                keep.append(corners >= max(least_agreeing, least_share * min(len(x), len(y))) and evidence >= least_evidence)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    links = written(pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "ba", "pb", "bb").mapInArrow(verify, "a bigint, b bigint"), "image-links")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "ba", "pb", "bb").mapInArrow(run, "a bigint, b bigint")
+
+
+def copies(df: DataFrame, key: str, image: str, least_agreeing: int = 4, least_share: float = 0.15, least_evidence: float = 120.0) -> DataFrame:
+    """(image_id, component_id) of every row: copies, whole, cropped or edited, have one component, the smallest id reachable.
+
+    Equal images are one class. Classes that meet in the tables are linked if at
+    least ``least_agreeing`` corners, and ``least_share`` of those of the image
+    that has fewer, agree on a shift, turn and scale, with ``least_evidence`` in
+    bits. Pairs come in two steps: first a few for each image, which join most
+    of a large group; then all that meet between different groups. So whatever
+    meets is either verified or joined already, and a group of n copies makes
+    about n pairs.
+
+    Null and cornerless images link to no others; those that are not read are
+    one class if their bytes are equal. Repeated rows stay; rows with a null id
+    take part and have their class's component; an empty table gives no rows;
+    other columns are not read.
+    """
+    rows = written(describe_images(df, key, image), "image-descriptors")
+    classes = rows.groupBy("same").agg(F.min("image_id").alias("image"), F.first("places").alias("places"), F.first("bits").alias("bits"))
+    classes = written(classes.where(F.col("image").isNotNull()), "image-classes")
+    rules = (least_agreeing, least_share, least_evidence)
+    links = written(verified(written(first_pairs(classes), "image-first-pairs"), classes, *rules), "image-first-links")
     roots = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("image")).groupBy("image").agg(F.count("*").alias("links"))
-    placed = classes.join(roots, F.col("image") == F.col("node"), "left").join(degree, "image", "left")
-    placed = written(placed.select("same", F.coalesce("root", "image").alias("component_id"), F.coalesce("links", F.lit(0).cast("long")).alias("n_links")), "image-components")
-    return rows.select("image_id", "same").join(placed, "same", "left").select("image_id", "component_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    labelled = classes.join(roots, F.col("image") == F.col("node"), "left").select("image", "places", "bits", F.coalesce("root", "image").alias("label"))
+    more = verified(written(crossing_pairs(written(labelled, "image-labels")), "image-pairs"), classes, *rules)
+    roots = components(written(more, "image-links").unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    placed = classes.join(roots, F.col("image") == F.col("node"), "left")
+    placed = written(placed.select("same", F.coalesce("root", "image").alias("component_id")), "image-components")
+    return rows.select("image_id", "same").join(placed, "same", "left").select("image_id", "component_id")
 
 
 def thumbnails(vector: Column, side: int = 8, factor: int = 4) -> Column:

@@ -1,5 +1,6 @@
 """SimHash, line dedup and decontamination against brute force."""
 
+import functools
 import hashlib
 import re
 from collections import Counter, defaultdict
@@ -97,6 +98,40 @@ def test_a_crowded_bucket_is_split():
     assert roots(1 << 21) == roots(500) == [0] * len(found)
 
 
+def test_a_hot_bucket_is_met_in_blocks(spark):
+    """A third of all fingerprints are one ball's: cut into parts, they are linked as they are whole, and no task has more than two parts."""
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(9)
+    ball = np.full(400, r.integers(0, 1 << 63), np.uint64)
+    for _ in range(3):
+        ball ^= np.uint64(1) << r.integers(0, 64, 400).astype(np.uint64)
+    prints = np.unique(np.concatenate([ball, r.integers(0, 1 << 63, 800, np.uint64)]))
+    df = spark.createDataFrame([(int(x),) for x in prints.view(np.int64)], "fp bigint")
+    roots = lambda links: {(x.node, x.root) for x in components.components(links).collect()}
+    whole, cut = simhash.near_links(df), simhash.near_links(df, most=90)
+    assert roots(cut) == roots(whole) and len(roots(whole)) > 300
+    dealt = df.select("fp", F.lit(0).alias("lead"))
+    sizes = simhash.in_blocks(dealt, ["lead"], F.lit(1), F.col("fp"), 100).groupBy("p", "q").count().collect()
+    assert max(x["count"] for x in sizes) < 2 * 150 and len(sizes) > 50
+
+
+def test_similar_groups_in_blocks(spark, monkeypatch):
+    words = [f"w{i}" for i in range(120)]
+    r = np.random.default_rng(1)
+    texts = []
+    for i in range(60):
+        own = list(words)
+        for at in r.integers(0, 120, int(r.integers(0, 6))):
+            own[at] = f"x{i}{at}"
+        texts.append((i, " ".join(own)))
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    want = sorted(map(tuple, simhash.similar_groups(df).collect()))
+    for f in (simhash.similar_links, simhash.crossing_links):
+        monkeypatch.setattr(simhash, f.__name__, functools.partial(f, most=20))
+    assert sorted(map(tuple, simhash.similar_groups(df.repartition(9)).collect())) == want
+
+
 def test_components_of_long_paths(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 102), (102, 101), (7, 7), (None, 3), (-5, -9)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
@@ -186,8 +221,12 @@ def test_keep_first(spark, awkward, empty):
     assert simhash.keep_first(empty).count() == 0
 
 
+def key_of_line(line):
+    return lowered(line.strip(" \t\n\x0b\f\r"))
+
+
 def brute_lines(docs):
-    key = lambda line: lowered(line.strip(" \t\n\x0b\f\r"))
+    key = key_of_line
     where = defaultdict(set)
     for doc, text in docs:
         for line in (text or "").split("\n"):
@@ -230,6 +269,41 @@ def test_runs_are_compacted(spark, tmp_path):
     assert [tuple(r) for r in runs.frequent(5).collect()] == [(1, 1, 4)]
 
 
+def exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange"), plan.count("Sort "), plan.count("SortMergeJoin")
+
+
+def test_a_batch_merges_with_the_runs_as_they_lie(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(3000).select(F.xxhash64("id").alias("h1"), F.xxhash64("id", F.lit(1)).alias("h2"), F.lit(1).cast("long").alias("n"), F.col("id").alias("last"))
+    runs = line_dedup.LineRuns(spark, str(tmp_path / "runs"), fanout=3, buckets=4)
+    runs.add(rows.where("last < 1500"))
+    runs.add(rows.where("last >= 1000 and last < 2500"))
+    batch = runs._put(rows.where("last >= 2000"), "batch")
+    with runs.sorted_buckets():
+        merged = runs.merged(spark.table(batch), "left_anti")
+        assert exchanges(merged) == (0, 0, 2)
+        assert sorted(r["last"] for r in merged.collect()) == list(range(2500, 3000))
+    assert spark.conf.get("spark.sql.legacy.bucketedTableScan.outputOrdering") == "false"
+    assert runs.runs().count() == 2500 and runs.frequent(2).count() == 500
+    runs.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith(runs.name) and not t.name.endswith(batch[-5:])]
+
+
+def test_replaced_lines(spark, awkward, empty):
+    got = line_dedup.replace_lines(awkward)
+    assert got.columns == awkward.columns
+    want = {(r.doc_id, r.n_lines, r.n_dropped): r.kept_text for r in line_dedup.dedup_lines(awkward).collect()}
+    texts = Counter((r.doc_id, r.text) for r in got.collect())
+    nulls = {r.doc_id for r in awkward.collect() if r.text is None}
+    assert {t for _, t in texts if t is not None} <= set(want.values())
+    assert {d for d, t in texts if t is None} == nulls
+    assert sum(texts.values()) == awkward.count()
+    assert line_dedup.replace_lines(empty).count() == 0
+
+
 def brute_hits(docs, items, n=10):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(t))
     windows = defaultdict(set)
@@ -281,3 +355,49 @@ def test_spans_and_documents_go(spark):
     assert spans == {1: "Before, ! after.", 2: "clean text", 3: None, 4: ""}
     with pytest.raises(ValueError):
         decontaminate.decontaminate(df, bench, remove="x")
+
+
+def test_the_index_keeps_to_its_bound():
+    """The bound is on the index as it lies in memory; a benchmark over it makes several blocks."""
+    import pickle
+    import tracemalloc
+
+    r = np.random.default_rng(0)
+    items = [(str(i), " ".join(f"w{x}" for x in r.integers(0, 50_000, 400))) for i in range(2000)]
+    tracemalloc.start()
+    windows = decontaminate.Windows([(i, decontaminate.words(t)) for i, t in items], 10)
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    text = sum(len(t) for _, t in items)
+    bound = 2000 * 400 * decontaminate.WINDOW_BYTES + text
+    assert len(pickle.dumps(windows)) < 1.1 * bound and peak < 8 * bound
+    assert held < 2 * bound
+
+
+def test_blocks_of_the_benchmark(spark):
+    items = spark.createDataFrame([(str(i), " ".join(f"w{(i * 7 + k) % 60}" for k in range(30))) for i in range(20)] + [("x", None), (None, "a b")], "item_id string, text string")
+    blocks = list(decontaminate._blocks(items, "item_id", "text", 2 * (30 * decontaminate.WINDOW_BYTES + 90)))
+    assert sum(map(len, blocks)) == 20 and len(blocks) == 10
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * 11 + k) % 60}" for k in range(40))) for i in range(9)], "doc_id bigint, text string")
+    one = sorted(map(tuple, decontaminate.find_contamination(docs, items).select("doc_id", "n_words", "hit_spans", "item_ids").collect()))
+    many = sorted(map(tuple, decontaminate.find_contamination(docs, items, block_bytes=3000).select("doc_id", "n_words", "hit_spans", "item_ids").collect()))
+    assert one == many and any(r[3] for r in one)
+
+
+def test_the_shared_folder_must_be_named_on_a_cluster(spark):
+    from quillspan.llm import cluster
+
+    class Context:
+        master, applicationId = "spark://host:7077", "x"
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+    with pytest.raises(RuntimeError):
+        cluster.shared_dir(Session())
+    assert cluster.shared_dir(spark)
