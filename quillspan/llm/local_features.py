@@ -269,39 +269,44 @@ def _chosen_bits() -> np.ndarray:
 
 
 def doublets(places: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, check, layout) of each corner with its nearest ones of the same scale, three pixels off or more.
+    """(keys, check, layout) of each two corners of one scale of which one is among the other's nearest, three pixels off or more; each with a column for each band.
 
-    keys has a column for each band: bits of the first descriptor above those of
-    the second. check has further bits of each. layout has the direction to the
-    second corner against the first's angle, the difference of their angles, and
-    the logarithm of their distance, in steps.
+    A key has the smaller of the two descriptors' bits above the larger, and the
+    corner with the smaller ones is the first, so each two are one doublet in
+    any image. check has further bits of the first and the second. layout has
+    the direction to the second corner against the first's angle, the difference
+    of their angles, and the logarithm of their distance, in steps.
     """
     n = len(places)
-    none = np.zeros((0, BANDS), np.uint32), np.zeros((0, 2), np.uint64), np.zeros((0, 3), np.uint8)
-    if n < 2:
-        return none
-    firsts, seconds = [], []
-    for scale in np.unique(places[:, 2]):
+    near_of = []
+    for scale in np.unique(places[:, 2]) if n > 1 else ():
         at = np.flatnonzero(places[:, 2] == scale)
         for part in np.array_split(at, len(at) // 256 + 1):
             apart = np.hypot(places[at, 0] - places[part, 0][:, None], places[at, 1] - places[part, 1][:, None])
             apart = np.where(apart >= 3 * scale, apart, np.inf)
             near = np.argsort(apart, axis=1, kind="stable")[:, :NEIGHBOURS]
-            ok = np.isfinite(np.take_along_axis(apart, near, axis=1))
-            firsts.append(np.repeat(part, near.shape[1])[ok.ravel()])
-            seconds.append(at[near.ravel()][ok.ravel()])
-    i, j = np.concatenate(firsts), np.concatenate(seconds)
-    if not len(i):
-        return none
+            ok = np.isfinite(np.take_along_axis(apart, near, axis=1)).ravel()
+            i, j = np.repeat(part, near.shape[1])[ok], at[near.ravel()][ok]
+            near_of.append(np.minimum(i, j) * n + np.maximum(i, j))
+    pairs = np.unique(np.concatenate(near_of)) if near_of else np.zeros(0, np.int64)
+    if not len(pairs):
+        return np.zeros((0, BANDS), np.uint32), np.zeros((0, BANDS, 2), np.uint64), np.zeros((0, BANDS, 3), np.uint8)
+    i, j = pairs // n, pairs % n
     one = np.unpackbits(bits.view(np.uint8).reshape(n, -1), axis=1, bitorder="little")[:, _chosen_bits()]
     pack = lambda part: (part.astype(np.uint64) << np.arange(part.shape[1], dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
     band = np.column_stack([pack(one[:, k * BAND_BITS : (k + 1) * BAND_BITS]) for k in range(BANDS)])
     last = pack(one[:, -CHECK_BITS:])
-    dy, dx = places[j, 0] - places[i, 0], places[j, 1] - places[i, 1]
     around = lambda angle: (np.rint(angle / (2 * math.pi) * TURN_STEPS).astype(np.int64) % TURN_STEPS).astype(np.uint8)
-    length = np.rint(np.log2(np.hypot(dy, dx) / places[i, 2]) * LENGTH_STEPS).clip(0, 255).astype(np.uint8)
-    layout = np.column_stack([around(np.arctan2(dy, dx) - places[i, 3]), around(places[j, 3] - places[i, 3]), length])
-    return (band[i] << np.uint64(BAND_BITS) | band[j]).astype(np.uint32), np.column_stack([last[i], last[j]]), layout
+
+    def layout(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        dy, dx = places[b, 0] - places[a, 0], places[b, 1] - places[a, 1]
+        length = np.rint(np.log2(np.hypot(dy, dx) / places[a, 2]) * LENGTH_STEPS).clip(0, 255).astype(np.uint8)
+        return np.column_stack([around(np.arctan2(dy, dx) - places[a, 3]), around(places[b, 3] - places[a, 3]), length])
+
+    turned = band[i] > band[j]  # by band
+    low, high = np.where(turned, band[j], band[i]), np.where(turned, band[i], band[j])
+    check = np.where(turned[:, :, None], np.column_stack([last[j], last[i]])[:, None, :], np.column_stack([last[i], last[j]])[:, None, :])
+    return (low << np.uint64(BAND_BITS) | high).astype(np.uint32), check, np.where(turned[:, :, None], layout(j, i)[:, None, :], layout(i, j)[:, None, :])
 
 
 def alike(check_a: np.ndarray, layout_a: np.ndarray, check_b: np.ndarray, layout_b: np.ndarray) -> np.ndarray:
@@ -335,8 +340,8 @@ def first_pairs(classes: DataFrame) -> DataFrame:
                 mixed ^= mixed >> np.uint64(29)
                 _, first = np.unique(mixed, return_index=True)
                 at = first[:SKETCH]
-                row = at // BANDS
-                for held, values in zip(out, (flat[at].view(np.int64), np.full(len(at), image), *np.ascontiguousarray(check[row].T).view(np.int64), *layout[row].T.astype(np.int32)), strict=True):
+                check, layout = check.reshape(-1, 2), layout.reshape(-1, 3)
+                for held, values in zip(out, (flat[at].view(np.int64), np.full(len(at), image), *np.ascontiguousarray(check[at].T).view(np.int64), *layout[at].T.astype(np.int32)), strict=True):
                     held.append(values)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held)) for held in out], names=["key", "image", "c", "e", "d", "t", "l"])
@@ -393,8 +398,8 @@ def crossing_pairs(labelled: DataFrame, part_rows: int = 1 << 20) -> DataFrame:
                 keys = np.concatenate([k for _, k, _, _ in found]).ravel()
                 bands = np.tile(np.arange(BANDS, dtype=np.uint8), len(keys) // BANDS)
                 flat = bands.astype(np.uint64) << np.uint64(32) | keys
-                check = np.repeat(np.concatenate([c for _, _, c, _ in found]), BANDS, axis=0)
-                layout = np.repeat(np.concatenate([x for *_, x in found]), BANDS, axis=0)
+                check = np.concatenate([c for _, _, c, _ in found]).reshape(-1, 2)
+                layout = np.concatenate([x for *_, x in found]).reshape(-1, 3)
                 mixed = flat * np.uint64(0xD6E8FEB86659FD93)
                 part = ((mixed ^ mixed >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
