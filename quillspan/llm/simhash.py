@@ -13,7 +13,7 @@ once; a group of colliding variants is linked in a chain, not in pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -235,8 +235,10 @@ def sketch(text: str | None, n: int = 5, words: int = SKETCH_WORDS) -> tuple[byt
 
 def table_fingerprints(sketches: np.ndarray) -> np.ndarray:
     """The fingerprints of ``TABLE_BITS`` bits in a sketch, a row for each table."""
-    bits = np.unpackbits(sketches, axis=1, bitorder="little")[:, : TABLES * TABLE_BITS].reshape(len(sketches), TABLES, TABLE_BITS)
-    return (bits.astype(np.uint64) << np.arange(TABLE_BITS, dtype=np.uint64)).sum(axis=2, dtype=np.uint64).T
+    size = TABLE_BITS // 8
+    out = np.zeros((len(sketches), TABLES, 8), np.uint8)
+    out[:, :, :size] = sketches[:, : TABLES * size].reshape(len(sketches), TABLES, size)
+    return out.view("<u8")[:, :, 0].T
 
 
 def most_differing(similarity: float, words: int = SKETCH_WORDS) -> int:
@@ -245,17 +247,62 @@ def most_differing(similarity: float, words: int = SKETCH_WORDS) -> int:
     return int(words * BITS * np.arccos(min(1.0, cosine)) / np.pi)
 
 
-def neighbour_edges(found: np.ndarray, width: int, lead: int, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each fingerprint that meets others here, at most two of them, its smallest and its largest in order; and for each the smallest that meetings lead to."""
+def with_neighbours(found: np.ndarray, width: int, differ: int, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray], most: int = 1000) -> np.ndarray:
+    """Whether a distinct fingerprint has another at most ``differ`` bits off that is ``wanted`` with it; only those that have need variants.
+
+    Two such agree in one of ``differ + 1`` parts of their lower ``width`` bits,
+    so those that agree in a part are compared, each with each. Where over
+    ``most`` do, all of them pass for having one.
+    """
+    out = np.zeros(len(found), bool)
+    for i in range(differ + 1):
+        start, end = width * i // (differ + 1), width * (i + 1) // (differ + 1)
+        part = (found >> np.uint64(start)) & np.uint64((1 << (end - start)) - 1)
+        order = np.argsort(part.astype(np.uint16) if end - start <= 16 else part, kind="stable")
+        part, prints = part[order], found[order]
+        _, place, sizes = np.unique(part, return_inverse=True, return_counts=True)
+        crowded = sizes[place] > most
+        out[order[crowded]] = True
+        at, step = np.flatnonzero(~crowded), 1
+        while len(at := at[: np.searchsorted(at, len(found) - step)]) and len(at := at[part[at + step] == part[at]]):
+            near = at[np.bitwise_count(prints[at] ^ prints[at + step]) <= differ]
+            x, y = order[near], order[near + step]
+            true = wanted(x, y)
+            out[x[true]] = out[y[true]] = True
+            step += 1
+    return out
+
+
+def neighbour_edges(found: np.ndarray, width: int, lead: int, radius: int, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray], most: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each fingerprint that meets ``wanted`` others here, at most two of them, its smallest and its largest in order; and for each the smallest that meetings lead to.
+
+    Up to ``most`` that share a variant are looked at each with each; more are
+    linked in a chain, wanted or not.
+    """
     n = len(found)
     low, high, total = np.arange(n), np.arange(n), np.arange(n)
-    for member, first, before in meetings(found, width, lead, radius):
-        for a, b in ((member, first), (member, before)):
-            np.minimum.at(low, a, b)
-            np.maximum.at(high, a, b)
-            np.minimum.at(low, b, a)
-            np.maximum.at(high, b, a)
-        total = forest(n, total[member], total[first])[total]
+    some = np.flatnonzero(with_neighbours(found, width, 2 * radius, wanted))
+    for variant, owner in collisions(found[some], width, lead, radius):
+        if not len(variant):
+            continue
+        owner = some[owner]
+        new = np.concatenate([[True], variant[1:] != variant[:-1]])
+        starts = np.flatnonzero(new)
+        first = starts[np.cumsum(new) - 1]
+        many = np.diff(np.append(starts, len(variant)))[np.cumsum(new) - 1] > most
+        chained = np.flatnonzero(many & ~new)
+        met = [np.stack([owner[chained], owner[first[chained]]]), np.stack([owner[chained], owner[chained - 1]])]
+        at, step = np.flatnonzero(~many), 1
+        while len(at := at[: np.searchsorted(at, len(variant) - step)]) and len(at := at[variant[at + step] == variant[at]]):
+            x, y = owner[at], owner[at + step]
+            true = wanted(x, y)
+            met.append(np.stack([x[true], y[true]]))
+            step += 1
+        a, b = np.concatenate(met, axis=1)
+        for x, y in ((a, b), (b, a)):
+            np.minimum.at(low, x, y)
+            np.maximum.at(high, x, y)
+        total = forest(n, total[a], total[b])[total]
     at = np.arange(n)
     return np.concatenate([at[low != at], at[high != at]]), np.concatenate([low[low != at], high[high != at]]), total
 
@@ -282,8 +329,8 @@ def nearest_pairs(a: np.ndarray, b: np.ndarray, bits: np.ndarray, most: int) ->
     return kept
 
 
-def crossing_pairs(prints: np.ndarray, labels: np.ndarray, sketches: np.ndarray, width: int, lead: int, radius: int, bounds: tuple[int, int], nearest: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, sure): positions of all fingerprints that meet here, have unequal labels and sketches that differ in ``bounds[1]`` bits or less.
+def crossing_pairs(prints: np.ndarray, labels: np.ndarray, sketches: np.ndarray, width: int, lead: int, radius: int, bounds: tuple[int, int], nearest: int | None = None, part: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, sure): positions of all fingerprints that meet here and, turned for a ``part``, for none before it, have unequal labels and sketches that differ in ``bounds[1]`` bits or less.
 
     Sure ones differ in ``bounds[0]`` bits or less, and join their labels from
     then on. A pair is compared at one of its common variants only, and each
@@ -293,20 +340,27 @@ def crossing_pairs(prints: np.ndarray, labels: np.ndarray, sketches: np.ndarray,
     """
     names, total = np.unique(labels, return_inverse=True)
     found: list[np.ndarray] = [np.zeros((4, 0), np.int64)]
-    for variant, owner in collisions(prints, width, lead, radius):
+    distinct, place = np.unique(prints, return_inverse=True)
+    low, high = np.full(len(distinct), len(names)), np.full(len(distinct), -1)
+    np.minimum.at(low, place, total)
+    np.maximum.at(high, place, total)
+    some = (low != high) | with_neighbours(distinct, width, 2 * radius, lambda x, y: (low[x] != low[y]) | (high[x] != high[y]))
+    some = np.flatnonzero(some[place])
+    for variant, owner in collisions(prints[some], width, lead, radius):
         if not len(variant):
             continue
+        owner = some[owner]
         new = np.concatenate([[True], variant[1:] != variant[:-1]])
         starts = np.flatnonzero(new)
         mixed = (np.minimum.reduceat(total[owner], starts) != np.maximum.reduceat(total[owner], starts))[np.cumsum(new) - 1]
         variant, owner = variant[mixed], owner[mixed]
         at, step = np.arange(len(variant)), 1
         while len(at := at[: np.searchsorted(at, len(variant) - step)]) and len(at := at[variant[at + step] == variant[at]]):
-            for part in np.array_split(at, len(at) * sketches.shape[1] // (1 << 20) + 1):
-                x, y = owner[part], owner[part + step]
+            for some_at in np.array_split(at, len(at) * sketches.shape[1] // (1 << 20) + 1):
+                x, y = owner[some_at], owner[some_at + step]
                 here = total[x] != total[y]
-                x, y, own = x[here], y[here], variant[part[here]]
-                here = common_variant(prints[x], prints[y]) == own
+                x, y, own = x[here], y[here], variant[some_at[here]]
+                here = (common_variant(prints[x], prints[y]) == own) & apart_before(prints[x] ^ prints[y], part, TABLE_BITS - width, radius)
                 x, y = x[here], y[here]
                 bits = np.bitwise_count(sketches[x] ^ sketches[y]).sum(axis=1, dtype=np.int64)
                 near, sure = bits <= bounds[1], bits <= bounds[0]
@@ -329,40 +383,70 @@ def _open_pairs(found: np.ndarray, total: np.ndarray, nearest: int | None) -> np
     return found[:, open_ | (sure == 1)]
 
 
-def sketch_bounds(similarity: float, words: int = SKETCH_WORDS) -> tuple[int, int]:
-    """Differing bits of sketches up to which sets are surely so similar, and up to which they can be: 3.3 standard errors off the limit."""
+def sketch_bounds(similarity: float, words: int = SKETCH_WORDS, errors: float = 3.3) -> tuple[int, int]:
+    """Differing bits of sketches up to which sets are surely so similar, and up to which they can be: so many standard errors off the limit."""
     limit = most_differing(similarity, words)
-    spread = int(3.3 * (limit * (1 - limit / (words * BITS))) ** 0.5) + 1
+    spread = int(errors * (limit * (1 - limit / (words * BITS))) ** 0.5) + 1
     return limit - spread, limit + spread
 
 
-def dealt_tables(distinct: DataFrame, lead: int, radius: int, *others: str) -> DataFrame:
-    """(t, lead, prints, docs and ``others``): for each table, what goes to a value of the leading bits, as bytes; ``others`` are columns of longs or of bytes of one length."""
-    width = TABLE_BITS - lead
-    names = ["t", "lead", "prints", "docs", *others]
+def part_bits(n: int, radius: int, bucket_rows: int) -> int:
+    """Bits of a part to deal by, so that about ``bucket_rows`` of ``n`` fingerprints, or less, agree in them; at most what a part has."""
+    bits = 0
+    while bits < min(16, TABLE_BITS // (2 * radius + 1)) and n > bucket_rows << bits:
+        bits += 1
+    return bits
+
+
+def turned(found: np.ndarray, part: int, radius: int) -> np.ndarray:
+    """Fingerprints of a table, turned so that this one of their 2 * ``radius`` + 1 parts has the leading bits."""
+    by = part * (TABLE_BITS // (2 * radius + 1))
+    return (found << np.uint64(by) | found >> np.uint64(TABLE_BITS - by)) & np.uint64((1 << TABLE_BITS) - 1)
+
+
+def apart_before(differing: np.ndarray, part: int, bits: int, radius: int) -> np.ndarray:
+    """Whether two that differ in these bits, turned for ``part``, are dealt apart for each part before it; so a pair is taken in one place of those where it meets."""
+    out = np.ones(len(differing), bool)
+    for before in range(part):
+        off = (before - part) * (TABLE_BITS // (2 * radius + 1)) % TABLE_BITS
+        out &= (differing >> np.uint64(TABLE_BITS - off - bits)) & np.uint64((1 << bits) - 1) != 0
+    return out
+
+
+def dealt_tables(distinct: DataFrame, bits: int, radius: int, *others: str, rows: int = 1000) -> DataFrame:
+    """(t, part, lead, prints, docs, like and ``others``): for each table and part, the fingerprints turned for it with these leading bits, as bytes; ``others`` are columns of longs or of bytes of one length.
+
+    Two that differ in 2 * ``radius`` bits or less agree in one of 2 * ``radius``
+    + 1 parts, so each goes to so many places of a table, however many rows and
+    leading bits there are; without leading bits, to one. ``like`` is a word of
+    the sketch that the table has no bits from. ``rows`` are dealt at a time.
+    """
+    width, parts = TABLE_BITS - bits, 2 * radius + 1 if bits else 1
+    names = ["t", "part", "lead", "prints", "docs", "like", *others]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in (whole.slice(at, 1000) for at in range(0, whole.num_rows, 1000)):
+            for batch in (whole.slice(at, rows) for at in range(0, whole.num_rows, rows)):
                 docs = batch.column("doc").to_numpy()
                 held = [np.array(batch.column(c).to_pylist(), np.int64) if pa.types.is_integer(batch.column(c).type) else np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(len(docs), -1) for c in others]
-                tables = table_fingerprints(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(len(docs), -1))
-                rows: list[tuple] = []
-                for t, found in enumerate(tables):
-                    top = (found >> np.uint64(width)).astype(np.int64)
-                    to = (top[:, None] ^ np.array(flips(lead, radius))).ravel()
-                    order = np.argsort(to, kind="stable")
-                    values, starts = np.unique(to[order], return_index=True)
-                    owner = order // len(flips(lead, radius))
-                    for value, own in zip(values.tolist(), np.split(owner, starts[1:]), strict=True):
-                        rows.append((t, value, found[own].tobytes(), docs[own].tobytes(), *[h[own].tobytes() for h in held]))
-                kinds = [pa.int32(), pa.int64(), *[pa.binary()] * (2 + len(others))]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
-
-    return distinct.mapInArrow(deal, ", ".join(["t int", "lead bigint", *[f"{n} binary" for n in names[2:]]]))
-
-
-def similar_links(distinct: DataFrame, similarity: float = 0.8, radius: int = 2, bucket_rows: int = 200_000, most: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+                sketches = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(len(docs), -1)
+                dealt: list[tuple] = []
+                for t, prints in enumerate(table_fingerprints(sketches)):
+                    like = sketches.view(np.uint64)[:, (t * TABLE_BITS // BITS + SKETCH_WORDS // 2) % SKETCH_WORDS]
+                    for part in range(parts):
+                        found = turned(prints, part, radius)
+                        to = found >> np.uint64(width)
+                        order = np.argsort(to.astype(np.uint16), kind="stable")
+                        values, starts = np.unique(to[order], return_index=True)
+                        for value, own in zip(values.tolist(), np.split(order, starts[1:]), strict=True):
+                            dealt.append((t, part, value, *[h[own].tobytes() for h in (found, docs, like, *held)]))
+                kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * (3 + len(others))]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in dealt], kind) for i, kind in enumerate(kinds)], names=names)
+
+    return distinct.mapInArrow(deal, ", ".join(["t int", "part int", "lead bigint", *[f"{n} binary" for n in names[3:]]]))
+
+
+def similar_links(distinct: DataFrame, similarity: float = 0.8, radius: int = 2, bucket_rows: int = 50_000, most: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
     """(a, b, sure), some pairs of rows (doc, sketch) of distinct shingle sets that are about so similar; and (doc), those that meet in groups of three or more.
 
     Twelve fingerprints of 40 bits, each from other bits of the sketch, go
@@ -372,21 +456,28 @@ def similar_links(distinct: DataFrame, similarity: float = 0.8, radius: int = 2,
     is ``sure`` if they differ by 3.3 standard errors less than at the limit, and
     goes if by as many more.
 
+    Fingerprints meet by chance as the square of their number, so only those are
+    taken to meet that differ, in 64 bits of the sketch from outside the table,
+    by no more than 5.5 standard errors over the limit, as one in 20 by chance.
+
     Each fingerprint is verified with two of those that it meets, which joins
     most of a large group by few pairs. Two that meet no third are verified by
     that; for the others ``crossing_links`` has the pairs that are left. Buckets
     of over ``most`` sets are met in blocks.
     """
-    lead = lead_bits(distinct.count(), radius, bucket_rows)
-    width, (surely, at_most) = TABLE_BITS - lead, sketch_bounds(similarity)
+    bits = part_bits(distinct.count(), radius, bucket_rows)
+    width, (surely, at_most), (_, unlike) = TABLE_BITS - bits, sketch_bounds(similarity), sketch_bounds(similarity, 1, 5.5)
 
     def link(group: pd.DataFrame) -> pd.DataFrame:
-        prints = np.frombuffer(b"".join(group["prints"]), np.uint64)
-        docs = np.frombuffer(b"".join(group["docs"]), np.int64)
+        prints, docs, like = (np.frombuffer(b"".join(group[c]), k) for c, k in (("prints", np.uint64), ("docs", np.int64), ("like", np.uint64)))
         order = np.lexsort((docs, prints))
-        prints, docs = prints[order], docs[order]
+        prints, docs, like = prints[order], docs[order], like[order]
         found, starts = np.unique(prints, return_index=True)
-        a, b, total = neighbour_edges(found, width, int(group["lead"].iloc[0]), radius)
+        # of sets with one fingerprint: bits that all have, and that some have
+        every, some = np.bitwise_and.reduceat(like, starts), np.bitwise_or.reduceat(like, starts)
+        part = int(group["part"].iloc[0])
+        wanted = lambda x, y: (np.bitwise_count(every[x] & ~some[y] | every[y] & ~some[x]) <= unlike) & apart_before(found[x] ^ found[y], part, bits, radius)
+        a, b, total = neighbour_edges(found, width, int(group["lead"].iloc[0]), radius, wanted)
         meet = total[np.searchsorted(found, prints)]
         crowd = np.bincount(meet, minlength=len(found)) > 2
         same = np.flatnonzero(prints[1:] == prints[:-1])
@@ -397,9 +488,9 @@ def similar_links(distinct: DataFrame, similarity: float = 0.8, radius: int = 2,
         pairs = pd.DataFrame({"a": np.maximum(left, right), "b": np.minimum(left, right), "crowd": crowded}).drop_duplicates()
         return pairs[pairs["a"] != pairs["b"]]
 
-    dealt = dealt_tables(distinct, lead, radius)
-    blocks = in_blocks(dealt, ["t", "lead"], F.octet_length("docs") / 8, F.col("docs"), most)
-    both = written(blocks.groupBy("t", "lead", "p", "q").applyInPandas(link, "a bigint, b bigint, crowd boolean"), "colliding-pairs")
+    dealt = dealt_tables(distinct, bits, radius, rows=2000)
+    blocks = in_blocks(dealt, ["t", "part", "lead"], F.octet_length("docs") / 8, F.col("docs"), most)
+    both = written(blocks.groupBy("t", "part", "lead", "p", "q").applyInPandas(link, "a bigint, b bigint, crowd boolean"), "colliding-pairs")
     pairs = both.select("a", "b").distinct()
     crowd = both.where("crowd").select(F.col("a").alias("doc")).union(both.where("crowd").select("b")).distinct()
     left = distinct.select(F.col("doc").alias("a"), F.col("sketch").alias("sketch_a"))
@@ -428,7 +519,7 @@ def wide_sketches(docs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     return texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(run, "doc bigint, wide binary")
 
 
-def crossing_links(labelled: DataFrame, similarity: float = 0.8, radius: int = 2, bucket_rows: int = 200_000, nearest: int | None = None, most: int = 500_000) -> DataFrame:
+def crossing_links(labelled: DataFrame, similarity: float = 0.8, radius: int = 2, bucket_rows: int = 20_000, nearest: int | None = None, most: int = 500_000) -> DataFrame:
     """(a, b, sure): all pairs of rows (doc, sketch, wide, label) that meet in the tables of ``similar_links``, have unequal labels and are about so similar.
 
     Wide sketches are dealt with the fingerprints and compared where they meet,
@@ -437,18 +528,17 @@ def crossing_links(labelled: DataFrame, similarity: float = 0.8, radius: int = 2
     With ``nearest``, those that are not sure are only so many for each set and
     place; a call without it, once these are decided, has all that are left.
     """
-    rows = labelled.count()
-    lead = lead_bits(rows, radius, bucket_rows) if rows > bucket_rows // 10 else 0
-    width, bounds = TABLE_BITS - lead, sketch_bounds(similarity, WIDE_WORDS)
+    bits = part_bits(labelled.count(), radius, bucket_rows)
+    width, bounds = TABLE_BITS - bits, sketch_bounds(similarity, WIDE_WORDS)
 
     def link(group: pd.DataFrame) -> pd.DataFrame:
         prints, docs, labels, held = (np.frombuffer(b"".join(group[c]), k) for c, k in (("prints", np.uint64), ("docs", np.int64), ("label", np.int64), ("wide", np.uint64)))
-        a, b, sure = crossing_pairs(prints, labels, held.reshape(-1, WIDE_WORDS), width, int(group["lead"].iloc[0]), radius, bounds, nearest)
+        a, b, sure = crossing_pairs(prints, labels, held.reshape(-1, WIDE_WORDS), width, int(group["lead"].iloc[0]), radius, bounds, nearest, int(group["part"].iloc[0]))
         return pd.DataFrame({"a": np.maximum(docs[a], docs[b]), "b": np.minimum(docs[a], docs[b]), "sure": sure})
 
-    dealt = dealt_tables(labelled, lead, radius, "label", "wide")
-    blocks = in_blocks(dealt, ["t", "lead"], F.octet_length("docs") / 8, F.col("docs"), most)
-    return written(blocks.groupBy("t", "lead", "p", "q").applyInPandas(link, "a bigint, b bigint, sure boolean").distinct(), "crossing-pairs")
+    dealt = dealt_tables(labelled, bits, radius, "label", "wide").drop("like")
+    blocks = in_blocks(dealt, ["t", "part", "lead"], F.octet_length("docs") / 8, F.col("docs"), most)
+    return written(blocks.groupBy("t", "part", "lead", "p", "q").applyInPandas(link, "a bigint, b bigint, sure boolean").distinct(), "crossing-pairs")
 
 
 def exactly_similar(pairs: DataFrame, texts: DataFrame, n: int, similarity: float) -> DataFrame:

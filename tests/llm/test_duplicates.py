@@ -211,6 +211,94 @@ def test_every_crossing_pair_is_compared_once(lead):
     assert sorted(got) == want
 
 
+def near_prints(seed, n=60):
+    """Fingerprints of a table: three balls, and as many of no ball."""
+    r = np.random.default_rng(seed)
+    flip = np.uint64(1) << r.integers(0, 40, (3, n, 3)).astype(np.uint64)
+    balls = (r.integers(0, 1 << 40, 3, np.uint64)[:, None] ^ np.bitwise_xor.reduce(flip, axis=2)).ravel()
+    return np.unique(np.concatenate([balls, r.integers(0, 1 << 40, 3 * n, np.uint64)]))
+
+
+def test_a_set_goes_to_few_places_however_many_there_are(spark):
+    """The disk of the dealing: five places a table, where leading bits and their variants were 37 at 8 bits and more at each further one."""
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, r.bytes(64)) for i in range(500)], "doc bigint, sketch binary")
+    for bits, places in ((0, 1), (3, 5), (8, 5)):
+        dealt = simhash.dealt_tables(df, bits, 2).groupBy("t").agg(F.sum(F.octet_length("docs") / 8).alias("n"), F.sum(F.octet_length("prints") / 8).alias("m")).collect()
+        assert [(x.n, x.m) for x in dealt] == [(500 * places, 500 * places)] * simhash.TABLES, bits
+    assert simhash.part_bits(10**9, 2, 20_000) == 8
+
+
+def test_sets_that_meet_by_chance_are_no_crowd(spark):
+    """All have one fingerprint in a table or one a bit off, and are else unlike: neither pairs nor a crowd, as many at many millions of sets would be."""
+    r = np.random.default_rng(4)
+    own = r.bytes(5)
+    sketches = [bytes([own[0] ^ (1 << i if i < 8 else 0)]) + own[1:] + r.bytes(59) for i in range(8)]
+    pairs, crowd = simhash.similar_links(spark.createDataFrame(list(enumerate(sketches)), "doc bigint, sketch binary"))
+    assert pairs.count() == 0 and crowd.count() == 0
+
+
+def test_neighbours_equal_brute_force():
+    found = near_prints(1)
+    colour = np.arange(len(found)) % 3
+    differ = lambda x, y: colour[x] != colour[y]
+    want = np.array([any((int(a) ^ int(b)).bit_count() <= 4 and colour[i] != colour[j] for j, b in enumerate(found)) for i, a in enumerate(found)])
+    assert 100 < want.sum() < 250
+    assert (simhash.with_neighbours(found, 40, 4, differ) == want).all()
+    assert simhash.with_neighbours(found, 40, 4, differ, most=5)[want].all()
+
+
+@pytest.mark.parametrize("bits", [0, 1, 4, 8])
+def test_every_crossing_pair_is_taken_in_one_part(bits):
+    prints = near_prints(bits)
+    labels = np.arange(len(prints)) % 7
+    sketches = np.zeros((len(prints), simhash.SKETCH_WORDS), np.uint64)
+    got = Counter()
+    for part in range(5 if bits else 1):
+        found = simhash.turned(prints, part, 2)
+        for value in np.unique(found >> np.uint64(40 - bits)).tolist():
+            here = np.flatnonzero(found >> np.uint64(40 - bits) == value)
+            a, b, _ = simhash.crossing_pairs(found[here], labels[here], sketches[here], 40 - bits, value, 2, (-1, 0), part=part)
+            got.update(map(frozenset, zip(here[a].tolist(), here[b].tolist(), strict=True)))
+    want = {frozenset((i, j)) for i, j in combinations(range(len(prints)), 2) if (int(prints[i]) ^ int(prints[j])).bit_count() <= 4 and labels[i] != labels[j]}
+    assert len(want) > 1000 and got == Counter(want)
+
+
+def test_every_pair_that_meets_is_met_in_some_part():
+    prints = near_prints(6)
+    total = np.arange(len(prints))
+    met = set()
+    for part in range(5):
+        found = simhash.turned(prints, part, 2)
+        for value in np.unique(found >> np.uint64(36)).tolist():
+            here = np.flatnonzero(found >> np.uint64(36) == value)
+            order = here[np.argsort(found[here])]
+            a, b, roots = simhash.neighbour_edges(found[order], 36, value, 2, lambda x, y: np.ones(len(x), bool))
+            met |= {(order[i], order[j]) for i, g in enumerate(roots) for j, h in enumerate(roots) if g == h and i != j}
+            total = simhash.forest(len(prints), total[order[a]], total[order[b]])[total]
+    for i, j in combinations(range(len(prints)), 2):
+        if (int(prints[i]) ^ int(prints[j])).bit_count() <= 4:
+            assert (i, j) in met and total[i] == total[j]
+
+
+def test_similar_groups_in_small_buckets(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    texts = []
+    for i in range(90):
+        own = [f"w{i % 3}x{j}" for j in range(120)]
+        for at in r.integers(0, 120, int(r.integers(0, 9))):
+            own[at] = f"x{i}{at}"
+        texts.append((i, " ".join(own)))
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    want = sorted(map(tuple, simhash.similar_groups(df).collect()))
+    assert 3 < len({root for _, root in want}) < 80
+    for f in (simhash.similar_links, simhash.crossing_links):
+        monkeypatch.setattr(simhash, f.__name__, functools.partial(f, bucket_rows=10))
+    assert sorted(map(tuple, simhash.similar_groups(df.repartition(5)).collect())) == want
+
+
 def test_keep_first(spark, awkward, empty):
     text = " ".join(f"w{i}" for i in range(300))
     df = spark.createDataFrame([(5, text, 1), (3, text.upper(), 2), (9, "other words entirely here now", 3), (None, text, 4)], "doc_id bigint, text string, _gone int")
