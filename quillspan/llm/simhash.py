@@ -215,6 +215,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
 
 
 SKETCH_WORDS, TABLES, TABLE_BITS = 8, 12, 40
+PART_VARIANTS = 1 << 18  # made at a time, about 15 MB
 WIDE_WORDS = 32  # of the sketches of sets that meet others of another group
 _MIX = np.array([0x9E3779B97F4A7C15 * (2 * j + 1) & 0xFFFFFFFFFFFFFFFF for j in range(WIDE_WORDS)], np.uint64)
 
@@ -282,7 +283,7 @@ def neighbour_edges(found: np.ndarray, width: int, lead: int, radius: int, wante
     n = len(found)
     low, high, total = np.arange(n), np.arange(n), np.arange(n)
     some = np.flatnonzero(with_neighbours(found, width, 2 * radius, wanted))
-    for variant, owner in collisions(found[some], width, lead, radius):
+    for variant, owner in collisions(found[some], width, lead, radius, PART_VARIANTS):
         if not len(variant):
             continue
         owner = some[owner]
@@ -346,7 +347,7 @@ def crossing_pairs(prints: np.ndarray, labels: np.ndarray, sketches: np.ndarray,
     np.maximum.at(high, place, total)
     some = (low != high) | with_neighbours(distinct, width, 2 * radius, lambda x, y: (low[x] != low[y]) | (high[x] != high[y]))
     some = np.flatnonzero(some[place])
-    for variant, owner in collisions(prints[some], width, lead, radius):
+    for variant, owner in collisions(prints[some], width, lead, radius, PART_VARIANTS):
         if not len(variant):
             continue
         owner = some[owner]
