@@ -45,4 +45,56 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM doc_words LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLES = {"op8_line_dedup": _LINES, "op6_decontaminate": _WINDOWS}
+_CUTS = r"""
+WITH drawn AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents),
+numbers AS (
+  SELECT doc_id, text, CAST(length(text) AS BIGINT) AS n, CAST('0x' || substr(d, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(d, 9, 8) AS BIGINT) AS h2,
+    CAST('0x' || substr(d, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(d, 25, 8) AS BIGINT) AS h4
+  FROM drawn
+),
+cut AS (
+  SELECT doc_id, text, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM numbers
+),
+parts AS (SELECT *, substr(text, 1, a) AS prefix, substr(text, a + 1, b - a) AS middle, substr(text, b + 1) AS suffix FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
+def _lloyd(rounds: int, k: int, dims: int, scale: int, seed: str) -> str:
+    """Rounds of plain Lloyd, each two tables: the nearest centroid of each vector, and the floors of means."""
+    steps = [
+        f"""kept AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS r, [CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS p
+  FROM embeddings WHERE len(embedding) = {dims} AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x) AND abs(CAST(x AS DOUBLE)) < 524288]) = {dims}
+)""",
+        f"""c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY d, p) - 1 AS INTEGER) AS cluster, p FROM (SELECT p, sha256('{seed}:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS d FROM kept ORDER BY d, p LIMIT {k})
+)""",
+    ]
+    for i in range(rounds + 1):
+        apart = f"list_sum([(v.p[i] - c.p[i]) * (v.p[i] - c.p[i]) FOR i IN range(1, {dims + 1})])"
+        steps.append(f"""a{i} AS MATERIALIZED (
+  SELECT r, any_value(vec_id) AS vec_id, min(d) AS distance, arg_min(cluster, (d, cluster)) AS cluster
+  FROM (SELECT v.r, v.vec_id, c.cluster, CAST({apart} AS BIGINT) AS d FROM kept AS v CROSS JOIN c{i} AS c) GROUP BY r
+)""")
+        if i < rounds:
+            # integer division cuts towards zero, so the remainder is taken away first
+            steps.append(f"""m{i} AS MATERIALIZED (
+  SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY pos) AS p
+  FROM (SELECT cluster, pos, sum(x) AS s, count(*) AS n FROM (SELECT a.cluster, unnest(v.p) AS x, unnest(range(1, {dims + 1})) AS pos FROM a{i} AS a JOIN kept AS v USING (r)) GROUP BY cluster, pos)
+  GROUP BY cluster
+),
+c{i + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(m.p, c.p) AS p FROM c{i} AS c LEFT JOIN m{i} AS m USING (cluster))""")
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT vec_id, a.cluster, distance, CAST(sum(distance) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c.p, ',')) AS centroid_sha256
+FROM a{rounds} AS a JOIN c{rounds} AS c USING (cluster)
+"""
+
+
+ORACLES = {"op8_line_dedup": _LINES, "op6_decontaminate": _WINDOWS, "op11_lloyd": _lloyd(5, 40, 64, 256, "2"), "op12_fill_middle": _CUTS}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, local_features, packing, quality, simhash, token_count, token_files, toxicity, url_filter
+from . import decontaminate, fill_middle, line_dedup, lloyd, local_features, packing, quality, simhash, token_count, token_files, toxicity, url_filter
 
 
 def vocabulary() -> str:
@@ -84,4 +84,16 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_copies, op2_simhash, op3_url_filter, op4_toxicity, op5_packing, op6_decontaminate, op7_token_count, op8_line_dedup, op9_quality, op10_token_files)}
+def op11_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clustered = lloyd.cluster(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", dims=64, scale=256, k=40, rounds=5, seed="2")
+    return clustered.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = fill_middle.fill_middle(docs, fim_percent=90, spm_percent=20, seed="1")
+    back = fill_middle.restored(F.col("form"), F.col("output"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_media_copies, op2_simhash, op3_url_filter, op4_toxicity, op5_packing, op6_decontaminate, op7_token_count, op8_line_dedup, op9_quality, op10_token_files, op11_lloyd, op12_fill_middle)}
