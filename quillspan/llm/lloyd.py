@@ -74,7 +74,8 @@ def _moved(points: DataFrame, centroids: np.ndarray, scale: int) -> np.ndarray:
             met, starts = np.unique(which[order], return_index=True)
             sums[met] += np.add.reduceat(block[order], starts, axis=0)
         met = np.flatnonzero(counts)
-        yield pd.DataFrame({"cluster": met.astype(np.int32), "n": counts[met], "sums": list(sums[met])})
+        if len(met):
+            yield pd.DataFrame({"cluster": met.astype(np.int32), "n": counts[met], "sums": list(sums[met])})
 
     partial = points.select("vector").mapInPandas(summed, "cluster int, n long, sums array<long>")
     sizes = partial.groupBy("cluster").agg(F.sum("n").alias("n"), *[F.sum(F.get("sums", F.lit(i))).alias(f"s{i}") for i in range(centroids.shape[1])])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fill_middle, line_dedup, lloyd, local_features, packing, quality, simhash, token_count, token_files, toxicity, url_filter
+from . import decontaminate, fill_middle, html_text, line_dedup, lloyd, local_features, packing, quality, simhash, token_count, token_files, toxicity, url_filter
 
 
 def vocabulary() -> str:
@@ -96,4 +96,8 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_copies, op2_simhash, op3_url_filter, op4_toxicity, op5_packing, op6_decontaminate, op7_token_count, op8_line_dedup, op9_quality, op10_token_files, op11_lloyd, op12_fill_middle)}
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+QUERIES = {f.__name__: f for f in (op1_media_copies, op2_simhash, op3_url_filter, op4_toxicity, op5_packing, op6_decontaminate, op7_token_count, op8_line_dedup, op9_quality, op10_token_files, op11_lloyd, op12_fill_middle, op13_html_text)}
