@@ -23,7 +23,7 @@ _FENCE = re.compile(r"^[ ]{0,3}(`{3,}|~{3,}).*$", re.M)
 _BLOCK_MARKS = re.compile(r"^[ \t]*(?:#{1,6}[ \t]+|(?:[-*+]|\d{1,9}[.)])[ \t]+|>[ \t]?)+", re.M)
 _RULE = re.compile(r"^[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)*\|?[ \t]*$", re.M)
 _INLINE = re.compile(
-    r"""(?P<code>(?P<ticks>`+)(?P<inside>.+?)(?P=ticks))
+    r"""(?P<code>(?<!`)(?P<ticks>`++)(?P<inside>.+?)(?<!`)(?P=ticks)(?!`))
     |\\(?P<escaped>[!-/:-@\[-`{-~])
     |!?\[(?P<link>(?:[^\[\]\\]|\\.)*)\](?:\([^()\s]*(?:\s+"[^"]*")?\)|\[[^\[\]]*\])
     |\[\^(?P<note>[^\]\s]+)\]
@@ -100,6 +100,10 @@ def bare_heading(text: str) -> str:
     return re.sub(r"^CHAPTER ", "", text.strip().lstrip("0123456789.").lstrip())
 
 
+#: A longer line is no page furniture, in bytes.
+LONGEST_FURNITURE = 120
+
+
 class Furniture:
     """Tells lines that repeat on pages: logos, volume marks, and capitals that repeat a heading met before."""
 
@@ -110,7 +114,8 @@ class Furniture:
     def learn(self, heading: str) -> None:
         bare = bare_heading(heading)
         self.known.add(bare)
-        self.ends.update(bare[i:] for i in range(len(bare) + 1))
+        # only ends as short as a line that is asked for
+        self.ends.update(bare[i:] for i in range(max(0, len(bare) - LONGEST_FURNITURE), len(bare) + 1))
 
     def __call__(self, text: str) -> bool:
         text = text.strip()
@@ -118,7 +123,7 @@ class Furniture:
         if low in LOGOS or (len(text.encode()) < 48 and low.startswith(("vol. ", "volume "))):
             return bool(text)
         letters = [c for c in text if c.isalpha()]
-        if not letters or len(text.encode()) > 120 or not all(c.isupper() for c in letters):
+        if not letters or len(text.encode()) > LONGEST_FURNITURE or not all(c.isupper() for c in letters):
             return False
         bare = bare_heading(text)
         return bare in self.ends or any(bare[i:] in self.known for i in range(len(bare) + 1))

@@ -37,6 +37,16 @@ def separates(line: str) -> bool:
     return all(re.fullmatch(r":*-{3,}:*", c.strip()) for c in cells)
 
 
+#: How many columns and rows a cell may span, as HTML has it.
+MOST_SPANNED = {"colspan": 1000, "rowspan": 65534}
+
+
+def spanned(text: str, most: int) -> int:
+    """The number of columns or rows that an attribute asks for; 1 where it is none."""
+    digits = text if text.isascii() and text.isdigit() else "1"
+    return min(max(1, int(digits[:9])), most)
+
+
 class _Rows(HTMLParser):
     """Rows of a table: (part, [(tag, colspan, rowspan, text)]). A row outside thead and tfoot is of the body, whether that is written or not."""
 
@@ -55,7 +65,7 @@ class _Rows(HTMLParser):
             if not self.rows:
                 self.rows.append((self.part or "tbody", []))
             given = dict(attrs)
-            self.cell = [tag, *[int(v) if (v := given.get(k) or "").isdigit() and int(v) > 0 else 1 for k in ("colspan", "rowspan")], []]
+            self.cell = [tag, *[spanned(given.get(k) or "", most) for k, most in MOST_SPANNED.items()], []]
             self.rows[-1][1].append(self.cell)
         elif tag == "br" and self.cell:
             self.cell[3].append(" ")
@@ -89,14 +99,16 @@ def html_table(source: str) -> Table:
     for cells in body:
         row: list[str] = []
         waiting = [(text if i == 0 else "", down) for _, columns, down, parts in cells for text in [plain(" ".join(parts))] for i in range(columns)]
-        while waiting or len(row) in below:
+        taken = 0
+        while taken < len(waiting) or len(row) in below:
             at = len(row)
             if at in below:
                 text, left = below.pop(at)
                 if left > 1:
                     below[at] = (text, left - 1)
             else:
-                text, down = waiting.pop(0)
+                text, down = waiting[taken]
+                taken += 1
                 if down > 1:
                     below[at] = (text, down - 1)
             row.append(text)

@@ -180,3 +180,38 @@ def test_no_word_is_lost(sizes, target, overlap):
     shown = {w for c in found for w in c["text"].split()} - {"x"}
     assert shown == {w for b in blocks for w in b.split()}
     assert all(c["token_count"] <= max(target, 2) for c in found)
+
+
+def test_chains_and_brackets_of_diagrams():
+    found = read_diagram('A(("x (y)")) --> B{{z}} --x C([w])\nE -- "a --> b" --> F\nA -. q .-> F\nA --xy--> F')
+    assert [e[:3] for e in found.edges] == [("A", "B", None), ("B", "C", None), ("E", "F", "a --> b"), ("A", "F", "q"), ("A", "F", "xy")]
+    assert found.nodes["A"] == "x (y)" and found.nodes["B"] == "z"
+    chain = read_diagram("a.b-c --> d_1 ==> [*]")
+    assert [(a, b, s) for a, b, _, s in chain.edges] == [("a.b-c", "d_1", "-->"), ("d_1", "[*]", "==>")] and not chain.warnings
+    open_label = read_diagram("A[Open --> B")
+    assert open_label.edges == [("A", "B", None, "-->")] and open_label.nodes["A"] == "Open"
+    assert [c for c, _ in open_label.warnings] == ["malformed_mermaid_node"]
+    lost = read_diagram("--> H[lost one]\nword and [another one] here")
+    assert not lost.edges and not lost.nodes and {"lost one", "another one"} <= set(lost.labels)
+
+
+def test_long_and_odd_inputs_stay_cheap():
+    import time
+    import tracemalloc
+
+    from quillspan.ingest.plain import Furniture, plain
+    from quillspan.ingest.tables import read_table
+
+    began = time.perf_counter()
+    tracemalloc.start()
+    furniture = Furniture()
+    furniture.learn("1.1 " + "LONG HEADING " * 8000)
+    assert furniture("HEADING") and furniture("LONG HEADING") and not furniture("OTHER")
+    assert tracemalloc.get_traced_memory()[1] < 5_000_000
+    tracemalloc.stop()
+    for marks in ("`" * 40_000, "`a " * 20_000, " ".join("`" * i for i in range(300))):
+        plain(f"x {marks} y")
+    assert plain("a `b ``c`` d` e ``f`g`` h") == "a b ``c`` d e f`g h"
+    cell = "<table><tr><th>a</th></tr><tr><td colspan='{0}' rowspan='{0}'>x</td></tr><tr><td>y</td></tr></table>"
+    assert all(["x"] in read_table(cell.format(n)).rows for n in ("²", "200000", "20000000", "9" * 5000, "0", "-1", "٣"))
+    assert time.perf_counter() - began < 10
