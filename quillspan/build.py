@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from quillspan.ingest import build as tables
 from quillspan.ingest import chunker, manual
 from quillspan.operators import embed, lexical, navigate, snapshot
-from quillspan.store import shared_path, written
+from quillspan.operators.index import Index
+from quillspan.store import written
 
-CATALOG_VERSION = LEXICAL_VERSION = 1
+CATALOG_VERSION, LEXICAL_VERSION = 1, 2
+#: Folder of the index's segments under a root, which generations share.
+LEXICAL = "lexical"
 
 
 @dataclass(frozen=True)
@@ -32,7 +35,7 @@ class Report:
 def inputs_of(documents: DataFrame, archives: list[dict], embedder: embed.Embedder, budget: chunker.Budget, stemming: bool) -> dict:
     """Everything that decides a snapshot's contents."""
     versions = {"catalog": CATALOG_VERSION, "ingest": manual.INGEST_VERSION, "lexical": LEXICAL_VERSION, "vector": embed.VECTOR_VERSION, "snapshot": snapshot.VERSION}
-    kept = sorted(({k: a[k] for k in ("id", "vendor", "path", "sha256") if k in a} for a in archives), key=lambda a: a["id"])
+    kept = sorted(({k: a[k] for k in ("id", "vendor", "path", "sha256", "entry_count", "uncompressed_bytes") if k in a} for a in archives), key=lambda a: a["id"])
     return {"versions": versions, "archives": kept, "entries": snapshot.digest(documents, "document_id", "content_sha256"), "model": embedder.spec(), "artifacts": embedder.artifacts(), "chunks": asdict(budget), "stemming": stemming}
 
 
@@ -57,6 +60,18 @@ def parse(documents: DataFrame, before: DataFrame | None) -> tuple[DataFrame, in
     return written(taken.unionByName(manual.parsed(fresh)), "parsed"), taken.count()
 
 
+def indexed(spark: SparkSession, root: str, now: DataFrame, then: DataFrame | None, before: snapshot.Snapshot | None, stemming: bool) -> Index:
+    """The index of the fields of all chunks: what the last snapshot has of it, without chunks that are gone or differ, with a segment of those that are new."""
+    folder = f"{root.rstrip('/')}/{LEXICAL}"
+    if before is None or before.manifest["inputs"]["versions"]["lexical"] != LEXICAL_VERSION or before.manifest["index"]["stemming"] != stemming:
+        return Index.empty(now, folder, stemming).updated(now)
+    last = Index(spark, folder, before.manifest["index"])
+    marked = lambda fields: fields.withColumn("_mark", F.sha2(F.to_json(F.struct(*fields.columns)), 256))
+    now, then = marked(now), marked(then)
+    key = ["chunk_id", "_mark"]
+    return last.updated(now.join(then.select(*key), key, "left_anti").drop("_mark"), then.join(now.select(*key), key, "left_anti").drop("_mark"))
+
+
 def build(spark: SparkSession, root: str, documents: DataFrame, archives: list[dict], embedder: embed.Embedder, budget: chunker.Budget = chunker.Budget(), stemming: bool = True, force: bool = False) -> Report:
     """Build the snapshot of a corpus, unless it is the current one already, and make it current.
 
@@ -66,7 +81,8 @@ def build(spark: SparkSession, root: str, documents: DataFrame, archives: list[d
     """
     inputs = inputs_of(documents, archives, embedder, budget, stemming)
     before = _previous(spark, root)
-    if before and before.id == snapshot.snapshot_id(inputs) and not force:
+    if not force and snapshot.recommitted(spark, snapshot.Store(spark, root), snapshot.snapshot_id(inputs)):
+        before = snapshot.Snapshot.current(spark, root)
         n = before.counts
         return Report(before.id, False, n["documents"], n["chunks"], n["documents"], n["chunks"], 0, n["warnings"])
     parsed, taken = parse(documents, before.table("parsed") if before else None)
@@ -75,8 +91,7 @@ def build(spark: SparkSession, root: str, documents: DataFrame, archives: list[d
     same_model = before is not None and before.manifest["inputs"]["model"] == embedder.spec()
     vectors = written(embed.vectors(chunks, embedder, before.table("vectors") if same_model else None), "vectors")
     declared = written(tables.declarations(parsed), "declarations")
-    folder = shared_path(spark, "lexical")
-    index = lexical.Index.write(lexical.chunk_fields(chunks), folder, stemming)
+    index = indexed(spark, root, lexical.chunk_fields(chunks), lexical.chunk_fields(before.table("chunks")) if before else None, before, stemming)
     parts = {
         "parsed": parsed,
         "documents": rows,
@@ -90,12 +105,8 @@ def build(spark: SparkSession, root: str, documents: DataFrame, archives: list[d
         "refs": tables.references(parsed, declared),
         "warnings": tables.warnings(parsed),
         "vectors": vectors.drop("reused").sort("vector_row"),
-        # the order of the postings is what searches prune by
-        "postings": index.postings.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "term", "chunk_id").sortWithinPartitions("term", "field", "chunk_id"),
-        "terms": index.terms.sort("term"),
-        "stats": index.stats,
     }
-    name, built = snapshot.publish(spark, root, inputs, parts, True, lambda s: verify(s, embedder.spec()["dimension"]))
+    name, built = snapshot.publish(spark, root, inputs, parts, force, lambda s: verify(s, embedder.spec()["dimension"]), shared=[f"{LEXICAL}/{f}" for f in index.folders()], more={"index": index.manifest})
     reused = {r["reused"]: r["count"] for r in vectors.groupBy("reused").count().collect()}
     opened = snapshot.Snapshot.current(spark, root)
     return Report(name, built, opened.counts["documents"], opened.counts["chunks"], taken, reused.get(True, 0), reused.get(False, 0), opened.counts["warnings"])
@@ -130,8 +141,7 @@ def integrity(opened: snapshot.Snapshot) -> list[str]:
         wrong.append("chunks.vector_row has gaps or repeats")
     if opened.counts["chunks"] != opened.counts["vectors"]:
         wrong.append("chunks and vectors differ in number")
-    indexed = opened.table("stats").agg(F.max("n_docs")).first()[0]
-    if indexed is not None and indexed != opened.counts["chunks"]:
+    if opened.manifest["index"]["n_docs"] != opened.counts["chunks"]:
         wrong.append("chunks and indexed texts differ in number")
     if opened.counts["documents"] != opened.manifest["inputs"]["entries"]["rows"]:
         wrong.append("documents and entries differ in number")

@@ -62,16 +62,19 @@ def status(spark: SparkSession, config: Config, embedder: embed.Embedder) -> sna
     archives = corpus.load_manifest(config.manifest)
     found = corpus.checksums(spark, config.corpus, archives)
     now = [a | {"sha256": found.get(a["id"], "")} for a in archives]
-    before = snapshot.Snapshot.current(spark, config.index).manifest["inputs"] if snapshot.Store(spark, config.index).exists("CURRENT") else {}
+    try:
+        before = snapshot.Snapshot.current(spark, config.index).manifest["inputs"]
+    except Exception:  # missing or damaged, which the status itself tells
+        before = {}
     sound = all(found.get(a["id"]) == a["sha256"] for a in archives)
     documents = corpus.read_corpus(spark, config.corpus, archives) if sound else None
-    inputs = build.inputs_of(documents, now, embedder, Budget(), True) if sound else before | {"archives": [{k: a[k] for k in ("id", "vendor", "path", "sha256")} for a in now]}
+    inputs = build.inputs_of(documents, now, embedder, Budget(), True) if sound else before | {"archives": [{k: a[k] for k in ("id", "vendor", "path", "sha256", "entry_count", "uncompressed_bytes") if k in a} for a in now]}
     return snapshot.status(spark, config.index, inputs)
 
 
-def serve(spark: SparkSession, config: Config, make: object, lines=sys.stdin, out=sys.stdout) -> None:
-    """A JSON request a line, {"id", "tool", "arguments"}; an answer a line."""
-    opened = engine.Engine.open(spark, config.index, make)
+def serve(spark: SparkSession, config: Config, make: object, lines=sys.stdin, out=sys.stdout, status: snapshot.Status | None = None) -> None:
+    """A JSON request a line, {"id", "tool", "arguments"}; an answer a line, which says whether the index is stale by ``status``."""
+    opened = engine.Engine.open(spark, config.index, make, (lambda: status) if status else None)
     for line in lines:
         if not line.strip():
             continue
@@ -102,7 +105,7 @@ def main(arguments: list[str] | None = None) -> int:
     if not found.usable:
         print(f"the snapshot is {found.state}: {'; '.join(found.reasons)}", file=sys.stderr)
         return found.exit_code
-    serve(spark, config, embed.HashingEmbedder)
+    serve(spark, config, embed.HashingEmbedder, status=found)
     return 0
 
 

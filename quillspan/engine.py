@@ -15,8 +15,10 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspan import build
 from quillspan.functions import text as tx
 from quillspan.operators import context, embed, lexical, navigate, rank, snapshot, vector
+from quillspan.operators.index import Index
 
 #: Candidates of a leg, and limits of requests.
 LEG = 100
@@ -81,27 +83,43 @@ class Engine:
     def __init__(self, opened: snapshot.Snapshot, embedder: Callable[[], embed.Embedder] | None = None, status: Callable[[], snapshot.Status] | None = None):
         self.opened, self.spark, self._make, self._status = opened, opened.spark, embedder, status
         need(opened.counts["chunks"] == opened.counts["vectors"], "chunks and vectors differ in number")
+        self._failed: str | None = None
 
     @staticmethod
-    def open(spark: SparkSession, root: str, embedder: Callable[[], embed.Embedder] | None = None) -> Engine:
-        return Engine(snapshot.Snapshot.current(spark, root), embedder)
+    def open(spark: SparkSession, root: str, embedder: Callable[[], embed.Embedder] | None = None, status: Callable[[], snapshot.Status] | None = None, lease: float = snapshot.LEASE) -> Engine:
+        """The current snapshot, held for ``lease`` seconds, with its vectors' rows checked to be 0, 1, 2 and so on, and the status, if one is given, to be its own."""
+        out = Engine(snapshot.Snapshot.current(spark, root, lease), embedder, status)
+        need(bool(navigate.dense(out.table("vectors"), "vector_row").first()["contiguous"]), "rows of vectors have gaps or repeats")
+        need(out.now.snapshot_id in (None, out.opened.id), "the status is of another snapshot")
+        return out
+
+    @cached_property
+    def now(self) -> snapshot.Status:
+        """The state of the snapshot against the corpus when it was opened; ready if nobody looked."""
+        return self._status() if self._status else snapshot.Status(snapshot.READY, (), self.opened.id)
 
     def table(self, name: str) -> DataFrame:
         return self.opened.table(name)
 
     @cached_property
-    def index(self) -> lexical.Index:
-        return lexical.Index.open(self.spark, self.opened.path, self.opened.manifest["inputs"]["stemming"])
+    def index(self) -> Index:
+        return Index(self.spark, f"{self.opened.store.root}/{build.LEXICAL}", self.opened.manifest["index"])
 
     @cached_property
     def embedder(self) -> embed.Embedder:
         need(self._make is not None, "no embedding model is configured")
-        made = self._make()
+        need(self.now.state != snapshot.DEGRADED, "; ".join(self.now.reasons))
+        need(self._failed is None, self._failed or "")
+        try:
+            made = self._make()
+        except Exception as error:
+            self._failed = str(error).splitlines()[0] if str(error) else type(error).__name__  # it is not loaded again
+            raise
         need(made.spec() == self.opened.manifest["inputs"]["model"], "the embedding model is not the snapshot's")
         return made
 
     def state(self, degraded: str | None = None) -> dict:
-        return {"snapshot_id": self.opened.id, "semantic_degraded_reason": degraded}
+        return {"snapshot_id": self.opened.id, "stale": self.now.state == snapshot.STALE, "semantic_degraded_reason": degraded}
 
     # search
 
@@ -131,17 +149,17 @@ class Engine:
         """(chunk_id, leg, rank, score) of each leg that the mode asks for."""
         legs, degraded = {}, None
         if request.mode in ("exact", "hybrid") and symbols:
-            legs["exact"] = self._lexical_leg(lexical.scored(self.index, [], symbols), request.facets)
+            legs["exact"] = self._lexical_leg(lexical.scored(self.index, [], symbols), request.facets).collect()
         if request.mode in ("lexical", "hybrid"):
-            legs["lexical"] = self._lexical_leg(lexical.scored(self.index, words, symbols), request.facets)
+            legs["lexical"] = self._lexical_leg(lexical.scored(self.index, words, symbols), request.facets).collect()
         if request.mode in ("semantic", "hybrid"):
             try:
                 query = self.embedder.embed_query(request.query)
-                legs["semantic"] = self._semantic_leg(query, request.facets)
-            except Exception as error:  # a model that fails never fails the search
-                degraded = str(error).splitlines()[0]
+                legs["semantic"] = self._semantic_leg(query, request.facets).collect()
+            except Exception as error:  # a model or vectors that fail never fail the search
+                degraded = str(error).splitlines()[0] if str(error) else type(error).__name__
         # a leg has a hundred rows at most: they are ranked once and kept as literals of the next step
-        rows = [(name, r["chunk_id"], i, float(r["score"])) for name, leg in legs.items() for i, r in enumerate(leg.collect(), 1)]
+        rows = [(name, r["chunk_id"], i, float(r["score"])) for name, leg in legs.items() for i, r in enumerate(leg, 1)]
         found = self.spark.createDataFrame(rows, "leg string, chunk_id string, rank int, score double")
         sizes = [sum(1 for r in rows if r[0] == name) for name in legs]
         return found, degraded, any(n >= LEG for n in sizes)
@@ -252,7 +270,9 @@ class Engine:
         if neighbours:
             around = navigate.neighbours(of_document.where(F.col("level") <= MOST["depth"]).select("document_id", "section_id", F.struct("span.byte_start", "level", "ordinal", "section_id").alias("at")), "document_id", "at")
             own = around.where(F.col("section_id") == section_id).first()
-            out |= {k: own[k]["section_id"] if own[k] else None for k in ("previous", "next")}
+            ids = {k: own[k]["section_id"] for k in ("previous", "next") if own[k]}
+            near = {r["section_id"]: r.asDict(True) for r in of_document.where(F.col("section_id").isin(list(ids.values()))).collect()}
+            out |= {k: near[ids[k]] if k in ids else None for k in ("previous", "next")}
         return out
 
     def _cite(self, row) -> dict:
@@ -291,7 +311,7 @@ class Engine:
         if found is None:
             return self._missing()
         rows = self.table("table_rows").where(F.col("table_id") == found["table_id"])
-        if row_filter:
+        if row_filter and row_filter.strip():
             rows = rows.where(F.exists("cells", lambda c: F.lower(c).contains(row_filter.lower())))
         total = rows.count()
         page, after = self._page(rows.select("row_index", "cells"), ["row_index"], request, offset, limit)
@@ -338,12 +358,13 @@ class Engine:
 
     # context
 
-    def build_context(self, query: str | None = None, chunk_ids: tuple[str, ...] = (), budget: int = 4096, facets: Facets = Facets()) -> dict:
-        """Chunks of a query, then those asked for, each once; neighbours in list order are joined, and groups are taken as they fit, passing over those that do not."""
+    def build_context(self, query: str | None = None, chunk_ids: tuple[str, ...] = (), budget: int = 4096, facets: Facets = Facets(), mode: str = "hybrid", vendors: tuple[str, ...] = ()) -> dict:
+        """Chunks of a query in a mode, of some vendors if any are named, then those asked for, each once; neighbours in list order are joined, and groups are taken as they fit, passing over those that do not."""
         need(256 <= budget <= 32_768, "budget is 256 to 32768")
         need(len(chunk_ids) <= MOST["ids"], f"at most {MOST['ids']} ids")
         need(bool((query or "").strip() or chunk_ids), "a query or ids are needed")
-        found = self.search(Search(query, facets=facets, limit=MOST["search"])) if (query or "").strip() else None
+        facets = replace(facets, vendors=tuple(vendors)) if vendors else facets
+        found = self.search(Search(query, mode, facets, MOST["search"])) if (query or "").strip() else None
         ids = list(dict.fromkeys([*[h["chunk_id"] for h in (found["hits"] if found else [])], *chunk_ids]))
         rows = self._chunks(ids) if ids else {}
         listed = [rows[i] for i in ids if i in rows]
@@ -369,9 +390,9 @@ class Engine:
 
     def index_status(self) -> dict:
         """State, counts and manifest of the snapshot."""
-        now = self._status() if self._status else snapshot.Status(snapshot.READY, (), self.opened.id)
+        now = self.now
         counts = self.opened.counts
-        return {"state": now.state, "reasons": list(now.reasons), "archives": list(now.archives), "snapshot_id": self.opened.id, "counts": {k: counts[k] for k in sorted(counts) if k not in ("parsed", "postings", "terms", "stats", "declarations")}, "manifest": self.opened.manifest}
+        return {"state": now.state, "reasons": list(now.reasons), "archives": list(now.archives), "snapshot_id": self.opened.id, "counts": {k: counts[k] for k in sorted(counts) if k not in ("parsed", "declarations")}, "manifest": self.opened.manifest}
 
 
 def cite(document, heading_path: list[str], section_id: str | None, span: dict) -> dict:

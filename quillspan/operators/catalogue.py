@@ -91,7 +91,7 @@ class Catalogue:
     def counts(self) -> dict[str, int]:
         """Rows of each table, with the number of archives."""
         archives = self.opened.table("documents").agg(F.count_distinct("archive_id")).first()[0]
-        return {k: n for k, n in self.opened.counts.items() if k not in ("parsed", "postings", "terms", "stats")} | {"archives": archives}
+        return {k: n for k, n in self.opened.counts.items() if k != "parsed"} | {"archives": archives}
 
     def first_rows(self) -> DataFrame:
         """(document_id, first_row, position): documents in the order of their vectors."""

@@ -1,21 +1,27 @@
-"""The inverted index as stored tables, and BM25 over it by clauses on fields.
+"""Analysis of texts into postings, and BM25 over an index by clauses on fields.
 
-``index_of`` makes postings once; a search reads only those of its own terms,
-as the postings lie sorted by term, and never the texts.
+A search reads only the postings of its own terms, as their blocks lie sorted by
+term, and never the texts. Documents have numbers in it, and their ids again at
+the end.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspan.functions import text as tx
 from quillspan.functions.stemmer import stem
+from quillspan.operators.blocks import decoded
+from quillspan.store import written
+
+if TYPE_CHECKING:
+    from quillspan.operators.index import Index
 
 K1, B = 1.2, 0.75
 #: Boosts of a query word, and of all words as a phrase, by field.
@@ -24,7 +30,7 @@ PHRASE_BOOSTS = {"heading": 4.5, "caption": 3.5, "body": 1.5, "code": 1.7}
 #: Boosts of a whole symbol and of a part of one.
 SYMBOL_BOOST, COMPONENT_BOOST = 8.0, 2.0
 OVERFETCH, MOST_FETCHED = 4, 400
-POSTINGS = "field string, term string, chunk_id {key}, tf bigint, length bigint, positions array<int>"
+FIELDS = (*FIELD_BOOSTS, "symbol")
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -57,71 +63,25 @@ def chunk_fields(chunks: DataFrame) -> DataFrame:
 
 
 def field_tokens(fields: DataFrame, stemming: bool) -> DataFrame:
-    """(chunk_id, field, tokens) of each field that a chunk has; symbols are whole, normalised."""
+    """(doc_no, field, tokens) of each field that a document has; symbols are whole, normalised."""
     own = [F.struct(F.lit(f).alias("field"), analyzed(F.col(f), stemming).alias("tokens")) for f in FIELD_BOOSTS if f in fields.columns]
     if "symbols" in fields.columns:
         own.append(F.struct(F.lit("symbol").alias("field"), F.filter(F.transform("symbols", tx.normalized_symbol), lambda s: s != "").alias("tokens")))
-    return fields.select("chunk_id", F.explode(F.array(*own)).alias("_f")).select("chunk_id", "_f.field", "_f.tokens").where(F.size("tokens") > 0)
+    return fields.select("doc_no", F.explode(F.array(*own)).alias("_f")).select("doc_no", "_f.field", "_f.tokens").where(F.size("tokens") > 0)
 
 
 def postings(fields: DataFrame, stemming: bool = True) -> DataFrame:
-    """(field, term, chunk_id, tf, length, positions): a row for each distinct token of a field of a chunk.
+    """(field, term, doc_no, tf, length, positions): a row for each distinct token of a field of a document.
 
-    A chunk's tokens are in one task, so they are counted before the shuffle.
+    A document's tokens are in one task, so they are counted before the shuffle.
     """
-    sized = field_tokens(fields, stemming).select("chunk_id", "field", F.size("tokens").cast("long").alias("length"), F.posexplode("tokens").alias("_at", "term"))
-    found = sized.groupBy("field", "term", "chunk_id", "length").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("_at")).alias("positions"))
-    return found.select("field", "term", "chunk_id", "tf", "length", "positions")
-
-
-@dataclass(frozen=True)
-class Index:
-    """Stored postings with the numbers that BM25 needs: of each term in a field the texts that have it, and of each field the texts and their tokens."""
-
-    postings: DataFrame
-    terms: DataFrame
-    stats: DataFrame
-    stemming: bool
-
-    @staticmethod
-    def write(fields: DataFrame, folder: str, stemming: bool = True) -> Index:
-        """Postings are dealt by ranges of (term, chunk), so a term that a third of all texts have is many tasks' and many files', and a search prunes the others by their statistics. A chunk id that occurs twice is an error."""
-        spark = fields.sparkSession
-        if fields.groupBy("chunk_id").count().where("count > 1").take(1):
-            raise ValueError("a chunk id occurs twice")
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        rows = postings(fields, stemming)
-        rows.repartitionByRange(parts, "term", "chunk_id").sortWithinPartitions("term", "field", "chunk_id").write.parquet(f"{folder}/postings")
-        stored = spark.read.schema(rows.schema).parquet(f"{folder}/postings")
-        stored.groupBy("field", "term").agg(F.count("*").alias("n_with"), F.sum("tf").alias("n_places")).repartitionByRange(parts, "term").sortWithinPartitions("term").write.parquet(f"{folder}/terms")
-        tokens = stored.groupBy("field").agg(F.sum("tf").alias("n_tokens"))
-        fields.agg(F.count("*").alias("n_docs")).join(tokens).write.parquet(f"{folder}/stats")
-        return Index.open(spark, folder, stemming)
-
-    @staticmethod
-    def open(spark: SparkSession, folder: str, stemming: bool = True) -> Index:
-        read = lambda name: spark.read.parquet(f"{folder}/{name}")
-        return Index(read("postings"), read("terms"), read("stats"), stemming)
-
-    def query_words(self, text: str) -> list[str]:
-        """A query's terms in order, each once. Where texts have stems a query is analysed twice: its stems are stemmed again."""
-        found = list(_tokens(text))
-        for _ in range(2 if self.stemming else 0):
-            found = [stem(t) for w in found for t in _tokens(w)]
-        return list(dict.fromkeys(found))
-
-    def of_terms(self, terms: list[str], fields: list[str] | None = None) -> DataFrame:
-        """Postings of these terms with idf and the field's mean length; the terms reach the scan."""
-        wanted = F.col("term").isin(terms)
-        if fields:
-            wanted &= F.col("field").isin(fields)
-        # a row a field, and a row a term and field asked for: both have a bound
-        stats = F.broadcast(self.stats.select("field", F.col("n_docs").cast("double").alias("n_docs"), (F.col("n_tokens") / F.col("n_docs")).alias("mean")))
-        known = F.broadcast(self.terms.where(wanted).join(stats, "field").select("field", "term", idf(F.col("n_docs"), F.col("n_with")).alias("idf"), "mean"))
-        return self.postings.where(wanted).join(known, ["field", "term"])
-
-
-def _tokens(text: str) -> Iterator[str]:
+    sized = field_tokens(fields, stemming).select("doc_no", "field", F.size("tokens").cast("long").alias("length"), F.posexplode("tokens").alias("_at", "term"))
+    found = sized.groupBy("field", "term", "doc_no", "length").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("_at")).alias("positions"))
+    return found.select("field", "term", "doc_no", "tf", "length", "positions")
+
+
+def plain_tokens(text: str) -> Iterator[str]:
+    """As the column function of tokens, for a query."""
     import regex
 
     return (m[0] for m in regex.finditer(tx.TOKEN, text.lower()))
@@ -135,49 +95,54 @@ def saturation(tf: Column, length: Column, mean: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
+def asked_terms(index: Index, queries: DataFrame, query: str = "query_id", query_text: str = "query", field: str = "body") -> DataFrame:
+    """(query_id, field, term, weight, mean): the terms of each query that the field has, by their idf."""
+    asked = queries.select(F.col(query).alias("query_id"), F.explode(F.array_distinct(analyzed(F.col(query_text), index.stemming))).alias("term"))
+    known = index.terms.where(F.col("field") == field).select("field", "term", idf(F.lit(float(index.n_docs)), F.col("n_with")).alias("weight"))
+    return asked.join(known, "term").select("query_id", "field", "term", "weight", F.lit(index.mean_length(field)).alias("mean"))
+
+
 def bm25(index: Index, queries: DataFrame, query: str = "query_id", query_text: str = "query", binary: bool = True, field: str = "body") -> DataFrame:
     """(query_id, chunk_id, score) for every query of a table and text that share a token of one field.
 
-    The terms of all queries meet their postings in one join. tf is binary
+    The blocks of all terms that are asked for are read once. tf is binary
     unless asked.
     """
-    asked = queries.select(F.col(query).alias("query_id"), F.explode(F.array_distinct(analyzed(F.col(query_text), index.stemming))).alias("term"))
-    stats = F.broadcast(index.stats.where(F.col("field") == field).select(F.col("n_docs").cast("double").alias("n_docs"), (F.col("n_tokens") / F.col("n_docs")).alias("mean")))
-    of_term = index.terms.where(F.col("field") == field).join(asked.select("term").distinct(), "term").join(stats).select("term", idf(F.col("n_docs"), F.col("n_with")).alias("idf"), "mean")
-    rows = index.postings.where(F.col("field") == field).select("term", "chunk_id", "tf", "length").join(asked.join(of_term, "term"), "term")
+    asked = written(asked_terms(index, queries, query, query_text, field), "asked")
+    held = index.blocks.where(F.col("field") == field).join(asked.select("term").distinct(), "term", "left_semi")
+    rows = index.alive(decoded(held)).join(asked.select("query_id", "term", "weight", "mean"), "term")
     tf = F.lit(1.0) if binary else F.col("tf").cast("double")
-    return rows.groupBy("query_id", "chunk_id").agg(F.sum(F.col("idf") * saturation(tf, F.col("length").cast("double"), F.col("mean"))).alias("score"))
+    scores = rows.groupBy("query_id", "doc_no").agg(F.sum(F.col("weight") * saturation(tf, F.col("length").cast("double"), F.col("mean"))).alias("score"))
+    return index.named(scores).select("query_id", "chunk_id", "score")
 
 
 def word_clauses(index: Index, words: list[str]) -> DataFrame:
-    """(chunk_id, clause, score): each word in each field, by the field's boost, occurrences not counted."""
+    """(doc_no, clause, score): each word in each field, by the field's boost, occurrences not counted."""
     found = index.of_terms(words, list(FIELD_BOOSTS))
     boost = F.create_map(*[F.lit(x) for pair in FIELD_BOOSTS.items() for x in pair])
-    return found.select("chunk_id", F.concat_ws(":", "field", "term").alias("clause"), (boost[F.col("field")] * F.col("idf") * saturation(F.lit(1.0), F.col("length").cast("double"), F.col("mean"))).alias("score"))
+    return found.select("doc_no", F.concat_ws(":", "field", "term").alias("clause"), (boost[F.col("field")] * F.col("idf") * saturation(F.lit(1.0), F.col("length").cast("double"), F.col("mean"))).alias("score"))
 
 
 def phrase_clauses(index: Index, words: list[str]) -> DataFrame:
-    """(chunk_id, clause, score): all words in a row in a field, by the field's boost; occurrences count, and the words' idf add up."""
-    found = index.of_terms(words, list(PHRASE_BOOSTS))
+    """(doc_no, clause, score): all words in a row in a field, by the field's boost; occurrences count, and the words' idf add up."""
+    found = index.of_terms(words, list(PHRASE_BOOSTS), positions=True)
     place = F.array_position(F.array(*map(F.lit, words)), F.col("term")).cast("int") - 1
     # where the phrase would begin for each place of each word; it is there if all words say so
-    begins = found.select("chunk_id", "field", "term", "idf", "length", "mean", F.explode(F.transform("positions", lambda p: p - place)).alias("_at"))
-    whole = begins.groupBy("field", "chunk_id", "length", "mean", "_at").agg(F.count("*").alias("_n"), F.sum("idf").alias("idf")).where(F.col("_n") == len(words))
-    counted = whole.groupBy("field", "chunk_id", "length", "mean").agg(F.count("*").cast("double").alias("tf"), F.max("idf").alias("idf"))
+    begins = found.select("doc_no", "field", "term", "idf", "length", "mean", F.explode(F.transform("positions", lambda p: p - place)).alias("_at"))
+    whole = begins.groupBy("field", "doc_no", "length", "mean", "_at").agg(F.count("*").alias("_n"), F.sum("idf").alias("idf")).where(F.col("_n") == len(words))
+    counted = whole.groupBy("field", "doc_no", "length", "mean").agg(F.count("*").cast("double").alias("tf"), F.max("idf").alias("idf"))
     boost = F.create_map(*[F.lit(x) for pair in PHRASE_BOOSTS.items() for x in pair])
-    return counted.select("chunk_id", F.concat_ws(":", F.lit("phrase"), "field").alias("clause"), (boost[F.col("field")] * F.col("idf") * saturation(F.col("tf"), F.col("length").cast("double"), F.col("mean"))).alias("score"))
+    return counted.select("doc_no", F.concat_ws(":", F.lit("phrase"), "field").alias("clause"), (boost[F.col("field")] * F.col("idf") * saturation(F.col("tf"), F.col("length").cast("double"), F.col("mean"))).alias("score"))
 
 
 def symbol_clauses(index: Index, symbols: list[str]) -> DataFrame:
-    """(chunk_id, clause, score): each symbol whole, and its parts, among the whole symbols of the texts. A term that two symbols ask for counts for each."""
+    """(doc_no, clause, score): each symbol whole, and its parts, among the whole symbols of the texts. A term that two symbols ask for counts for each."""
     whole = [s for s in dict.fromkeys(map(normalized_symbol, symbols)) if s]
     asked = [(t, SYMBOL_BOOST if i == 0 else COMPONENT_BOOST, n) for n, s in enumerate(whole) for i, t in enumerate(symbol_terms(s))]
-    if not asked:
-        return index.postings.select("chunk_id", F.lit("").alias("clause"), F.lit(0.0).alias("score")).limit(0)
     found = index.of_terms(sorted({t for t, _, _ in asked}), ["symbol"])
-    boosts = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(b).alias("b"), F.lit(n).alias("n")) for t, b, n in asked])
+    boosts = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(b).alias("b"), F.lit(n).alias("n")) for t, b, n in asked]).cast("array<struct<t:string,b:double,n:int>>")
     each = found.withColumn("_b", F.explode(F.filter(boosts, lambda x: x["t"] == F.col("term"))))
-    return each.select("chunk_id", F.concat_ws(":", F.lit("symbol"), F.col("_b.n").cast("string"), "term").alias("clause"), (F.col("_b.b") * F.col("idf") * saturation(F.lit(1.0), F.col("length").cast("double"), F.col("mean"))).alias("score"))
+    return each.select("doc_no", F.concat_ws(":", F.lit("symbol"), F.col("_b.n").cast("string"), "term").alias("clause"), (F.col("_b.b") * F.col("idf") * saturation(F.lit(1.0), F.col("length").cast("double"), F.col("mean"))).alias("score"))
 
 
 _SYMBOL_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789#._:/-[]"
@@ -218,7 +183,7 @@ def scored(index: Index, words: list[str], symbols: list[str]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.groupBy("chunk_id").agg(F.sum("score").alias("score"))
+    return index.named(out.groupBy("doc_no").agg(F.sum("score").alias("score")))
 
 
 def phrase_hits(df: DataFrame, key: str, text: str, phrase: str) -> DataFrame:

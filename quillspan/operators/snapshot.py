@@ -1,24 +1,40 @@
-"""Immutable, content-addressed snapshots of tables with a CURRENT pointer, on any store that Spark writes to."""
+"""Immutable snapshots of tables under a log of commits, on any store that Spark writes to.
+
+A generation is a folder of its own that is written once. A commit is a numbered
+entry in the log, made only if no other has its number, and it counts only when
+it is whole; the highest one is the current snapshot. So a writer that stops
+anywhere leaves the snapshot before it in place, of two writers both commit, one
+after the other, and a reader always finds a whole snapshot once there is one.
+
+A generation's files are listed with their sizes and digests, with a digest over
+each table's list and one over those in its manifest. Opening compares names and
+sizes; the bytes are read again only on demand, by many tasks.
+"""
 
 from __future__ import annotations
 
 import hashlib
 import json
-import re
+import os
+import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-VERSION = 2
+VERSION = 3
 #: States of a snapshot.
 MISSING, INVALID, STALE, DEGRADED, READY = "missing", "invalid", "stale", "degraded_model", "ready"
+LEASE = 3600  # seconds for which a reader holds a generation, unless it says otherwise
+ABANDONED = 24 * 3600  # seconds after which a generation that was never committed goes
+FILE = "path string, bytes bigint, sha256 string"
 
 
 class Store:
-    """Small files and renames under a root, through the file systems that Spark itself uses."""
+    """Small files, listings and renames under a root, through the file systems that Spark itself uses."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -34,6 +50,22 @@ class Store:
     def names(self, name: str) -> list[str]:
         return [s.getPath().getName() for s in self.fs.listStatus(self._path(name))] if self.exists(name) else []
 
+    def age(self, name: str) -> float:
+        """Seconds since it was last changed."""
+        return time.time() - self.fs.getFileStatus(self._path(name)).getModificationTime() / 1000
+
+    def files(self, folder: str) -> list[tuple[str, int]]:
+        """(path from the root, bytes) of the files in a folder and those below it, without marks and checksums."""
+        if not self.exists(folder):
+            return []
+        out, found = [], self.fs.listFiles(self._path(folder), True)
+        base = len(self.fs.makeQualified(self._path("")).toString()) + 1
+        while found.hasNext():
+            one = found.next()
+            if not one.getPath().getName().startswith(("_", ".")):
+                out.append((one.getPath().toString()[base:], one.getLen()))
+        return out
+
     def read(self, name: str) -> str:
         stream = self.fs.open(self._path(name))
         try:
@@ -42,19 +74,37 @@ class Store:
             stream.close()
 
     def write(self, name: str, text: str) -> None:
-        """Whole or not at all: under another name, then renamed over."""
+        """Under another name, then renamed. In between, where a file is replaced, there is none of that name."""
         part = f"{name}.{uuid.uuid4().hex}"
         stream = self.fs.create(self._path(part), True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        self.move(part, name)
-
-    def move(self, old: str, new: str) -> None:
-        self.fs.mkdirs(self._path(new).getParent())
-        if self.exists(new):
-            self.fs.delete(self._path(new), True)
-        if not self.fs.rename(self._path(old), self._path(new)):
-            raise OSError(f"{old} could not be renamed to {new}")
+        if self.exists(name):
+            self.delete(name)
+        if not self.fs.rename(self._path(part), self._path(name)):
+            raise OSError(f"{name} could not be written")
+
+    def create(self, name: str, text: str) -> bool:
+        """Make a file unless there is one, which one caller alone can do; what is in it may be cut short by a crash."""
+        path = self._path(name)
+        self.fs.mkdirs(path.getParent())
+        if self.fs.getUri().getScheme() == "file":
+            try:
+                out = os.open(path.toUri().getPath(), os.O_CREAT | os.O_EXCL | os.O_WRONLY)
+            except FileExistsError:
+                return False
+            with os.fdopen(out, "wb") as file:
+                file.write(text.encode())
+            return True
+        try:
+            stream = self.fs.create(path, False)
+        except Exception:
+            if self.exists(name):
+                return False
+            raise
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        return True
 
     def delete(self, name: str) -> None:
         self.fs.delete(self._path(name), True)
@@ -73,70 +123,206 @@ def digest(df: DataFrame, *columns: str) -> dict:
     return {"rows": row["n"], "xor": row["x"], "sum": row["s"]}
 
 
-def publish(spark: SparkSession, root: str, inputs: dict, tables: dict[str, DataFrame], force: bool = False, check: Callable[[Snapshot], None] = lambda s: None, keep: int = 1) -> tuple[str, bool]:
+def hashed(store: Store, files: list[tuple[str, int]]) -> DataFrame:
+    """(path, bytes, sha256) of files under the root: each is read by one task, a few MB at a time."""
+    spark, root = store.spark, store.fs.makeQualified(store._path("")).toString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            found = []
+            for path in batch.column("path").to_pylist():
+                where, name = fs.FileSystem.from_uri(f"{root}/{path}".replace("file:///", "file:/").replace("file:/", "file:///"))
+                made = hashlib.sha256()
+                with where.open_input_stream(name) as stream:
+                    while piece := stream.read(4 << 20):
+                        made.update(piece)
+                found.append(made.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("bytes"), pa.array(found, pa.string())], names=["path", "bytes", "sha256"])
+
+    rows = spark.createDataFrame(files, "path string, bytes bigint")
+    return rows.repartition(max(1, min(len(files), spark.sparkContext.defaultParallelism * 4)), "path").mapInArrow(run, FILE)
+
+
+def tree(files: DataFrame, generation: str) -> dict:
+    """A digest of each table's files (those outside the generation are one table), and the root over all."""
+    own = F.regexp_extract("path", f"^generations/{generation}/([^/]+)/", 1)
+    line = F.transform(F.sort_array(F.collect_list(F.struct("path", "bytes", "sha256"))), lambda x: F.concat_ws(" ", x["sha256"], x["bytes"].cast("string"), x["path"]))
+    tables = {r["key"]: r["digest"] for r in files.groupBy(own.alias("key")).agg(F.sha2(F.array_join(line, "\n"), 256).alias("digest")).collect()}  # a row a table
+    return {"root": hashlib.sha256(json.dumps(tables, sort_keys=True).encode()).hexdigest(), "tables": tables}
+
+
+# the log
+
+
+@dataclass(frozen=True)
+class Entry:
+    number: int
+    generation: str
+    id: str
+    shared: tuple[str, ...] = ()  # folders outside the generation that it reads
+
+
+def entries(store: Store) -> list[Entry]:
+    """The commits that are whole, the last one first."""
+    out = []
+    for name in sorted((n for n in store.names("log") if n.endswith(".json")), reverse=True):
+        line, _, check = store.read(f"log/{name}").partition("\n")
+        if check == hashlib.sha256(line.encode()).hexdigest():
+            found = json.loads(line)
+            out.append(Entry(int(name.split(".")[0]), found["generation"], found["id"], tuple(found["shared"])))
+    return out
+
+
+def commit(store: Store, generation: str, name: str, shared: list[str]) -> int:
+    """The number of the new entry: the next free one, whoever else commits."""
+    line = json.dumps({"generation": generation, "id": name, "shared": sorted(shared)})
+    while True:
+        number = max((int(n.split(".")[0]) for n in store.names("log") if n.endswith(".json")), default=0) + 1
+        if store.create(f"log/{number:020d}.json", f"{line}\n{hashlib.sha256(line.encode()).hexdigest()}"):
+            return number
+
+
+def leased(store: Store, generation: str) -> bool:
+    """Whether a reader holds it; leases that have run out are taken away."""
+    held = False
+    for name in store.names(f"leases/{generation}"):
+        if float(name.partition("-")[0]) > time.time():
+            held = True
+        else:
+            store.delete(f"leases/{generation}/{name}")
+    return held
+
+
+def sweep(store: Store, keep: int) -> None:
+    """Delete generations beyond the current one and ``keep`` before it that no reader holds, their entries first, and the folders that they alone read; and what was written and never committed, a day later."""
+    known = entries(store)
+    kept = list(dict.fromkeys(e.generation for e in known))[: 1 + max(0, keep)]
+    kept += [e.generation for e in known if e.generation not in kept and leased(store, e.generation)]
+    needed = {f for e in known if e.generation in kept for f in e.shared}
+    for e in reversed(known):
+        if e.generation not in kept:
+            store.delete(f"log/{e.number:020d}.json")
+            store.delete(f"generations/{e.generation}")
+            for folder in set(e.shared) - needed:
+                store.delete(folder)
+    named = {f"generations/{e.generation}" for e in known} | {f for e in known for f in e.shared}
+    for home in {f.rpartition("/")[0] for f in named}:
+        for folder in (f"{home}/{n}" for n in store.names(home)):
+            if folder not in named and store.age(folder) > ABANDONED:
+                store.delete(folder)
+
+
+def publish(spark: SparkSession, root: str, inputs: dict, tables: dict[str, DataFrame], force: bool = False, check: Callable[[Snapshot], None] = lambda s: None, keep: int = 1, shared: list[str] = (), more: dict | None = None) -> tuple[str, bool]:
     """(id, whether it was built).
 
-    A candidate is written aside, opened and checked as readers would, and
-    renamed; CURRENT is replaced last, so readers see the old or the new one. A
-    failure removes the candidate and leaves CURRENT. Of older generations
-    ``keep`` stay, for those who still read them.
+    Unless forced, a whole generation of the same inputs is taken if there is
+    one. A new one is written in a folder that nothing else names, hashed, opened
+    and checked as readers would, and then committed. A failure before that
+    leaves the log as it was. Of older generations ``keep`` stay, and those that
+    readers hold. ``shared`` are folders under the root that the generation reads
+    and that never change: what an earlier one hashed is not read again. ``more``
+    is kept in the manifest.
     """
     name, store = snapshot_id(inputs), Store(spark, root)
-    if not force and store.exists(f"snapshots/{name}/snapshot.json"):
-        _point(store, name)
+    if not force and recommitted(spark, store, name):
         return name, False
-    candidate = f".candidate-{uuid.uuid4().hex}"
+    known = entries(store)
+    generation = uuid.uuid4().hex
+    folder = f"generations/{generation}"
     try:
         for key, df in tables.items():
-            df.write.option("compression", "zstd").parquet(f"{store.root}/{candidate}/{key}")
-        digests = {key: digest(spark.read.parquet(f"{store.root}/{candidate}/{key}")) for key in tables}
-        counts = {key: d["rows"] for key, d in digests.items()}
-        store.write(f"{candidate}/snapshot.json", json.dumps({"version": VERSION, "inputs": inputs, "counts": counts, "digests": digests}, indent=2, sort_keys=True))
-        check(Snapshot(spark, store, candidate, name))
-        store.move(candidate, f"snapshots/{name}")
-    finally:
-        store.delete(candidate)
-    before = store.read("CURRENT").strip() if store.exists("CURRENT") else None
-    _point(store, name)
-    old = sorted(n for n in store.names("snapshots") if n not in (name, before))
-    for gone in old[: max(0, len(old) - max(0, keep - 1))]:
-        store.delete(f"snapshots/{gone}")
+            df.write.option("compression", "zstd").parquet(f"{store.root}/{folder}/{key}")
+        # the numbers of rows are in the files' footers
+        counts = {key: spark.read.parquet(f"{store.root}/{folder}/{key}").count() for key in tables}
+        old = [x for f in shared for x in store.files(f)]
+        digests = hashed(store, store.files(folder))
+        if old:
+            before = _opened_files(spark, store, known[0]) if known else spark.createDataFrame([], FILE)
+            listed = spark.createDataFrame(old, "path string, bytes bigint")
+            taken = before.join(listed, ["path", "bytes"], "left_semi").select("path", "bytes", "sha256")
+            held = {r["path"] for r in taken.select("path").collect()}
+            fresh = [x for x in old if x[0] not in held]
+            digests = digests.unionByName(taken)
+            if fresh:
+                digests = digests.unionByName(hashed(store, fresh))
+        digests.write.parquet(f"{store.root}/{folder}/_files")
+        found = tree(spark.read.schema(FILE).parquet(f"{store.root}/{folder}/_files"), generation)
+        store.write(f"{folder}/snapshot.json", json.dumps({"version": VERSION, "inputs": inputs, "counts": counts, "tree": found, "shared": sorted(shared), **(more or {})}, indent=2, sort_keys=True))
+        check(Snapshot(spark, store, generation, name))
+    except BaseException:
+        store.delete(folder)
+        raise
+    commit(store, generation, name, list(shared))
+    sweep(store, keep)
     return name, True
 
 
-def _point(store: Store, name: str) -> None:
-    store.write("CURRENT", name)
+def recommitted(spark: SparkSession, store: Store, name: str) -> bool:
+    """Whether a generation of these inputs is there and opens; it is then the current one."""
+    for place, e in enumerate(entries(store)):
+        if e.id == name:
+            try:
+                Snapshot(spark, store, e.generation, e.id)
+            except Exception:  # whatever keeps it from being read: it is built again
+                continue
+            if place:
+                commit(store, e.generation, name, list(e.shared))
+            return True
+    return False
+
+
+def _opened_files(spark: SparkSession, store: Store, entry: Entry) -> DataFrame:
+    return spark.read.schema(FILE).parquet(f"{store.root}/generations/{entry.generation}/_files")
 
 
 class Snapshot:
-    """A snapshot's tables by name, checked against its manifest when it is opened."""
+    """A snapshot's tables by name. Opening it compares the names and sizes of its files, and the list of their digests, with what was published."""
 
-    def __init__(self, spark: SparkSession, store: Store, folder: str, name: str):
-        self.spark, self.id, self.path = spark, name, f"{store.root}/{folder}"
-        self.manifest = json.loads(store.read(f"{folder}/snapshot.json"))
+    def __init__(self, spark: SparkSession, store: Store, generation: str, name: str):
+        self.spark, self.store, self.generation, self.id = spark, store, generation, name
+        self.path = f"{store.root}/generations/{generation}"
+        self.manifest = json.loads(store.read(f"generations/{generation}/snapshot.json"))
         if self.manifest["version"] != VERSION or snapshot_id(self.manifest["inputs"]) != name:
             raise ValueError("the snapshot is of another version, or its manifest was changed")
         self.counts = self.manifest["counts"]
-        for key, n in self.counts.items():
-            if self.table(key).count() != n:
-                raise ValueError(f"table {key} has lost rows")
+        self.files = spark.read.schema(FILE).parquet(f"{self.path}/_files")
+        if tree(self.files, generation) != self.manifest["tree"]:
+            raise ValueError("the list of the snapshot's files was changed")
+        listed = [x for f in (f"generations/{generation}", *self.manifest["shared"]) for x in store.files(f) if not x[0].endswith("/snapshot.json") and "/_files/" not in x[0]]
+        now = spark.createDataFrame(listed, "path string, now bigint")
+        wrong = self.files.join(now, "path", "full_outer").where(~F.col("bytes").eqNullSafe(F.col("now"))).select("path").orderBy("path").limit(5).collect()
+        if wrong:
+            raise ValueError(f"files are missing, added or of another size: {', '.join(r['path'] for r in wrong)}")
 
     @staticmethod
-    def current(spark: SparkSession, root: str) -> Snapshot:
+    def current(spark: SparkSession, root: str, lease: float = 0) -> Snapshot:
+        """The last commit's snapshot. With a ``lease`` in seconds it is kept for so long whatever is built; ``hold`` renews that."""
         store = Store(spark, root)
-        name = store.read("CURRENT").strip()
-        if not re.fullmatch("[0-9a-f]{64}", name):
-            raise ValueError("CURRENT does not name a snapshot")
-        return Snapshot(spark, store, f"snapshots/{name}", name)
+        for e in entries(store)[:1]:
+            if lease:
+                hold(store, e.generation, lease)
+            return Snapshot(spark, store, e.generation, e.id)
+        raise FileNotFoundError("there is no snapshot")
+
+    def hold(self, seconds: float = LEASE) -> None:
+        hold(self.store, self.generation, seconds)
 
-    def damaged(self) -> list[str]:
-        """Tables whose rows are not those that were published: each is read whole."""
-        return [key for key, d in self.manifest["digests"].items() if digest(self.table(key)) != d]
+    def damaged(self) -> DataFrame:
+        """(path) of the files whose bytes are not those that were published; all are read."""
+        listed = [(r["path"], r["bytes"]) for r in self.files.select("path", "bytes").collect()]  # a row a file
+        now = hashed(self.store, listed).select("path", F.col("sha256").alias("now"))
+        return self.files.join(now, "path").where(F.col("sha256") != F.col("now")).select("path")
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")
 
 
+def hold(store: Store, generation: str, seconds: float) -> None:
+    store.create(f"leases/{generation}/{time.time() + seconds:.3f}-{uuid.uuid4().hex}", "")
+
+
 @dataclass(frozen=True)
 class Status:
     """state, the reasons for it (stale ones first), and for each archive whether it is as it was."""
@@ -163,18 +349,25 @@ def freshness(built: list[dict], now: list[dict]) -> tuple[dict, ...]:
 
 
 def status(spark: SparkSession, root: str, inputs: dict, model_reason: str | None = None, deep: bool = False) -> Status:
-    """The state against what a build would now have as its inputs: missing, invalid, stale, degraded_model or ready. ``inputs`` may have archives, a list with ids and checksums; ``deep`` reads all tables and compares their digests."""
-    if not Store(spark, root).exists("CURRENT"):
-        return Status(MISSING, ("there is no snapshot",))
+    """The state against what a build would now have as its inputs: missing, invalid, stale, degraded_model or ready.
+
+    ``inputs`` may have archives, a list with ids and checksums, and artifacts of
+    the model: if these alone differ, texts are searched as before and vectors
+    are not. ``deep`` reads all files and compares their digests.
+    """
     try:
         opened = Snapshot.current(spark, root)
-        if deep and (lost := opened.damaged()):
-            raise ValueError(f"tables are damaged: {', '.join(lost)}")
+        if deep and (lost := [r["path"] for r in opened.damaged().orderBy("path").limit(5).collect()]):
+            raise ValueError(f"files are damaged: {', '.join(lost)}")
+    except FileNotFoundError as error:
+        return Status(MISSING, (str(error),))
     except Exception as error:  # whatever keeps it from being read makes it invalid
         return Status(INVALID, (str(error).splitlines()[0],))
     before = opened.manifest["inputs"]
     archives = freshness(before.get("archives", []), inputs.get("archives", []))
     reasons = [f"archive {a['id']} differs" for a in archives if not a["fresh"]]
-    reasons += [f"{k} differs" for k in sorted({*before, *inputs}) if k != "archives" and before.get(k) != inputs.get(k)]
+    reasons += [f"{k} differs" for k in sorted({*before, *inputs}) if k not in ("archives", "artifacts") and before.get(k) != inputs.get(k)]
+    if before.get("artifacts") != inputs.get("artifacts", before.get("artifacts")):
+        model_reason = model_reason or "artifacts of the model differ"
     state = STALE if reasons else DEGRADED if model_reason else READY
     return Status(state, (*reasons, *([model_reason] if model_reason else [])), opened.id, archives)

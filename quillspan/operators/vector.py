@@ -23,7 +23,12 @@ def normalized(v: Column) -> Column:
 
 
 def top_k(df: DataFrame, key: str, vector: str, query: list[float], k: int, allowed: Column | None = None) -> DataFrame:
-    """(key, score) of the ``k`` nearest by cosine, ties by key. The filter goes before the arithmetic; each task keeps its own first k."""
+    """(key, score) of the ``k`` nearest by cosine, ties by key; scores are shown to six places and ranked as they are.
+
+    The filter goes before the arithmetic; each task keeps its own first k. A
+    vector of another size than the query is an error, as is one that is zero or
+    not finite.
+    """
     if k < 1:
         raise ValueError("k is 1 or more")
     length = math.sqrt(math.fsum(x * x for x in query))
@@ -31,8 +36,9 @@ def top_k(df: DataFrame, key: str, vector: str, query: list[float], k: int, allo
         raise ValueError("the query is empty, zero or not finite")
     unit = F.array(*[F.lit(x / length) for x in query])
     rows = df if allowed is None else df.where(allowed)
-    scored = rows.where(F.size(vector) == len(query)).select(key, F.round(dot(normalized(F.col(vector)), unit), 6).alias("score"))
-    return scored.orderBy(F.desc("score"), key).limit(k)
+    held = F.when(F.size(vector) == len(query), F.col(vector)).otherwise(F.raise_error(F.lit(f"a vector has another size than the query's {len(query)}")))
+    scored = rows.select(key, dot(normalized(held), unit).alias("score"))
+    return scored.orderBy(F.desc("score"), key).limit(k).withColumn("score", F.round("score", 6))
 
 
 def health(df: DataFrame, vector: str, dimension: int) -> DataFrame:

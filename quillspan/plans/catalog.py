@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import text as tx
 from quillspan.ingest import chunker, manual
-from quillspan.operators import context, lexical, navigate, rank, reuse, structure, vector
+from quillspan.operators import context, lexical, navigate, rank, reuse, structure, topk, vector
 from quillspan.plans import manuals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -180,6 +180,14 @@ def bm25_topk(spark, sf_dir):
     return _first(_bm25(spark, sf_dir), 10)
 
 
+@query(f"WITH {_bm25_sql()} {_FIRST} 10")
+def bm25_pruned_topk(spark, sf_dir):
+    """By the bounds of blocks: those that cannot reach the first ten are not read."""
+    index = manuals.document_index(spark, sf_dir)
+    found = topk.first(index, lexical.asked_terms(index, _benchmark(spark, sf_dir)), 10)
+    return _first(index.named(found.scores).withColumn("score", F.round("score", 6)), 10)
+
+
 @query(f"WITH {_bm25_sql(tf='tf')} {_FIRST} 5")
 def bm25_raw_tf(spark, sf_dir):
     return _first(_bm25(spark, sf_dir, binary=False), 5)
@@ -230,21 +238,22 @@ WHERE field <> 'symbol' AND term IN (SELECT unnest(regexp_extract_all(lower('{_C
 def bm25_fields(spark, sf_dir):
     """Words in headings and bodies, by their boosts."""
     index = manuals.document_index(spark, sf_dir)
-    return lexical.word_clauses(index, index.query_words(_CLAUSE_QUERY)).groupBy("chunk_id").agg(F.round(F.sum("score"), 6).alias("score"))
+    return index.named(lexical.word_clauses(index, index.query_words(_CLAUSE_QUERY)).groupBy("doc_no").agg(F.round(F.sum("score"), 6).alias("score")))
 
 
 @query(f"""WITH {_FIELDS}, j AS (SELECT doc_id, len(w) AS length, ' ' || array_to_string(w, '  ') || ' ' AS t FROM f WHERE field = 'body'),
 c AS (SELECT doc_id, length, (length(t) - length(replace(t, ' of  the ', ''))) / 9.0 AS tf FROM j WHERE contains(t, ' of  the '))
 SELECT doc_id AS chunk_id, round(1.5 * (SELECT sum(idf) FROM d WHERE field = 'body' AND term IN ('of', 'the')) * {_SATURATED.format("tf")}, 6) AS score FROM c, means WHERE field = 'body'""")
 def phrase_clause(spark, sf_dir):
-    return lexical.phrase_clauses(manuals.document_index(spark, sf_dir), _PHRASE).select("chunk_id", F.round("score", 6).alias("score"))
+    index = manuals.document_index(spark, sf_dir)
+    return index.named(lexical.phrase_clauses(index, _PHRASE).select("doc_no", F.round("score", 6).alias("score")))
 
 
 @query(f"""WITH {_FIELDS}, asked AS (SELECT * FROM (VALUES ('THE.AND', 8.0), ('THE', 2.0), ('AND', 2.0)) AS v(term, boost))
 SELECT doc_id AS chunk_id, round(sum(CAST(boost AS DOUBLE) * idf * {_SATURATED.format("1.0")}), 6) AS score FROM asked JOIN p USING (term) JOIN d USING (field, term) JOIN means USING (field) WHERE field = 'symbol' GROUP BY doc_id""")
 def symbol_clause(spark, sf_dir):
-    rows = lexical.symbol_clauses(manuals.document_index(spark, sf_dir), [_SYMBOL_TEXT])
-    return rows.groupBy("chunk_id").agg(F.round(F.sum("score"), 6).alias("score"))
+    index = manuals.document_index(spark, sf_dir)
+    return index.named(lexical.symbol_clauses(index, [_SYMBOL_TEXT]).groupBy("doc_no").agg(F.round(F.sum("score"), 6).alias("score")))
 
 
 # symbols
@@ -270,14 +279,14 @@ def symbol_exact_topk(spark, sf_dir):
 
 def _exact(spark, sf_dir):
     """Documents that have the symbol, by its postings."""
-    rows = manuals.document_index(spark, sf_dir).of_terms([SYMBOL_QUERY], ["symbol"])
-    return rows.select("chunk_id", F.lit(lexical.SYMBOL_BOOST).alias("score"))
+    index = manuals.document_index(spark, sf_dir)
+    return index.named(index.of_terms([SYMBOL_QUERY], ["symbol"]).select("doc_no")).select("chunk_id", F.lit(lexical.SYMBOL_BOOST).alias("score"))
 
 
 # vectors
 
 _VECTOR = "[" + ", ".join(f"{x}::DOUBLE" for x in QUERY_VECTOR) + "]"
-_COSINE = f"SELECT vec_id, round(list_dot_product(e, {_VECTOR}) / sqrt(list_dot_product(e, e)) / sqrt(list_dot_product({_VECTOR}, {_VECTOR})), 6) AS score FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
+_COSINE = f"SELECT vec_id, round(list_dot_product(e, {_VECTOR}) / sqrt(list_dot_product(e, e)) / sqrt(list_dot_product({_VECTOR}, {_VECTOR})), 6) AS score, list_dot_product(e, {_VECTOR}) / sqrt(list_dot_product(e, e)) AS exact FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
 
 
 @query(f"{_COSINE} ORDER BY score DESC, vec_id LIMIT 20")

@@ -16,8 +16,9 @@ from quillspan.engine import Engine, Search
 from quillspan.functions import text as tx
 from quillspan.ingest import build as tables
 from quillspan.ingest import chunker, manual
-from quillspan.operators import embed, lexical, navigate
+from quillspan.operators import embed, navigate
 from quillspan.operators.catalogue import Catalogue
+from quillspan.operators.index import Index
 from quillspan.store import shared_path, written
 
 QUERIES: dict = {}
@@ -285,13 +286,13 @@ def catalogue_integrity(spark, sf_dir):
 # the stored index of the documents
 
 
-def document_index(spark: SparkSession, sf_dir: str) -> lexical.Index:
+def document_index(spark: SparkSession, sf_dir: str) -> Index:
     """Postings of ``documents``, without stems, written once: the source is the heading, the text the body, with its symbols."""
 
-    def make() -> lexical.Index:
+    def make() -> Index:
         docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
         fields = docs.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("heading"), F.col("text").alias("body"), tx.symbols(F.col("text")).alias("symbols"))
-        return lexical.Index.write(fields, shared_path(spark, "document-index"), stemming=False)
+        return Index.write(fields, shared_path(spark, "document-index"), stemming=False)
 
     return once(spark, sf_dir, "documents", make)
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions.stemmer import stem
 from quillspan.operators import context, lexical, rank, snapshot, structure, vector
+from quillspan.operators.index import Index
 from quillspan.plans import catalog
 from quillspan.sources import corpus
 
@@ -138,12 +139,12 @@ def test_snapshots_are_published_whole(spark, tmp_path):
 
     with pytest.raises(ValueError):
         snapshot.publish(spark, root, {"v": "c"}, {"chunks": spark.range(1).toDF("id")}, check=refuse)
-    assert snapshot.Snapshot.current(spark, root).id == second and not [p for p in tmp_path.iterdir() if p.name.startswith(".candidate")]
+    assert snapshot.Snapshot.current(spark, root).id == second and len(list((tmp_path / "generations").iterdir())) == 2
     for v in "de":
         snapshot.publish(spark, root, {"v": v}, {"chunks": spark.range(1).toDF("id")})
-    assert len(list((tmp_path / "snapshots").iterdir())) == 2, "the current one and the one before"
-    (tmp_path / "CURRENT").write_text("x")
-    assert snapshot.status(spark, root, b).state == "invalid"
+    assert len(list((tmp_path / "generations").iterdir())) == 2, "the current one and the one before"
+    (tmp_path / "log" / f"{99:020d}.json").write_text('{"generation": "cut sho')
+    assert snapshot.Snapshot.current(spark, root).id == snapshot.snapshot_id({"v": "e"})
 
 
 def test_symbols_and_references_by_worked_values(spark):
@@ -195,7 +196,7 @@ def small_index(spark, tmp_path_factory):
         ("c", "Entry", None, "enter the virtual machine entry point", ["CR4.VMXE", "CPUID.07H.00H:EBX"]),
         ("d", "Faults", "page fault faults", None, ["#PF"]),
     ]
-    return lexical.Index.write(spark.createDataFrame(rows, FIELDS), str(tmp_path_factory.mktemp("index") / "i"))
+    return Index.write(spark.createDataFrame(rows, FIELDS), str(tmp_path_factory.mktemp("index") / "i"))
 
 
 def ids(df):
@@ -213,9 +214,9 @@ def test_a_symbol_ranks_before_its_parts(small_index):
 
 def test_words_are_stemmed_and_phrases_are_in_a_row(small_index):
     assert small_index.query_words("Faulting faults") == ["fault"]
-    assert ids(lexical.word_clauses(small_index, ["fault"]).groupBy("chunk_id").agg(F.sum("score").alias("score"))) == ["d"]
-    assert ids(lexical.phrase_clauses(small_index, small_index.query_words("feature enable"))) == ["a"]
-    assert ids(lexical.phrase_clauses(small_index, small_index.query_words("enable feature"))) == []
+    assert ids(small_index.named(lexical.word_clauses(small_index, ["fault"]).groupBy("doc_no").agg(F.sum("score").alias("score")))) == ["d"]
+    assert ids(small_index.named(lexical.phrase_clauses(small_index, small_index.query_words("feature enable")))) == ["a"]
+    assert ids(small_index.named(lexical.phrase_clauses(small_index, small_index.query_words("enable feature")))) == []
 
 
 def test_symbols_of_queries():
@@ -231,7 +232,7 @@ def test_a_search_reads_only_its_terms(small_index):
 
 def test_repeated_chunk_ids_are_refused(spark, tmp_path):
     with pytest.raises(ValueError):
-        lexical.Index.write(spark.createDataFrame([("a", None, "x", None, []), ("a", None, "y", None, [])], FIELDS), str(tmp_path / "i"))
+        Index.write(spark.createDataFrame([("a", None, "x", None, []), ("a", None, "y", None, [])], FIELDS), str(tmp_path / "i"))
 
 
 def test_vectors(spark):
