@@ -18,13 +18,14 @@ import json
 import os
 import time
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspan.store import file_digests
+
 VERSION = 3
 #: States of a snapshot.
 MISSING, INVALID, STALE, DEGRADED, READY = "missing", "invalid", "stale", "degraded_model", "ready"
@@ -124,25 +125,10 @@ def digest(df: DataFrame, *columns: str) -> dict:
 
 
 def hashed(store: Store, files: list[tuple[str, int]]) -> DataFrame:
-    """(path, bytes, sha256) of files under the root: each is read by one task, a few MB at a time."""
-    spark, root = store.spark, store.fs.makeQualified(store._path("")).toString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        for batch in batches:
-            found = []
-            for path in batch.column("path").to_pylist():
-                where, name = fs.FileSystem.from_uri(f"{root}/{path}".replace("file:///", "file:/").replace("file:/", "file:///"))
-                made = hashlib.sha256()
-                with where.open_input_stream(name) as stream:
-                    while piece := stream.read(4 << 20):
-                        made.update(piece)
-                found.append(made.hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("bytes"), pa.array(found, pa.string())], names=["path", "bytes", "sha256"])
-
-    rows = spark.createDataFrame(files, "path string, bytes bigint")
-    return rows.repartition(max(1, min(len(files), spark.sparkContext.defaultParallelism * 4)), "path").mapInArrow(run, FILE)
+    """(path, bytes, sha256) of files under the root."""
+    base = f"{store.fs.makeQualified(store._path('')).toString()}/"
+    found = file_digests(store.spark, [f"{base}{p}" for p, _ in files]).select(F.substring("uri", len(base) + 1, 1 << 30).alias("path"), "sha256")
+    return store.spark.createDataFrame(files, "path string, bytes bigint").join(found, "path").select("path", "bytes", "sha256")
 
 
 def tree(files: DataFrame, generation: str) -> dict:

@@ -11,6 +11,8 @@ from quillspan.functions import text as tx
 from quillspan.ingest import chunker, manual
 from quillspan.operators import context, lexical, navigate, rank, reuse, structure, topk, vector
 from quillspan.plans import manuals
+from quillspan.sources import archives
+from quillspan.store import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,6 +55,16 @@ def doc_duplicates(spark, sf_dir):
     return reuse.duplicates(doc_fingerprints(spark, sf_dir), "doc_id")
 
 
+@query("SELECT lang || '/' || doc_id || '.md' AS entry_path, CAST(strlen(text) AS BIGINT) AS byte_len, sha256(text) AS sha256 FROM documents WHERE lang = 'en'")
+def archive_entries(spark, sf_dir):
+    """Documents as entries of eight ZIP archives, of which those of one folder are read: the filter on paths reaches the archives' directories."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    entries = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(8)).alias("archive"), F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("entry_path"), F.col("text").alias("content"))
+    made = archives.write_archives(entries, shared_path(spark, "archives"))
+    found = archives.zip_entries(spark, [r["uri"] for r in made.select("uri").collect()], split_bytes=1 << 20)  # a row an archive
+    return found.where(F.col("entry_path").startswith("en/")).select("entry_path", "byte_len", F.sha2("content", 256).alias("sha256"))
+
+
 # text
 
 
@@ -289,12 +301,12 @@ _VECTOR = "[" + ", ".join(f"{x}::DOUBLE" for x in QUERY_VECTOR) + "]"
 _COSINE = f"SELECT vec_id, round(list_dot_product(e, {_VECTOR}) / sqrt(list_dot_product(e, e)) / sqrt(list_dot_product({_VECTOR}, {_VECTOR})), 6) AS score, list_dot_product(e, {_VECTOR}) / sqrt(list_dot_product(e, e)) AS exact FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
 
 
-@query(f"{_COSINE} ORDER BY score DESC, vec_id LIMIT 20")
+@query(f"SELECT vec_id, score FROM ({_COSINE}) ORDER BY exact DESC, vec_id LIMIT 20")
 def cosine_topk(spark, sf_dir):
     return vector.top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", QUERY_VECTOR, 20)
 
 
-@query(f"{_COSINE} WHERE label IN (1, 3) ORDER BY score DESC, vec_id LIMIT 20")
+@query(f"SELECT vec_id, score FROM ({_COSINE} WHERE label IN (1, 3)) ORDER BY exact DESC, vec_id LIMIT 20")
 def cosine_topk_filtered(spark, sf_dir):
     return vector.top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", QUERY_VECTOR, 20, F.col("label").isin(1, 3))
 
@@ -310,7 +322,7 @@ def vector_norm_check(spark, sf_dir):
 _LEGS = f"""{_bm25_sql(queries=_ONE)}, {_SYMBOLS},
 lex AS (SELECT chunk_id, row_number() OVER (ORDER BY round(score, 6) DESC, chunk_id) AS r FROM scores QUALIFY r <= 100),
 ex AS (SELECT doc_id AS chunk_id, row_number() OVER (ORDER BY doc_id) AS r FROM syms WHERE symbol = '{SYMBOL_QUERY}' QUALIFY r <= 100),
-cos AS ({_COSINE}), sem AS (SELECT vec_id AS chunk_id, row_number() OVER (ORDER BY score DESC, vec_id) AS r FROM cos QUALIFY r <= 100),
+cos AS ({_COSINE}), sem AS (SELECT vec_id AS chunk_id, row_number() OVER (ORDER BY exact DESC, vec_id) AS r FROM cos QUALIFY r <= 100),
 fused AS (SELECT chunk_id, sum(1.0 / (60 + r)) AS rrf, count(*) AS n_legs FROM (SELECT * FROM lex UNION ALL SELECT * FROM ex UNION ALL SELECT * FROM sem) GROUP BY chunk_id)"""
 
 

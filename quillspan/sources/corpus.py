@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-import hashlib
-import io
 import re
 import tomllib
-import zipfile
-from collections.abc import Iterator
 from pathlib import Path
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DOCUMENTS = "document_id string, archive_id string, archive_sha256 string, vendor string, entry_path string, content_sha256 string, byte_len bigint, source string"
+from quillspan.sources import archives as archives_
+from quillspan.store import file_digests
 
 
 def entry_path(name: str) -> str:
@@ -52,25 +48,18 @@ def load_manifest(path: str) -> list[dict]:
     return sorted(archives, key=lambda a: (a["vendor"], a["id"]))
 
 
-def read_archive(archive: dict, data: bytes) -> Iterator[dict]:
-    """Rows of an archive whose checksum, entry count and sizes are as declared."""
-    if hashlib.sha256(data).hexdigest() != archive["sha256"]:
-        raise ValueError(f"the checksum of {archive['id']} differs")
-    seen, total = set(), 0
-    with zipfile.ZipFile(io.BytesIO(data)) as zipped:
-        for info in zipped.infolist():
-            if info.is_dir():
-                continue
-            path = entry_path(info.filename)
-            total += info.file_size
-            if path in seen or total > archive["uncompressed_bytes"]:
-                raise ValueError(f"{path} is repeated, or the archive is larger than declared")
-            seen.add(path)
-            raw = zipped.read(info)
-            name = hashlib.sha256(f"{archive['id']}\0{path}".encode()).hexdigest()
-            yield {"document_id": f"doc:{name}", "archive_id": archive["id"], "archive_sha256": archive["sha256"], "vendor": archive["vendor"], "entry_path": path, "content_sha256": hashlib.sha256(raw).hexdigest(), "byte_len": len(raw), "source": raw.decode()}
-    if len(seen) != archive["entry_count"] or total != archive["uncompressed_bytes"]:
+def checked_entries(archive: dict, entries: list[archives_.Entry]) -> dict[str, str]:
+    """The safe path of each entry's name; ValueError if the directory is not as declared."""
+    paths, total = {}, 0
+    for e in entries:
+        path = entry_path(e.path)
+        total += e.size
+        if path in paths.values() or total > archive["uncompressed_bytes"]:
+            raise ValueError(f"{path} is repeated, or the archive is larger than declared")
+        paths[e.path] = path
+    if len(paths) != archive["entry_count"] or total != archive["uncompressed_bytes"]:
         raise ValueError(f"{archive['id']} has other entries or sizes than declared")
+    return paths
 
 
 def _qualified(spark: SparkSession, path: str) -> str:
@@ -79,18 +68,15 @@ def _qualified(spark: SparkSession, path: str) -> str:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
 
 
-def _files(spark: SparkSession, folder: str, archives: list[dict]) -> DataFrame:
-    """(archive_id, content): files are told apart by their whole paths."""
-    paths = {_qualified(spark, f"{folder}/{relative_path(a['path'])}"): a["id"] for a in archives}
-    names = spark.createDataFrame(sorted(paths.items()), "path string, archive_id string")
-    # a row an archive, beside the files' own contents
-    return spark.read.format("binaryFile").load(sorted(paths)).select("path", "content").join(F.broadcast(names), "path").select("archive_id", "content")
+def _places(spark: SparkSession, folder: str, archives: list[dict]) -> dict[str, dict]:
+    """Archives by the whole paths of their files, which tell them apart."""
+    return {_qualified(spark, f"{folder}/{relative_path(a['path'])}"): a for a in archives}
 
 
 def checksums(spark: SparkSession, folder: str, archives: list[dict]) -> dict[str, str]:
-    """SHA-256 of the archives' files as they lie now, by id; a file that is missing has none."""
-    there = [a for a in archives if _exists(spark, f"{folder}/{relative_path(a['path'])}")]
-    return {r["archive_id"]: r["sha"] for r in _files(spark, folder, there).select("archive_id", F.sha2("content", 256).alias("sha")).collect()} if there else {}
+    """SHA-256 of the archives' files as they lie now, by id; a file that is missing has none. A file is read a few MB at a time."""
+    there = _places(spark, folder, [a for a in archives if _exists(spark, f"{folder}/{relative_path(a['path'])}")])
+    return {there[r["uri"]]["id"]: r["sha256"] for r in file_digests(spark, sorted(there)).collect()} if there else {}
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -98,16 +84,27 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
-def read_corpus(spark: SparkSession, folder: str, archives: list[dict]) -> DataFrame:
-    """The documents of all archives, an archive a task, in order of vendor, archive and path where they are sorted by ``in_order``."""
-    by_id = {a["id"]: a for a in archives}
+def read_corpus(spark: SparkSession, folder: str, archives: list[dict], split_bytes: int = archives_.SPLIT_BYTES) -> DataFrame:
+    """The documents of all archives, in order of vendor, archive and path where they are sorted by ``in_order``.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, data in zip(batch.column("archive_id").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                yield pa.RecordBatch.from_pylist(list(read_archive(by_id[name], data)))
-
-    return _files(spark, folder, archives).mapInArrow(run, DOCUMENTS)
+    Checksums, and the entries' paths, number and sizes, are compared with the
+    manifest first; then each archive is read by as many tasks as it has
+    ``split_bytes`` of packed entries.
+    """
+    places = _places(spark, folder, archives)
+    found = checksums(spark, folder, archives)
+    for a in archives:
+        if found.get(a["id"]) != a["sha256"]:
+            raise ValueError(f"the checksum of {a['id']} differs")
+    named = [(uri, name, path) for uri, a in places.items() for name, path in checked_entries(a, archives_.directory(uri)).items() if path != name]
+    about = spark.createDataFrame([(uri, a["id"], a["sha256"], a["vendor"]) for uri, a in places.items()], "archive string, archive_id string, archive_sha256 string, vendor string")
+    other = spark.createDataFrame(named, "archive string, entry_path string, _safe string")
+    # a row an archive
+    rows = archives_.zip_entries(spark, sorted(places), split_bytes=split_bytes).join(F.broadcast(about), "archive").join(other, ["archive", "entry_path"], "left")
+    path = F.coalesce("_safe", "entry_path")
+    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(F.raise_error(F.concat(F.lit("not UTF-8: "), path)))
+    identity = F.concat(F.lit("doc:"), F.sha2(F.concat("archive_id", F.lit("\0"), path), 256))
+    return rows.select(identity.alias("document_id"), "archive_id", "archive_sha256", "vendor", path.alias("entry_path"), F.sha2("content", 256).alias("content_sha256"), "byte_len", text.alias("source"))
 
 
 def in_order(documents: DataFrame) -> DataFrame:

@@ -1,11 +1,14 @@
-"""The folder that driver and executors share, and tables written there."""
+"""The folder that driver and executors share, tables written there, and files read by ranges from tasks."""
 
 from __future__ import annotations
 
+import hashlib
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
@@ -34,3 +37,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def located(uri: str):
+    """(pyarrow's file system, path in it) of a URI, as Spark or Hadoop writes them, or of a plain path."""
+    from pyarrow import fs
+
+    if not re.match("[A-Za-z][A-Za-z0-9+.-]+:", uri):
+        return fs.LocalFileSystem(), uri
+    return fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
+
+
+def file_digests(spark: SparkSession, uris: list[str]) -> DataFrame:
+    """(uri, sha256) of files: each is read by one task, a few MB at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for uri in batch.column("uri").to_pylist():
+                store, path = located(uri)
+                made = hashlib.sha256()
+                with store.open_input_stream(path) as stream:
+                    while piece := stream.read(4 << 20):
+                        made.update(piece)
+                found.append(made.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("uri"), pa.array(found, pa.string())], names=["uri", "sha256"])
+
+    rows = spark.createDataFrame([(u,) for u in uris], "uri string")
+    return rows.repartition(max(1, min(len(uris), spark.sparkContext.defaultParallelism * 4)), "uri").mapInArrow(run, "uri string, sha256 string")

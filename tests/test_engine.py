@@ -93,11 +93,9 @@ def test_corpus_is_checked_and_read(spark, tmp_path):
     good = archive(tmp_path, [("./m.md", "# É\n"), ("d/n.MD", "x")])
     read = corpus.read_corpus(spark, str(tmp_path), [good]).collect()
     assert {(r.entry_path, r.source) for r in read} == {("m.md", "# É\n"), ("d/n.MD", "x")}
-    data = (tmp_path / "a.zip").read_bytes()
-    with pytest.raises(ValueError):
-        list(corpus.read_archive(good, data + b"x"))
-    with pytest.raises(ValueError):
-        list(corpus.read_archive(good | {"entry_count": 3}, data))
+    for wrong in ({"sha256": "0" * 64}, {"entry_count": 3}, {"uncompressed_bytes": 2}, {"uncompressed_bytes": 999}):
+        with pytest.raises(ValueError):
+            corpus.read_corpus(spark, str(tmp_path), [good | wrong])
     for bad in ("../m.md", "/m.md", "c:/m.md", "m.txt", "", "a//m.md"):
         with pytest.raises(ValueError):
             corpus.entry_path(bad)
