@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from quillspan.functions.stemmer import stem
 from quillspan.operators import blocks, lexical
 from quillspan.operators.snapshot import Store
-from quillspan.store import written
+from quillspan.store import numbered, written
 
 MANIFEST = "index.json"
 FANOUT = 8
@@ -146,28 +146,18 @@ class Index:
         What is written is in proportion to what changes, but for the merges.
         """
         out = self if removed is None else self._without(removed)
-        numbered = out._numbered(added)
-        ids = numbered.select("chunk_id")
+        rows = numbered(added, "doc_no", self.manifest["next"])
+        ids = rows.select("chunk_id")
         if ids.groupBy("chunk_id").count().where("count > 1").take(1) or out.docs.join(ids, "chunk_id", "left_semi").take(1):
             raise ValueError("a chunk id occurs twice")
-        n = numbered.count()
+        n = rows.count()
         if n:
-            out = out._with_segment(lexical.postings(numbered, self.stemming), numbered.select("doc_no", "chunk_id"), n)
+            out = out._with_segment(lexical.postings(rows, self.stemming), rows.select("doc_no", "chunk_id"), n)
             out = Index(self.spark, self.root, out.manifest | {"next": self.manifest["next"] + n, "n_docs": out.n_docs + n})
         while names := out._due(fanout):
             out = out._merged(names)
         return out._one_removal() if len(out.manifest["removals"]) >= 2 * fanout else out
 
-    def _numbered(self, fields: DataFrame) -> DataFrame:
-        """``fields`` with doc_no, from the next free number on: rows are written once, and counted by the partition they were in."""
-        rows = written(fields.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_row")), "numbered")
-        at, starts = self.manifest["next"], []
-        for r in rows.groupBy("_part").count().orderBy("_part").collect():  # a row a partition
-            starts.append((r["_part"], at))
-            at += r["count"]
-        begun = self.spark.createDataFrame(starts, "_part int, _start bigint")
-        return rows.join(F.broadcast(begun), "_part").withColumn("doc_no", F.col("_start") + F.col("_row")).drop("_part", "_row", "_start")
-
     def _with_segment(self, postings: DataFrame, docs: DataFrame, n: int) -> Index:
         """Blocks are dealt by ranges of (field, term, number), so a term that a third of all texts have is many tasks' and many files', and a search prunes the others by their statistics."""
         name, parts = f"s-{uuid.uuid4().hex}", int(self.spark.conf.get("spark.sql.shuffle.partitions"))

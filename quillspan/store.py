@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -39,6 +40,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, number: str, first: int = 0) -> DataFrame:
+    """``df`` with dense numbers from ``first`` on, in the order of its partitions: rows are written once, and counted by the partition they were in."""
+    rows = written(df.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_row")), "numbered")
+    starts = []
+    for r in rows.groupBy("_part").count().orderBy("_part").collect():  # a row a partition
+        starts.append((r["_part"], first))
+        first += r["count"]
+    begun = df.sparkSession.createDataFrame(starts, "_part int, _start bigint")
+    return rows.join(F.broadcast(begun), "_part").withColumn(number, F.col("_start") + F.col("_row")).drop("_part", "_row", "_start")
+
+
 def located(uri: str):
     """(pyarrow's file system, path in it) of a URI, as Spark or Hadoop writes them, or of a plain path."""
     from pyarrow import fs
