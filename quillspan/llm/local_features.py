@@ -30,13 +30,13 @@ from pyspark.sql import types as T
 from .cluster import slices, written
 from .components import components
 
-SCALES = (1.0, 0.75, 0.5)
+SCALES = tuple(2 ** (-i / 4) for i in range(5))
 RADIUS = 7  # of a patch
 WORDS = 4  # of 64 bits in a descriptor
-BANDS, BAND_BITS = 8, 16  # keys of a doublet, each of so many bits of both descriptors
-CHECK_BITS = 64  # of each of the two, compared where doublets meet
-NEIGHBOURS = 4  # corners that a corner makes doublets with
-CHECK_DIFFERING = 16  # of the two times CHECK_BITS, at most
+BANDS, BAND_BITS = 8, 15  # keys of a doublet, each of so many bits of both descriptors
+CHECK_BITS = 32  # of each of the two, compared where doublets meet
+NEIGHBOURS = 5  # corners that a corner makes doublets with
+CHECK_DIFFERING = 8  # of the two times CHECK_BITS, at most
 TURN_STEPS, TURN_APART, LENGTH_STEPS, LENGTH_APART = 256, 14, 16, 5  # of a full turn and of a doubling; how far doublets that meet may be apart
 SKETCH = 16  # keys of an image by which it meets others first
 
@@ -50,7 +50,7 @@ def decode(data: bytes | None) -> np.ndarray | None:
             return _netpbm(data)
         if data[:8] == b"\x89PNG\r\n\x1a\n":
             return _png(data)
-    except (ValueError, IndexError, zlib.error, KeyError):
+    except (ValueError, IndexError, OverflowError, zlib.error, KeyError):
         return None
     return None
 
@@ -96,7 +96,9 @@ def _png(data: bytes) -> np.ndarray:
     channels = {0: 1, 2: 3, 4: 2, 6: 4}[colour]
     if depth != 8 or interlaced:
         raise ValueError("not 8 bits, or interlaced")
-    rows = np.frombuffer(zlib.decompress(b"".join(parts)), np.uint8).reshape(height, 1 + width * channels)
+    size = height * (1 + width * channels)
+    # no more is unpacked than the picture can have
+    rows = np.frombuffer(zlib.decompressobj().decompress(b"".join(parts), size), np.uint8).reshape(height, 1 + width * channels)
     out = np.zeros((height, width, channels), np.uint8)
     above = np.zeros((width, channels), np.uint8)
     for y in range(height):
@@ -204,6 +206,20 @@ def describe(image: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(places), np.concatenate(found)
 
 
+def nearest_descriptors(a: np.ndarray, b: np.ndarray, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest of ``b`` for each of ``a``, the first of those as near, and the bits between them; ``most`` pairs are held at once."""
+    near, apart = np.empty(len(a), np.int64), np.empty(len(a), np.int64)
+    step = max(1, most // len(b))
+    for at in range(0, len(a), step):
+        own = a[at : at + step]
+        bits = np.zeros((len(own), len(b)), np.uint16)
+        for word in range(WORDS):
+            bits += np.bitwise_count(own[:, word, None] ^ b[None, :, word])
+        near[at : at + step] = bits.argmin(axis=1)
+        apart[at : at + step] = bits[np.arange(len(own)), near[at : at + step]]
+    return near, apart
+
+
 def consensus(a_places: np.ndarray, a: np.ndarray, b_places: np.ndarray, b: np.ndarray, most_bits: int = 48) -> tuple[int, float]:
     """(corners, evidence) of two images: corners of ``a`` whose nearest descriptors in ``b`` agree on one shift, turn and change of scale, and the sum of the bits by which these are nearer than ``most_bits``.
 
@@ -214,9 +230,8 @@ def consensus(a_places: np.ndarray, a: np.ndarray, b_places: np.ndarray, b: np.n
     """
     if not len(a) or not len(b):
         return 0, 0.0
-    bits = np.bitwise_count(a[:, None, :] ^ b[None, :, :]).sum(axis=2)
-    near = bits.argmin(axis=1)
-    worth = most_bits - 3 * max(0.0, math.log2(len(b) / 22)) - bits[np.arange(len(a)), near]
+    near, apart = nearest_descriptors(a, b)
+    worth = most_bits - 3 * max(0.0, math.log2(len(b) / 22)) - apart
     ok = worth > 0
     if not ok.any():
         return 0, 0.0
@@ -268,6 +283,32 @@ def _chosen_bits() -> np.ndarray:
     return np.random.default_rng(7).permutation(64 * WORDS)
 
 
+def near_corners(places: np.ndarray, part: np.ndarray, among: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(corners of ``part``, their ``NEIGHBOURS`` nearest ``among`` which are ``least`` off or more), of as near ones the first.
+
+    Corners are in reading order, so a part is a strip: its surroundings are
+    looked at first, and all only for corners that do not have enough there.
+    """
+    reach = 16 * least
+    y = places[part, 0]
+    around = among[(places[among, 0] >= y.min() - reach) & (places[among, 0] <= y.max() + reach)]
+    for own, held, bound in ((part, around, reach), (None, among, np.inf)):
+        own = rest if own is None else own
+        if not len(own):
+            return
+        apart = np.hypot(places[held, 0] - places[own, 0][:, None], places[held, 1] - places[own, 1][:, None])
+        apart = np.where(apart >= least, apart, np.inf)
+        near = np.argsort(apart, axis=1, kind="stable")[:, :NEIGHBOURS]
+        far = np.take_along_axis(apart, near, axis=1)
+        # what lies outside the surroundings is farther than the reach
+        enough = (far.shape[1] == NEIGHBOURS) & (far <= bound).all(axis=1) if len(held) < len(among) else np.ones(len(own), bool)
+        rest = own[~enough]
+        ok = np.isfinite(far[enough]).ravel()
+        yield np.repeat(own[enough], near.shape[1])[ok], held[near[enough].ravel()][ok]
+        if len(held) == len(among):
+            return
+
+
 def doublets(places: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(keys, check, layout) of each two corners of one scale of which one is among the other's nearest, three pixels off or more; each with a column for each band.
 
@@ -282,20 +323,16 @@ def doublets(places: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarr
     for scale in np.unique(places[:, 2]) if n > 1 else ():
         at = np.flatnonzero(places[:, 2] == scale)
         for part in np.array_split(at, len(at) // 256 + 1):
-            apart = np.hypot(places[at, 0] - places[part, 0][:, None], places[at, 1] - places[part, 1][:, None])
-            apart = np.where(apart >= 3 * scale, apart, np.inf)
-            near = np.argsort(apart, axis=1, kind="stable")[:, :NEIGHBOURS]
-            ok = np.isfinite(np.take_along_axis(apart, near, axis=1)).ravel()
-            i, j = np.repeat(part, near.shape[1])[ok], at[near.ravel()][ok]
-            near_of.append(np.minimum(i, j) * n + np.maximum(i, j))
+            for i, j in near_corners(places, part, at, 3 * scale):
+                near_of.append(np.minimum(i, j) * n + np.maximum(i, j))
     pairs = np.unique(np.concatenate(near_of)) if near_of else np.zeros(0, np.int64)
     if not len(pairs):
-        return np.zeros((0, BANDS), np.uint32), np.zeros((0, BANDS, 2), np.uint64), np.zeros((0, BANDS, 3), np.uint8)
+        return np.zeros((0, BANDS), np.uint32), np.zeros((0, BANDS, 2), np.uint32), np.zeros((0, BANDS, 3), np.uint8)
     i, j = pairs // n, pairs % n
     one = np.unpackbits(bits.view(np.uint8).reshape(n, -1), axis=1, bitorder="little")[:, _chosen_bits()]
     pack = lambda part: (part.astype(np.uint64) << np.arange(part.shape[1], dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
     band = np.column_stack([pack(one[:, k * BAND_BITS : (k + 1) * BAND_BITS]) for k in range(BANDS)])
-    last = pack(one[:, -CHECK_BITS:])
+    last = pack(one[:, -CHECK_BITS:]).astype(np.uint32)
     around = lambda angle: (np.rint(angle / (2 * math.pi) * TURN_STEPS).astype(np.int64) % TURN_STEPS).astype(np.uint8)
 
     def layout(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -341,7 +378,7 @@ def first_pairs(classes: DataFrame) -> DataFrame:
                 _, first = np.unique(mixed, return_index=True)
                 at = first[:SKETCH]
                 check, layout = check.reshape(-1, 2), layout.reshape(-1, 3)
-                for held, values in zip(out, (flat[at].view(np.int64), np.full(len(at), image), *np.ascontiguousarray(check[at].T).view(np.int64), *layout[at].T.astype(np.int32)), strict=True):
+                for held, values in zip(out, (flat[at].view(np.int64), np.full(len(at), image), *check[at].T.astype(np.int64), *layout[at].T.astype(np.int32)), strict=True):
                     held.append(values)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held)) for held in out], names=["key", "image", "c", "e", "d", "t", "l"])
@@ -380,11 +417,14 @@ def crossing(key: np.ndarray, label: np.ndarray, most: int = 1 << 18) -> Iterato
 def crossing_pairs(labelled: DataFrame, part_rows: int = 1 << 20) -> DataFrame:
     """(a, b): all images (image, places, bits, label) of different labels of which doublets meet under a key and are alike.
 
-    Doublets are dealt by a hash of their key, packed in columns of bytes, and
-    each is compared with all of its key that have another label. A task holds
-    one part of the keys, of about ``part_rows`` doublets; a key is in one part.
+    Two images are a pair if two doublets or more of the one are alike with some
+    of the other, under any keys. Doublets are dealt by a hash of their key,
+    packed in columns of bytes, and each is compared with all of its key that
+    have another label. A task holds one part of the keys, of about ``part_rows``
+    doublets by the images' corners; a key is in one part.
     """
-    parts = max(int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions")), labelled.count() * 22 * NEIGHBOURS * BANDS // part_rows)
+    n_corners = (labelled.agg(F.sum(F.octet_length("bits"))).first()[0] or 0) // (8 * WORDS)
+    parts = max(int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_corners * NEIGHBOURS // 2 * BANDS // part_rows)
     names = ["part", "bands", "keys", "owners", "checks", "layouts", "images", "labels"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -416,23 +456,30 @@ def crossing_pairs(labelled: DataFrame, part_rows: int = 1 << 20) -> DataFrame:
         labels = [np.frombuffer(x, "<i8") for x in group["labels"]]
         owners = [np.frombuffer(x, np.uint8) for x in group["owners"]]
         key = np.frombuffer(b"".join(group["bands"]), np.uint8).astype(np.uint64) << np.uint64(32) | np.frombuffer(b"".join(group["keys"]), np.uint32)
-        check = np.frombuffer(b"".join(group["checks"]), np.uint64).reshape(-1, 2)
+        check = np.frombuffer(b"".join(group["checks"]), np.uint32).reshape(-1, 2)
         layout = np.frombuffer(b"".join(group["layouts"]), np.uint8).reshape(-1, 3)
         image, label = (np.concatenate([x[o] for x, o in zip(held, owners, strict=True)]) for held in (images, labels))
         order = np.lexsort((label, key))
         key, image, label, check, layout = key[order], image[order], label[order], check[order], layout[order]
-        found = [np.zeros((2, 0), np.int64)]
+        # a doublet of an image is known by what its two corners' bits differ in, which is the same in all bands
+        mark = (check[:, 0] ^ check[:, 1]).astype(np.int64)
+        found = [np.zeros((3, 0), np.int64)]
         for x, y in crossing(key, label):
             near = alike(check[x], layout[x], check[y], layout[y])
-            x, y = image[x[near]], image[y[near]]
-            found.append(np.stack([np.maximum(x, y), np.minimum(x, y)]))
+            x, y = x[near], y[near]
+            greater = image[x] > image[y]
+            x, y = np.where(greater, x, y), np.where(greater, y, x)
+            found.append(np.stack([image[x], image[y], mark[x]]))
             if len(found) > 64:
                 found = [np.unique(np.concatenate(found, axis=1), axis=1)]
-        a, b = np.unique(np.concatenate(found, axis=1), axis=1)
-        return pd.DataFrame({"a": a, "b": b})
+        a, b, mark = np.unique(np.concatenate(found, axis=1), axis=1)
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(a) != 0) | (np.diff(b) != 0)])) if len(a) else np.zeros(0, np.int64)
+        last = np.append(first[1:], len(a)) - 1 if len(a) else first
+        return pd.DataFrame({"a": a[first], "b": b[first], "least": mark[first], "most": mark[last]})
 
     dealt = labelled.select("image", "places", "bits", "label").mapInArrow(deal, ", ".join(["part bigint", *[f"{n} binary" for n in names[1:]]]))
-    return dealt.groupBy("part").applyInPandas(meet, "a bigint, b bigint").distinct()
+    met = dealt.groupBy("part").applyInPandas(meet, "a bigint, b bigint, least bigint, most bigint")
+    return met.groupBy("a", "b").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least < most").select("a", "b")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, least_agreeing: int, least_share: float, least_evidence: float) -> DataFrame:
@@ -484,14 +531,14 @@ def copies(df: DataFrame, key: str, image: str, least_agreeing: int = 4, least_s
 
 
 def thumbnails(vector: Column, side: int = 8, factor: int = 4) -> Column:
-    """Vectors of side * side numbers as images: binary PGM, each number a grey level about 128 by the vector's own spread, enlarged smoothly. A null vector, or one of another size, is null."""
+    """Vectors of side * side numbers as images: binary PGM, each number a grey level about 128 by the vector's own spread, enlarged smoothly. A null vector, one of another size, or with a number that is null or not finite, is null."""
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf(T.BinaryType())
     def draw(column: pd.Series) -> pd.Series:
         out = []
         for v in column:
-            if v is None or len(v) != side * side or any(x is None for x in v):
+            if v is None or len(v) != side * side or any(x is None or not math.isfinite(x) for x in v):
                 out.append(None)
                 continue
             grid = np.asarray(v, np.float64).reshape(side, side)

@@ -434,3 +434,102 @@ def test_copies_of_vectors_share_a_component(spark, name):
     assert rows.keys() == table.keys()
     near = [(a, b) for a, b in combinations(sorted(table), 2) if table[a] @ table[b] > 0.97]
     assert sum(rows[a].component_id == rows[b].component_id for a, b in near) >= 0.9 * len(near)
+
+
+#: Edits of drawn vectors, and the least share of edited copies that meet and are accepted.
+DRAWN_EDITS = {
+    "noise of sigma 8": 0.95,
+    "noise of sigma 16": 0.9,
+    "cropped by 2 pixels on each side": 0.9,
+    "cropped to a corner of 24 by 24": 0.9,
+    "enlarged by a quarter": 0.95,
+    "enlarged by an eighth": 0.95,
+    "a ninth covered in white": 0.9,
+    "reduced by a fifth, with noise": 0.9,
+    "reduced by a tenth, with noise": 0.9,
+    "reduced by a third": 0.9,
+    "darker": 0.95,
+}
+
+
+def drawn_edit(name, image, r):
+    size = lambda n: np.rint(local_features.resized(image.astype(np.float32), n, n))
+    noisy = lambda x, sigma: x + r.normal(0, sigma, x.shape)
+    covered = image.copy()
+    covered[10:21, 10:21] = 255
+    return np.rint(
+        {
+            "noise of sigma 8": lambda: noisy(image, 8),
+            "noise of sigma 16": lambda: noisy(image, 16),
+            "cropped by 2 pixels on each side": lambda: image[2:-2, 2:-2],
+            "cropped to a corner of 24 by 24": lambda: image[:24, 8:],
+            "enlarged by a quarter": lambda: size(40),
+            "enlarged by an eighth": lambda: size(36),
+            "a ninth covered in white": lambda: covered,
+            "reduced by a fifth, with noise": lambda: noisy(size(26), 4),
+            "reduced by a tenth, with noise": lambda: noisy(size(29), 4),
+            "reduced by a third": lambda: size(22),
+            "darker": lambda: image * 0.8 + 20,
+        }[name]()
+    ).clip(0, 255)
+
+
+def test_edited_copies_of_drawn_vectors_meet_and_are_accepted(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").where("vec_id % 14 = 3").orderBy("vec_id").limit(120)
+    images = [local_features.decode(x.image) for x in table.select(local_features.thumbnails(F.col("embedding")).alias("image")).collect()]
+    r = np.random.default_rng(8)
+    described = [local_features.describe(i) for i in images]
+    rows, pairs = list(described), {}
+    for name in DRAWN_EDITS:
+        for n, image in enumerate(images):
+            pairs[len(rows), n] = name
+            rows.append(local_features.describe(drawn_edit(name, image, r).astype(np.float32)))
+    met = {(x.a, x.b) for x in local_features.crossing_pairs(class_rows(spark, rows)).collect()}
+    found = dict.fromkeys(DRAWN_EDITS, 0)
+    for (a, b), name in pairs.items():
+        if (a, b) in met:
+            corners, evidence = local_features.consensus(*rows[a], *rows[b])
+            found[name] += corners >= max(4, 0.15 * min(len(rows[a][1]), len(rows[b][1]))) and evidence >= 120
+    shares = {name: n / len(images) for name, n in found.items()}
+    assert all(shares[name] >= least for name, least in DRAWN_EDITS.items()), shares
+    # of unrelated pictures hardly any meet
+    chance = sum(a != b and max(a, b) < len(images) for a, b in met)
+    assert chance <= 0.0005 * len(images) ** 2 / 2 + 3
+
+
+def test_large_pictures_are_compared_in_bounded_memory():
+    import time
+    import tracemalloc
+
+    r = np.random.default_rng(0)
+    a, b = (local_features.describe(r.uniform(0, 255, (1024, 1024)).astype(np.float32)) for _ in range(2))
+    assert len(a[1]) > 10_000
+    tracemalloc.start()
+    began = time.perf_counter()
+    nearest = local_features.nearest_descriptors(a[1], b[1])
+    keys, _, _ = local_features.doublets(*a)
+    assert len(keys) > 30_000 and tracemalloc.get_traced_memory()[1] < 500_000_000
+    tracemalloc.stop()
+    assert time.perf_counter() - began < 120
+    some = slice(0, 40)
+    bits = np.bitwise_count(a[1][some, None, :] ^ b[1][None]).sum(axis=2)
+    assert (nearest[0][some] == bits.argmin(axis=1)).all() and (nearest[1][some] == bits.min(axis=1)).all()
+
+
+def test_near_corners_equal_a_full_search():
+    r = np.random.default_rng(1)
+    at = np.unique(r.integers(0, 400, (900, 2)), axis=0).astype(float)
+    places = np.column_stack([at, np.ones(len(at)), np.zeros(len(at))])
+    places = places[(places[:, 0] < 50) | (places[:, 0] > 350)]  # with a gap
+    among = np.arange(len(places))
+    for part in np.array_split(among, 7):
+        got = np.concatenate([np.column_stack(x) for x in local_features.near_corners(places, part, among, 3.0)])
+        apart = np.hypot(*(places[part, None, :2] - places[None, :, :2]).transpose(2, 0, 1))
+        apart[apart < 3] = np.inf
+        want = {(p, q) for p, row in zip(part, np.argsort(apart, axis=1, kind="stable")[:, : local_features.NEIGHBOURS], strict=True) for q in row}
+        assert set(map(tuple, got.tolist())) == want
+
+
+def test_odd_pictures_are_not_read():
+    assert local_features.decode(b"P5\n99999999999 99999999999\n255\n" + b"x" * 100) is None
+    assert local_features.decode(b"P6\n3000000000 3000000000\n255\n\0") is None
