@@ -52,10 +52,11 @@ class EliasFano:
     def encode(values: np.ndarray) -> bytes:
         values = np.asarray(values, np.int64)
         n = len(values)
-        if n and (np.diff(values) < 0).any():
+        if (values[1:] < values[:-1]).any():
             raise ValueError("values must not decrease")
         least = int(values[0]) if n else 0
-        x = (values - least).astype(np.uint64)
+        # differences of signed numbers may need all 64 bits: they are taken modulo 2^64
+        x = values.view(np.uint64) - np.uint64(least % (1 << 64))
         span = int(x[-1]) + 1 if n else 1
         width = max(0, (span // n).bit_length() - 1) if n else 0
         lows = np.zeros(0, np.uint8)
@@ -104,7 +105,7 @@ class EliasFano:
                 lows = np.unpackbits(self.low[at // 8 : (at + count * self.width + 7) // 8], bitorder="little")[at % 8 :]
                 lows = lows[: count * self.width].reshape(count, self.width).astype(np.uint64)
                 out |= (lows << np.arange(self.width, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-            yield out.astype(np.int64) + self.least
+            yield (out + np.uint64(self.least % (1 << 64))).view(np.int64)
 
 
 def shard_bytes(keys: list[int], lengths: list[int], ids: list[bytes], id_bytes: int) -> bytes:

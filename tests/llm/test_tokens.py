@@ -102,6 +102,42 @@ def test_vector_limits_hold_at_once():
         list(packer.add(501, 101, 0))
 
 
+def plain_packing(examples, tokens, segments, loss, window):
+    """Keys by sequence: of what waits and fits, always the one with the largest product of its demands with what is left, each by its limit."""
+    limits, waiting, out = (tokens, segments, loss), [], []
+
+    def sequence():
+        left, placed = list(limits), []
+        while left[0] and left[1]:
+            fitting = [(sum(x * y / n**2 for x, y, n in zip(left, (size, 1, bearing), limits, strict=True)), key, size, bearing) for key, size, bearing in waiting if size <= left[0] and bearing <= left[2]]
+            if not fitting:
+                break
+            _, key, size, bearing = max(fitting)
+            waiting.remove((key, size, bearing))
+            placed.append(key)
+            left = [left[0] - size, left[1] - 1, left[2] - bearing]
+        out.append(placed)
+
+    for example in examples:
+        while len(waiting) >= window:
+            sequence()
+        waiting.append(example)
+    while waiting:
+        sequence()
+    return out
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_the_piece_with_the_largest_product_is_placed(seed):
+    r = random.Random(seed)
+    limits = {"tokens": 1_000_000, "segments": r.choice([3, 6, 50]), "loss": r.choice([200_000, 700_000, 1_000_000])}
+    examples = [(i, n := r.randrange(1, r.choice([90_000, 999_999])), r.randrange(0, min(n, limits["loss"]) + 1)) for i in range(300)]
+    window = r.choice([1, 7, 40])
+    packer = packing.VectorPacker(**limits, cut=False, window=window)
+    got = [s for e in examples for s in packer.add(*e)] + list(packer.finish())
+    assert [[x[0] for x in s] for s in got] == plain_packing(examples, **limits, window=window)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_cut_examples_keep_all_tokens(seed):
     r = random.Random(seed)
@@ -172,6 +208,14 @@ def test_token_files_of_awkward_texts(awkward, empty):
     assert token_files.token_file_table(empty, PATH).count() == 0
 
 
+@pytest.mark.parametrize("values", [[-6 * 10**18, 6 * 10**18], [-(2**63), 0, 2**63 - 1], [-(2**63)] * 3, [2**63 - 2, 2**63 - 1], [-(2**63), -(2**63) + 1, *range(300), 2**63 - 1]])
+def test_elias_fano_over_all_of_a_long(values):
+    coded = token_files.EliasFano(token_files.EliasFano.encode(np.array(values, np.int64)))
+    assert np.concatenate(list(coded.blocks())).tolist() == values and [coded.at(i) for i in range(len(values))] == values
+    with pytest.raises(ValueError):
+        token_files.EliasFano.encode(np.array([6 * 10**18, -6 * 10**18]))
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 255, 256, 257, 3000])
 def test_elias_fano(n):
     values = np.sort(np.random.default_rng(n).integers(-9, 10**6, n))
