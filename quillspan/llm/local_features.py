@@ -35,9 +35,9 @@ RADIUS = 7  # of a patch
 WORDS = 4  # of 64 bits in a descriptor
 BANDS, BAND_BITS = 8, 15  # keys of a doublet, each of so many bits of both descriptors
 CHECK_BITS = 32  # of each of the two, compared where doublets meet
-NEIGHBOURS = 5  # corners that a corner makes doublets with
-CHECK_DIFFERING = 8  # of the two times CHECK_BITS, at most
-TURN_STEPS, TURN_APART, LENGTH_STEPS, LENGTH_APART = 256, 14, 16, 5  # of a full turn and of a doubling; how far doublets that meet may be apart
+NEIGHBOURS = 6  # corners that a corner makes doublets with
+CHECK_DIFFERING = 5  # of the two times CHECK_BITS, at most
+TURN_STEPS, TURN_APART, LENGTH_STEPS, LENGTH_APART = 256, 8, 16, 3  # of a full turn and of a doubling; how far doublets that meet may be apart
 SKETCH = 16  # keys of an image by which it meets others first
 
 
@@ -417,11 +417,10 @@ def crossing(key: np.ndarray, label: np.ndarray, most: int = 1 << 18) -> Iterato
 def crossing_pairs(labelled: DataFrame, part_rows: int = 1 << 20) -> DataFrame:
     """(a, b): all images (image, places, bits, label) of different labels of which doublets meet under a key and are alike.
 
-    Two images are a pair if two doublets or more of the one are alike with some
-    of the other, under any keys. Doublets are dealt by a hash of their key,
-    packed in columns of bytes, and each is compared with all of its key that
-    have another label. A task holds one part of the keys, of about ``part_rows``
-    doublets by the images' corners; a key is in one part.
+    Doublets are dealt by a hash of their key, packed in columns of bytes, and
+    each is compared with all of its key that have another label. A task holds
+    one part of the keys, of about ``part_rows`` doublets by the images' corners;
+    a key is in one part.
     """
     n_corners = (labelled.agg(F.sum(F.octet_length("bits"))).first()[0] or 0) // (8 * WORDS)
     parts = max(int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_corners * NEIGHBOURS // 2 * BANDS // part_rows)
@@ -461,25 +460,18 @@ def crossing_pairs(labelled: DataFrame, part_rows: int = 1 << 20) -> DataFrame:
         image, label = (np.concatenate([x[o] for x, o in zip(held, owners, strict=True)]) for held in (images, labels))
         order = np.lexsort((label, key))
         key, image, label, check, layout = key[order], image[order], label[order], check[order], layout[order]
-        # a doublet of an image is known by what its two corners' bits differ in, which is the same in all bands
-        mark = (check[:, 0] ^ check[:, 1]).astype(np.int64)
-        found = [np.zeros((3, 0), np.int64)]
+        found = [np.zeros((2, 0), np.int64)]
         for x, y in crossing(key, label):
             near = alike(check[x], layout[x], check[y], layout[y])
-            x, y = x[near], y[near]
-            greater = image[x] > image[y]
-            x, y = np.where(greater, x, y), np.where(greater, y, x)
-            found.append(np.stack([image[x], image[y], mark[x]]))
+            x, y = image[x[near]], image[y[near]]
+            found.append(np.stack([np.maximum(x, y), np.minimum(x, y)]))
             if len(found) > 64:
                 found = [np.unique(np.concatenate(found, axis=1), axis=1)]
-        a, b, mark = np.unique(np.concatenate(found, axis=1), axis=1)
-        first = np.flatnonzero(np.concatenate([[True], (np.diff(a) != 0) | (np.diff(b) != 0)])) if len(a) else np.zeros(0, np.int64)
-        last = np.append(first[1:], len(a)) - 1 if len(a) else first
-        return pd.DataFrame({"a": a[first], "b": b[first], "least": mark[first], "most": mark[last]})
+        a, b = np.unique(np.concatenate(found, axis=1), axis=1)
+        return pd.DataFrame({"a": a, "b": b})
 
     dealt = labelled.select("image", "places", "bits", "label").mapInArrow(deal, ", ".join(["part bigint", *[f"{n} binary" for n in names[1:]]]))
-    met = dealt.groupBy("part").applyInPandas(meet, "a bigint, b bigint, least bigint, most bigint")
-    return met.groupBy("a", "b").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least < most").select("a", "b")
+    return dealt.groupBy("part").applyInPandas(meet, "a bigint, b bigint").distinct()
 
 
 def verified(pairs: DataFrame, classes: DataFrame, least_agreeing: int, least_share: float, least_evidence: float) -> DataFrame:
