@@ -418,7 +418,8 @@ def crossing_pairs(labelled: DataFrame, part_rows: int = 1 << 20) -> DataFrame:
     """(a, b): all images (image, places, bits, label) of different labels of which doublets meet under a key and are alike.
 
     Doublets are dealt by a hash of their key, packed in columns of bytes, and
-    each is compared with all of its key that have another label. A task holds
+    each is compared with all of its key and of about its direction that have
+    another label. A task holds
     one part of the keys, of about ``part_rows`` doublets by the images' corners;
     a key is in one part.
     """
@@ -458,15 +459,19 @@ def crossing_pairs(labelled: DataFrame, part_rows: int = 1 << 20) -> DataFrame:
         check = np.frombuffer(b"".join(group["checks"]), np.uint32).reshape(-1, 2)
         layout = np.frombuffer(b"".join(group["layouts"]), np.uint8).reshape(-1, 3)
         image, label = (np.concatenate([x[o] for x, o in zip(held, owners, strict=True)]) for held in (images, labels))
-        order = np.lexsort((label, key))
-        key, image, label, check, layout = key[order], image[order], label[order], check[order], layout[order]
         found = [np.zeros((2, 0), np.int64)]
-        for x, y in crossing(key, label):
-            near = alike(check[x], layout[x], check[y], layout[y])
-            x, y = image[x[near]], image[y[near]]
-            found.append(np.stack([np.maximum(x, y), np.minimum(x, y)]))
-            if len(found) > 64:
-                found = [np.unique(np.concatenate(found, axis=1), axis=1)]
+        # doublets that lie alike share a sector of one of two divisions of the circle, half a sector apart
+        for turned in (0, TURN_APART):
+            sector = (layout[:, 0].astype(np.uint64) + np.uint64(turned)) % np.uint64(TURN_STEPS) // np.uint64(2 * TURN_APART)
+            own = key * np.uint64(TURN_STEPS) + sector
+            order = np.lexsort((label, own))
+            for x, y in crossing(own[order], label[order]):
+                x, y = order[x], order[y]
+                near = alike(check[x], layout[x], check[y], layout[y])
+                x, y = image[x[near]], image[y[near]]
+                found.append(np.stack([np.maximum(x, y), np.minimum(x, y)]))
+                if len(found) > 64:
+                    found = [np.unique(np.concatenate(found, axis=1), axis=1)]
         a, b = np.unique(np.concatenate(found, axis=1), axis=1)
         return pd.DataFrame({"a": a, "b": b})
 
