@@ -106,12 +106,15 @@ def build(spark: SparkSession, root: str, documents: DataFrame, archives: list[d
         "warnings": tables.warnings(parsed),
         "vectors": vectors.drop("reused").sort("vector_row"),
     }
-    name, built = snapshot.publish(spark, root, inputs, parts, force, lambda s: verify(s, embedder.spec()["dimension"]), shared=[f"{LEXICAL}/{f}" for f in index.folders()], more={"index": index.manifest})
+    name, built = snapshot.publish(spark, root, inputs, parts, force, lambda s: verify(s, embedder.spec()["dimension"]), shared=[f"{LEXICAL}/{f}" for f in index.folders()], more={"index": index.manifest}, ids=IDS)
     reused = {r["reused"]: r["count"] for r in vectors.groupBy("reused").count().collect()}
     opened = snapshot.Snapshot.current(spark, root)
     return Report(name, built, opened.counts["documents"], opened.counts["chunks"], taken, reused.get(True, 0), reused.get(False, 0), opened.counts["warnings"])
 
 
+#: Columns by whose ranges tables are dealt to files, which reads by id then choose from.
+IDS = {"documents": "document_id", "sections": "section_id", "blocks": "block_id", "chunks": "chunk_id", "tables": "table_id", "diagrams": "diagram_id"}
+
 #: Foreign keys: (table, column, table that has it).
 KEYS = (
     ("sections", "document_id", "documents"),

@@ -207,14 +207,14 @@ class Engine:
 
     def _chunks(self, ids: list[str]) -> dict[str, dict]:
         """Chunks of at most 256 ids, by id; missing ones are absent."""
-        return {r["chunk_id"]: r.asDict(True) for r in self.table("chunks").where(F.col("chunk_id").isin(ids)).collect()}
+        return {r["chunk_id"]: r.asDict(True) for r in self.opened.with_ids("chunks", "chunk_id", ids).collect()}
 
     def _document(self, document_id: str) -> dict:
-        return self.table("documents").where(F.col("document_id") == document_id).first().asDict()
+        return self.opened.with_ids("documents", "document_id", [document_id]).first().asDict()
 
     def _citations(self, rows) -> dict[str, dict]:
         rows = list(rows)
-        docs = {d["document_id"]: d for d in self.table("documents").where(F.col("document_id").isin(sorted({r["document_id"] for r in rows}))).collect()}
+        docs = {d["document_id"]: d for d in self.opened.with_ids("documents", "document_id", sorted({r["document_id"] for r in rows})).collect()}
         return {r["chunk_id"]: cite(docs[r["document_id"]], r["heading_path"], r["section_id"], r["span"]) | {"chunk_id": r["chunk_id"], "block_ids": r["source_block_ids"]} for r in rows}
 
     def compare(self, query: str, vendors: tuple[str, str] = ("intel", "amd"), mode: str = "hybrid", limit: int = 10) -> dict:
@@ -257,9 +257,9 @@ class Engine:
         need(1 <= block_limit <= MOST["blocks"], f"block_limit is 1 to {MOST['blocks']}")
         request = {"section": section_id, "limit": block_limit}
         offset = self._offset(cursor, request)
-        found = self.table("sections").where(F.col("section_id") == section_id).first()
+        found = self.opened.with_ids("sections", "section_id", [section_id]).first()
         if found is None:
-            block = self.table("blocks").where(F.col("block_id") == section_id).first()
+            block = self.opened.with_ids("blocks", "block_id", [section_id]).first()
             if block is None:
                 return self._missing()
             return {"state": self.state(), "entity_state": "found", "section": None, "blocks": [block.asDict(True)], "children": [], "next_cursor": None, "citation": self._cite(block)}
@@ -315,7 +315,7 @@ class Engine:
             rows = rows.where(F.exists("cells", lambda c: F.lower(c).contains(row_filter.lower())))
         total = rows.count()
         page, after = self._page(rows.select("row_index", "cells"), ["row_index"], request, offset, limit)
-        block = self.table("blocks").where(F.col("block_id") == found["block_id"]).first()
+        block = self.opened.with_ids("blocks", "block_id", [found["block_id"]]).first()
         return {"state": self.state(), "entity_state": "found", "table": found.asDict(True), "rows": page, "total_rows": total, "next_cursor": after, "raw_source": block["raw_source"] if include_raw else None, "citation": self._cite(block)}
 
     def get_diagram(self, diagram_id: str, surrounding: bool = False, include_raw: bool = True) -> dict:
@@ -324,7 +324,7 @@ class Engine:
         found = self.table("diagrams").where((F.col("diagram_id") == diagram_id) | (F.col("block_id") == diagram_id)).first()
         if found is None:
             return self._missing()
-        block = self.table("blocks").where(F.col("block_id") == found["block_id"]).first()
+        block = self.opened.with_ids("blocks", "block_id", [found["block_id"]]).first()
         out = {"state": self.state(), "entity_state": "found", "diagram": found.asDict(True) | ({} if include_raw else {"raw_source": None}), "citation": self._cite(block)}
         if surrounding:
             of_section = self.table("blocks").where(F.col("section_id") == block["section_id"])
@@ -354,7 +354,7 @@ class Engine:
     def exists(self, entity_id: str) -> bool:
         """Whether a document, section, block, table or diagram has this id."""
         keys = {"documents": "document_id", "sections": "section_id", "blocks": "block_id", "tables": "table_id", "diagrams": "diagram_id"}
-        return any(self.table(name).where(F.col(key) == entity_id).take(1) for name, key in keys.items())
+        return any(self.opened.with_ids(name, key, [entity_id]).take(1) for name, key in keys.items())
 
     # context
 

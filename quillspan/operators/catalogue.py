@@ -59,7 +59,7 @@ class Catalogue:
         """Chunks in the order of at most 256 ids; missing ones are passed over, repeated ones given again."""
         if len(ids) > MOST_IDS:
             raise ValueError(f"at most {MOST_IDS} ids")
-        found = {r["chunk_id"]: r.asDict(True) for r in self.opened.table("chunks").where(F.col("chunk_id").isin(ids)).collect()} if ids else {}
+        found = {r["chunk_id"]: r.asDict(True) for r in self.opened.with_ids("chunks", "chunk_id", ids).collect()} if ids else {}
         return [found[i] for i in ids if i in found]
 
     def chunks_with_vector_rows(self) -> DataFrame:
@@ -70,7 +70,7 @@ class Catalogue:
         return self.opened.table("chunks").select("vector_row", "chunk_id", "document_id", "vendor", "kind").orderBy("vector_row")
 
     def vector_row(self, chunk_id: str) -> int | None:
-        found = self.opened.table("chunks").where(F.col("chunk_id") == chunk_id).select("vector_row").first()
+        found = self.opened.with_ids("chunks", "chunk_id", [chunk_id]).select("vector_row").first()
         return found[0] if found else None
 
     def vector_reuse_records(self) -> DataFrame:

@@ -33,13 +33,18 @@ OVERFETCH, MOST_FETCHED = 4, 400
 FIELDS = (*FIELD_BOOSTS, "symbol")
 
 
+@F.pandas_udf(T.StringType())
+def stem_of(terms: pd.Series) -> pd.Series:
+    return terms.map(stem)
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def stemmed_all(tokens: pd.Series) -> pd.Series:
     return tokens.map(lambda own: None if own is None else [stem(t) for t in own])
 
 
 def analyzed(text: Column, stemming: bool) -> Column:
-    """Lower-cased tokens, by their stems if asked."""
+    """Lower-cased tokens of queries, by their stems if asked; texts have theirs by ``stems``."""
     return stemmed_all(tx.tokens(text)) if stemming else tx.tokens(text)
 
 
@@ -62,9 +67,9 @@ def chunk_fields(chunks: DataFrame) -> DataFrame:
     )
 
 
-def field_tokens(fields: DataFrame, stemming: bool) -> DataFrame:
+def field_tokens(fields: DataFrame) -> DataFrame:
     """(doc_no, field, tokens) of each field that a document has; symbols are whole, normalised."""
-    own = [F.struct(F.lit(f).alias("field"), analyzed(F.col(f), stemming).alias("tokens")) for f in FIELD_BOOSTS if f in fields.columns]
+    own = [F.struct(F.lit(f).alias("field"), tx.tokens(F.col(f)).alias("tokens")) for f in FIELD_BOOSTS if f in fields.columns]
     if "symbols" in fields.columns:
         own.append(F.struct(F.lit("symbol").alias("field"), F.filter(F.transform("symbols", tx.normalized_symbol), lambda s: s != "").alias("tokens")))
     return fields.select("doc_no", F.explode(F.array(*own)).alias("_f")).select("doc_no", "_f.field", "_f.tokens").where(F.size("tokens") > 0)
@@ -75,8 +80,21 @@ def postings(fields: DataFrame, stemming: bool = True) -> DataFrame:
 
     A document's tokens are in one task, so they are counted before the shuffle.
     """
-    sized = field_tokens(fields, stemming).select("doc_no", "field", F.size("tokens").cast("long").alias("length"), F.posexplode("tokens").alias("_at", "term"))
+    sized = field_tokens(fields).select("doc_no", "field", F.size("tokens").cast("long").alias("length"), F.posexplode("tokens").alias("_at", "term"))
     found = sized.groupBy("field", "term", "doc_no", "length").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("_at")).alias("positions"))
+    return by_stem(written(found, "raw-postings")) if stemming else found.select("field", "term", "doc_no", "tf", "length", "positions")
+
+
+def stems(terms: DataFrame) -> DataFrame:
+    """(term, stem) of each distinct term: Python sees each once, however many texts have it."""
+    return terms.select("term").distinct().select("term", stem_of("term").alias("stem"))
+
+
+def by_stem(raw: DataFrame) -> DataFrame:
+    """Postings of stems from those of tokens; symbols are as they are."""
+    whole = F.col("field") == "symbol"
+    named = raw.join(stems(raw.where(~whole)), "term", "left").withColumn("term", F.when(whole, F.col("term")).otherwise(F.col("stem")))
+    found = named.groupBy("field", "term", "doc_no", "length").agg(F.sum("tf").alias("tf"), F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
     return found.select("field", "term", "doc_no", "tf", "length", "positions")
 
 

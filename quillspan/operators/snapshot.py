@@ -20,6 +20,7 @@ import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,6 +108,18 @@ class Store:
         stream.close()
         return True
 
+    def flip(self, name: str, at: int) -> None:
+        """Change one byte of a small file, as damage would, to see that it is found."""
+        stream = self.fs.open(self._path(name))
+        try:
+            data = bytearray(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+        finally:
+            stream.close()
+        data[at] ^= 1
+        out = self.fs.create(self._path(name), True)
+        out.write(data)
+        out.close()
+
     def delete(self, name: str) -> None:
         self.fs.delete(self._path(name), True)
 
@@ -200,7 +213,7 @@ def sweep(store: Store, keep: int) -> None:
                 store.delete(folder)
 
 
-def publish(spark: SparkSession, root: str, inputs: dict, tables: dict[str, DataFrame], force: bool = False, check: Callable[[Snapshot], None] = lambda s: None, keep: int = 1, shared: list[str] = (), more: dict | None = None) -> tuple[str, bool]:
+def publish(spark: SparkSession, root: str, inputs: dict, tables: dict[str, DataFrame], force: bool = False, check: Callable[[Snapshot], None] = lambda s: None, keep: int = 1, shared: list[str] = (), more: dict | None = None, ids: dict[str, str] | None = None) -> tuple[str, bool]:
     """(id, whether it was built).
 
     Unless forced, a whole generation of the same inputs is taken if there is
@@ -209,7 +222,8 @@ def publish(spark: SparkSession, root: str, inputs: dict, tables: dict[str, Data
     leaves the log as it was. Of older generations ``keep`` stay, and those that
     readers hold. ``shared`` are folders under the root that the generation reads
     and that never change: what an earlier one hashed is not read again. ``more``
-    is kept in the manifest.
+    is kept in the manifest. Tables named in ``ids`` are dealt by ranges of that
+    column, and the range of each file is listed, for ``Snapshot.with_ids``.
     """
     name, store = snapshot_id(inputs), Store(spark, root)
     if not force and recommitted(spark, store, name):
@@ -218,8 +232,14 @@ def publish(spark: SparkSession, root: str, inputs: dict, tables: dict[str, Data
     generation = uuid.uuid4().hex
     folder = f"generations/{generation}"
     try:
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         for key, df in tables.items():
+            own = (ids or {}).get(key)
+            df = df.repartitionByRange(parts, own).sortWithinPartitions(own) if own else df
             df.write.option("compression", "zstd").parquet(f"{store.root}/{folder}/{key}")
+        ranges = [_ranges(spark, f"{store.root}/{folder}", key, own) for key, own in (ids or {}).items() if key in tables]
+        if ranges:
+            reduce(DataFrame.unionByName, ranges).coalesce(1).write.parquet(f"{store.root}/{folder}/_ranges")
         # the numbers of rows are in the files' footers
         counts = {key: spark.read.parquet(f"{store.root}/{folder}/{key}").count() for key in tables}
         old = [x for f in shared for x in store.files(f)]
@@ -245,6 +265,12 @@ def publish(spark: SparkSession, root: str, inputs: dict, tables: dict[str, Data
     return name, True
 
 
+def _ranges(spark: SparkSession, folder: str, key: str, own: str) -> DataFrame:
+    """(key, file, least, most) of a column of a table; nothing else of the table is read."""
+    rows = spark.read.parquet(f"{folder}/{key}").select(own, F.col("_metadata.file_name").alias("file")).where(F.col(own).isNotNull())
+    return rows.groupBy("file").agg(F.min(own).cast("string").alias("least"), F.max(own).cast("string").alias("most")).select(F.lit(key).alias("key"), "file", "least", "most")
+
+
 def recommitted(spark: SparkSession, store: Store, name: str) -> bool:
     """Whether a generation of these inputs is there and opens; it is then the current one."""
     for place, e in enumerate(entries(store)):
@@ -304,6 +330,24 @@ class Snapshot:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")
 
+    @cached_property
+    def _ranges(self) -> dict[str, list[tuple[str, str, str]]]:
+        out: dict = {}
+        if self.store.exists(f"generations/{self.generation}/_ranges"):
+            for r in self.spark.read.parquet(f"{self.path}/_ranges").collect():  # a row a file
+                out.setdefault(r["key"], []).append((r["least"], r["most"], r["file"]))
+        return out
+
+    def with_ids(self, name: str, column: str, values: list[str]) -> DataFrame:
+        """The rows of a table whose ``column``, the one that it is dealt by, is one of some texts: only files whose range has one of these are opened."""
+        listed = self._ranges.get(name, [])
+        files = [f for least, most, f in listed if any(least <= v <= most for v in values)]
+        if not listed:
+            return self.table(name).where(F.col(column).isin(values))
+        if not files:
+            return self.table(name).limit(0)
+        return self.spark.read.parquet(*[f"{self.path}/{name}/{f}" for f in files]).where(F.col(column).isin(values))
+
 
 def hold(store: Store, generation: str, seconds: float) -> None:
     store.create(f"leases/{generation}/{time.time() + seconds:.3f}-{uuid.uuid4().hex}", "")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions import text as tx
 from quillspan.ingest import chunker, manual
-from quillspan.operators import context, lexical, navigate, rank, reuse, structure, topk, vector, vectorfile
+from quillspan.operators import context, lexical, navigate, rank, reuse, snapshot, structure, topk, vector, vectorfile
+from quillspan.operators.index import Index
 from quillspan.plans import manuals
 from quillspan.sources import archives
 from quillspan.store import shared_path
@@ -149,6 +152,37 @@ def index_build(spark, sf_dir):
     return rows.groupBy("field").agg(F.count("*").alias("n_terms"), F.sum("n_with").alias("n_postings"), F.sum("n_places").alias("n_places"))
 
 
+@query(f"""WITH w AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '{TOKEN}')) AS d, regexp_extract_all(lower(text), '{TOKEN}') AS w FROM benchmark UNION ALL SELECT -1 - conv_id * 1000 - turn, list_distinct(regexp_extract_all(lower(text), '{TOKEN}')), regexp_extract_all(lower(text), '{TOKEN}') FROM conversations WHERE turn % 3 <> 1),
+p AS (SELECT item_id, unnest(w) AS term FROM w) SELECT term, count(DISTINCT item_id) AS n_docs, count(*) AS n_places FROM p GROUP BY term""")
+def index_segments(spark, sf_dir):
+    """Terms after an index of conversations has lost a third of its turns and gained the benchmark's items, as two more states of the same segments."""
+    turns = table(spark, sf_dir, "conversations").select((-1 - F.col("conv_id") * 1000 - F.col("turn")).alias("chunk_id"), F.col("text").alias("body"), "turn")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long").alias("chunk_id"), F.col("text").alias("body"))
+    first = Index.write(turns.where("turn % 3 < 2").drop("turn"), shared_path(spark, "segments"), stemming=False)
+    second = first.updated(items.where("chunk_id % 2 = 0"), turns.where("turn % 3 = 1").drop("turn"))
+    third = second.updated(items.where("chunk_id % 2 <> 0").unionByName(turns.where("turn % 3 = 2").drop("turn")))
+    return third.terms.select("term", F.col("n_with").alias("n_docs"), "n_places")
+
+
+@query("SELECT n_regionkey, count(*) AS n_rows, n_regionkey % 2 = 1 AS damaged FROM nation GROUP BY n_regionkey")
+def snapshot_damage(spark, sf_dir):
+    """A snapshot of the nations, a file a region, of which one byte of every odd region's file is changed: what reading all files finds."""
+    root = shared_path(spark, "damaged")
+    nations = table(spark, sf_dir, "nation", "n_nationkey", "n_regionkey").persist()
+    regions = [r[0] for r in nations.select("n_regionkey").distinct().collect()]  # a row a region
+    snapshot.publish(spark, root, {"v": 1}, {f"region{k}": nations.where(F.col("n_regionkey") == k).coalesce(1) for k in regions})
+    nations.unpersist()
+    opened = snapshot.Snapshot.current(spark, root)
+    for path, _ in opened.store.files(f"generations/{opened.generation}"):
+        if (found := re.search(r"/region(\d+)/.*\.parquet$", path)) and int(found[1]) % 2:
+            opened.store.flip(path, 20)
+    bad = opened.damaged().select("path", F.lit(True).alias("damaged"))
+    key = F.regexp_extract("path", r"/region(\d+)/", 1).cast("int")
+    rows = reduce(DataFrame.unionByName, [opened.table(f"region{k}").select("n_regionkey") for k in regions if k % 2 == 0] + [table(spark, sf_dir, "nation", "n_regionkey").where("n_regionkey % 2 = 1")])
+    files = opened.files.join(bad, "path", "left").groupBy(key.alias("n_regionkey")).agg(F.coalesce(F.max("damaged"), F.lit(False)).alias("damaged"))
+    return rows.groupBy("n_regionkey").agg(F.count("*").alias("n_rows")).join(files, "n_regionkey").select("n_regionkey", "n_rows", "damaged")
+
+
 @query(f"WITH {_TOKENS} SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_tokens, round(avg(len(w)), 6) AS mean_length FROM toks")
 def doc_lengths(spark, sf_dir):
     n = F.size(tx.tokens(F.col("text")))
@@ -447,13 +481,16 @@ def integrity_rows(spark, sf_dir):
 
 # structure
 
-@query(rf"""WITH l AS (SELECT doc_id, regexp_extract_all(text, '{manual.REFERENCE}', 1) AS w, regexp_extract_all(text, '{manual.REFERENCE}', 2) AS l FROM (SELECT doc_id, text FROM documents UNION ALL SELECT -item_id - 1, text FROM benchmark UNION ALL SELECT 1000000 + page_id, html FROM pages)),
+@query(rf"""WITH l AS (SELECT doc_id, regexp_extract_all(text, '{manual.REFERENCE}', 1) AS w, regexp_extract_all(text, '{manual.REFERENCE}', 2) AS l FROM (SELECT doc_id, text FROM documents UNION ALL SELECT -item_id - 1, text FROM benchmark UNION ALL SELECT 1000000 + page_id, html FROM pages
+UNION ALL SELECT -10000000 - o_orderkey, 'As Section 3.' || (o_custkey % 90) || ' says, Table ' || o_orderkey || '-1 and figure 2-' || (o_custkey % 40) || ' differ; see Appendix B and Chapter ' || (o_orderkey % 70) || '.' FROM orders)),
 r AS (SELECT doc_id, unnest(range(0, len(w))) AS ordinal, lower(unnest(w)) AS word, unnest(l) AS label FROM l)
 SELECT doc_id, ordinal, CASE WHEN word IN ('table', 'figure') THEN word ELSE 'section' END AS kind, label, word || ':' || lower(label) AS normalized_key FROM r""")
 def ref_extract(spark, sf_dir):
-    """Over all texts: documents, benchmark items and pages."""
+    """Over all texts: documents, benchmark items and pages, which hold hardly any, and a sentence for each order, which holds five."""
     texts = table(spark, sf_dir, "documents", "doc_id", "text")
     texts = texts.union(table(spark, sf_dir, "benchmark").select((-F.col("item_id") - 1).alias("doc_id"), "text")).union(table(spark, sf_dir, "pages").select((1000000 + F.col("page_id")).alias("doc_id"), "html"))
+    said = F.concat(F.lit("As Section 3."), (F.col("o_custkey") % 90).cast("string"), F.lit(" says, Table "), F.col("o_orderkey").cast("string"), F.lit("-1 and figure 2-"), (F.col("o_custkey") % 40).cast("string"), F.lit(" differ; see Appendix B and Chapter "), (F.col("o_orderkey") % 70).cast("string"), F.lit("."))
+    texts = texts.union(table(spark, sf_dir, "orders").select((-10000000 - F.col("o_orderkey")).alias("doc_id"), said))
     return structure.references(texts, "doc_id", "text")
 
 

@@ -160,3 +160,26 @@ def test_wrong_updates_are_refused(spark, tmp_path):
     with pytest.raises(ValueError):
         index.updated(frame([]), frame([("unknown", None, "x", None, None)]))
     assert index.updated(frame(rows[:1]), frame(rows[:1])).n_docs == 20
+
+
+def test_distinct_terms_are_stemmed_once(spark):
+    from quillspan.functions.stemmer import stem
+
+    rows = [("a", "Runs running", "running runs the runner IA32 faults", None, ["RUNNING"]), ("b", None, "fault the faults running", "running", None)]
+    fields = spark.createDataFrame(rows, FIELDS).withColumn("doc_no", F.monotonically_increasing_id())
+    got = {(r.field, r.term, r.doc_no): (r.tf, r.length, r.positions) for r in lexical.postings(fields).collect()}
+    want = {}
+    for r in fields.collect():
+        for field in ("heading", "body", "code"):
+            words = list(lexical.plain_tokens(r[field] or ""))
+            for at, word in enumerate(words):
+                tf, _, places = want.get((field, stem(word), r.doc_no), (0, 0, []))
+                want[field, stem(word), r.doc_no] = tf + 1, len(words), [*places, at]
+        for at, symbol in enumerate(r.symbols or []):
+            want["symbol", symbol, r.doc_no] = 1, len(r.symbols), [at]
+    assert got == want and ("symbol", "RUNNING", rows and fields.first().doc_no) in got
+    raw = lexical.postings(fields, stemming=False)
+    found = lexical.stems(raw).collect()
+    assert len(found) == len({r.term for r in found}) == raw.select("term").distinct().count()
+    plan = lexical.stems(raw)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("ArrowEvalPython") < plan.index("Aggregate [term"), "Python is above the distinct terms"

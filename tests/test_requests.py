@@ -218,6 +218,51 @@ def test_builds_reuse_what_is_unchanged(spark, tmp_path):
     assert found.state == "stale" and [(x["id"], x["fresh"]) for x in found.archives] == [("archive-amd", True), ("archive-intel", False)]
 
 
+def test_answers_say_whether_the_index_is_stale(spark, opened):
+    state = lambda kind: snapshot.Status(kind, ("why",), opened.opened.id)
+    assert opened.search(Search("paging", "lexical"))["state"]["stale"] is False
+    stale = Engine(opened.opened, model, lambda: state(snapshot.STALE))
+    assert stale.search(Search("paging", "lexical"))["state"]["stale"] and stale.get_outline()["state"]["stale"] and stale.index_status()["state"] == "stale"
+    with pytest.raises(InvalidInput):
+        Engine.open(spark, opened.opened.store.root, model, lambda: snapshot.Status(snapshot.READY, (), "0" * 64))
+
+
+def test_a_semantic_leg_that_fails_leaves_the_others(spark, opened, monkeypatch):
+    hits = [h["chunk_id"] for h in opened.search(Search("paging", "lexical"))["hits"]]
+    degraded = Engine(opened.opened, model, lambda: snapshot.Status(snapshot.DEGRADED, ("artifacts of the model differ",), opened.opened.id))
+    got = degraded.search(Search("paging"))
+    assert [h["chunk_id"] for h in got["hits"]] == hits and "artifacts" in got["state"]["semantic_degraded_reason"]
+    made = []
+
+    def fails():
+        made.append(1)
+        raise RuntimeError("no weights")
+
+    broken = Engine(opened.opened, fails)
+    for _ in range(2):
+        assert "no weights" in broken.search(Search("paging"))["state"]["semantic_degraded_reason"]
+    assert made == [1], "a model that failed is not loaded again"
+    # found out only when the rows are read
+    lost = spark.range(1).select(F.raise_error(F.lit("a file is lost")).cast("string").alias("chunk_id"), F.lit(1.0).alias("score"))
+    monkeypatch.setattr(Engine, "_semantic_leg", lambda *_: lost)
+    got = Engine(opened.opened, model).search(Search("paging"))
+    assert [h["chunk_id"] for h in got["hits"]] == hits and got["state"]["semantic_degraded_reason"]
+
+
+def test_contexts_of_a_mode_and_a_vendor(opened):
+    both = opened.build_context("register paging", budget=4096, mode="lexical")
+    one = opened.build_context("register paging", budget=4096, mode="lexical", vendors=("amd",))
+    of = lambda got: {c["vendor"] for g in got["groups"] for c in g["citations"]}
+    assert of(both) == {"amd", "intel"} and of(one) == {"amd"}
+    assert call(opened, "build_context", {"query": "paging", "mode": "lexical", "vendors": ["amd"]})["result"]["groups"]
+    assert call(opened, "build_context", {"query": "paging", "mode": "none"})["error"]["code"] == "invalid_params"
+
+
+def test_a_blank_row_filter_leaves_all_rows(opened):
+    table = opened.table("tables").first()["table_id"]
+    assert opened.get_table(table, row_filter="  ")["total_rows"] == opened.get_table(table)["total_rows"] == 2
+
+
 def test_another_parser_version_is_not_reused(spark, tmp_path, monkeypatch):
     root, model_ = str(tmp_path), embed.HashingEmbedder()
     documents = spark.createDataFrame(rows(("intel", "first.md", FIRST)), DDL)

@@ -184,3 +184,18 @@ def test_changed_artifacts_degrade(spark, tmp_path):
     assert snapshot.status(spark, root, inputs).state == "ready"
     assert snapshot.status(spark, root, inputs | {"artifacts": {"m": "2"}}).state == "degraded_model"
     assert snapshot.status(spark, root, inputs | {"v": 2, "artifacts": {"m": "2"}}).state == "stale"
+
+
+def test_a_read_by_id_opens_only_files_that_may_have_it(spark, tmp_path):
+    held = spark.range(1000).select(F.sha2(F.col("id").cast("string"), 256).alias("k"), "id").repartition(3)
+    snapshot.publish(spark, str(tmp_path), {"v": 1}, {"rows": held, "other": held}, ids={"rows": "k"})
+    opened = Snapshot.current(spark, str(tmp_path))
+    files = len(opened.table("rows").inputFiles())
+    assert files > 2
+    for r in held.limit(5).collect():
+        found = opened.with_ids("rows", "k", [r.k])
+        assert len(found.inputFiles()) == 1 and [x.id for x in found.collect()] == [r.id]
+    assert opened.with_ids("rows", "k", ["zzz"]).count() == 0 and opened.with_ids("rows", "k", []).count() == 0
+    some = [r.k for r in held.limit(40).collect()]
+    assert opened.with_ids("rows", "k", some).count() == opened.with_ids("other", "k", some).count() == 40
+    assert len(opened.with_ids("other", "k", some[:1]).inputFiles()) == len(opened.table("other").inputFiles())
