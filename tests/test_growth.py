@@ -3,7 +3,8 @@
 import numpy as np
 import pyarrow as pa
 
-from quillspan.operators import blocks, lexical
+from quillspan.operators import blocks, lexical, topk
+from quillspan.operators.index import Index
 
 FIELDS = "chunk_id string, heading string, caption string, body string, code string"
 
@@ -29,3 +30,29 @@ def test_blocks_are_unpacked_in_bounded_portions():
     batch = pa.RecordBatch.from_arrays([pa.array(np.arange(6))], names=["x"])
     assert [p.column("x").to_pylist() for p in blocks.portions(batch, sizes)] == [[0], [1], [2, 3], [4], [5]]
     assert list(blocks.portions(batch.slice(0, 0), sizes[:0])) == []
+
+
+def firsts(scores, k):
+    by = {}
+    for r in scores.collect():
+        by.setdefault(r.query_id, []).append((-round(r.score, 6), r.chunk_id))
+    return {q: sorted(rows)[:k] for q, rows in by.items()}
+
+
+def test_scores_are_cut_before_they_are_shuffled(spark, tmp_path):
+    words = lambda i: " ".join(["common"] + [f"w{i % n}" for n in (3, 7, 11, 50)] + ["rare"] * (i % 900 == 5) + ["often"] * (i % 4))
+    rows = [(f"c{i:05d}", None, None, words(i), None) for i in range(6000)]
+    index = Index.write(spark.createDataFrame(rows, FIELDS), str(tmp_path / "i"), stemming=False)
+    index = index.updated(spark.createDataFrame([("n1", None, None, "rare common rare", None)], FIELDS), spark.createDataFrame([r for i, r in enumerate(rows) if i % 900 == 5 and i > 2000], FIELDS))
+    queries = spark.createDataFrame([(i, f"common w{i % 11} often rare w{i % 50}") for i in range(300)] + [(300, "nowhere")], "query_id int, query string")
+    asked = lexical.asked_terms(index, queries)
+    allowed = index.docs.where("doc_no % 3 = 0").select("doc_no")
+    for binary in (True, False):
+        everything = lexical.bm25(index, queries, binary=binary)
+        found = topk.best(index, asked, 5, binary).persist()
+        assert firsts(index.named(found), 5) == firsts(everything, 5)
+        # six ranges of numbers give five each, and ties; all scores are a row a text and query
+        assert found.count() < 0.2 * everything.count()
+        found.unpersist()
+        within = everything.join(index.docs.join(allowed, "doc_no", "left_semi").select("chunk_id"), "chunk_id", "left_semi")
+        assert firsts(index.named(topk.best(index, asked, 5, binary, allowed)), 5) == firsts(within, 5)
