@@ -2,9 +2,11 @@
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from quillspan.operators import blocks, lexical, topk
 from quillspan.operators.index import Index
+from quillspan.plans import manuals
 
 FIELDS = "chunk_id string, heading string, caption string, body string, code string"
 
@@ -13,6 +15,16 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_engine_search_finds_its_manual_among_many_of_the_nation(spark, tmp_path):
+    number = F.col("id").cast("int")
+    spark.range(25).select(number.alias("n_nationkey"), F.format_string("LAND%c", F.lit(65) + number).alias("n_name")).write.parquet(str(tmp_path / "nation.parquet"))
+    key = (number * manuals.SLICE + 1).alias("c_custkey")
+    spark.range(300).select(key, F.lit(manuals.ASKED - 1).alias("c_nationkey"), F.lit("Customer").alias("c_name"), F.lit("BUILDING").alias("c_mktsegment")).write.parquet(str(tmp_path / "customer.parquet"))
+    spark.range(2).select((number + 1).alias("s_suppkey"), (number * (manuals.ASKED - 1)).alias("s_nationkey"), F.lit("Supplier").alias("s_name"), F.lit(5.0).alias("s_acctbal")).write.parquet(str(tmp_path / "supplier.parquet"))
+    got = manuals.QUERIES["engine_search"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == [(f"manual-{manuals.ASKED}.md", "amd")]
+
+
 def test_postings_are_counted_without_a_shuffle(spark):
     rows = [(7, None, None, "a b a ab", "b"), (8, "B", None, "b", None), (9, None, None, None, None), (12, None, None, "b a b", None)]
     fields = spark.createDataFrame(rows, FIELDS.replace("chunk_id string", "doc_no bigint")).coalesce(1)
