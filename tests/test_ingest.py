@@ -1,10 +1,11 @@
 """Parsing, tables, diagrams, references and chunks, by cases worked out by hand."""
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quillspan.ingest import plain
+from quillspan.ingest import chunker, manual, plain
 from quillspan.ingest.chunker import Budget, Chunker, white_space_tokens
 from quillspan.ingest.diagrams import read_diagram
 from quillspan.ingest.manual import Lines, read_manual
@@ -215,3 +216,40 @@ def test_long_and_odd_inputs_stay_cheap():
     cell = "<table><tr><th>a</th></tr><tr><td colspan='{0}' rowspan='{0}'>x</td></tr><tr><td>y</td></tr></table>"
     assert all(["x"] in read_table(cell.format(n)).rows for n in ("²", "200000", "20000000", "9" * 5000, "0", "-1", "٣"))
     assert time.perf_counter() - began < 10
+
+
+def test_a_long_block_is_counted_few_times_a_part():
+    counted = []
+
+    def count(text):
+        counted.append(len(text))
+        return white_space_tokens(text)
+
+    words = [f"w{i % 97}" for i in range(20_000)]
+    for budget in (Budget(), Budget(target=7), Budget(target=1)):
+        counted.clear()
+        document = {"document_id": "d", "vendor": "v", "entry_path": "m.md", "source": " ".join(words)} | read_manual("d", " ".join(words))
+        units = [t for _, t, _ in Chunker(document, budget, count).units(document["blocks"][0])]
+        # the prefix is a word of each part; a word over the target stays whole
+        size = max(1, budget.target - 1)
+        assert units == [" ".join(words[i : i + size]) for i in range(0, len(words), size)]
+        assert len(counted) <= 20 * len(units) and sum(counted) <= 100 * len(" ".join(words))
+
+
+def test_documents_are_chunked_as_they_are_parsed(spark):
+    texts = ["# A\n\nb c\n\n- d\n- e", None, "", "x " * 900, "| a |\n|---|\n| b |"]
+    made = spark.createDataFrame([(str(i), "v", "a", "", f"{i}.md", "", 0, t) for i, t in enumerate(texts)], ", ".join(f"{c} {'bigint' if c == 'byte_len' else 'string'}" for c in manual.DOCUMENT))
+    key = ["document_id", "chunk_ordinal"]
+    two = [r.asDict(True) for r in chunker.chunks(manual.parsed(made)).orderBy(*key).collect()]
+    assert [r.asDict(True) for r in chunker.chunked(made).orderBy(*key).collect()] == two and {r["document_id"] for r in two} == {"0", "3", "4"}
+    some = manual.parsed(made, ["document_id", "blocks"])
+    assert some.columns == ["document_id", "blocks"] and some.count() == 5
+
+
+def test_batches_of_documents_are_bounded():
+    schema = pa.schema([("n", pa.int64())])
+    rows = lambda sizes: ((s, [{"n": i}]) for i, s in enumerate(sizes))
+    sizes = [b.num_rows for b in manual.in_batches(rows([0] * 10_000 + [5, 5, 99, 1]), schema, together=10)]
+    assert sum(sizes) == 10_004 and max(sizes) <= manual.MOST_ROWS and len(sizes) == 5
+    wide = pa.RecordBatch.from_pydict({"source": ["y" * manual.TOGETHER] * 3 + [""]})
+    assert [len(r["source"]) for r in manual.each_row([wide])] == [manual.TOGETHER] * 3 + [0]
