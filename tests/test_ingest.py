@@ -1,5 +1,8 @@
 """Parsing, tables, diagrams, references and chunks, by cases worked out by hand."""
 
+import random
+import time
+
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -253,3 +256,24 @@ def test_batches_of_documents_are_bounded():
     assert sum(sizes) == 10_004 and max(sizes) <= manual.MOST_ROWS and len(sizes) == 5
     wide = pa.RecordBatch.from_pydict({"source": ["y" * manual.TOGETHER] * 3 + [""]})
     assert [len(r["source"]) for r in manual.each_row([wide])] == [manual.TOGETHER] * 3 + [0]
+
+
+def test_inline_marks_are_tried_only_where_they_may_begin():
+    parts = ["a_b", "*x*", "`c *d*`", r"\*", "[l *m*](u)", "![i](u)", "[^n]", "<http://a.b>", "<br>", "<!-- _ -->", "~~s~~", "$y$", "wörd", "_z_", "!", "[", "``", " ", "\n"]
+    rng = random.Random(5)
+
+    def shown(m):
+        return f"<{plain._INLINE.sub(shown, m['link']) if m['link'] is not None else m[0].upper()}>"
+
+    for _ in range(2_000):
+        text = "".join(rng.choices(parts, k=rng.randrange(9)))
+        assert plain._inline(text, shown) == plain._INLINE.sub(shown, text)
+
+
+def test_a_long_text_is_no_furniture_without_looking_at_its_letters():
+    long = "WORD " * 4_000_000
+    furniture = plain.Furniture()
+    furniture.learn("WORD")
+    began = time.process_time()
+    assert not furniture(long) and furniture("WORD")
+    assert time.process_time() - began < 0.5
