@@ -1,10 +1,14 @@
 """What must hold however large the tables are: results at many slices, and steps whose rows do not multiply."""
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quillspan.operators import blocks, lexical, topk
+from quillspan import build
+from quillspan.ingest import chunker, manual
+from quillspan.operators import blocks, embed, lexical, topk
 from quillspan.operators.index import Index
 from quillspan.plans import manuals
 
@@ -68,3 +72,34 @@ def test_scores_are_cut_before_they_are_shuffled(spark, tmp_path):
         found.unpersist()
         within = everything.join(index.docs.join(allowed, "doc_no", "left_semi").select("chunk_id"), "chunk_id", "left_semi")
         assert firsts(index.named(topk.best(index, asked, 5, binary, allowed)), 5) == firsts(within, 5)
+
+
+def test_slow_work_on_few_bytes_is_many_tasks(spark, sf):
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert parts > 1 and manuals.sources(spark, sf).rdd.getNumPartitions() == parts
+    texts = spark.createDataFrame([(str(i % 9), f"text {i % 9}") for i in range(20)], "content_hash string, text string").groupBy("content_hash").agg(F.min("text").alias("text"))
+    made = embed.embedded(texts, embed.HashingEmbedder())
+    assert made.rdd.getNumPartitions() == parts and made.count() == 9
+
+
+def test_chunks_of_a_build_are_made_once(spark, tmp_path):
+    class Noting(embed.HashingEmbedder):
+        """Leaves a file for each text that is counted."""
+
+        def __init__(self, folder):
+            super().__init__()
+            object.__setattr__(self, "folder", folder)
+
+        def count_tokens(self, text):
+            with open(f"{self.folder}/{uuid.uuid4().hex}", "w"):
+                return super().count_tokens(text)
+
+    seen = tmp_path / "seen"
+    seen.mkdir()
+    source = "# A\n\none two three"
+    docs = spark.createDataFrame([("d", "v", "a", "0", "m.md", "1", len(source), source)], ", ".join(f"{c} {'bigint' if c == 'byte_len' else 'string'}" for c in manual.DOCUMENT))
+    build.build(spark, str(tmp_path / "root"), docs, [], Noting(str(seen)))
+    alone = tmp_path / "alone"
+    alone.mkdir()
+    chunker.Chunker(manual.parsed(docs).first().asDict(True), count=Noting(str(alone)).count_tokens).run()
+    assert len(list(seen.iterdir())) == len(list(alone.iterdir())) > 0
