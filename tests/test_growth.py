@@ -74,6 +74,20 @@ def test_scores_are_cut_before_they_are_shuffled(spark, tmp_path):
         assert firsts(index.named(topk.best(index, asked, 5, binary, allowed)), 5) == firsts(within, 5)
 
 
+def test_terms_of_removed_documents_are_counted_together_and_without_a_join(spark, tmp_path):
+    texts = {7: "a b a ab", 8: "b", 9: None, 12: "b a b"}
+    fields = spark.createDataFrame([(n, None, None, t, None) for n, t in texts.items()], FIELDS.replace("chunk_id string", "doc_no bigint")).coalesce(1)
+    assert [(r.term, r.doc_nos) for r in lexical.runs(fields, apart=False).orderBy("term").collect()] == [("a", [7, 12]), ("ab", [7]), ("b", [7, 8, 12])]
+    for stemming in (False, True):
+        found = lexical.term_counts(fields, stemming)
+        assert stemming or "Join" not in plan_of(found)
+        assert sorted(map(tuple, found.collect())) == [("body", "a", 2, 3), ("body", "ab", 1, 1), ("body", "b", 3, 4)]
+    ids = lambda *own: spark.createDataFrame([(str(n), None, None, texts[n], None) for n in own], FIELDS)
+    index = Index.write(ids(7, 9), str(tmp_path / "i"), stemming=False).updated(ids(8, 12))
+    left = index.updated(ids(9).limit(0), ids(7, 12, 9))
+    assert sorted(map(tuple, left.terms.collect())) == [("body", "b", 1, 1)] and left.n_docs == 1
+
+
 def test_slow_work_on_few_bytes_is_many_tasks(spark, sf):
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert parts > 1 and manuals.sources(spark, sf).rdd.getNumPartitions() == parts
