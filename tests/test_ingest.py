@@ -2,6 +2,7 @@
 
 import random
 import time
+import tracemalloc
 
 import pyarrow as pa
 import pytest
@@ -277,3 +278,18 @@ def test_a_long_text_is_no_furniture_without_looking_at_its_letters():
     began = time.process_time()
     assert not furniture(long) and furniture("WORD")
     assert time.process_time() - began < 0.5
+
+
+def test_objects_of_a_batch_are_made_some_at_a_time():
+    document = dict.fromkeys(manual.DOCUMENT, "") | {"document_id": "d", "byte_len": 0, "ingest_version": 1} | read_manual("d", "\n\n".join(f"- line {i}" for i in range(300)))
+    batch = pa.RecordBatch.from_pylist([document] * 100, schema=manual.PARSED)
+
+    def peak(rows):
+        tracemalloc.start()
+        n = sum(len(chunker.Chunker(r).run()) for r in rows())
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return n, most
+
+    (n, most), (same, whole) = peak(lambda: manual.each_row([batch])), peak(batch.to_pylist)
+    assert n == same > 100 and most < whole / 4
