@@ -23,11 +23,12 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .cluster import slices, written
+from .cluster import dropped, placed, slices, written
 from .components import components
 
 SCALES = tuple(2 ** (-i / 4) for i in range(5))
@@ -126,38 +127,48 @@ def _png(data: bytes) -> np.ndarray:
 
 
 def resized(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Bilinear."""
-    y = np.clip((np.arange(height) + 0.5) * image.shape[0] / height - 0.5, 0, image.shape[0] - 1)
-    x = np.clip((np.arange(width) + 0.5) * image.shape[1] / width - 0.5, 0, image.shape[1] - 1)
+    """Bilinear; of an image or a stack of them."""
+    own_height, own_width = image.shape[-2:]
+    y = np.clip((np.arange(height) + 0.5) * own_height / height - 0.5, 0, own_height - 1)
+    x = np.clip((np.arange(width) + 0.5) * own_width / width - 0.5, 0, own_width - 1)
     y0, x0 = np.floor(y).astype(int), np.floor(x).astype(int)
-    y1, x1 = np.minimum(y0 + 1, image.shape[0] - 1), np.minimum(x0 + 1, image.shape[1] - 1)
+    y1, x1 = np.minimum(y0 + 1, own_height - 1), np.minimum(x0 + 1, own_width - 1)
     fy, fx = (y - y0)[:, None], (x - x0)[None, :]
-    top = image[y0][:, x0] * (1 - fx) + image[y0][:, x1] * fx
-    low = image[y1][:, x0] * (1 - fx) + image[y1][:, x1] * fx
+    above, below = image[..., y0, :], image[..., y1, :]
+    top = above[..., x0] * (1 - fx) + above[..., x1] * fx
+    low = below[..., x0] * (1 - fx) + below[..., x1] * fx
     return (top * (1 - fy) + low * fy).astype(np.float32)
 
 
-def _box(image: np.ndarray, r: int) -> np.ndarray:
-    """Mean over a square of side 2r + 1, edges repeated."""
-    padded = np.pad(image, r, mode="edge")
-    total = np.pad(padded.cumsum(axis=0, dtype=np.float64).cumsum(axis=1), ((1, 0), (1, 0)))
+def _edged(stack: np.ndarray, r: int) -> np.ndarray:
+    """Edges of each image repeated ``r`` times."""
+    return np.pad(stack, ((0, 0), (r, r), (r, r)), mode="edge")
+
+
+def _box(stack: np.ndarray, r: int) -> np.ndarray:
+    """Mean over a square of side 2r + 1, edges repeated, of each image of a stack."""
+    padded = _edged(stack, r)
+    total = np.zeros((len(padded), padded.shape[1] + 1, padded.shape[2] + 1))
+    np.cumsum(padded, axis=1, dtype=np.float64, out=total[:, 1:, 1:])
+    np.cumsum(total[:, 1:, 1:], axis=2, out=total[:, 1:, 1:])
     n = 2 * r + 1
-    return ((total[n:, n:] - total[:-n, n:] - total[n:, :-n] + total[:-n, :-n]) / (n * n)).astype(np.float32)
+    return ((total[:, n:, n:] - total[:, :-n, n:] - total[:, n:, :-n] + total[:, :-n, :-n]) / (n * n)).astype(np.float32)
 
 
-def corners(image: np.ndarray) -> np.ndarray:
-    """(y, x) of local maxima of the smaller eigenvalue of the gradients' moments, over a hundredth of the greatest; equal neighbours: the first in reading order."""
-    smooth = _box(image, 1)
-    gy, gx = np.gradient(smooth)
+def corners(stack: np.ndarray) -> np.ndarray:
+    """(image, y, x) of local maxima of the smaller eigenvalue of the gradients' moments, over a hundredth of the greatest of the image; equal neighbours: the first in reading order."""
+    smooth = _box(stack, 1)
+    gy, gx = np.gradient(smooth, axis=(1, 2))
     xx, yy, xy = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
     response = (xx + yy) / 2 - np.sqrt(((xx - yy) / 2) ** 2 + xy * xy)
-    padded = np.pad(response, 3, constant_values=-1.0)
-    peak = response > max(1e-3, 0.01 * float(response.max(initial=0.0)))
-    h, w = response.shape
+    padded = np.pad(response, ((0, 0), (3, 3), (3, 3)), constant_values=-1.0)
+    least = np.maximum(1e-3, 0.01 * response.max(axis=(1, 2), initial=0.0).astype(np.float64)).astype(np.float32)
+    peak = response > least[:, None, None]
+    _, h, w = response.shape
     for dy in range(-3, 4):
         for dx in range(-3, 4):
             if (dy, dx) != (0, 0):
-                other = padded[3 + dy : 3 + dy + h, 3 + dx : 3 + dx + w]
+                other = padded[:, 3 + dy : 3 + dy + h, 3 + dx : 3 + dx + w]
                 peak &= (response > other) if (dy, dx) < (0, 0) else (response >= other)
     return np.argwhere(peak)
 
@@ -178,32 +189,67 @@ def _disc() -> tuple[np.ndarray, np.ndarray]:
 
 def describe(image: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """(places, descriptors): y, x, scale and angle of each corner in the image's own pixels, and its 256 bits."""
-    places, found = [], []
-    for scale in SCALES if image is not None and min(image.shape) >= 8 else ():
-        h, w = round(image.shape[0] * scale), round(image.shape[1] * scale)
+    return describe_all([image])[0]
+
+
+def describe_all(images: list[np.ndarray | None], most: int = 1 << 16) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``describe`` of each: images of one size are taken as a stack, of about ``most`` pixels or one image."""
+    out = [(np.zeros((0, 4)), np.zeros((0, WORDS), np.uint64))] * len(images)
+    by_shape: dict[tuple[int, int], list[int]] = {}
+    for row, image in enumerate(images):
+        if image is not None and min(image.shape) >= 8:
+            by_shape.setdefault(image.shape, []).append(row)
+    for (height, width), rows in by_shape.items():
+        step = max(1, most // (height * width))
+        for own in (rows[at : at + step] for at in range(0, len(rows), step)):
+            for row, found in zip(own, _described(np.stack([images[row] for row in own])), strict=True):
+                out[row] = found
+    return out
+
+
+def _described(stack: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    owners, places, found = [], [], []
+    for scale in SCALES:
+        h, w = round(stack.shape[1] * scale), round(stack.shape[2] * scale)
         if min(h, w) < 8:
             continue
-        level = image.astype(np.float32) if scale == 1.0 else resized(image, h, w)
+        level = stack.astype(np.float32) if scale == 1.0 else resized(stack, h, w)
         at = corners(level)
         if not len(at):
             continue
-        padded = np.pad(_box(level, 1), RADIUS + 1, mode="edge")
+        padded = _edged(_box(level, 1), RADIUS + 1)
+        owner, at = at[:, 0], at[:, 1:]
+        own = (at + 0.5) / scale - 0.5
         at = at + RADIUS + 1
-        dy, dx = _disc()
-        patch = padded[at[:, :1] + dy, at[:, 1:] + dx]
-        patch = patch - patch.mean(axis=1, keepdims=True)
-        angle = np.arctan2((patch * dy).sum(axis=1), (patch * dx).sum(axis=1))
-        cos, sin = np.cos(angle)[:, None, None], np.sin(angle)[:, None, None]
-        ty, tx = _tests()[None, :, :, 0], _tests()[None, :, :, 1]
-        y = np.rint(at[:, 0, None, None] + sin * tx + cos * ty).astype(int).clip(0, padded.shape[0] - 1)
-        x = np.rint(at[:, 1, None, None] + cos * tx - sin * ty).astype(int).clip(0, padded.shape[1] - 1)
-        value = padded[y, x]
-        found.append(np.packbits(value[:, :, 0] < value[:, :, 1], axis=1, bitorder="little").view("<u8"))
-        own = (at - RADIUS - 1 + 0.5) / scale - 0.5
-        places.append(np.column_stack([own, np.full(len(at), 1 / scale), angle]))
+        bits, angles = np.empty((len(at), WORDS), np.uint64), np.empty(len(at))
+        for part in (slice(i, i + 256) for i in range(0, len(at), 256)):
+            bits[part], angles[part] = _patches(padded, owner[part], at[part])
+        owners.append(owner)
+        found.append(bits)
+        places.append(np.column_stack([own, np.full(len(at), 1 / scale), angles]))
     if not found:
-        return np.zeros((0, 4)), np.zeros((0, WORDS), np.uint64)
-    return np.concatenate(places), np.concatenate(found)
+        return [(np.zeros((0, 4)), np.zeros((0, WORDS), np.uint64))] * len(stack)
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    ends = np.searchsorted(owner[order], np.arange(1, len(stack)))
+    return list(zip(np.split(np.concatenate(places)[order], ends), np.split(np.concatenate(found)[order], ends), strict=True))
+
+
+def _patches(padded: np.ndarray, owner: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(descriptors, angles) of corners of a stack's images."""
+    _, height, width = padded.shape
+    flat, first = padded.ravel(), owner * (height * width)
+    dy, dx = _disc()
+    patch = flat[(first + at[:, 0] * width + at[:, 1])[:, None] + (dy * width + dx)]
+    patch = patch - patch.mean(axis=1, keepdims=True)
+    angle = np.arctan2((patch * dy).sum(axis=1), (patch * dx).sum(axis=1))
+    cos, sin = np.cos(angle)[:, None], np.sin(angle)[:, None]
+    value = []
+    for ty, tx in _tests().transpose(1, 2, 0):
+        y = np.rint(at[:, :1] + sin * tx + cos * ty).clip(0, height - 1)
+        x = np.rint(at[:, 1:] + cos * tx - sin * ty).clip(0, width - 1)
+        value.append(flat[(y * width + x).astype(np.int64) + first[:, None]])
+    return np.packbits(value[0] < value[1], axis=1, bitorder="little").view("<u8"), angle
 
 
 def nearest_descriptors(a: np.ndarray, b: np.ndarray, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
@@ -220,6 +266,16 @@ def nearest_descriptors(a: np.ndarray, b: np.ndarray, most: int = 1 << 20) -> tu
     return near, apart
 
 
+def _votes(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Shift (y, x), turn and change of scale that take places ``p`` to ``q``, each in the widths of a cell."""
+    turn = (q[..., 3] - p[..., 3] + math.pi) % (2 * math.pi) - math.pi
+    scale = np.log2(q[..., 2] / p[..., 2])
+    grow, cos, sin = 2.0**scale, np.cos(turn), np.sin(turn)
+    dy = q[..., 0] - grow * (cos * p[..., 0] + sin * p[..., 1])
+    dx = q[..., 1] - grow * (cos * p[..., 1] - sin * p[..., 0])
+    return dy / 6, dx / 6, turn / 0.35, scale / 0.5
+
+
 def consensus(a_places: np.ndarray, a: np.ndarray, b_places: np.ndarray, b: np.ndarray, most_bits: int = 48) -> tuple[int, float]:
     """(corners, evidence) of two images: corners of ``a`` whose nearest descriptors in ``b`` agree on one shift, turn and change of scale, and the sum of the bits by which these are nearer than ``most_bits``.
 
@@ -231,31 +287,85 @@ def consensus(a_places: np.ndarray, a: np.ndarray, b_places: np.ndarray, b: np.n
     if not len(a) or not len(b):
         return 0, 0.0
     near, apart = nearest_descriptors(a, b)
-    worth = most_bits - 3 * max(0.0, math.log2(len(b) / 22)) - apart
+    worth = _worth(len(b), most_bits) - apart
     ok = worth > 0
     if not ok.any():
         return 0, 0.0
     p, q, worth, owner = a_places[ok], b_places[near[ok]], worth[ok], near[ok]
-    turn = (q[:, 3] - p[:, 3] + math.pi) % (2 * math.pi) - math.pi
-    scale = np.log2(q[:, 2] / p[:, 2])
-    grow, cos, sin = 2.0**scale, np.cos(turn), np.sin(turn)
-    dy = q[:, 0] - grow * (cos * p[:, 0] + sin * p[:, 1])
-    dx = q[:, 1] - grow * (cos * p[:, 1] - sin * p[:, 0])
-    votes = np.column_stack([dy / 6, dx / 6, turn / 0.35, scale / 0.5])
+    votes = np.column_stack(_votes(p, q))
     best = (0, 0.0)
     order = np.argsort(-worth, kind="stable")  # of corners with one partner the nearest comes first
     votes, worth, owner = votes[order], worth[order], owner[order]
-    for v in votes:
-        off = np.abs(votes - v)
-        off[:, 2] = np.minimum(off[:, 2], 2 * math.pi / 0.35 - off[:, 2])
-        mine = np.flatnonzero((off <= 1).all(axis=1))
-        _, first = np.unique(owner[mine], return_index=True)
-        found = float(worth[mine[first]].sum())
-        if found > best[1]:
-            best = len(first), found
+    step = max(1, (1 << 18) // len(votes))
+    for at in range(0, len(votes), step):
+        off = np.abs(votes - votes[at : at + step, None])
+        off[:, :, 2] = np.minimum(off[:, :, 2], 2 * math.pi / 0.35 - off[:, :, 2])
+        near_by = (off <= 1).all(axis=2)
+        # corners that count twice included, and more than is lost by rounding
+        at_most = near_by @ worth + 1e-6
+        for held, bound in zip(near_by, at_most.tolist(), strict=True):
+            if bound <= best[1]:
+                continue
+            mine = np.flatnonzero(held)
+            _, first = np.unique(owner[mine], return_index=True)
+            found = float(worth[mine[first]].sum())
+            if found > best[1]:
+                best = len(first), found
     return best
 
 
+def _worth(n: np.ndarray | int, most_bits: int = 48) -> np.ndarray:
+    """Bits that a corner counts whose descriptor is equal to one of ``n``: for each doubling of 22 three less."""
+    return most_bits - 3 * np.maximum(0.0, np.log2(np.maximum(n, 1) / 22))
+
+
+def bounds(places: np.ndarray, bits: np.ndarray, starts: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray, least_agreeing: int, least_share: float, least_evidence: float, most: int = 1 << 17) -> np.ndarray:
+    """Whether each pair of images may agree enough, which is true of all for which ``consensus`` says so, and of few others.
+
+    First by the descriptors alone: what the nearest ones are worth to either
+    image. Then by the cells of votes, in which here a corner of ``b`` may count
+    more than once. An image's corners are ``sizes`` rows of ``places`` and
+    ``bits`` from ``starts`` on. About ``most`` pairs of corners are held at
+    once; pairs of images that have more are true.
+    """
+    keep = sizes[a] * sizes[b] > most
+    order = np.lexsort((sizes[b], sizes[a]))
+    order = order[~keep[order] & (sizes[a[order]] > 0) & (sizes[b[order]] > 0)]
+    widest = lambda own, of: int(sizes[of[own]].max())
+    at = 0
+    while at < len(order):
+        end = min(len(order), at + max(1, most // int(sizes[a[order[at]]] * sizes[b[order[at]]])))
+        while end > at + 1 and (end - at) * widest(order[at:end], a) * widest(order[at:end], b) > most:
+            end = at + max(1, (end - at) * 7 // 8)
+        own = order[at:end]
+        at = end
+        # an image with fewer corners has its last repeated, by which no least changes
+        p, q = (starts[i[own], None] + np.minimum(np.arange(widest(own, i)), sizes[i[own], None] - 1) for i in (a, b))
+        x, y = bits[p], bits[q]
+        apart = np.zeros((len(own), p.shape[1], q.shape[1]), np.uint16)
+        for word in range(WORDS):
+            apart += np.bitwise_count(x[:, :, None, word] ^ y[:, None, :, word])
+        enough = np.maximum(least_agreeing, least_share * np.minimum(sizes[a[own]], sizes[b[own]]))
+        limit = _worth(sizes[b[own]])[:, None]
+        ok = np.ones(len(own), bool)
+        for i, axis in ((b, 1), (a, 2)):
+            worth = limit - apart.min(axis=axis)
+            worth[(worth < 0) | (np.arange(worth.shape[1]) >= sizes[i[own], None])] = 0
+            ok &= ((worth > 0).sum(axis=1) >= enough) & (worth.sum(axis=1) + 1e-6 >= least_evidence)
+        own, worth, enough = own[ok], worth[ok], enough[ok]
+        near = np.take_along_axis(q[ok], apart[ok].argmin(axis=2), axis=1)
+        # corners that are worth something come first, and no more are looked at
+        first = np.argsort(worth <= 0, axis=1, kind="stable")[:, : int((worth > 0).sum(axis=1).max(initial=0))]
+        worth, p, q = np.take_along_axis(worth, first, axis=1), places[np.take_along_axis(p[ok], first, axis=1)], places[np.take_along_axis(near, first, axis=1)]
+        near_by = (worth > 0)[:, None, :] & (worth > 0)[:, :, None]
+        for vote, around in zip(_votes(p, q), (0, 0, 2 * math.pi / 0.35, 0), strict=True):
+            off = np.abs(vote[:, None, :] - vote[:, :, None])
+            near_by &= (np.minimum(off, around - off) if around else off) <= 1 + 1e-3
+        ok = near_by.sum(axis=2).max(axis=1, initial=0) >= enough
+        keep[own] = ok & ((near_by @ worth[:, :, None])[:, :, 0].max(axis=1, initial=0) + 1e-6 >= least_evidence)
+    return keep
+
+
 def describe_images(df: DataFrame, key: str, image: str) -> DataFrame:
     """(image_id, same, places, bits): places and descriptors as bytes; ``same`` is a hash of the decoded grey levels, by which equal images are one."""
 
@@ -264,7 +374,7 @@ def describe_images(df: DataFrame, key: str, image: str) -> DataFrame:
             for batch in slices(iter([whole]), "image", 4 << 20):
                 data = batch.column("image").to_pylist()
                 decoded = [decode(d) for d in data]
-                rows = [describe(i) for i in decoded]
+                rows = describe_all(decoded)
                 same = [hash_of(i, d, k) for i, d, k in zip(decoded, data, batch.column("image_id").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("image_id"), pa.array(same, pa.binary()), pa.array([p.astype("<f4").tobytes() for p, _ in rows], pa.binary()), pa.array([b.tobytes() for _, b in rows], pa.binary())], names=["image_id", "same", "places", "bits"])
 
@@ -318,19 +428,52 @@ def doublets(places: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarr
     the direction to the second corner against the first's angle, the difference
     of their angles, and the logarithm of their distance, in steps.
     """
+    return doublets_of_all(places, bits, np.zeros(len(places), np.int64))[1:]
+
+
+def _near_in_groups(places: np.ndarray, starts: np.ndarray, sizes: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What ``near_corners`` gives for each group of corners among themselves, of small groups that lie one after another."""
+    most = int(sizes.max())
+    step = np.arange(most)
+    held = step < sizes[:, None]
+    at = np.where(held, starts[:, None] + step, starts[:, None])
+    y, x = places[at, 0], places[at, 1]
+    apart = np.hypot(y[:, None, :] - y[:, :, None], x[:, None, :] - x[:, :, None])
+    apart = np.where((apart >= least[:, None, None]) & held[:, None, :] & held[:, :, None], apart, np.inf)
+    near = np.argsort(apart, axis=2, kind="stable")[:, :, :NEIGHBOURS]
+    ok = np.isfinite(np.take_along_axis(apart, near, axis=2))
+    group, own, _ = np.nonzero(ok)
+    return at[group, own], at[group, near[ok]]
+
+
+def doublets_of_all(places: np.ndarray, bits: np.ndarray, image: np.ndarray, small: int = 48, most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(image, keys, check, layout): ``doublets`` of each image, whose corners lie one after another by image and scale. Images with few corners are taken together, up to ``most`` distances at a time."""
     n = len(places)
     near_of = []
-    for scale in np.unique(places[:, 2]) if n > 1 else ():
-        at = np.flatnonzero(places[:, 2] == scale)
+    new = np.flatnonzero(np.concatenate([[True], (image[1:] != image[:-1]) | (places[1:, 2] != places[:-1, 2])])) if n else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(new, n))
+    pairs_of = lambda i, j: np.minimum(i, j) * n + np.maximum(i, j)
+    few = np.flatnonzero((sizes > 1) & (sizes <= small))
+    few = few[np.argsort(sizes[few], kind="stable")]
+    step = max(1, most // (small * small))
+    for own in (few[at : at + step] for at in range(0, len(few), step)):
+        near_of.append(pairs_of(*_near_in_groups(places, new[own], sizes[own], 3 * places[new[own], 2])))
+    for group in np.flatnonzero(sizes > small):
+        at = np.arange(new[group], new[group] + sizes[group])
         for part in np.array_split(at, len(at) // 256 + 1):
-            for i, j in near_corners(places, part, at, 3 * scale):
-                near_of.append(np.minimum(i, j) * n + np.maximum(i, j))
+            near_of.extend(pairs_of(i, j) for i, j in near_corners(places, part, at, 3 * places[new[group], 2]))
     pairs = np.unique(np.concatenate(near_of)) if near_of else np.zeros(0, np.int64)
     if not len(pairs):
-        return np.zeros((0, BANDS), np.uint32), np.zeros((0, BANDS, 2), np.uint32), np.zeros((0, BANDS, 3), np.uint8)
+        return np.zeros(0, np.int64), np.zeros((0, BANDS), np.uint32), np.zeros((0, BANDS, 2), np.uint32), np.zeros((0, BANDS, 3), np.uint8)
     i, j = pairs // n, pairs % n
     one = np.unpackbits(bits.view(np.uint8).reshape(n, -1), axis=1, bitorder="little")[:, _chosen_bits()]
-    pack = lambda part: (part.astype(np.uint64) << np.arange(part.shape[1], dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+
+    def pack(part: np.ndarray) -> np.ndarray:
+        packed = np.zeros((n, 8), np.uint8)
+        found = np.packbits(part, axis=1, bitorder="little")
+        packed[:, : found.shape[1]] = found
+        return packed.view("<u8")[:, 0]
+
     band = np.column_stack([pack(one[:, k * BAND_BITS : (k + 1) * BAND_BITS]) for k in range(BANDS)])
     last = pack(one[:, -CHECK_BITS:]).astype(np.uint32)
     around = lambda angle: (np.rint(angle / (2 * math.pi) * TURN_STEPS).astype(np.int64) % TURN_STEPS).astype(np.uint8)
@@ -343,20 +486,33 @@ def doublets(places: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarr
     turned = band[i] > band[j]  # by band
     low, high = np.where(turned, band[j], band[i]), np.where(turned, band[i], band[j])
     check = np.where(turned[:, :, None], np.column_stack([last[j], last[i]])[:, None, :], np.column_stack([last[i], last[j]])[:, None, :])
-    return (low << np.uint64(BAND_BITS) | high).astype(np.uint32), check, np.where(turned[:, :, None], layout(j, i)[:, None, :], layout(i, j)[:, None, :])
-
-
-def alike(check_a: np.ndarray, layout_a: np.ndarray, check_b: np.ndarray, layout_b: np.ndarray) -> np.ndarray:
-    """Whether doublets of one key have near descriptors and lie alike."""
-    off = np.abs(layout_a.astype(np.int16) - layout_b)
-    turned = np.minimum(off[:, :2], TURN_STEPS - off[:, :2])
-    return (turned <= TURN_APART).all(axis=1) & (off[:, 2] <= LENGTH_APART) & (np.bitwise_count(check_a ^ check_b).sum(axis=1) <= CHECK_DIFFERING)
-
-
-def _of_images(batch: pa.RecordBatch) -> Iterator[tuple[int, int, tuple]]:
-    """(row, image, doublets) of each image of a batch."""
-    for row, (image, places, bits) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("image", "places", "bits")), strict=True)):
-        yield row, image, doublets(np.frombuffer(places, "<f4").reshape(-1, 4).astype(float), np.frombuffer(bits, "<u8").reshape(-1, WORDS))
+    return image[i], (low << np.uint64(BAND_BITS) | high).astype(np.uint32), check, np.where(turned[:, :, None], layout(j, i)[:, None, :], layout(i, j)[:, None, :])
+
+
+def alike(check: np.ndarray, layout: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the positions ``x`` and ``y`` of doublets of one key that have near descriptors and lie alike."""
+    for column, apart in ((2, LENGTH_APART), (1, TURN_APART), (0, TURN_APART)):
+        off = layout[:, column]
+        if column == 2:
+            near = np.abs(off[x].astype(np.int16) - off[y]) <= apart
+        else:  # a full turn is as many steps as a byte has values
+            near = off[x] - off[y] + np.uint8(apart) <= 2 * apart
+        x, y = x[near], y[near]
+    near = np.bitwise_count(check[x] ^ check[y]).sum(axis=1) <= CHECK_DIFFERING
+    return x[near], y[near]
+
+
+def _of_images(batch: pa.RecordBatch, most: int = 1 << 13) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, keys, check, layout) of the doublets of a batch's images, of rows in order; of images with ``most`` corners together, or of one image."""
+    sizes = np.array([len(b) // (8 * WORDS) for b in batch.column("bits").to_pylist()], np.int64)
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        part = batch.slice(at, end - at)
+        places, bits = (b"".join(part.column(c).to_pylist()) for c in ("places", "bits"))
+        yield doublets_of_all(np.frombuffer(places, "<f4").reshape(-1, 4).astype(float), np.frombuffer(bits, "<u8").reshape(-1, WORDS), np.repeat(np.arange(at, end), sizes[at:end]))
+        at = end
 
 
 def first_pairs(classes: DataFrame) -> DataFrame:
@@ -369,16 +525,17 @@ def first_pairs(classes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list[np.ndarray]] = [[] for _ in range(7)]
-            for _, image, (keys, check, layout) in _of_images(batch):
-                if not len(keys):
-                    continue
-                flat = (np.arange(BANDS, dtype=np.uint64) << np.uint64(32) | keys).ravel()
+            images = batch.column("image").to_numpy()
+            for row, keys, check, layout in _of_images(batch):
+                flat, row = (np.arange(BANDS, dtype=np.uint64) << np.uint64(32) | keys).ravel(), np.repeat(row, BANDS)
                 mixed = flat * np.uint64(0x9E3779B97F4A7C15)
                 mixed ^= mixed >> np.uint64(29)
-                _, first = np.unique(mixed, return_index=True)
-                at = first[:SKETCH]
+                at = np.lexsort((mixed, row))
+                new = np.concatenate([[True], (row[at][1:] != row[at][:-1]) | (mixed[at][1:] != mixed[at][:-1])])[: len(at)]
+                at = at[new]  # the first of each of an image's keys
+                at = at[np.arange(len(at)) - np.searchsorted(row[at], row[at]) < SKETCH]
                 check, layout = check.reshape(-1, 2), layout.reshape(-1, 3)
-                for held, values in zip(out, (flat[at].view(np.int64), np.full(len(at), image), *check[at].T.astype(np.int64), *layout[at].T.astype(np.int32)), strict=True):
+                for held, values in zip(out, (flat[at].view(np.int64), images[row[at]], *check[at].T.astype(np.int64), *layout[at].T.astype(np.int32)), strict=True):
                     held.append(values)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held)) for held in out], names=["key", "image", "c", "e", "d", "t", "l"])
@@ -414,12 +571,33 @@ def crossing(key: np.ndarray, label: np.ndarray, most: int = 1 << 18) -> Iterato
         at = end
 
 
+def meetings(key: np.ndarray, image: np.ndarray, label: np.ndarray, check: np.ndarray, layout: np.ndarray) -> tuple[np.ndarray, int]:
+    """(the pairs of images of different labels, the greater above the lesser, that have doublets of one key that are alike; how many pairs of doublets were looked at)."""
+    found, looked_at = [np.zeros((2, 0), np.int64)], 0
+    by_key, by_label = (np.unique(x, return_inverse=True)[1] for x in (key, label))
+    sectors = TURN_STEPS // (2 * TURN_APART)
+    sector = lambda column, turned: (layout[:, column].astype(np.int64) + turned) % TURN_STEPS // (2 * TURN_APART)
+    # doublets that lie alike share a sector of one of two divisions of the circle, half a sector apart; so for the direction and for the turn
+    for i, j in ((0, 0), (0, TURN_APART), (TURN_APART, 0), (TURN_APART, TURN_APART)):
+        own = (by_key * sectors + sector(0, i)) * sectors + sector(1, j)
+        order = np.argsort(own * (len(key) + 1) + by_label) if len(key) < 1 << 27 else np.lexsort((by_label, own))
+        held = check[order], np.asfortranarray(layout[order])
+        for x, y in crossing(own[order], by_label[order]):
+            looked_at += len(x)
+            x, y = (image[order[at]] for at in alike(*held, x, y))
+            if len(x):
+                found.append(np.stack([np.maximum(x, y), np.minimum(x, y)]))
+            if len(found) > 64:
+                found = [np.unique(np.concatenate(found, axis=1), axis=1)]
+    return np.unique(np.concatenate(found, axis=1), axis=1), looked_at
+
+
 def crossing_pairs(labelled: DataFrame, part_rows: int = 1 << 20) -> DataFrame:
     """(a, b): all images (image, places, bits, label) of different labels of which doublets meet under a key and are alike.
 
     Doublets are dealt by a hash of their key, packed in columns of bytes, and
-    each is compared with all of its key and of about its direction that have
-    another label. A task holds
+    each is compared with all of its key, of about its direction and turn, that
+    have another label. A task holds
     one part of the keys, of about ``part_rows`` doublets by the images' corners;
     a key is in one part.
     """
@@ -430,16 +608,13 @@ def crossing_pairs(labelled: DataFrame, part_rows: int = 1 << 20) -> DataFrame:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in (whole.slice(at, 256) for at in range(0, whole.num_rows, 256)):
-                found = [(row, *got) for row, _, got in _of_images(batch) if len(got[0])]
-                if not found:
+                owner, keys, check, layout = (np.concatenate(x) for x in zip(*_of_images(batch), strict=True))
+                if not len(keys):
                     continue
-                sizes = [len(k) for _, k, _, _ in found]
-                owner = np.repeat(np.repeat([row for row, *_ in found], sizes), BANDS).astype(np.uint8)
-                keys = np.concatenate([k for _, k, _, _ in found]).ravel()
+                owner, keys = np.repeat(owner, BANDS).astype(np.uint8), keys.ravel()
                 bands = np.tile(np.arange(BANDS, dtype=np.uint8), len(keys) // BANDS)
                 flat = bands.astype(np.uint64) << np.uint64(32) | keys
-                check = np.concatenate([c for _, _, c, _ in found]).reshape(-1, 2)
-                layout = np.concatenate([x for *_, x in found]).reshape(-1, 3)
+                check, layout = check.reshape(-1, 2), layout.reshape(-1, 3)
                 mixed = flat * np.uint64(0xD6E8FEB86659FD93)
                 part = ((mixed ^ mixed >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
@@ -459,26 +634,50 @@ def crossing_pairs(labelled: DataFrame, part_rows: int = 1 << 20) -> DataFrame:
         check = np.frombuffer(b"".join(group["checks"]), np.uint32).reshape(-1, 2)
         layout = np.frombuffer(b"".join(group["layouts"]), np.uint8).reshape(-1, 3)
         image, label = (np.concatenate([x[o] for x, o in zip(held, owners, strict=True)]) for held in (images, labels))
-        found = [np.zeros((2, 0), np.int64)]
-        # doublets that lie alike share a sector of one of two divisions of the circle, half a sector apart
-        for turned in (0, TURN_APART):
-            sector = (layout[:, 0].astype(np.uint64) + np.uint64(turned)) % np.uint64(TURN_STEPS) // np.uint64(2 * TURN_APART)
-            own = key * np.uint64(TURN_STEPS) + sector
-            order = np.lexsort((label, own))
-            for x, y in crossing(own[order], label[order]):
-                x, y = order[x], order[y]
-                near = alike(check[x], layout[x], check[y], layout[y])
-                x, y = image[x[near]], image[y[near]]
-                found.append(np.stack([np.maximum(x, y), np.minimum(x, y)]))
-                if len(found) > 64:
-                    found = [np.unique(np.concatenate(found, axis=1), axis=1)]
-        a, b = np.unique(np.concatenate(found, axis=1), axis=1)
+        a, b = meetings(key, image, label, check, layout)[0]
         return pd.DataFrame({"a": a, "b": b})
 
     dealt = labelled.select("image", "places", "bits", "label").mapInArrow(deal, ", ".join(["part bigint", *[f"{n} binary" for n in names[1:]]]))
     return dealt.groupBy("part").applyInPandas(meet, "a bigint, b bigint").distinct()
 
 
+def may_agree(pairs: DataFrame, classes: DataFrame, least_agreeing: int, least_share: float, least_evidence: float, block_bytes: int = 96 << 20) -> DataFrame:
+    """The pairs (a, b) of images for which ``bounds`` does not rule out that they agree enough: pairs that meet by chance are most, and nearly all end here.
+
+    Images are dealt to blocks of about ``block_bytes`` of corners; a task has
+    two blocks and all pairs between them, so corners are shuffled once for each
+    block, not for each pair.
+    """
+    total = classes.agg(F.sum(F.octet_length("bits") + F.octet_length("places"))).first()[0] or 0
+    blocks = max(-(-total // block_bytes), round(math.sqrt(2 * pairs.sparkSession.sparkContext.defaultParallelism)))
+    block = lambda image: F.pmod(F.xxhash64(image), F.lit(blocks))
+    group = lambda x, y: F.least(x, y) * blocks + F.greatest(x, y)
+
+    def flat(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+        held = column.combine_chunks()
+        held = held if isinstance(held, pa.Array) else pa.concat_arrays(held.chunks)
+        _, offsets, data = held.buffers()
+        first, *_, end = np.frombuffer(offsets, np.int32, len(held) + 1, 4 * held.offset)
+        return np.frombuffer(data, kind, (end - first) // np.dtype(kind).itemsize, first) if end > first else np.zeros(0, kind)
+
+    def run(met: pa.Table, images: pa.Table) -> pa.Table:
+        met = met.select(["a", "b"])
+        if not met.num_rows:
+            return met
+        ids = images.column("image").to_numpy()
+        sizes = pc.binary_length(images.column("bits")).to_numpy().astype(np.int64) // (8 * WORDS)
+        corners = flat(images.column("places"), "<f4").reshape(-1, 4), flat(images.column("bits"), "<u8").reshape(-1, WORDS), np.cumsum(sizes) - sizes, sizes
+        order = np.argsort(ids)
+        a, b = (order[np.searchsorted(ids, met.column(c).to_numpy(), sorter=order)] for c in ("a", "b"))
+        keep = [bounds(*corners, a[at : at + (1 << 16)], b[at : at + (1 << 16)], least_agreeing, least_share, least_evidence) for at in range(0, len(a), 1 << 16)]
+        return met.filter(pa.array(np.concatenate(keep)))
+
+    dealt = pairs.select("a", "b", group(block("a"), block("b")).alias("g"))
+    own = classes.select("image", "places", "bits", block("image").alias("own"))
+    held = own.select("image", "places", "bits", F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: group(F.col("own"), i.cast("long")))).alias("g"))
+    return dealt.groupBy("g").cogroup(held.groupBy("g")).applyInArrow(run, "a bigint, b bigint")
+
+
 def verified(pairs: DataFrame, classes: DataFrame, least_agreeing: int, least_share: float, least_evidence: float) -> DataFrame:
     """The pairs (a, b) of images that agree enough."""
     left = classes.select(F.col("image").alias("a"), F.col("places").alias("pa"), F.col("bits").alias("ba"))
@@ -513,18 +712,23 @@ def copies(df: DataFrame, key: str, image: str, least_agreeing: int = 4, least_s
     take part and have their class's component; an empty table gives no rows;
     other columns are not read.
     """
-    rows = written(describe_images(df, key, image), "image-descriptors")
+    rows, described = placed(describe_images(df, key, image), "image-descriptors")
     classes = rows.groupBy("same").agg(F.min("image_id").alias("image"), F.first("places").alias("places"), F.first("bits").alias("bits"))
     classes = written(classes.where(F.col("image").isNotNull()), "image-classes")
+    rows = written(rows.select("image_id", "same"), "image-hashes")
+    dropped(df.sparkSession, described)
     rules = (least_agreeing, least_share, least_evidence)
     links = written(verified(written(first_pairs(classes), "image-first-pairs"), classes, *rules), "image-first-links")
     roots = components(links)
     labelled = classes.join(roots, F.col("image") == F.col("node"), "left").select("image", "places", "bits", F.coalesce("root", "image").alias("label"))
-    more = verified(written(crossing_pairs(written(labelled, "image-labels")), "image-pairs"), classes, *rules)
+    labelled, beside = placed(labelled, "image-labels")
+    met = written(crossing_pairs(labelled), "image-pairs")
+    dropped(df.sparkSession, beside)
+    more = verified(written(may_agree(met, classes, *rules), "image-likely-pairs"), classes, *rules)
     roots = components(written(more, "image-links").unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-    placed = classes.join(roots, F.col("image") == F.col("node"), "left")
-    placed = written(placed.select("same", F.coalesce("root", "image").alias("component_id")), "image-components")
-    return rows.select("image_id", "same").join(placed, "same", "left").select("image_id", "component_id")
+    found = classes.join(roots, F.col("image") == F.col("node"), "left")
+    found = written(found.select("same", F.coalesce("root", "image").alias("component_id")), "image-components")
+    return rows.join(found, "same", "left").select("image_id", "component_id")
 
 
 def thumbnails(vector: Column, side: int = 8, factor: int = 4) -> Column:
@@ -533,15 +737,19 @@ def thumbnails(vector: Column, side: int = 8, factor: int = 4) -> Column:
 
     @pandas_udf(T.BinaryType())
     def draw(column: pd.Series) -> pd.Series:
-        out = []
-        for v in column:
-            if v is None or len(v) != side * side or any(x is None or not math.isfinite(x) for x in v):
-                out.append(None)
-                continue
-            grid = np.asarray(v, np.float64).reshape(side, side)
-            spread = float(np.abs(grid - grid.mean()).max()) or 1.0
-            level = resized((128 + 127 * (grid - grid.mean()) / spread).astype(np.float32), side * factor, side * factor)
-            out.append(b"P5\n%d %d\n255\n" % (side * factor, side * factor) + np.rint(level).clip(0, 255).astype(np.uint8).tobytes())
+        out: list[bytes | None] = [None] * len(column)
+        sized = [i for i, v in enumerate(column) if v is not None and len(v) == side * side]
+        for part in (sized[at : at + 64] for at in range(0, len(sized), 64)):
+            # a null number is not finite, as floats have it
+            grid = np.array([np.asarray(column.iloc[i], np.float64) for i in part])
+            finite = np.isfinite(grid).all(axis=1)
+            grid = grid[finite]
+            off = grid - grid.mean(axis=1, keepdims=True)
+            spread = np.abs(off).max(axis=1, keepdims=True, initial=0.0)
+            grey = (128 + 127 * off / np.where(spread > 0, spread, 1.0)).astype(np.float32)
+            level = resized(grey.reshape(-1, side, side), side * factor, side * factor)
+            for i, drawn in zip(np.array(part)[finite].tolist(), np.rint(level).clip(0, 255).astype(np.uint8), strict=True):
+                out[i] = b"P5\n%d %d\n255\n" % (side * factor, side * factor) + drawn.tobytes()
         return pd.Series(out, dtype=object)
 
     return draw(vector)

@@ -533,3 +533,72 @@ def test_near_corners_equal_a_full_search():
 def test_odd_pictures_are_not_read():
     assert local_features.decode(b"P5\n99999999999 99999999999\n255\n" + b"x" * 100) is None
     assert local_features.decode(b"P6\n3000000000 3000000000\n255\n\0") is None
+
+
+def drawn_vectors(spark, n):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").limit(n)
+    return [local_features.decode(x.image) for x in table.select(local_features.thumbnails(F.col("embedding")).alias("image")).collect()]
+
+
+def test_images_taken_together_are_described_as_one_by_one(spark):
+    r = np.random.default_rng(3)
+    images = [*drawn_vectors(spark, 40), None, np.zeros((9, 9), np.float32), r.uniform(0, 255, (7, 30)).astype(np.float32), picture(r), r.uniform(0, 255, (150, 160)).astype(np.float32)]
+    images += images[:3]
+    together = local_features.describe_all(images, most=4096)
+    for image, (places, bits) in zip(images, together, strict=True):
+        own_places, own_bits = local_features.describe(image)
+        assert places.shape == own_places.shape and (places == own_places).all() and (bits == own_bits).all()
+    sizes = [len(b) for _, b in together]
+    owner, *found = local_features.doublets_of_all(np.concatenate([p for p, _ in together]), np.concatenate([b for _, b in together]), np.repeat(np.arange(len(images)), sizes))
+    for row, one in enumerate(together):
+        for got, want in zip(found, local_features.doublets(*one), strict=True):
+            assert (got[owner == row] == want).all() and (owner == row).sum() == len(want)
+
+
+def test_bounds_keep_all_that_agree_and_little_else(spark):
+    r = np.random.default_rng(4)
+    images = drawn_vectors(spark, 60)
+    images += [i + r.normal(0, 12, i.shape).astype(np.float32) for i in images[:30]] + [np.ascontiguousarray(np.rot90(i)) for i in images[:15]] + [None, picture(r)]
+    rows = [(p.astype(np.float32), b) for p, b in local_features.describe_all(images)]
+    sizes = np.array([len(b) for _, b in rows])
+    corners = np.concatenate([p for p, _ in rows]), np.concatenate([b for _, b in rows]), np.cumsum(sizes) - sizes, sizes
+    a, b = np.triu_indices(len(rows), 1)
+    agree = []
+    for x, y in zip(a, b, strict=True):
+        n, evidence = local_features.consensus(*rows[x], *rows[y])
+        agree.append(n >= max(4, 0.15 * min(sizes[x], sizes[y])) and evidence >= 120)
+    agree = np.array(agree)
+    for most in (1 << 12, 1 << 17):
+        kept = local_features.bounds(*corners, a, b, 4, 0.15, 120.0, most)
+        assert not (agree & ~kept).any() and agree.sum() >= 40
+    assert kept.sum() <= 2 * agree.sum() and len(a) > 5000
+
+
+def test_chance_pairs_end_before_corners_are_joined_to_them(spark):
+    images = local_features.describe_all(drawn_vectors(spark, 200))
+    classes = class_rows(spark, images)
+    pairs = [(x, y) for x in range(200) for y in range(x) if (x * y) % 7 == 0]
+    rules = (4, 0.15, 120.0)
+    met = spark.createDataFrame(pairs, "a bigint, b bigint")
+    want = {(x.a, x.b) for x in local_features.verified(met, classes, *rules).collect()}
+    likely = local_features.may_agree(met, classes, *rules, block_bytes=1 << 15)
+    assert likely.count() <= len(want) + len(pairs) // 200
+    assert {(x.a, x.b) for x in local_features.verified(likely, classes, *rules).collect()} == want
+    assert local_features.may_agree(met.limit(0), classes, *rules).count() == 0
+
+
+def test_doublets_that_meet_are_those_of_all_that_lie_alike():
+    """Directions and turns over the whole circle, compared by cells, against each with each."""
+    r = np.random.default_rng(5)
+    n = 1500
+    layout = np.column_stack([r.integers(0, 256, n), r.integers(0, 256, n) // 4 * 4, r.integers(0, 12, n)]).astype(np.uint8)
+    check = (r.integers(0, 2, (n, 2)) << r.integers(0, 4, (n, 2))).astype(np.uint32)
+    x, y = np.triu_indices(n, 1)
+    off = np.abs(layout[x].astype(int) - layout[y])
+    turned = np.minimum(off[:, :2], 256 - off[:, :2])
+    want = (turned <= local_features.TURN_APART).all(axis=1) & (off[:, 2] <= local_features.LENGTH_APART) & (np.bitwise_count(check[x] ^ check[y]).sum(axis=1) <= local_features.CHECK_DIFFERING)
+    got = local_features.alike(check, layout, x, y)
+    assert set(zip(*(i.tolist() for i in got), strict=True)) == set(zip(x[want].tolist(), y[want].tolist(), strict=True)) and want.any()
+    pairs, looked_at = local_features.meetings(np.zeros(n, np.uint64), np.arange(n), np.arange(n), check, layout)
+    assert set(zip(*pairs.tolist(), strict=True)) == set(zip(y[want].tolist(), x[want].tolist(), strict=True))
+    assert looked_at < len(x) / 40  # 4 of 256 cells
