@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quillspan import build
+from quillspan import build, store
 from quillspan.ingest import chunker, manual
 from quillspan.operators import blocks, embed, lexical, topk
 from quillspan.operators.index import Index
@@ -41,6 +41,30 @@ def test_postings_are_counted_without_a_shuffle(spark):
     assert runs == [("a", 7, [7]), ("a", 12, [12]), ("ab", 7, [7]), ("b", 7, [7, 8]), ("b", 12, [12])]
 
 
+def test_a_build_starts_one_pool_of_few_python_workers(spark, tmp_path):
+    fields = spark.createDataFrame([(7, None, None, "a b a ab", "b"), (8, "B", None, "b", None)], FIELDS.replace("chunk_id string", "doc_no bigint")).coalesce(1)
+    # two steps in a row would be two processes for each task
+    assert plan_of(lexical.postings(fields, stemming=False)).count("MapInArrow") == 1
+    rows = store.listed(spark, [("a", 1), (None, 2)], "x string, y bigint")
+    assert "ExistingRDD" not in plan_of(rows) and plan_of(rows).startswith("LocalTableScan")
+    assert rows.schema == spark.createDataFrame([], "x string, y bigint").schema and [tuple(r) for r in rows.collect()] == [("a", 1), (None, 2)]
+    assert store.listed(spark, [], blocks.BLOCK).count() == 0
+    index = Index.write(fields.withColumn("chunk_id", F.col("doc_no").cast("string")).drop("doc_no"), str(tmp_path / "i"))
+    assert "ExistingRDD" not in plan_of(store.numbered(index.docs, "n")) and "ExistingRDD" not in plan_of(index.dead)
+
+
+def test_what_a_task_counts_at_once_is_bounded(monkeypatch):
+    own = lambda first, n: pa.RecordBatch.from_pydict({"doc_no": list(range(first, first + n)), "field": ["body"] * n, "tokens": [["a", f"t{i % 3}"] for i in range(n)]})
+    batches = [own(0, 40), own(40, 0), own(40, 3), own(43, 30)]
+    seen, counted = [], lexical._counted
+    monkeypatch.setattr(lexical, "_counted", lambda held, apart: (seen.append(sum(b.num_rows for b in held)), counted(held, apart))[1])
+    postings = lambda together: sorted(tuple(r.values()) for b in blocks.of_runs(lexical.run_batches(iter(batches), False, together)) for r in b.to_pylist())
+    few = postings(20)
+    assert sum(seen) == 73 and max(seen) <= 10
+    assert few == postings(1000) and len(few) == 146
+    assert lexical.OPENED_TOGETHER <= 1 << 18
+
+
 def test_blocks_are_unpacked_in_bounded_portions():
     sizes = np.array([5, blocks.AT_ONCE, 1, blocks.AT_ONCE - 1, 2, blocks.AT_ONCE + 9])
     batch = pa.RecordBatch.from_arrays([pa.array(np.arange(6))], names=["x"])
